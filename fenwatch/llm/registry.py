@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, warc
+from fenwatch.llm import chat_format, decontaminate, token_files, warc
 
 
 def queries():
-    return {"op1_warc": warc.op1_warc, "op10_chat_format": chat_format.op10_chat_format}
+    return {
+        "op1_warc": warc.op1_warc,
+        "op2_token_files": token_files.op2_token_files,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op10_chat_format": chat_format.op10_chat_format,
+    }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat_format.ORACLE}
