@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, decontaminate, token_files, warc
+from fenwatch.llm import chat_format, decontaminate, licenses, token_files, warc
 
 
 def queries():
@@ -10,9 +10,10 @@ def queries():
         "op1_warc": warc.op1_warc,
         "op2_token_files": token_files.op2_token_files,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op9_licenses": licenses.op9_licenses,
         "op10_chat_format": chat_format.op10_chat_format,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
