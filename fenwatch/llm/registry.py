@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, decontaminate, licenses, token_files, warc
+from fenwatch.llm import chat_format, decontaminate, licenses, token_files, url_filter, warc
 
 
 def queries():
     return {
         "op1_warc": warc.op1_warc,
         "op2_token_files": token_files.op2_token_files,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op9_licenses": licenses.op9_licenses,
         "op10_chat_format": chat_format.op10_chat_format,
@@ -16,4 +17,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
