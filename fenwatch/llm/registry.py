@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, decontaminate, licenses, mixing, quality, token_files, url_filter, warc
+from fenwatch.llm import chat_format, decontaminate, licenses, mixing, quality, simhash, token_files, url_filter, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_token_files": token_files.op2_token_files,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_simhash": simhash.op5_simhash,
         "op7_quality": quality.op7_quality,
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
