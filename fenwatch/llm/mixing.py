@@ -134,9 +134,9 @@ class Cut:
 def choose(sized: DataFrame, patterns: dict[str, int], take: dict[str, int]) -> list[Cut]:
     """Cuts that take each pattern's words, by descending through the hash's bits: each step sums sizes by STEP bits for patterns not settled.
 
-    sized: columns pattern, size, hash. What is left at the end is one hash value per pattern, which is taken if it
-    all fits. The words still missing are met by the later document whose size comes nearest to them, if it brings
-    the total nearer, up to PATCHES times. Documents of one hash value go together.
+    sized: columns pattern, size, hash. Words still missing when the next document no longer fits are met by the later
+    document whose size comes nearest to them, if it brings the total nearer, up to PATCHES times. Documents of one
+    hash value go together.
     """
     spark = sized.sparkSession
     cuts: list[Cut] = []

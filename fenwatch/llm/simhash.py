@@ -164,7 +164,7 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
     """
     columns = list(dict.fromkeys(["id", *words, *signs]))
     spark = prints.sparkSession
-    schema = T.StructType().add("anchor", "long").add("id", "long")
+    schema = T.StructType().add("anchor", T.IntegerType()).add("id", "long")
     for s in signs:
         schema = schema.add(f"sign_{s}", "long")
 
@@ -175,7 +175,7 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
                 for n, w in enumerate(words):
                     at, anchor = anchors(part.column(w).to_numpy() & (1 << 2 * BLOCK) - 1, threshold)
                     take = [part.column(x).to_numpy()[at] for x in ["id", *signs]]
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor | n << 2 * CODEWORD_BITS), *map(pa.array, take)], schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | n << 2 * CODEWORD_BITS).astype(np.int32)), *map(pa.array, take)], schema.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -250,6 +250,57 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key:
     return with_components(named, ["fingerprint"], edges)
 
 
+#: A near copy's five-word shingles: SimHash estimates the cosine of two texts' shingle counts as cos(pi * d / SIGN_BITS)
+#: where their signs differ in d bits; it is 0.8 or more up to 26 of 128.
+NEAR_WIDTH, SIGN_BITS, MOST_SIGN_BITS = 5, 128, 26
+
+
+def near_prints(text: str | None) -> tuple[int, int, int, int]:
+    """Two 46-bit words, from the SimHash of a text's different words, and two 64-bit signs, from that of its five-word shingles.
+
+    The words are only for meeting: an edit changes five shingles but one word, so near copies' words differ in far
+    fewer bits than their signs. The signs decide. All are zero without words.
+    """
+    raw = (text or "").encode().lower()
+    parts = shingles(raw, NEAR_WIDTH)
+    if not parts:
+        return 0, 0, 0, 0
+    h = xxhash.xxh3_128_digest
+    known = set(raw.split())
+    word = majority(np.frombuffer(b"".join([h(w, SEED) for w in known]), np.uint8).reshape(-1, 16), len(known)).tobytes()
+    sign = majority(np.frombuffer(b"".join([h(p) for p in parts]), np.uint8).reshape(-1, 16), len(parts)).tobytes()
+    n = 64 - 2 * BLOCK
+    return int.from_bytes(word[:8], "big") >> n, int.from_bytes(word[8:], "big") >> n, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big")
+
+
+def drop_near_copies(docs: DataFrame, threshold: int = 2, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, with its columns, with one document of each group of near copies: that of the least id.
+
+    Ids are longs. Documents link if their signs differ in most_bits bits or fewer and one of their two words meets at
+    an anchor; groups are what links connect. Texts without words are copies of each other. Rows with a null id are
+    all kept; rows that share an id are one document, of which one row is kept. An empty table stays empty.
+    """
+    names = ["w0", "w1", "s0", "s1"]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([near_prints(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(4))], names=["doc_id", *names])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    marked = rows.mapInArrow(mark, "doc_id long, w0 long, w1 long, s0 long, s1 long")
+    classes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
+    roots = written(components(links(classes, ["w0", "w1"], ["s0", "s1"], threshold, most_bits)), "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("kept"))
+    gone = roots.join(least, "root").where("node <> kept").select(F.col("node").alias("id"))
+    kept = written(classes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("kept_id")).distinct(), "kept")
+    out = docs.join(kept, docs[key] == kept["kept_id"], "left_semi")
+    ids = docs.select(F.col(key).alias("doc_id"))
+    if ids.join(kept, ids["doc_id"] == kept["kept_id"], "left_semi").count() > kept.count():
+        out = out.dropDuplicates([key])
+    return out.unionByName(docs.where(F.col(key).isNull()))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' fingerprints and components."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
