@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, decontaminate, licenses, mixing, quality, simhash, token_files, url_filter, warc
+from fenwatch.llm import chat_format, decontaminate, embeddings, licenses, mixing, quality, simhash, token_files, url_filter, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_simhash": simhash.op5_simhash,
+        "op6_embeddings": embeddings.op6_embeddings,
         "op7_quality": quality.op7_quality,
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
@@ -20,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_embeddings": embeddings.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
