@@ -6,12 +6,167 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fenwatch.functions import text as X
+from fenwatch.functions import versions as V
+from fenwatch.functions.dialect import DUCK, SPARK, Dialect, Operator, operator
+from fenwatch.operators import corpus as C
+from fenwatch.operators import lookups as L
+from fenwatch.operators import matching as M
+from fenwatch.operators import network as N
+from fenwatch.operators import planning as P
+from fenwatch.plans import views as W
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+class Node:
+    """An operator over other nodes or the driver's tables (by name): a lazy DataFrame, or SQL text."""
+
+    def __init__(self, op: Operator, *sources: Node | str) -> None:
+        self.op, self.sources = op, sources
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.op(*(spark.read.parquet(f"{sf_dir}/{s}.parquet") if isinstance(s, str) else s.spark(spark, sf_dir) for s in self.sources))
+
+    def duck(self) -> str:
+        return self.op.duck(*(s if isinstance(s, str) else s.duck() for s in self.sources))
+
+
+def select(text: Callable[[Dialect], str] | str, *sources: Node | str) -> Node:
+    """A node of plain SQL over inputs «a», «b» and so on."""
+    names = tuple("abcdef"[: len(sources)])
+    return Node(operator(*names)(text if callable(text) else lambda d: text), *sources)
+
+
+def scalar(function: Callable[[Dialect, str], str], column: str, table: str) -> Node:
+    """Distinct values of a column with a function's result."""
+    return select(lambda d: f"SELECT DISTINCT {column} AS input, {function(d, column)} AS output FROM «a»", table)
+
+
+ASSET, IDENTITY, SERVICE, FLOW = Node(W.ot_asset, "supplier"), Node(W.ot_identity, "supplier"), Node(W.ot_service, "lineitem"), Node(W.ot_flow, "lineitem")
+PRODUCT, VULN, KEV, EPSS, ADVISORY = Node(W.ot_product, "part"), Node(W.ot_vuln, "lineitem"), Node(W.ot_kev, "events"), Node(W.ot_epss, "events"), Node(W.ot_advisory, "orders")
+OBSERVATION = Node(W.observation, "lineitem")
+
+RANGES = Node(V.parse_ranges, select("SELECT DISTINCT version_raw AS raw FROM «a»", PRODUCT))
+ASSET_NAMES = select("SELECT DISTINCT name FROM (SELECT vendor_raw AS name FROM «a» UNION ALL SELECT product_raw FROM «a») x WHERE name <> ''", IDENTITY)
+VENDORS = Node(L.lookup_vendors, ASSET_NAMES)
+NODE_VENDORS = Node(L.lookup_vendors, select("SELECT DISTINCT vendor_raw AS name FROM «a» WHERE vendor_raw <> ''", PRODUCT))
+CODES = Node(L.parse_order_codes, select("SELECT DISTINCT catalog_number AS code FROM «a» WHERE catalog_number <> ''", IDENTITY))
+NAMED = select("SELECT DISTINCT coalesce(c.vendor, v.vendor, p.vendor) AS vendor, i.product_raw, i.model, i.family, c.model AS c_model, c.family AS c_family FROM «a» i LEFT JOIN «b» v ON i.vendor_raw = v.name LEFT JOIN «b» p ON i.product_raw = p.name LEFT JOIN «c» c ON i.catalog_number = c.code", IDENTITY, VENDORS, CODES)
+FAMILIES = Node(L.lookup_families, select("SELECT DISTINCT vendor, name FROM (SELECT vendor, product_raw AS name FROM «a» UNION ALL SELECT vendor, c_model FROM «a» UNION ALL SELECT vendor, c_family FROM «a») x WHERE coalesce(name, '') <> ''", NAMED))
+CANONICAL = Node(L.normalize_identities, IDENTITY, CODES, VENDORS, FAMILIES)
+NODES = select(
+    lambda d: """SELECT p.source, p.advisory_id, p.product_id, v.vendor, p.vendor_raw, p.name, p.product_raw, CAST(NULL AS string) AS product, CAST(NULL AS string) AS model, p.family_raw, CAST(NULL AS string) AS family, nullif(p.catalog_number, '') AS catalog_number, nullif(p.cpe, '') AS cpe, p.version_raw,
+  CASE WHEN trim(p.version_raw) = '' THEN 'all' ELSE r.kind END AS kind, r.lower, r.lower_inclusive, r.upper, r.upper_inclusive, r.prefix FROM «a» p LEFT JOIN «b» v ON p.vendor_raw = v.name LEFT JOIN «c» r ON p.version_raw = r.raw""",
+    PRODUCT, NODE_VENDORS, RANGES,
+)
+SIGNED_ASSETS = select(lambda d: f"SELECT id AS asset_id, vendor, model, product, product_raw, family, catalog_number, firmware, {M.signature(d, M.SIGNED_ASSET)} AS sig_a FROM «a» WHERE vendor IS NOT NULL", CANONICAL)
+SIGNED_NODES = select(lambda d: f"SELECT *, {M.signature(d, M.SIGNED_NODE)} AS sig_p FROM «a» WHERE vendor IS NOT NULL", NODES)
+ASSET_SIGNATURES = select(f"SELECT DISTINCT sig_a, {', '.join(M.SIGNED_ASSET)} FROM «a»", SIGNED_ASSETS)
+NODE_SIGNATURES = select(f"SELECT DISTINCT sig_p, {', '.join(M.SIGNED_NODE)} FROM «a»", SIGNED_NODES)
+FAMILY_NAMES = select(
+    "SELECT vendor AS of_vendor, name FROM «a» WHERE method = 'exact' AND NOT via_model",
+    Node(
+        L.lookup_families,
+        select(
+            "SELECT DISTINCT vendor, name FROM (SELECT vendor, product AS name FROM «a» UNION ALL SELECT vendor, product_raw FROM «a» UNION ALL SELECT vendor, model FROM «a» UNION ALL SELECT vendor, product_raw FROM «b» UNION ALL SELECT vendor, name FROM «b») x WHERE coalesce(name, '') <> ''",
+            ASSET_SIGNATURES,
+            NODE_SIGNATURES,
+        ),
+    ),
+)
+STRENGTHS = Node(M.compare_identities, ASSET_SIGNATURES, NODE_SIGNATURES, FAMILY_NAMES)
+PAIRS = select(
+    "SELECT a.asset_id, n.source, n.advisory_id, n.product_id, s.strength, s.more_specific, s.reason, a.firmware AS version, a.vendor, n.kind, n.lower, n.lower_inclusive, n.upper, n.upper_inclusive, n.prefix, n.version_raw FROM «a» a JOIN «b» s ON a.sig_a = s.sig_a JOIN «c» n ON s.sig_p = n.sig_p",
+    SIGNED_ASSETS, STRENGTHS, SIGNED_NODES,
+)
+SCHEMES = "(SELECT DISTINCT vendor, scheme FROM ({}) x)"
+# verdicts are made once per version, vendor and range, and joined back
+VERDICTS = Node(
+    V.evaluate_ranges,
+    select(lambda d: f"SELECT DISTINCT p.version || '|' || p.vendor || '|' || p.version_raw AS id, p.version, v.scheme, p.kind, p.lower, p.lower_inclusive, p.upper, p.upper_inclusive, p.prefix FROM «a» p LEFT JOIN {SCHEMES.format(L.vendor_rows(d))} v ON p.vendor = v.vendor", PAIRS),
+)
+CANDIDATES = select("SELECT p.asset_id, p.source, p.advisory_id, p.product_id, p.strength, p.more_specific, p.reason, v.result FROM «a» p JOIN «b» v ON p.version || '|' || p.vendor || '|' || p.version_raw = v.id", PAIRS, VERDICTS)
+GRADED = Node(M.grade_candidates, CANDIDATES)
+FINDINGS = Node(M.build_findings, GRADED, VULN, KEV, EPSS)
+ENRICHED = Node(C.enrich, VULN, KEV, EPSS)
+MERGED_FLOWS = Node(N.merge_flows, FLOW)
+SERVICES = Node(N.merge_services, SERVICE)
+PLAN = Node(P.plan_probes, ASSET, select(lambda d: f"SELECT * FROM {d.values('t(template, port, transport, packets)', [('modbus-id', 502, 'tcp', 2), ('s7-szl', 102, 'tcp', 4), ('enip-list', 44818, 'tcp', 1), ('bacnet-i-am', 47808, 'udp', 1)])}", "region"), SERVICES)
+
+NODES_BY_NAME: dict[str, Node] = {
+    # the flagship: findings by vendor-blocked match
+    "flagship": select("SELECT finding_id, tier, strength, more_specific, reason, result, n_also, cves, n_cves, kev, epss, cvss, severity, fix_available, round(score, 6) AS score, priority FROM «a»", FINDINGS),
+    # normalization (N)
+    "n1_n2_vendor_keys": Node(L.vendor_keys, select("SELECT vendor_raw AS name FROM «a» UNION ALL SELECT s_name FROM «b» UNION ALL SELECT substring(text, 1, 60) FROM «c» WHERE text IS NOT NULL", PRODUCT, "supplier", "documents")),
+    "n3_vendor_lookup": VENDORS,
+    "n5_product_key": scalar(X.product_key, "p_name", "part"),
+    "n6_compact_key": scalar(lambda d, c: X.compact_key(X.product_key(d, c)), "p_name", "part"),
+    "n7_family_lookup": FAMILIES,
+    "n9_catalog_key": scalar(X.catalog_key, "p_type", "part"),
+    "n10_n13_order_codes": Node(L.parse_order_codes, select(lambda d: f"SELECT {W.pick(d, W.ORDER_CODES, 'p_partkey')} AS code FROM «a»", "part")),
+    "n14_clean_version": select(lambda d: f"SELECT DISTINCT firmware AS input, {X.clean_version(d, 'firmware')} AS output FROM «a»", ASSET),
+    "n15_normalize_identity": CANONICAL,
+    "n19_normalize_products": select("SELECT product_id, vendor, kind, lower, upper, prefix FROM «a»", NODES),
+    "n20_mac_and_id": Node(N.asset_ids, ASSET),
+    "j7_informative": select(lambda d: f"SELECT DISTINCT input, {X.informative(d, 'input')} AS output FROM (SELECT {X.product_key(d, 'name')} AS input FROM «a») x", PRODUCT),
+    # versions (V)
+    "v1_tokens": select(lambda d: f"SELECT DISTINCT firmware AS input, {V.spaced(d, V.tokens(d, 'firmware'))} AS output FROM «a»", ASSET),
+    "v2_v7_compare": Node(V.compare_versions, select(lambda d: f"SELECT CAST(row_number() OVER (ORDER BY a, b, scheme) AS int) AS id, scheme, a, b FROM (SELECT DISTINCT a.firmware AS a, b.v AS b, b.scheme FROM (SELECT DISTINCT {X.clean_version(d, 'firmware')} AS firmware, length(firmware) AS k FROM «a») a JOIN {d.values('b(v, scheme)', [('V4.5 SP2', 'siemens'), ('3.0', ''), ('R15A PC2', 'abb'), ('2.1', 'rockwell'), ('1.x', '')])} ON a.k >= 0) x", ASSET)),
+    "v8_v13_parse_ranges": RANGES,
+    "v14_v15_evaluate": VERDICTS,
+    # joins (J)
+    "j1_j9_identity_match": STRENGTHS,
+    "j10_ruled_out": select("SELECT result, count(*) AS n, count(DISTINCT asset_id) AS assets FROM «a» GROUP BY result", CANDIDATES),
+    "j11_enrich": ENRICHED,
+    "j12_prune": Node(C.prune_enrichment, EPSS, VULN),
+    "j13_score_gaps": Node(C.score_gaps, select("SELECT cve, CASE WHEN base_score > 3 THEN base_score END AS base_score FROM «a»", VULN)),
+    "j13_fill_gaps": Node(C.fill_score_gaps, select("SELECT source, advisory_id, cve, CASE WHEN base_score > 3 THEN base_score END AS base_score FROM «a»", VULN), select("SELECT cve, score * 10 AS base_score FROM «a»", EPSS)),
+    "j14_endpoints": Node(N.resolve_endpoints, select("SELECT '10.' || CAST(l_suppkey % 25 AS string) || '.0.' || CAST(l_suppkey % 250 AS string) AS src_addr, '10.1.0.' || CAST(l_partkey % 300 AS string) AS dst_addr, l_linenumber AS port FROM «a»", "lineitem"), select("SELECT ipv4 AS addr, asset_id FROM «a» UNION ALL SELECT mac, asset_id FROM «a»", ASSET)),
+    "j15_f6_segmentation": Node(N.segmentation_issues, MERGED_FLOWS, ASSET),
+    "j16_bindings": Node(N.bind_addresses, select("SELECT 'm' || CAST(l_suppkey AS string) AS mac, '10.0.0.' || CAST(l_suppkey % 60 + CASE WHEN l_partkey % 400 = 0 THEN 1 ELSE 0 END AS string) AS ip, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END AS kind FROM «a»", "lineitem")),
+    "j17_b2_plan": PLAN,
+    "j18_deny": Node(P.deny_probes, PLAN, select("SELECT id AS asset_id, vendor, family FROM «a»", CANONICAL), select(lambda d: f"SELECT * FROM {d.values('t(place, vendor, family, template)', [(1, 'siemens', 's7-1200', 's7-szl'), (2, 'siemens', '', 'modbus-id'), (3, 'rockwell-automation', '', '')])}", "region")),
+    "j19_by_cve": select("SELECT cve, count(DISTINCT advisory_id) AS advisories FROM «a» WHERE cve IN ('CVE-2020-00020', 'CVE-2020-00100', 'CVE-2020-02000') GROUP BY cve", VULN),
+    # aggregations (A)
+    "a1_merge_assets": Node(N.merge_assets, OBSERVATION),
+    "a3_merge_services": SERVICES,
+    "a4_a5_merge_flows": MERGED_FLOWS,
+    "a7_a8_grade": select(lambda d: f"SELECT asset_id, source, advisory_id, product_id, strength, more_specific, reason, result, n_also, tier, {d.join('matched', ' ')} AS matched FROM «a»", GRADED),
+    "a12_advisory_rollup": Node(C.advisory_rollup, ENRICHED),
+    "a13_summary": Node(M.summarize_findings, FINDINGS),
+    "a14_inventory_stats": Node(N.inventory_stats, select("SELECT a.asset_id, a.purdue, a.role, c.vendor FROM «a» a JOIN «b» c ON a.asset_id = c.id", ASSET, CANONICAL)),
+    "a15_corpus_stats": Node(C.corpus_stats, NODES, VULN),
+    "a17_classify": Node(N.classify_assets, SERVICES, ASSET),
+    "a18_dedupe_advisories": Node(C.deduplicate_advisories, ADVISORY),
+    "a19_upsert": Node(C.upsert_advisories, select("SELECT DISTINCT source, advisory_id, 'old' AS title FROM «a» WHERE place % 3 <> 0", ADVISORY), select("SELECT DISTINCT source, advisory_id, 'new' AS title FROM «a» WHERE place % 3 = 0", ADVISORY)),
+    "a21_vex_groups": Node(C.vex_groups, FINDINGS),
+    "a26_new_fields": Node(N.new_field_observations, select("SELECT 's' || CAST(l_suppkey AS string) AS asset_id, l_linenumber AS port, l_returnflag AS field, l_shipmode_ AS value, place FROM (SELECT *, l_linestatus AS l_shipmode_, l_orderkey * 10 + l_linenumber AS place FROM «a») x", "lineitem")),
+    # filters, orders, sets (F, W, U)
+    "f1_min_tier": select("SELECT tier, count(*) AS n FROM «a» WHERE CASE tier WHEN 'confirmed' THEN 3 WHEN 'likely' THEN 2 ELSE 1 END >= 2 GROUP BY tier", FINDINGS),
+    "f2_since": Node(C.since, ADVISORY),
+    "f4_answered": Node(N.responder_answered, select(lambda d: f"SELECT l_orderkey * 10 + l_linenumber AS id, {W.pick(d, ['S0', 'SF', 'REJ', 'OTH', 'RSTO', 'S9'], 'l_partkey')} AS state, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS bigint) % 3 END AS resp_pkts, CASE WHEN l_linenumber % 4 = 1 THEN CAST(l_quantity AS bigint) % 2 END AS resp_ip_bytes FROM «a»", "lineitem")),
+    "f5_server_side": Node(N.server_side, select(lambda d: f"SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'udp' ELSE 'tcp' END AS transport, CAST({W.pick(d, W.PORTS, 'l_linenumber')} AS int) AS src_port, CAST({W.pick(d, [50000, 502, 80, 1024], 'l_partkey')} AS int) AS dst_port, l_linestatus = 'O' AND l_linenumber = 1 AS syn, l_partkey % 2 = 0 AS ack FROM «a»", "lineitem")),
+    "f7_routes": select("SELECT CASE WHEN i.vendor_raw = '' AND i.product_raw = '' AND i.firmware = '' AND i.catalog_number = '' THEN 'unidentified' WHEN c.vendor IS NULL THEN 'unknown vendor' ELSE 'match' END AS route, count(*) AS n FROM «a» i JOIN «b» c ON i.id = c.id GROUP BY 1", IDENTITY, CANONICAL),
+    "w1_w2_w5_top_findings": select("SELECT finding_id, tier, priority FROM «a» ORDER BY priority DESC, advisory_id, asset_id, product_id LIMIT 50", FINDINGS),
+    "w6_hosts": Node(P.group_by_host, select("SELECT o_orderkey AS place, o_custkey AS host FROM «a»", "orders")),
+    "u2_investigated": select("SELECT DISTINCT product_id FROM «a» WHERE tier <> 'confirmed' EXCEPT SELECT product_id FROM «a» WHERE tier = 'confirmed'", FINDINGS),
+    # feeds (S)
+    "s15_affected_cells": Node(C.split_affected, select("SELECT p_partkey AS id, p_name || ' < 2.0 | ' || p_brand || ' >= ' || CAST(p_size AS string) || ' | ' || p_type AS cell FROM «a»", "part")),
+    "s16_kev_rows": Node(C.read_kev_rows, select("SELECT CASE WHEN event_id % 7 = 0 THEN 'junk' ELSE ' cve-2021-' || lpad(CAST(event_id AS string), 6, '0') END AS cve_id, CASE WHEN event_id % 2 = 0 THEN 'Known' ELSE 'Unknown' END AS ransomware FROM «a»", "events")),
+    # planning (B)
+    "b1_targets": Node(P.expand_targets, select(lambda d: f"SELECT * FROM {d.values('t(spec)', [('10.0.0.0/24',), ('10.0.1.5',), ('10.0.0.250-10.0.1.9',), ('192.168.1.0/31',), ('172.16.0.77/22',)])}", "region")),
+    "b3_estimate": Node(P.estimate_plan, PLAN),
+    "b7_abort": Node(P.abort_points, select("SELECT l_suppkey AS run, l_orderkey * 10 + l_linenumber AS place, l_discount > 0.07 AS failed FROM «a»", "lineitem")),
+}
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: node.spark for name, node in NODES_BY_NAME.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: node.duck() for name, node in NODES_BY_NAME.items()}
+
+
+__all__ = ["DUCK", "SPARK", "oracle_sql", "queries"]
