@@ -3,9 +3,11 @@
 Two codebooks, one for each half of the vectors, are fitted on a bounded sample; their product is a grid of cells.
 Every vector is indexed in the cell of its halves' nearest centroids. As a query it visits cells by a multi-sequence
 traversal: both halves' centroids are sorted by a lower bound of the distance from the query to any vector of their
-region, and pairs are visited in the order of the sum of squares, until that exceeds the largest squared distance at
-the threshold cosine, times `slack`. With slack 1 no pair can be missed; less visits fewer cells. Vectors that meet
-are verified by the cosine in double precision.
+region, and pairs are visited in the order of the sum of squares until the target recall. A neighbour at the threshold
+cosine lies D = 2 - 2 * threshold away (squared); if its direction is random, the square of its way along two given
+normals is D / dimensions times a chi-square of two degrees, so cells beyond -2 ln(1 - recall) D / dimensions hold it
+with less than the missing probability. A target of 1 visits all cells within D, and then no pair can be missed.
+Vectors that meet are verified by the cosine in double precision.
 
 Equal vectors of a label are one node with a count, so copies are never paired. A cell's members and its visitors are
 cut into parts of bounded size, and each part of the one meets each of the other in a task of its own.
@@ -29,8 +31,8 @@ THRESHOLD, SEED = 0.93, 5
 SAMPLE = 16_384
 #: Members of a cell, and visitors, that one task holds at a time.
 PART = 2048
-#: Share of the exact bound at which the traversal stops.
-SLACK = 0.5
+#: Of neighbours at the threshold cosine, the share that a traversal is to find from one side alone.
+RECALL = 0.98
 
 
 def codebook(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,7 +82,7 @@ def traverse(one: np.ndarray, two: np.ndarray, bound: float) -> tuple[np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, i, j))
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK, key: str = "vec_id", vector: str = "embedding", label: str = "label", part: int = PART) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", label: str = "label", part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row, by links between rows of one label with a cosine of the threshold or more.
 
     Ids are longs, vectors arrays of floats of one dimension (rows of another dimension than the most usual one link
@@ -89,10 +91,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, slack: float
     their own component is the one of what they link to. Repeated rows are vectors of their own. Other columns are
     ignored; an empty table gives no row. Links found from either side count for both.
     """
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("label"))
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("x"), F.col(label).alias("label"))
     # the sum of squares is finite and positive exactly for usable vectors, but for overflow, which no cosine survives either
-    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     usable = F.col("x").isNotNull() & F.col("label").isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
     marked = rows.withColumn("usable", usable)
     usual = marked.where("usable").groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
@@ -107,17 +109,18 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, slack: float
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
     sample = nodes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    s = np.stack([np.asarray(v.values) for c in sample.column("x").chunks for v in c])
+    s = np.stack([np.asarray(v.values, dtype=np.float64) for c in sample.column("x").chunks for v in c])
     s /= np.linalg.norm(s, axis=1)[:, None]
     half = size // 2
-    k = int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(total / 32)))))) if total > 64 else 2
+    k = int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(total / 128)))))) if total > 64 else 2
     books = [codebook(s[:, :half], k), codebook(s[:, half:], k)]
     gaps = [gaps_of(c) for c in books]
-    bound = (2 - 2 * threshold) * slack
+    far = 2 - 2 * threshold
+    bound = far if recall >= 1 else min(far, -2 * math.log(1 - recall) * far / size)
     width = len(books[1])
 
     def placed(batch: pa.RecordBatch):
-        x = np.stack([np.asarray(v.values) for v in batch.column("x")]) if batch.num_rows else np.zeros((0, size))
+        x = np.stack([np.asarray(v.values, dtype=np.float64) for v in batch.column("x")]) if batch.num_rows else np.zeros((0, size))
         x /= np.linalg.norm(x, axis=1)[:, None]
         (p, one), (q, two) = (lower_bounds(h, c, g) for h, c, g in zip((x[:, :half], x[:, half:]), books, gaps, strict=True))
         return p * width + q, one, two
@@ -134,7 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, slack: float
                 at, i, j = traverse(one, two, bound)
                 yield own.take(pa.array(at)).append_column("visited", pa.array((i * width + j).astype(np.int32)))
 
-    base = "id long, label string, x array<double>, n long, cell int"
+    base = f"id long, label string, x {kind}, n long, cell int"
     indexed = written(nodes.select("id", "label", "x", "n").mapInArrow(home, base), "index")
     visits = indexed.mapInArrow(visit, f"{base}, visited int")
     # cells with members, and in how many parts they are cut; as many rows as there are cells in use, and labels
@@ -150,17 +153,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, slack: float
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(t: pa.Table) -> tuple[np.ndarray, ...]:
-            x = t.column("x").combine_chunks().values.to_numpy().reshape(-1, size)[: t.num_rows] if t.num_rows else np.zeros((0, size))
+            x = np.asarray(t.column("x").combine_chunks().flatten(), dtype=np.float64).reshape(-1, size)
             return x / np.linalg.norm(x, axis=1)[:, None], *(t.column(c).to_numpy() for c in ("id", "n", "cell"))
 
         for t in runs(batches, keys):
-            t = pa.Table.from_batches([pa.concat_tables([t]).combine_chunks().to_batches()[0]])
             side = t.column("side").to_numpy()
             cut = int(np.searchsorted(side, 1))
             if cut == 0 or cut == t.num_rows:
                 continue
-            x, ids, n, _ = unit(pa.concat_tables([t.slice(0, cut)]).combine_chunks())
-            y, ids_y, n_y, cell_y = unit(pa.concat_tables([t.slice(cut)]).combine_chunks())
+            x, ids, n, _ = unit(t.slice(0, cut))
+            y, ids_y, n_y, cell_y = unit(t.slice(cut))
             good = (x @ y.T >= threshold) & (ids[:, None] != ids_y[None])
             if not good.any():
                 continue

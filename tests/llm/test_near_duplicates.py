@@ -126,7 +126,7 @@ def test_embeddings_against_brute_force(spark, part):
     for odd in (None, [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0] * 3, [float("inf")] + [1.0] * 15):
         data.append((k, odd, 0, 1, "c"))
         k += 1
-    got = {r["vec_id"]: r for r in E.near_vectors(spark.createDataFrame(data, VECTORS), slack=1.0, part=part).collect()}
+    got = {r["vec_id"]: r for r in E.near_vectors(spark.createDataFrame(data, VECTORS), recall=1.0, part=part).collect()}
     assert len(got) == len(data)
     edges = []
     good = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab, *_ in data if v and lab is not None and None not in v and len(v) == 16 and np.isfinite(v).all() and any(v)]
