@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,24 +21,46 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Node:
-    """An operator over other nodes or the driver's tables (by name): a lazy DataFrame, or SQL text."""
+    """An operator over other nodes or the driver's tables (by name): a DataFrame, or SQL text.
 
-    def __init__(self, op: Operator, *sources: Node | str) -> None:
-        self.op, self.sources = op, sources
+    Nodes that others use several times are cut: computed once a query and checkpointed, so that neither their work
+    nor their plan is repeated, and lost executors don't bring it back.
+    """
 
-    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.op(*(spark.read.parquet(f"{sf_dir}/{s}.parquet") if isinstance(s, str) else s.spark(spark, sf_dir) for s in self.sources))
+    def __init__(self, op: Operator, *sources: Node | str, cut: bool = False) -> None:
+        self.op, self.sources, self.cut = op, sources, cut
+
+    def spark(self, spark: SparkSession, sf_dir: str, made: dict[Node, DataFrame] | None = None) -> DataFrame:
+        made = {} if made is None else made
+        if self not in made:
+            tables = [spark.read.parquet(f"{sf_dir}/{s}.parquet") if isinstance(s, str) else s.spark(spark, sf_dir, made) for s in self.sources]
+            df = self.op(*tables)
+            made[self] = checkpointed(df) if self.cut else df
+        return made[self]
 
     def duck(self) -> str:
         return self.op.duck(*(s if isinstance(s, str) else s.duck() for s in self.sources))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in the checkpoint folder; a folder of its own only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def select(text: Callable[[Dialect], str] | str, *sources: Node | str) -> Node:
     """A node of plain SQL over inputs «a», «b» and so on."""
     names = tuple("abcdef"[: len(sources)])
     return Node(operator(*names)(text if callable(text) else lambda d: text), *sources)
 
 
+def cut(node: Node) -> Node:
+    node.cut = True
+    return node
+
+
 def scalar(function: Callable[[Dialect, str], str], column: str, table: str) -> Node:
     """Distinct values of a column with a function's result."""
     return select(lambda d: f"SELECT DISTINCT {column} AS input, {function(d, column)} AS output FROM «a»", table)
@@ -47,23 +70,23 @@ ASSET, IDENTITY, SERVICE, FLOW = Node(W.ot_asset, "supplier"), Node(W.ot_identit
 PRODUCT, VULN, KEV, EPSS, ADVISORY = Node(W.ot_product, "part"), Node(W.ot_vuln, "lineitem"), Node(W.ot_kev, "events"), Node(W.ot_epss, "events"), Node(W.ot_advisory, "orders")
 OBSERVATION = Node(W.observation, "lineitem")
 
-RANGES = Node(V.parse_ranges, select("SELECT DISTINCT version_raw AS raw FROM «a»", PRODUCT))
+RANGES = cut(Node(V.parse_ranges, select("SELECT DISTINCT version_raw AS raw FROM «a»", PRODUCT)))
 ASSET_NAMES = select("SELECT DISTINCT name FROM (SELECT vendor_raw AS name FROM «a» UNION ALL SELECT product_raw FROM «a») x WHERE name <> ''", IDENTITY)
-VENDORS = Node(L.lookup_vendors, ASSET_NAMES)
-NODE_VENDORS = Node(L.lookup_vendors, select("SELECT DISTINCT vendor_raw AS name FROM «a» WHERE vendor_raw <> ''", PRODUCT))
-CODES = Node(L.parse_order_codes, select("SELECT DISTINCT catalog_number AS code FROM «a» WHERE catalog_number <> ''", IDENTITY))
+VENDORS = cut(Node(L.lookup_vendors, ASSET_NAMES))
+NODE_VENDORS = cut(Node(L.lookup_vendors, select("SELECT DISTINCT vendor_raw AS name FROM «a» WHERE vendor_raw <> ''", PRODUCT)))
+CODES = cut(Node(L.parse_order_codes, select("SELECT DISTINCT catalog_number AS code FROM «a» WHERE catalog_number <> ''", IDENTITY)))
 NAMED = select("SELECT DISTINCT coalesce(c.vendor, v.vendor, p.vendor) AS vendor, i.product_raw, i.model, i.family, c.model AS c_model, c.family AS c_family FROM «a» i LEFT JOIN «b» v ON i.vendor_raw = v.name LEFT JOIN «b» p ON i.product_raw = p.name LEFT JOIN «c» c ON i.catalog_number = c.code", IDENTITY, VENDORS, CODES)
-FAMILIES = Node(L.lookup_families, select("SELECT DISTINCT vendor, name FROM (SELECT vendor, product_raw AS name FROM «a» UNION ALL SELECT vendor, c_model FROM «a» UNION ALL SELECT vendor, c_family FROM «a») x WHERE coalesce(name, '') <> ''", NAMED))
-CANONICAL = Node(L.normalize_identities, IDENTITY, CODES, VENDORS, FAMILIES)
-NODES = select(
+FAMILIES = cut(Node(L.lookup_families, select("SELECT DISTINCT vendor, name FROM (SELECT vendor, product_raw AS name FROM «a» UNION ALL SELECT vendor, c_model FROM «a» UNION ALL SELECT vendor, c_family FROM «a») x WHERE coalesce(name, '') <> ''", NAMED)))
+CANONICAL = cut(Node(L.normalize_identities, IDENTITY, CODES, VENDORS, FAMILIES))
+NODES = cut(select(
     lambda d: """SELECT p.source, p.advisory_id, p.product_id, v.vendor, p.vendor_raw, p.name, p.product_raw, CAST(NULL AS string) AS product, CAST(NULL AS string) AS model, p.family_raw, CAST(NULL AS string) AS family, nullif(p.catalog_number, '') AS catalog_number, nullif(p.cpe, '') AS cpe, p.version_raw,
   CASE WHEN trim(p.version_raw) = '' THEN 'all' ELSE r.kind END AS kind, r.lower, r.lower_inclusive, r.upper, r.upper_inclusive, r.prefix FROM «a» p LEFT JOIN «b» v ON p.vendor_raw = v.name LEFT JOIN «c» r ON p.version_raw = r.raw""",
     PRODUCT, NODE_VENDORS, RANGES,
-)
-SIGNED_ASSETS = select(lambda d: f"SELECT id AS asset_id, vendor, model, product, product_raw, family, catalog_number, firmware, {M.signature(d, M.SIGNED_ASSET)} AS sig_a FROM «a» WHERE vendor IS NOT NULL", CANONICAL)
-SIGNED_NODES = select(lambda d: f"SELECT *, {M.signature(d, M.SIGNED_NODE)} AS sig_p FROM «a» WHERE vendor IS NOT NULL", NODES)
-ASSET_SIGNATURES = select(f"SELECT DISTINCT sig_a, {', '.join(M.SIGNED_ASSET)} FROM «a»", SIGNED_ASSETS)
-NODE_SIGNATURES = select(f"SELECT DISTINCT sig_p, {', '.join(M.SIGNED_NODE)} FROM «a»", SIGNED_NODES)
+))
+SIGNED_ASSETS = cut(select(lambda d: f"SELECT id AS asset_id, vendor, model, product, product_raw, family, catalog_number, firmware, {M.signature(d, M.SIGNED_ASSET)} AS sig_a FROM «a» WHERE vendor IS NOT NULL", CANONICAL))
+SIGNED_NODES = cut(select(lambda d: f"SELECT *, {M.signature(d, M.SIGNED_NODE)} AS sig_p FROM «a» WHERE vendor IS NOT NULL", NODES))
+ASSET_SIGNATURES = cut(select(f"SELECT DISTINCT sig_a, {', '.join(M.SIGNED_ASSET)} FROM «a»", SIGNED_ASSETS))
+NODE_SIGNATURES = cut(select(f"SELECT DISTINCT sig_p, {', '.join(M.SIGNED_NODE)} FROM «a»", SIGNED_NODES))
 FAMILY_NAMES = select(
     "SELECT vendor AS of_vendor, name FROM «a» WHERE method = 'exact' AND NOT via_model",
     Node(
@@ -75,20 +98,21 @@ FAMILY_NAMES = select(
         ),
     ),
 )
-STRENGTHS = Node(M.compare_identities, ASSET_SIGNATURES, NODE_SIGNATURES, FAMILY_NAMES)
-PAIRS = select(
+STRENGTHS = cut(Node(M.compare_identities, ASSET_SIGNATURES, NODE_SIGNATURES, FAMILY_NAMES))
+PAIRS = cut(select(
     "SELECT a.asset_id, n.source, n.advisory_id, n.product_id, s.strength, s.more_specific, s.reason, a.firmware AS version, a.vendor, n.kind, n.lower, n.lower_inclusive, n.upper, n.upper_inclusive, n.prefix, n.version_raw FROM «a» a JOIN «b» s ON a.sig_a = s.sig_a JOIN «c» n ON s.sig_p = n.sig_p",
     SIGNED_ASSETS, STRENGTHS, SIGNED_NODES,
-)
+))
 SCHEMES = "(SELECT DISTINCT vendor, scheme FROM ({}) x)"
 # verdicts are made once per version, vendor and range, and joined back
 VERDICTS = Node(
     V.evaluate_ranges,
     select(lambda d: f"SELECT DISTINCT p.version || '|' || p.vendor || '|' || p.version_raw AS id, p.version, v.scheme, p.kind, p.lower, p.lower_inclusive, p.upper, p.upper_inclusive, p.prefix FROM «a» p LEFT JOIN {SCHEMES.format(L.vendor_rows(d))} v ON p.vendor = v.vendor", PAIRS),
 )
+cut(VERDICTS)
 CANDIDATES = select("SELECT p.asset_id, p.source, p.advisory_id, p.product_id, p.strength, p.more_specific, p.reason, v.result FROM «a» p JOIN «b» v ON p.version || '|' || p.vendor || '|' || p.version_raw = v.id", PAIRS, VERDICTS)
-GRADED = Node(M.grade_candidates, CANDIDATES)
-FINDINGS = Node(M.build_findings, GRADED, VULN, KEV, EPSS)
+GRADED = cut(Node(M.grade_candidates, CANDIDATES))
+FINDINGS = cut(Node(M.build_findings, GRADED, VULN, KEV, EPSS))
 ENRICHED = Node(C.enrich, VULN, KEV, EPSS)
 MERGED_FLOWS = Node(N.merge_flows, FLOW)
 SERVICES = Node(N.merge_services, SERVICE)
