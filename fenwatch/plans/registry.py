@@ -15,6 +15,7 @@ from fenwatch.operators import lookups as L
 from fenwatch.operators import matching as M
 from fenwatch.operators import network as N
 from fenwatch.operators import planning as P
+from fenwatch.operators import report as R
 from fenwatch.plans import views as W
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,6 +165,9 @@ NODES_BY_NAME: dict[str, Node] = {
     "a17_classify": Node(N.classify_assets, SERVICES, ASSET),
     "a18_dedupe_advisories": Node(C.deduplicate_advisories, ADVISORY),
     "a19_upsert": Node(C.upsert_advisories, select("SELECT DISTINCT source, advisory_id, 'old' AS title FROM «a» WHERE place % 3 <> 0", ADVISORY), select("SELECT DISTINCT source, advisory_id, 'new' AS title FROM «a» WHERE place % 3 = 0", ADVISORY)),
+    "a16_ingest_stats": select("SELECT source, count(*) AS records, count(DISTINCT asset_id) AS assets, count(vendor_raw) AS named, min(seen) AS first_seen, max(seen) AS last_seen FROM «a» GROUP BY source", OBSERVATION),
+    "a20_vex_products": Node(R.vex_products, FINDINGS),
+    "a22_a23_vex_threats": Node(R.vex_threats, FINDINGS),
     "a21_vex_groups": Node(C.vex_groups, FINDINGS),
     "a26_new_fields": Node(N.new_field_observations, select("SELECT 's' || CAST(l_suppkey AS string) AS asset_id, l_linenumber AS port, l_returnflag AS field, l_shipmode_ AS value, place FROM (SELECT *, l_linestatus AS l_shipmode_, l_orderkey * 10 + l_linenumber AS place FROM «a») x", "lineitem")),
     # filters, orders, sets (F, W, U)
@@ -173,6 +177,11 @@ NODES_BY_NAME: dict[str, Node] = {
     "f5_server_side": Node(N.server_side, select(lambda d: f"SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_returnflag = 'R' THEN 'udp' ELSE 'tcp' END AS transport, CAST({W.pick(d, W.PORTS, 'l_linenumber')} AS int) AS src_port, CAST({W.pick(d, [50000, 502, 80, 1024], 'l_partkey')} AS int) AS dst_port, l_linestatus = 'O' AND l_linenumber = 1 AS syn, l_partkey % 2 = 0 AS ack FROM «a»", "lineitem")),
     "f7_routes": select("SELECT CASE WHEN i.vendor_raw = '' AND i.product_raw = '' AND i.firmware = '' AND i.catalog_number = '' THEN 'unidentified' WHEN c.vendor IS NULL THEN 'unknown vendor' ELSE 'match' END AS route, count(*) AS n FROM «a» i JOIN «b» c ON i.id = c.id GROUP BY 1", IDENTITY, CANONICAL),
     "w1_w2_w5_top_findings": select("SELECT finding_id, tier, priority FROM «a» ORDER BY priority DESC, advisory_id, asset_id, product_id LIMIT 50", FINDINGS),
+    "f11_http_banner": select(lambda d: f"SELECT event_id AS id, nullif(trim({d.extract('substring(payload, 1, 4096)', '(?i)^HTTP/1[.][^~]*~server:([^~]*)', 1)}), '') AS server FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'SSH-2.0' ELSE 'HTTP/1.1 200 OK~Date: x~Server: ' || event_type || '/1.' || CAST(event_id % 3 AS string) || '~' END AS payload FROM «a») x", "events"),
+    "f13_text_filter": Node(R.matching_text, FINDINGS),
+    "n18_leading_code": select(lambda d: f"SELECT input, CASE WHEN contains(head, '-') AND length({d.replace_all('head', '[^0-9]', '')}) >= 3 AND length(head) >= 6 THEN head END AS code FROM (SELECT DISTINCT input, {d.extract('input', '^([^ /]*)', 1)} AS head FROM (SELECT {W.pick(d, ['1756-ENBT/A rev', '1769-L30ER CPU', 'plain name', 'AB-1', '2711P-T10C4D8/B panel'], 'p_partkey')} AS input FROM «a») x) y", "part"),
+    "s9_s25_typed_fields": select(lambda d: "SELECT DISTINCT x AS input, CAST(greatest(try_cast(x AS double), 0) AS bigint) AS whole, CASE lower(x) WHEN 't' THEN true WHEN 'true' THEN true WHEN 'f' THEN false WHEN 'false' THEN false END AS flag FROM (SELECT " + W.pick(d, ["12", "3.0", "-4", "T", "false", "x", ""], "p_partkey") + " AS x FROM «a») y", "part"),
+    "u1_union": select("SELECT asset_id, count(*) AS n FROM (SELECT asset_id, port FROM «a» UNION ALL SELECT src, port FROM «b») x GROUP BY asset_id", SERVICE, FLOW),
     "w6_hosts": Node(P.group_by_host, select("SELECT o_orderkey AS place, o_custkey AS host FROM «a»", "orders")),
     "u2_investigated": select("SELECT DISTINCT product_id FROM «a» WHERE tier <> 'confirmed' EXCEPT SELECT product_id FROM «a» WHERE tier = 'confirmed'", FINDINGS),
     # feeds (S)
