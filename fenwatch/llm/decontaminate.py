@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fenwatch.llm.common import open_store, shared_dir
+from fenwatch.llm.common import open_store, shared_dir, tidied
 
 WINDOW = 10
 #: Words of the items that one automaton holds; more items make more automata, used one after another.
@@ -238,7 +238,7 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW, key: str = "
                     names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "spans"],
                 )
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(examine, out)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidied(examine), out)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_coverage: float = 0.5, text: str = "text", chars: str = "n_chars") -> DataFrame:
@@ -278,7 +278,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_
                 batch = batch.filter(pa.array(keep))
             yield batch
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

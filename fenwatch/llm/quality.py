@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fenwatch.llm.common import tidied
+
 BUCKETS, FACTORS, EPOCHS, RATE, SEED = 1 << 13, 8, 12, 0.1, 7
 #: Labelled rows that the model is fitted on at most, those of the smallest hashes of their ids.
 SAMPLE = 8192
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("label").cast(pa.float64()), pa.array(ids, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(list(stats), pa.list_(pa.float64()))], names=["key", "label", "ids", "x", "stats"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
-    got = rows.select("key", "label", "text").mapInArrow(extract, "key string, label double, ids array<int>, x array<float>, stats array<double>").toArrow()
+    got = rows.select("key", "label", "text").mapInArrow(tidied(extract), "key string, label double, ids array<int>, x array<float>, stats array<double>").toArrow()
     got = got.append_column("size", pa.array([len(x) for x in got.column("ids")], pa.int64())).sort_by([("key", "ascending"), ("label", "ascending"), ("size", "ascending")])
     listed = lambda name: [x.values.to_numpy() for c in got.column(name).chunks for x in c]
     stats = np.array(listed("stats"), dtype=np.float64).reshape(got.num_rows, STATS)
@@ -160,7 +162,7 @@ def score(docs: DataFrame, model: FactorisationMachine, key: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     out = T.StructType().add("doc_id", docs.schema[key].dataType).add("held_out", "boolean").add("score", "double").add("predicted", "integer")
-    return docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(key).alias("key"), held_out(F.col(key)).alias("held_out"), F.col(text).alias("text")).mapInArrow(tidied(run), out)
 
 
 def keep_good(docs: DataFrame, model: FactorisationMachine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,7 +174,7 @@ def keep_good(docs: DataFrame, model: FactorisationMachine, text: str = "text",
             kept = [s >= threshold for k in range(0, len(texts), 256) for s in model.score(texts[k : k + 256]).tolist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

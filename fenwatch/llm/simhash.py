@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenwatch.llm.components import components, forest
-from fenwatch.llm.common import written
+from fenwatch.llm.common import tidied, written
 
 SEED = 42
 #: Members of an anchor that one task compares; larger anchors are cut into parts of half as many.
@@ -205,10 +205,10 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             held = held.slice(end)
 
     some = prints.select(*columns).where(F.pmod(F.xxhash64("id", F.lit(SAMPLED)), F.lit(SAMPLED)) == 0)
-    large = some.mapInArrow(replicate, schema).groupBy("anchor").count().where(F.col("count") * SAMPLED > most_members // 2)
+    large = some.mapInArrow(tidied(replicate), schema).groupBy("anchor").count().where(F.col("count") * SAMPLED > most_members // 2)
     large = written(large.select("anchor", F.ceil(F.col("count") * SAMPLED / (most_members // 4)).cast("int").alias("cuts")), "large-anchors")
     n_large = large.count()
-    copies = prints.select(*columns).mapInArrow(replicate, schema)
+    copies = prints.select(*columns).mapInArrow(tidied(replicate), schema)
     if n_large:
         # part of a member, and one copy for each part that it is to meet
         joined = copies.join(F.broadcast(large) if n_large <= 100_000 else large, "anchor", "left")
@@ -218,7 +218,7 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
     else:
         copies = copies.withColumn("part", F.lit(0))
     dealt = copies.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(tidied(compare), "a long, b long")
 
 
 def with_components(docs: DataFrame, key_columns: list[str], edges: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "id"])
 
     out = T.StructType().add("doc_id", docs.schema[key].dataType).add("id", "long")
-    marked = written(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(mark, out), "fingerprints")
+    marked = written(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidied(mark), out), "fingerprints")
     prints = marked.select("id").distinct()
     edges = links(prints.withColumn("word", F.col("id")), ["word"], ["id"], threshold, threshold)
     named = marked.withColumn("fingerprint", F.lower(F.lpad(F.hex("id"), 16, "0")))
@@ -288,7 +288,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, most_bits: int = MOST_
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(4))], names=["doc_id", *names])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    marked = rows.mapInArrow(mark, "doc_id long, w0 long, w1 long, s0 long, s1 long")
+    marked = rows.mapInArrow(tidied(mark), "doc_id long, w0 long, w1 long, s0 long, s1 long")
     classes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
     roots = written(components(links(classes, ["w0", "w1"], ["s0", "s1"], threshold, most_bits)), "roots")
     least = roots.groupBy("root").agg(F.min("node").alias("kept"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenwatch.llm.common import open_store, shared_dir, written
+from fenwatch.llm.common import open_store, shared_dir, tidied, written
 
 SEQ_LEN = 2048
 #: Sequences in a record batch.
@@ -75,9 +75,9 @@ class Encoder:
             ends = [*(starts[1:] * width).tolist(), len(raw)]
             into.update(zip(part, (raw[a + skip : b] for a, b in zip((starts * width).tolist(), ends, strict=True)), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], kept: int = KEPT_PIECES) -> list[bytes]:
         """The ids of each text, as little-endian bytes."""
-        if len(self.spaced) + len(self.bare) > KEPT_PIECES:
+        if len(self.spaced) + len(self.bare) > kept:
             self.spaced, self.bare = {}, {}
         plans: list[tuple[list[str], list[list[str]]] | None] = []
         spaced: set[str] = set()
@@ -201,13 +201,13 @@ class Shard:
         self.source.close()
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int = SEQ_LEN, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int = SEQ_LEN, key: str = "doc_id", text: str = "text", kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """Writes all documents' ids, each followed by end_id, in ascending key order; returns the manifest.
 
     The manifest (path, base, n_tokens, n_docs) is a small DataFrame in the order of shards. Null keys come first;
     equal keys go by their text's hash, and rows that repeat are documents of their own. Null texts are empty: their
     only id is end_id. Other columns are ignored. An empty table gives an empty manifest. The tokenizer's file must be
-    readable on every worker.
+    readable on every worker. A worker keeps the ids of kept_pieces pieces of text at most, about 200 bytes each.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "tokens")
@@ -227,7 +227,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int = SE
                 first = batch.slice(0, 1)
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                made.add(part.column("key").to_pylist(), [x + end for x in enc.encode(part.column("text").to_pylist())])
+                made.add(part.column("key").to_pylist(), [x + end for x in enc.encode(part.column("text").to_pylist(), kept_pieces)])
         if made is not None:
             made.close()
             yield pa.RecordBatch.from_arrays([first.column("key"), first.column("tie"), pa.array([path]), pa.array([made.total], pa.int64()), pa.array([made.docs], pa.int64())], names=["key", "tie", "path", "n_tokens", "n_docs"])
@@ -235,7 +235,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int = SE
     from pyspark.sql import types as T
 
     schema = T.StructType().add("key", kind).add("tie", "long").add("path", "string").add("n_tokens", "long").add("n_docs", "long")
-    shards = written(ranged.mapInArrow(write, schema), "token-shards").orderBy("key", "tie").collect()  # a row per partition
+    shards = written(ranged.mapInArrow(tidied(write), schema), "token-shards").orderBy("key", "tie").collect()  # a row per partition
     base, out = 0, []
     for s in shards:
         out.append((s["path"], base, s["n_tokens"], s["n_docs"]))
@@ -267,7 +267,7 @@ def read_tokens(manifest: DataFrame, key_type: str = "long") -> DataFrame:
                 shard.close()
 
     n = max(1, manifest.count())
-    return manifest.select("path", "base").repartition(n).mapInArrow(read, f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("path", "base").repartition(n).mapInArrow(tidied(read), f"doc_id {key_type}, start long, n_tokens long, ids_crc32 long")
 
 
 #: The tokenizer of the query, and the id that ends a document.
