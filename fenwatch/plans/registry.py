@@ -145,7 +145,7 @@ NODES_BY_NAME: dict[str, Node] = {
     "j10_ruled_out": select("SELECT result, count(*) AS n, count(DISTINCT asset_id) AS assets FROM «a» GROUP BY result", CANDIDATES),
     "j11_enrich": ENRICHED,
     "j12_prune": Node(C.prune_enrichment, EPSS, VULN),
-    "j13_score_gaps": Node(C.score_gaps, select("SELECT cve, CASE WHEN base_score > 3 THEN base_score END AS base_score FROM «a»", VULN)),
+    "j13_score_gaps": Node(C.score_gaps, select("SELECT cve, CASE WHEN base_score > 8 THEN base_score END AS base_score FROM «a»", VULN)),
     "j13_fill_gaps": Node(C.fill_score_gaps, select("SELECT source, advisory_id, cve, CASE WHEN base_score > 3 THEN base_score END AS base_score FROM «a»", VULN), select("SELECT cve, score * 10 AS base_score FROM «a»", EPSS)),
     "j14_endpoints": Node(N.resolve_endpoints, select("SELECT '10.' || CAST(l_suppkey % 25 AS string) || '.0.' || CAST(l_suppkey % 250 AS string) AS src_addr, '10.1.0.' || CAST(l_partkey % 300 AS string) AS dst_addr, l_linenumber AS port FROM «a»", "lineitem"), select("SELECT ipv4 AS addr, asset_id FROM «a» UNION ALL SELECT mac, asset_id FROM «a»", ASSET)),
     "j15_f6_segmentation": Node(N.segmentation_issues, MERGED_FLOWS, ASSET),

@@ -51,7 +51,7 @@ def ot_flow(d: Dialect) -> str:
 def ot_product(d: Dialect) -> str:
     """A node for one part in five, so that a vendor's nodes meet its assets without flooding the check."""
     return f"""SELECT 'feed' AS source, 'ADV-' || CAST(p_partkey % 199 AS string) AS advisory_id, 'P' || CAST(p_partkey AS string) AS product_id, {pick(d, VENDOR_SPELLINGS, 'p_partkey')} AS vendor_raw, {pick(d, NODE_PRODUCTS, 'p_size')} AS name, {pick(d, NODE_PRODUCTS, 'p_size')} AS product_raw, CASE WHEN p_size % 10 = 0 THEN 'SIMATIC S7-1200' ELSE '' END AS family_raw,
-  CASE WHEN p_partkey % 13 = 0 THEN {pick(d, ORDER_CODES, 'p_partkey')} ELSE '' END AS catalog_number, CASE WHEN p_partkey % 17 = 0 THEN 'cpe:2.3:h:siemens:6es72141ag400xb0' ELSE '' END AS cpe, {pick(d, RANGE_SPELLINGS, 'p_partkey')} AS version_raw FROM «part» WHERE p_partkey % 5 = 0"""
+  CASE WHEN p_partkey % 13 = 0 THEN {pick(d, ORDER_CODES, 'p_partkey')} ELSE '' END AS catalog_number, CASE WHEN p_partkey % 17 = 0 THEN 'cpe:2.3:h:siemens:6es72141ag400xb0' ELSE '' END AS cpe, {pick(d, RANGE_SPELLINGS, 'p_partkey + p_size')} AS version_raw FROM «part» WHERE p_partkey % 5 = 0"""
 
 
 @operator("lineitem")
