@@ -174,6 +174,8 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
                 part = batch.slice(k, 2048)
                 for n, w in enumerate(words):
                     at, anchor = anchors(part.column(w).to_numpy() & (1 << 2 * BLOCK) - 1, threshold)
+                    order = np.argsort(anchor)  # a document's copies lie apart, so that their size in a shuffle is the same for any number of partitions
+                    at, anchor = at[order], anchor[order]
                     take = [part.column(x).to_numpy()[at] for x in ["id", *signs]]
                     yield pa.RecordBatch.from_arrays([pa.array((anchor | n << 2 * CODEWORD_BITS).astype(np.int32)), *map(pa.array, take)], schema.names)
 
@@ -294,6 +296,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 2, most_bits: int = MOST_
     least = roots.groupBy("root").agg(F.min("node").alias("kept"))
     gone = roots.join(least, "root").where("node <> kept").select(F.col("node").alias("id"))
     kept = written(classes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("kept_id")).distinct(), "kept")
+    kept = kept.hint("merge")  # the ids grow with the documents, so they are never broadcast
     out = docs.join(kept, docs[key] == kept["kept_id"], "left_semi")
     ids = docs.select(F.col(key).alias("doc_id"))
     if ids.join(kept, ids["doc_id"] == kept["kept_id"], "left_semi").count() > kept.count():
