@@ -21,8 +21,6 @@ WEIGHTS, SHARE, MOST_COPIES, SEED = (3, 1, 2), 1.5, 2, 17
 MOST_PATTERNS = 100_000
 #: Bits of the hash that one step of the selection settles.
 STEP = 8
-#: Documents of a pattern that may be added out of order to come nearer to its words.
-PATCHES = 4
 
 
 def word_count(text: Column) -> Column:
@@ -123,75 +121,86 @@ def route(patterns: dict[str, int], quotas: dict[str | None, float], most: int =
 
 @dataclass(frozen=True)
 class Cut:
-    """Documents of a pattern get `copies`, and one more where their hash is at most `last` or among `extra` (null: none)."""
+    """Documents of a pattern get `copies`, and one more where their hash is in one of `runs` or is `extra` (null: none).
+
+    runs: (after, upto, most): hashes above `after` (null: all) up to `upto` whose documents have at most `most` words together.
+    """
 
     pattern: str
     copies: int
-    last: int | None
-    extra: tuple[int, ...] = ()
+    runs: tuple[tuple[int | None, int, int], ...] = ()
+    extra: int | None = None
+
+
+RUNS = "array<struct<after: bigint, upto: bigint, most: bigint>>"
+
+
+@dataclass
+class Search:
+    """Where the selection of a pattern stands: `rest` words are missing; hashes above `after` with at most `most` words are open, of which those with the prefix of `level` bits come next."""
+
+    copies: int
+    rest: int
+    most: int
+    after: int | None = None
+    level: int = 0
+    prefix: int = 0
+    last: int | None = None
+    runs: tuple[tuple[int | None, int, int], ...] = ()
+
+
+def chosen(runs: str, total: str = "total") -> Column:
+    """Whether a run takes a row with columns hash and total."""
+    return F.exists(runs, lambda r: (r["after"].isNull() | (F.col("hash") > r["after"])) & (F.col("hash") <= r["upto"]) & (F.col(total) <= r["most"]))
 
 
 def choose(sized: DataFrame, patterns: dict[str, int], take: dict[str, int]) -> list[Cut]:
-    """Cuts that take each pattern's words, by descending through the hash's bits: each step sums sizes by STEP bits for patterns not settled.
+    """Cuts that take each pattern's words from its documents in the order of their hashes, each that still fits.
 
-    sized: columns pattern, size, hash. Words still missing when the next document no longer fits are met by the later
-    document whose size comes nearest to them, if it brings the total nearer, up to PATCHES times. Documents of one
-    hash value go together.
+    sized: columns pattern, size, hash, and total, the words of all documents of a hash, which go together. A step sums
+    sizes by STEP more bits of the hash, down to the first one that does not fit. That one is passed over, and the
+    descent is repeated over the later ones that are no longer than what is missing, until none is left: what is
+    missing then is less than any document that was not taken. The least of those is added if that brings the total
+    nearer.
     """
     spark = sized.sparkSession
-    cuts: list[Cut] = []
-    missing: list[tuple[str, int, int | None]] = []
-    open_: dict[str, tuple[int, int, int]] = {}
+    done: dict[str, Search] = {}
+    open_: dict[str, Search] = {}
     for p, words in patterns.items():
         copies, rest = divmod(take[p], words) if words else (0, 0)
-        if rest:
-            open_[p] = (copies, rest, 0)
-        else:
-            cuts.append(Cut(p, copies, None))
-    for level in range(0, 64, STEP):
-        if not open_:
-            break
-        state = spark.createDataFrame([(p, prefix) for p, (_, _, prefix) in open_.items()], "pattern string, prefix long")
-        inside = sized.join(F.broadcast(state), "pattern")  # at most MOST_PATTERNS rows
-        if level:
-            inside = inside.where(F.shiftright("hash", 64 - level) == F.col("prefix"))
-        sums = inside.groupBy("pattern", F.shiftright("hash", 64 - level - STEP).alias("prefix")).agg(F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
-        by: dict[str, list] = {}
-        for r in sums.where("size > 0").collect():
-            by.setdefault(r["pattern"], []).append(r)
+        (open_ if rest else done)[p] = Search(copies, rest, rest)
+    while open_:
+        state = spark.createDataFrame([(p, s.most, s.after, s.level, s.prefix) for p, s in open_.items()], "pattern string, most long, after long, level int, prefix long")
+        inside = sized.where("size > 0").join(F.broadcast(state), "pattern").where("total <= most AND (after IS NULL OR hash > after) AND (level = 0 OR shiftright(hash, 64 - level) = prefix)")  # at most MOST_PATTERNS rows
+        sums = inside.groupBy("pattern", F.expr(f"shiftright(hash, {64 - STEP} - level)").alias("prefix")).agg(F.sum("size").alias("size"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+        by: dict[str, list] = {p: [] for p in open_}
+        for r in sums.collect():
+            by[r["pattern"]].append(r)
         for p, rows in by.items():
-            copies, rest, _ = open_[p]
-            last = None
+            s = open_[p]
+            over = None
             for r in sorted(rows, key=lambda r: r["prefix"]):
-                if r["size"] <= rest:
-                    rest -= r["size"]
-                    last = r["high"]
-                    continue
-                if rest and r["low"] != r["high"]:
-                    open_[p] = (copies, rest, r["prefix"])
+                if r["size"] > s.rest:
+                    over = r
                     break
-                last = last if last is not None else r["low"] - 1 if r["low"] > -(1 << 63) else None
-                cuts.append(Cut(p, copies, last))
-                if rest:
-                    missing.append((p, rest, last))
-                del open_[p]
-                break
+                s.rest -= r["size"]
+                s.last = r["high"]
+            if over and s.rest and over["low"] != over["high"]:
+                s.level, s.prefix = s.level + STEP, over["prefix"]
+                continue
+            if s.last is not None:
+                s.runs += ((s.after, s.last, s.most),)
+            if over and s.rest:
+                s.most, s.after, s.level, s.last = s.rest, over["low"], 0, None
             else:
-                cuts.append(Cut(p, copies, last))
-                del open_[p]
-    extra: dict[str, list[int]] = {p: [] for p, _, _ in missing}
-    for _ in range(PATCHES):
-        if not missing:
-            break
-        state = spark.createDataFrame([(p, rest, last, extra[p]) for p, rest, last in missing], "pattern string, rest long, last long, extra array<bigint>")
-        later = sized.where("size > 0").join(F.broadcast(state), "pattern").where("(last IS NULL OR hash > last) AND NOT array_contains(extra, hash)")  # at most MOST_PATTERNS rows
-        one = later.groupBy("pattern", "hash").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).where("abs(size - rest) < abs(rest)")
-        best = {r["pattern"]: r["best"] for r in one.groupBy("pattern").agg(F.expr("min_by(struct(hash, size), struct(abs(size - rest), hash)) AS best")).collect()}
-        for p, b in best.items():
-            extra[p].append(b["hash"])
-        missing = [(p, rest - best[p]["size"], last) for p, rest, last in missing if p in best and rest > best[p]["size"]]
-    cuts = [Cut(c.pattern, c.copies, c.last, tuple(extra.get(c.pattern, ()))) for c in cuts]
-    return cuts
+                done[p] = open_.pop(p)
+    extra: dict[str, int] = {}
+    short = [(p, s.rest, s.runs) for p, s in done.items() if s.rest]
+    if short:
+        state = spark.createDataFrame(short, f"pattern string, rest long, runs {RUNS}")
+        near = sized.where("size > 0").join(F.broadcast(state), "pattern").where("total < 2 * rest").where(~chosen("runs"))  # at most MOST_PATTERNS rows
+        extra = {r["pattern"]: r["hash"] for r in near.groupBy("pattern").agg(F.expr("min_by(hash, struct(total, hash)) AS hash")).collect()}
+    return [Cut(p, s.copies, s.runs, extra.get(p)) for p, s in done.items()]
 
 
 @dataclass
@@ -199,6 +208,8 @@ class Plan:
     sizes: dict[str | None, int]
     targets: dict[str | None, float]
     cuts: list[Cut]
+    #: pattern, hash and total of hashes with several rows; null where there are none
+    shared: DataFrame | None = None
 
 
 def pattern_of(sources: Column) -> Column:
@@ -227,25 +238,34 @@ def plan_mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str =
             sizes[s] = sizes.get(s, 0) + n
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     wanted = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share * sum(patterns.values()), most)
-    return Plan(sizes, wanted, choose(sized, patterns, route(patterns, wanted, most))), sized
+    shared = written(sized.groupBy("pattern", "hash").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    shared = None if shared.isEmpty() else shared
+    return Plan(sizes, wanted, choose(with_totals(sized, shared), patterns, route(patterns, wanted, most)), shared), sized
+
+
+def with_totals(sized: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """sized with total: the words of all rows of a hash."""
+    if shared is None:
+        return sized.withColumn("total", F.col("size"))
+    return sized.join(shared, ["pattern", "hash"], "left").withColumn("total", F.coalesce("total", "size"))
 
 
 def cut_table(spark: SparkSession, plan: Plan) -> DataFrame:
-    return spark.createDataFrame([(c.pattern, c.copies, c.last, list(c.extra)) for c in plan.cuts], "pattern string, copies int, last long, extra array<bigint>")
+    return spark.createDataFrame([(c.pattern, c.copies, c.runs, c.extra) for c in plan.cuts], f"pattern string, copies int, runs {RUNS}, extra long")
 
 
-def copies_of(pattern_hash: DataFrame, plan: Plan) -> DataFrame:
-    """pattern_hash (columns pattern and hash) with n_copies."""
-    table = F.broadcast(cut_table(pattern_hash.sparkSession, plan))  # at most MOST_PATTERNS rows
-    more = (F.coalesce(F.col("hash") <= F.col("last"), F.lit(False)) | F.coalesce(F.array_contains("extra", F.col("hash")), F.lit(False))).cast("int")
-    return pattern_hash.join(table, "pattern", "left").withColumn("n_copies", F.coalesce(F.col("copies") + more, F.lit(0))).drop("copies", "last", "extra")
+def copies_of(sized: DataFrame, plan: Plan) -> DataFrame:
+    """sized (columns pattern, size and hash) with n_copies."""
+    table = F.broadcast(cut_table(sized.sparkSession, plan))  # at most MOST_PATTERNS rows
+    more = (F.coalesce(chosen("runs"), F.lit(False)) | F.coalesce(F.col("hash") == F.col("extra"), F.lit(False))).cast("int")
+    return with_totals(sized, plan.shared).join(table, "pattern", "left").withColumn("n_copies", F.coalesce(F.col("copies") + more, F.lit(0))).drop("copies", "runs", "extra", "total")
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with its columns, each row as often as the mix takes it."""
     plan, _ = plan_mix(docs, F.array(source), key, text)
     names = docs.columns
-    held = docs.select(F.struct(*names).alias("row"), pattern_of(F.array(source)).alias("pattern"), seeded(F.col(key), SEED).alias("hash"))
+    held = docs.select(F.struct(*names).alias("row"), pattern_of(F.array(source)).alias("pattern"), word_count(F.col(text)).alias("size"), seeded(F.col(key), SEED).alias("hash"))
     return copies_of(held, plan).select(F.explode(F.array_repeat("row", F.col("n_copies"))).alias("row")).select(*(F.col("row")[n].alias(n) for n in names))
 
 

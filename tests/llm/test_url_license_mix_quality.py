@@ -101,6 +101,40 @@ def test_mix_comes_near_its_targets(spark):
     assert M.mix(df.limit(0)).count() == 0
 
 
+def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
+    """One very long document anywhere in the hash order: the rest of the quota is filled from those after it. Against the same rule one by one."""
+    rng = np.random.default_rng(3)
+    data = []
+    for place in range(0, 100, 10):
+        sizes = rng.integers(50, 600, 2000).tolist()
+        sizes.insert(20 * place, 400_000)
+        hashes = np.sort(rng.integers(-(1 << 63), (1 << 63) - 1, len(sizes))).tolist()
+        data += [(f'["s{place}"]', n, h, n) for n, h in zip(sizes, hashes)]
+    sized = spark.createDataFrame(data, "pattern string, size long, hash long, total long")
+    by = {}
+    for p, n, h, _ in data:
+        by.setdefault(p, []).append((h, n))
+    words = {p: sum(n for _, n in d) for p, d in by.items()}
+    take = {p: n // 2 for p, n in words.items()}
+    cuts = M.choose(sized, words, take)
+    assert sorted(c.pattern for c in cuts) == sorted(words)
+    got = {}
+    for r in M.copies_of(sized.drop("total"), M.Plan({}, {}, cuts)).where("n_copies > 0").collect():
+        got.setdefault(r["pattern"], set()).add(r["hash"])
+    for p, d in by.items():
+        rest, want = take[p], set()
+        for h, n in sorted(d):
+            if n <= rest:
+                rest -= n
+                want.add(h)
+        least = min((n, h) for h, n in d if h not in want)
+        if least[0] < 2 * rest:
+            want.add(least[1])
+            rest -= least[0]
+        assert got[p] == want
+        assert abs(rest) < 600
+
+
 def test_quality_learns_and_scores_whole_texts(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in Q.score(docs, Q.train(docs, labels)).collect()}
