@@ -30,6 +30,9 @@ def vendor_key(d: Dialect, x: str) -> str:
 
 def without_legal_form(d: Dialect, key: str) -> str:
     """A vendor key without legal forms at its end, and then without a last & or `and`; one word always stays."""
+    if d.spark:  # Java's matcher recurses once a word from the start, so a long text needs the form that begins at its tail; a key begins with a word, which stays
+        tail = "(?: (?:{}))+$"
+        return d.replace_all(d.replace_all(key, tail.format("|".join(LEGAL_FORMS)), ""), tail.format("&|and"), "")
     shape = "^([^ ]+(?: [^ ]+)*?)(?: (?:{}))+$"
     once = d.replace_all(key, shape.format("|".join(LEGAL_FORMS)), d.group(1))
     return d.replace_all(once, shape.format("&|and"), d.group(1))

@@ -123,7 +123,7 @@ NODES_BY_NAME: dict[str, Node] = {
     # the flagship: findings by vendor-blocked match
     "flagship": select("SELECT finding_id, tier, strength, more_specific, reason, result, n_also, cves, n_cves, kev, epss, cvss, severity, fix_available, round(score, 6) AS score, priority FROM «a»", FINDINGS),
     # normalization (N)
-    "n1_n2_vendor_keys": Node(L.vendor_keys, select("SELECT vendor_raw AS name FROM «a» UNION ALL SELECT s_name FROM «b» UNION ALL SELECT substring(text, 1, 60) FROM «c» WHERE text IS NOT NULL", PRODUCT, "supplier", "documents")),
+    "n1_n2_vendor_keys": Node(L.vendor_keys, select("SELECT vendor_raw AS name FROM «a» UNION ALL SELECT s_name FROM «b» UNION ALL SELECT text FROM «c» WHERE text IS NOT NULL", PRODUCT, "supplier", "documents")),
     "n3_vendor_lookup": VENDORS,
     "n5_product_key": scalar(X.product_key, "p_name", "part"),
     "n6_compact_key": scalar(lambda d, c: X.compact_key(X.product_key(d, c)), "p_name", "part"),

@@ -49,18 +49,18 @@ def ot_flow(d: Dialect) -> str:
 
 @operator("part")
 def ot_product(d: Dialect) -> str:
-    """A node for one part in five, so that a vendor's nodes meet its assets without flooding the check."""
+    """A node for each part."""
     return f"""SELECT 'feed' AS source, 'ADV-' || CAST(p_partkey % 199 AS string) AS advisory_id, 'P' || CAST(p_partkey AS string) AS product_id, {pick(d, VENDOR_SPELLINGS, 'p_partkey')} AS vendor_raw, {pick(d, NODE_PRODUCTS, 'p_size')} AS name, {pick(d, NODE_PRODUCTS, 'p_size')} AS product_raw, CASE WHEN p_size % 10 = 0 THEN 'SIMATIC S7-1200' ELSE '' END AS family_raw,
-  CASE WHEN p_partkey % 13 = 0 THEN {pick(d, ORDER_CODES, 'p_partkey')} ELSE '' END AS catalog_number, CASE WHEN p_partkey % 17 = 0 THEN 'cpe:2.3:h:siemens:6es72141ag400xb0' ELSE '' END AS cpe, {pick(d, RANGE_SPELLINGS, 'p_partkey + p_size')} AS version_raw FROM «part» WHERE p_partkey % 5 = 0"""
+  CASE WHEN p_partkey % 13 = 0 THEN {pick(d, ORDER_CODES, 'p_partkey')} ELSE '' END AS catalog_number, CASE WHEN p_partkey % 17 = 0 THEN 'cpe:2.3:h:siemens:6es72141ag400xb0' ELSE '' END AS cpe, {pick(d, RANGE_SPELLINGS, 'p_partkey + p_size')} AS version_raw FROM «part»"""
 
 
 @operator("lineitem")
 def ot_vuln(d: Dialect) -> str:
-    """A vulnerability for one line item in twenty."""
+    """A vulnerability for each line item."""
     return f"""SELECT 'feed' AS source, 'ADV-' || CAST(l_orderkey % 211 AS string) AS advisory_id, CASE WHEN l_linenumber % 7 <> 6 THEN 'CVE-2020-' || lpad(CAST(l_orderkey % 5000 AS string), 5, '0') END AS cve,
   CASE WHEN l_linenumber % 3 = 0 THEN {d.array("'P' || CAST(l_partkey AS string)", "'P' || CAST(l_partkey - l_partkey % 5 AS string)")} ELSE {d.keep(d.array("''"), 'x', 'false')} END AS affected,
   CASE WHEN l_linenumber % 2 = 0 THEN '3.1' ELSE '2.0' END AS cvss_version, round(l_discount * 100, 1) AS base_score, CASE WHEN l_discount >= 0.09 THEN 'critical' WHEN l_discount >= 0.07 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium' ELSE 'low' END AS severity, l_returnflag = 'A' AS has_fix
-FROM «lineitem» WHERE l_orderkey % 20 = 0"""
+FROM «lineitem»"""
 
 
 @operator("events")

@@ -143,3 +143,33 @@ assert 'flagship' in e.queries() and not any(q.startswith('op') for q in e.queri
 assert set(e.oracle_sql()) <= set(e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_views_and_keys_are_whole(spark, tmp_path):
+    """A node for each part and a vulnerability for each line item; vendor keys of entire texts, long ones too."""
+    from fenwatch.functions.text import LEGAL_FORMS
+    from fenwatch.plans import registry as R
+
+    sf = str(tmp_path)
+    parts = [(k, k % 7) for k in range(1, 41)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{sf}/part.parquet")
+    lines = [(k, k % 8, k % 40 + 1, k % 10 / 100, "A" if k % 2 else "R") for k in range(1, 101)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_discount double, l_returnflag string").write.parquet(f"{sf}/lineitem.parquet")
+    spark.createDataFrame([(1, "Supplier 1")], "s_suppkey long, s_name string").write.parquet(f"{sf}/supplier.parquet")
+    texts = ["word " * 20_000 + "tail Co. KG", "x" * 70 + " Siemens & Co. Ltd.", "Inc inc", "the A and B and", None]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{sf}/documents.parquet")
+    assert {r["product_id"] for r in R.PRODUCT.spark(spark, sf).collect()} == {f"P{k}" for k, _ in parts}
+    got = sorted((r["advisory_id"], r["cve"] or "", r["base_score"]) for r in R.VULN.spark(spark, sf).collect())
+    assert got == sorted((f"ADV-{k % 211}", "" if n % 7 == 6 else f"CVE-2020-{k % 5000:05}", round(x * 100, 1)) for k, n, _, x, _ in lines)
+    keys = {r["name"]: (r["key"], r["bare"]) for r in R.queries()["n1_n2_vendor_keys"](spark, sf).collect()}
+
+    def bare(key):
+        words = key.split()
+        for ends in (LEGAL_FORMS, ["&", "and"]):
+            while len(words) > 1 and words[-1] in ends:
+                words.pop()
+        return " ".join(words)
+
+    for t in texts[:-1]:
+        key = " ".join(t.lower().replace(".", " ").split())
+        assert keys[t] == (key, bare(key))
