@@ -143,30 +143,67 @@ def link_groups(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[
         base = int(starts[g])
         rest = np.arange(base, int(starts[g + 1]))
         while len(rest) > 1:
-            queue, rest, root = [int(rest[0])], rest[1:], int(rest[0])
+            queue, rest = [int(rest[0])], rest[1:]
             while queue and len(rest):
                 x = queue.pop()
                 near = np.bitwise_count(signs[rest] ^ signs[x]).sum(1) <= most
                 if near.any():
                     found = rest[near]
-                    left.append(np.full(len(found), root))
+                    left.append(np.full(len(found), x))
                     right.append(found)
                     queue += found.tolist()
                     rest = rest[~near]
     return left, right
 
 
-def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS) -> DataFrame:
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of edges, of the given ones, that form a forest with the same components."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = x = up[p]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = find(x), find(y)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append(k)
+    return out
+
+
+def links_across(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All pairs of rows of a group that differ in `most` bits or fewer and lie on different sides."""
+    left, right = [], []
+    for g in np.flatnonzero(np.diff(starts) > 1).tolist():
+        start, end = int(starts[g]), int(starts[g + 1])
+        for k in range(start, end - 1):
+            found = k + 1 + np.flatnonzero((sides[k + 1 : end] != sides[k]) & (np.bitwise_count(signs[k + 1 : end] ^ signs[k]).sum(1) <= most))
+            if len(found):
+                left.append(np.full(len(found), k))
+                right.append(found)
+    return left, right
+
+
+def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None, side: str | None = None) -> DataFrame:
     """Edges (a, b) of ids that connect what is linked.
 
     prints: a row per different fingerprint, with a long id, the 46-bit `words` whose anchors it goes to, and the
     64-bit `signs`; two are linked if their signs differ in most_bits bits or fewer and they meet at an anchor.
+    With bands, a column of further anchors (longs beyond those of words), every edge is a pair that is linked itself.
+    With side, a long column, edges are all linked pairs of different sides.
     """
-    columns = list(dict.fromkeys(["id", *words, *signs]))
+    columns = list(dict.fromkeys(["id", *words, *signs, *([bands] if bands else []), *([side] if side else [])]))
     spark = prints.sparkSession
-    schema = T.StructType().add("anchor", T.IntegerType()).add("id", "long")
+    schema = T.StructType().add("anchor", T.LongType() if bands else T.IntegerType()).add("id", "long")
     for s in signs:
         schema = schema.add(f"sign_{s}", "long")
+    carried = ["id", *signs]
+    if side:
+        schema = schema.add("side", "long")
+        carried.append(side)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +213,14 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
                     at, anchor = anchors(part.column(w).to_numpy() & (1 << 2 * BLOCK) - 1, threshold)
                     order = np.argsort(anchor)  # a document's copies lie apart, so that their size in a shuffle is the same for any number of partitions
                     at, anchor = at[order], anchor[order]
-                    take = [part.column(x).to_numpy()[at] for x in ["id", *signs]]
-                    yield pa.RecordBatch.from_arrays([pa.array((anchor | n << 2 * CODEWORD_BITS).astype(np.int32)), *map(pa.array, take)], schema.names)
+                    take = [part.column(x).to_numpy()[at] for x in carried]
+                    yield pa.RecordBatch.from_arrays([pa.array((anchor | n << 2 * CODEWORD_BITS).astype(np.int64 if bands else np.int32)), *map(pa.array, take)], schema.names)
+                if bands:
+                    held = part.column(bands)
+                    at = np.repeat(np.arange(part.num_rows), np.diff(held.offsets.to_numpy()))
+                    anchor = held.flatten().to_numpy()
+                    order = np.argsort(anchor)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[order]), *(pa.array(part.column(x).to_numpy()[at[order]]) for x in carried)], schema.names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -199,8 +242,18 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             starts = np.concatenate([[0], cuts[cuts < end], [end]])
             ids = held.column("id").to_numpy()
             sign = np.stack([held.column(f"sign_{s}").to_numpy() for s in signs], axis=1).view(np.uint64)
-            a, b = link_groups(starts, sign, most_bits)
-            if a:
+            a, b = links_across(starts, sign, held.column("side").to_numpy(), most_bits) if side else link_groups(starts, sign, most_bits)
+            if a and bands:
+                x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                if side:
+                    x, y = np.unique(np.stack([x, y]), axis=1)
+                else:
+                    some = spanning(x, y)
+                    x, y = x[some], y[some]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            elif a:
                 x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)])
                 if x:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
@@ -252,47 +305,108 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key:
     return with_components(named, ["fingerprint"], edges)
 
 
-#: A near copy's five-word shingles: SimHash estimates the cosine of two texts' shingle counts as cos(pi * d / SIGN_BITS)
-#: where their signs differ in d bits; it is 0.8 or more up to 26 of 128.
-NEAR_WIDTH, SIGN_BITS, MOST_SIGN_BITS = 5, 128, 26
+#: Near copies share this part of all their different five-word shingles (Jaccard similarity), which is computed for every link.
+NEAR_WIDTH, NEAR_SHARE = 5, 0.8
+#: Candidates' signs, of SIGN_BITS bits, may differ in so many: at a similarity of 0.8 they differ in 19.4 with a deviation of 4.1.
+SIGN_BITS, MOST_SIGN_BITS = 128, 36
+#: Bands of the shingles' minima under random permutations: at a similarity of 0.8 one of them at least is equal with a probability of 0.9998, wherever the edits lie.
+BANDS, BAND_ROWS = 12, 3
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's different five-word shingles."""
+    h = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([h(p) for p in set(shingles((text or "").encode().lower(), NEAR_WIDTH))], np.uint64))
 
 
-def near_prints(text: str | None) -> tuple[int, int, int, int]:
-    """Two 46-bit words, from the SimHash of a text's different words, and two 64-bit signs, from that of its five-word shingles.
+def near_prints(text: str | None) -> tuple[tuple[int, int, int, int, int], list[int]]:
+    """Two 46-bit words, from the SimHash of a text's different words, two 64-bit signs, from that of its different five-word shingles, the digest of the set of these; and bands of the set's minima.
 
-    The words are only for meeting: an edit changes five shingles but one word, so near copies' words differ in far
-    fewer bits than their signs. The signs decide. All are zero without words.
+    Words and bands are only for meeting: an edit changes five shingles but one word, so scattered edits leave the words
+    alike, and edits of one passage leave bands alike. All are zero without words.
     """
     raw = (text or "").encode().lower()
-    parts = shingles(raw, NEAR_WIDTH)
+    parts = set(shingles(raw, NEAR_WIDTH))
     if not parts:
-        return 0, 0, 0, 0
+        return (0, 0, 0, 0, 0), []
     h = xxhash.xxh3_128_digest
     known = set(raw.split())
     word = majority(np.frombuffer(b"".join([h(w, SEED) for w in known]), np.uint8).reshape(-1, 16), len(known)).tobytes()
-    sign = majority(np.frombuffer(b"".join([h(p) for p in parts]), np.uint8).reshape(-1, 16), len(parts)).tobytes()
+    hashes = np.frombuffer(b"".join([h(p) for p in parts]), np.uint8).reshape(-1, 16)
+    sign = majority(hashes, len(parts)).tobytes()
+    values = np.sort(hashes[:, :8].copy().view(np.uint64)[:, 0])
+    least = np.array([(values * m).min() for m in _MIXERS]).reshape(BANDS, BAND_ROWS)
+    bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) >> 2 | 1 << 62 for k, row in enumerate(least)]
     n = 64 - 2 * BLOCK
-    return int.from_bytes(word[:8], "big") >> n, int.from_bytes(word[8:], "big") >> n, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big")
+    return (int.from_bytes(word[:8], "big") >> n, int.from_bytes(word[8:], "big") >> n, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big"), xxhash.xxh3_64_intdigest(values.tobytes())), bands
+
+
+def near_pairs(rows: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
+    """Pairs (a, b) of ids whose texts' five-word shingles have a Jaccard similarity of `share` or more. rows: doc_id and text."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both > 0 and both >= share * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    held = written(rows.join(ids, "doc_id", "left_semi").mapInArrow(tidied(sets), "doc_id long, shingles binary"), "shingles")
+    to = lambda c, v: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(v)).hint("merge")
+    return pairs.join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(decide), "a long, b long").distinct()
+
+
+def near_links(rows: DataFrame, classes: DataFrame, threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
+    """Links (a, b) that connect what pairs of candidates with `share` of their shingles connect.
+
+    Candidates meet at an anchor or a band and have similar signs. First only a forest of them is decided. Where it
+    holds, nothing is left to decide; in the groups of candidates where a pair of it does not, all pairs are decided
+    that lie across what is connected by then.
+    """
+    words, signs = ["w0", "w1"], ["s0", "s1"]
+    pairs = written(links(classes, words, signs, threshold, most_bits, bands="bands").where("a <> b").distinct(), "pairs")
+    good = written(near_pairs(rows, pairs, share), "near-pairs")
+    failed = pairs.join(good, ["a", "b"], "left_anti")
+    if failed.isEmpty():
+        return good
+    groups = written(components(pairs), "groups")
+    open_ = failed.join(groups, failed["a"] == groups["node"]).select("root").distinct()
+    sides = components(good).select(F.col("node").alias("id"), F.col("root").alias("side"))
+    inside = groups.join(open_, "root", "left_semi").select(F.col("node").alias("id"))
+    again = written(classes.join(inside, "id", "left_semi").join(sides, "id", "left").withColumn("side", F.coalesce("side", "id")), "undecided")
+    across = written(links(again, words, signs, threshold, most_bits, bands="bands", side="side").where("a <> b").distinct().join(failed, ["a", "b"], "left_anti"), "across")
+    return good.unionByName(near_pairs(rows, across, share))
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 2, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with its columns, with one document of each group of near copies: that of the least id.
 
-    Ids are longs. Documents link if their signs differ in most_bits bits or fewer and one of their two words meets at
-    an anchor; groups are what links connect. Texts without words are copies of each other. Rows with a null id are
-    all kept; rows that share an id are one document, of which one row is kept. An empty table stays empty.
+    Ids are longs. Documents link if their different five-word shingles have a Jaccard similarity of NEAR_SHARE or
+    more and they are candidates: their signs differ in most_bits bits or fewer, and one of their two words meets at an
+    anchor or one of their bands is equal; groups are what links connect. Texts without words are copies of each
+    other. Rows with a null id are all kept; rows that share an id are one document, of which one row is kept. An empty
+    table stays empty.
     """
-    names = ["w0", "w1", "s0", "s1"]
+    names = ["w0", "w1", "s0", "s1", "digest"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([near_prints(t) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(4))], names=["doc_id", *names])
+            made = [near_prints(t) for t in batch.column("text").to_pylist()]
+            prints = np.array([m[0] for m in made], np.uint64).reshape(-1, 5).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(5)), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", *names, "bands"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    marked = rows.mapInArrow(tidied(mark), "doc_id long, w0 long, w1 long, s0 long, s1 long")
-    classes = written(marked.groupBy(*names).agg(F.min("doc_id").alias("id")), "classes")
-    roots = written(components(links(classes, ["w0", "w1"], ["s0", "s1"], threshold, most_bits)), "roots")
+    marked = rows.mapInArrow(tidied(mark), "doc_id long, w0 long, w1 long, s0 long, s1 long, digest long, bands array<long>")
+    classes = written(marked.groupBy(*names, "bands").agg(F.min("doc_id").alias("id")), "classes")
+    roots = written(components(near_links(rows, classes, threshold, most_bits)), "roots")
     least = roots.groupBy("root").agg(F.min("node").alias("kept"))
     gone = roots.join(least, "root").where("node <> kept").select(F.col("node").alias("id"))
     kept = written(classes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("kept_id")).distinct(), "kept")

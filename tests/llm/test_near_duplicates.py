@@ -106,6 +106,30 @@ def test_near_copies_go(spark):
     assert S.drop_near_copies(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["scattered", "passage", "appended", "truncated"])
+def test_near_copies_by_kind_of_edit(spark, kind):
+    """Copies at a similarity of 0.8 or more go, whatever the edit; documents below it stay. Against brute force over all pairs."""
+    rng = np.random.default_rng(5)
+    new = lambda n: ["".join(c) for c in rng.choice(list("abcdefghij"), (n, 7))]
+    texts = {}
+    for k in range(150):
+        w, share = new(300), rng.uniform(0.65, 0.9)
+        m = int(300 * (1 - share) / (1 + share))
+        at = int(rng.integers(0, 300 - m))
+        v = list(w)
+        if kind == "scattered":
+            for j in rng.choice(300, m // 5, replace=False):
+                v[j] = new(1)[0]
+        texts[k] = w
+        texts[1000 + k] = {"scattered": v, "passage": w[:at] + new(m) + w[at + m :], "appended": w + new(int(300 / share) - 300), "truncated": w[: int(300 * share)]}[kind]
+    df = spark.createDataFrame([(k, " ".join(t), 1, "r", 1) for k, t in texts.items()], DOCS)
+    sets = {k: set(zip(*(t[i:] for i in range(5)), strict=False)) for k, t in texts.items()}
+    near = {k for k in range(150) if len(sets[k] & sets[1000 + k]) >= 0.8 * len(sets[k] | sets[1000 + k])}
+    assert 30 < len(near) < 120
+    gone = set(texts) - {r["doc_id"] for r in S.drop_near_copies(df).collect()}
+    assert gone == {1000 + k for k in near}
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, x int, cell string"
 
 
