@@ -272,5 +272,6 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed by source."""
     plan, sized = plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.array("source"))
-    facts = spark.createDataFrame([(json.dumps([s], ensure_ascii=False, separators=(",", ":")), n, plan.targets[s]) for s, n in plan.sizes.items()], "pattern string, source_size long, target double")
-    return copies_of(sized, plan).join(F.broadcast(facts), "pattern").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))
+    # keyed by the patterns as Spark wrote them: encoders differ in the escapes of control characters
+    facts = spark.createDataFrame([(c.pattern, plan.sizes[s], plan.targets[s]) for c in plan.cuts for s in json.loads(c.pattern)], "pattern string, source_size long, target double")
+    return copies_of(sized, plan).join(F.broadcast(facts), "pattern", "left").select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n_copies")).alias("taken"))

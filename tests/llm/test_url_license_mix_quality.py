@@ -135,6 +135,13 @@ def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
         assert abs(rest) < 600
 
 
+def test_mix_keeps_sources_with_control_characters(spark, tmp_path):
+    data = [(k, "a b c", ["plain", "\x0b", "\x1f", 'q"\\'][k % 4], "p", "r") for k in range(40)]
+    spark.createDataFrame(data, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(M.op8_mixing(spark, str(tmp_path)))
+    assert len(got) == 40 and all(r["source_size"] == 30 and r["target"] is not None for r in got)
+
+
 def test_quality_learns_and_scores_whole_texts(spark, sf):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r["doc_id"]: r for r in Q.score(docs, Q.train(docs, labels)).collect()}
