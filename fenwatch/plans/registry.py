@@ -167,7 +167,7 @@ NODES_BY_NAME: dict[str, Node] = {
     "a19_upsert": Node(C.upsert_advisories, select("SELECT DISTINCT source, advisory_id, 'old' AS title FROM «a» WHERE place % 3 <> 0", ADVISORY), select("SELECT DISTINCT source, advisory_id, 'new' AS title FROM «a» WHERE place % 3 = 0", ADVISORY)),
     "a16_ingest_stats": select("SELECT source, count(*) AS records, count(DISTINCT asset_id) AS assets, count(vendor_raw) AS named, min(seen) AS first_seen, max(seen) AS last_seen FROM «a» GROUP BY source", OBSERVATION),
     "a20_vex_products": Node(R.vex_products, FINDINGS),
-    "a22_a23_vex_threats": Node(R.vex_threats, FINDINGS),
+    "a23_vex_threats": Node(R.vex_threats, FINDINGS),
     "a21_vex_groups": Node(C.vex_groups, FINDINGS),
     "a26_new_fields": Node(N.new_field_observations, select("SELECT 's' || CAST(l_suppkey AS string) AS asset_id, l_linenumber AS port, l_returnflag AS field, l_shipmode_ AS value, place FROM (SELECT *, l_linestatus AS l_shipmode_, l_orderkey * 10 + l_linenumber AS place FROM «a») x", "lineitem")),
     # filters, orders, sets (F, W, U)
