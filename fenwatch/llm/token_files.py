@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,22 @@ SEQ_LEN = 2048
 BATCH = 512
 #: A worker keeps the ids of so many text pieces before it starts anew.
 KEPT_PIECES = 700_000
-#: Piece texts that are encoded by one call of the tokenizer.
-JOINED = 4096
+
+
+#: The pre-tokenizer's contractions, and characters whose classes are alike in all Unicode versions: visible ASCII, and Latin letters.
+CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+
+
+class Pieces(dict):
+    """Ids of text pieces, as little-endian bytes, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.make(piece)
+        return ids
 
 
 class Encoder:
@@ -34,8 +49,8 @@ class Encoder:
 
     A byte-level pre-token holds a space or line feed only in front, so a text may be cut before every space or line
     feed that follows a character other than white space without changing its ids. Pieces repeat far more often than
-    texts, so most need no encoding; new ones are encoded many at a time and told apart by the tokens that start with
-    a space or line feed. Texts with white space of other kinds, or in a row, are cut with more care.
+    texts, so most need no encoding. New pieces of plain characters are cut into pre-tokens here and go to the
+    tokenizer's model alone; all others, and texts with white space of other kinds or in a row, go to the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,65 +60,64 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         with open(path) as f:
-            pre = json.load(f)["pre_tokenizer"]
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"]
         if pre["type"] != "ByteLevel" or pre["add_prefix_space"]:
             raise ValueError("the pieces of a text are only independent with a byte-level pre-tokenizer without prefix space")
         n = max(self.tok.get_vocab().values()) + 1
         self.dtype = np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
-        self.heads = {x: np.zeros(n, dtype=bool) for x in "ĠĊ"}
-        for token, i in self.tok.get_vocab().items():
-            if token[:1] in self.heads:
-                self.heads[token[0]][i] = True
         self.line_feed = self.ids("\n")
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(self.dtype.itemsize, "little") for i in range(n)]
+        self.spaced, self.bare, self.tokens = Pieces(partial(self._piece, " ")), Pieces(partial(self._piece, "")), Pieces(self._token)
+        self.tokenize = self.tok.model.tokenize
         self.cut = re.compile(r"(?<=\S)(?=[ \n])").split
+        self.plain = re.compile(f"[!-~{LETTERS}]+").fullmatch
+        self.pretokens = re.compile(f"{'|'.join(CONTRACTIONS)}| ?[{LETTERS}]+| ?[0-9]+| ?[^ 0-9{LETTERS}]+").findall
+        # a byte as the visible character that stands for it in the vocabulary
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        # strings that the tokenizer takes out before it cuts a text
+        self.added = [a["content"] for a in spec["added_tokens"]]
+        self.whole = spec["normalizer"] is not None or not pre.get("use_regex", True) or spec["model"]["type"] != "BPE"
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, pieces: list[str], before: str, head: str, into: dict[str, bytes], skip: int) -> None:
-        """ids of pieces that follow `before`; skip: bytes of the ids of `before` alone, which are left out."""
-        for k in range(0, len(pieces), JOINED):
-            part = pieces[k : k + JOINED]
-            ids = np.array(self.tok.encode(before + before.join(part), add_special_tokens=False).ids, dtype=self.dtype)
-            starts = np.flatnonzero(self.heads[head][ids])
-            if len(starts) != len(part):
-                into.update((p, self.ids(before + p)[skip:]) for p in part)
-                continue
-            raw, width = ids.tobytes(), self.dtype.itemsize
-            ends = [*(starts[1:] * width).tolist(), len(raw)]
-            into.update(zip(part, (raw[a + skip : b] for a, b in zip((starts * width).tolist(), ends, strict=True)), strict=True))
+    def _token(self, pre: str) -> bytes:
+        """Ids of a pre-token."""
+        shown = pre.replace(" ", self.shown[32]) if pre.isascii() and pre.isprintable() else pre.encode().decode("latin-1").translate(self.shown)
+        packed, found = self.packed, self.tokenize(shown)
+        return packed[found[0].id] if len(found) == 1 else b"".join([packed[t.id] for t in found])
+
+    def _piece(self, before: str, piece: str) -> bytes:
+        """Ids of a piece without white space, after a space or nothing."""
+        if self.whole:
+            return self.ids(before + piece)
+        if piece.isascii():
+            if piece.isalpha():
+                return self._token(before + piece)
+            if piece[:-1].isalpha():  # a word and a mark or digit, which are pre-tokens of their own
+                return (self.spaced if before else self.bare)[piece[:-1]] + self.tokens[piece[-1]]
+        elif not self.plain(piece):
+            return self.ids(before + piece)
+        return b"".join(map(self.tokens.__getitem__, self.pretokens(before + piece)))
 
     def encode(self, texts: list[str], kept: int = KEPT_PIECES) -> list[bytes]:
         """The ids of each text, as little-endian bytes."""
-        if len(self.spaced) + len(self.bare) > kept:
-            self.spaced, self.bare = {}, {}
-        plans: list[tuple[list[str], list[list[str]]] | None] = []
-        spaced: set[str] = set()
-        bare: set[str] = set()
+        if len(self.spaced) + len(self.bare) + len(self.tokens) > kept:
+            for pieces in (self.spaced, self.bare, self.tokens):
+                pieces.clear()
+        spaced, bare, out = self.spaced.__getitem__, self.bare.__getitem__, []
         for text in texts:
             lines = text.split("\n")
-            if "" in lines or not all(map(str.isprintable, lines)) or "  " in text or text[:1] == " " or text[-1:] == " " or " \n" in text or "\n " in text:
-                plans.append(None)
-                continue
-            parts = [x.split(" ") for x in lines]
-            plans.append((lines, parts))
-            for p in parts:
-                spaced.update(p[1:])
-                bare.add(p[0])
-        self._learn(sorted(spaced.difference(self.spaced)), " ", "Ġ", self.spaced, 0)
-        self._learn(sorted(bare.difference(self.bare)), "\n", "Ċ", self.bare, len(self.line_feed))
-        get, out = self.spaced.__getitem__, []
-        for text, plan in zip(texts, plans, strict=True):
-            if plan is None:
+            if any(a in text for a in self.added):
+                out.append(self.ids(text))
+            elif "" in lines or not all(map(str.isprintable, lines)) or "  " in text or text[:1] == " " or text[-1:] == " " or " \n" in text or "\n " in text:
                 out.append(b"".join(map(self.ids, self.cut(text))) if text else b"")
-                continue
-            made: list[bytes] = []
-            for p in plan[1]:
-                made += (self.line_feed, self.bare[p[0]])
-                made += map(get, p[1:])
-            out.append(b"".join(made[1:]))
+            else:
+                parts = [x.split(" ") for x in lines]
+                out.append(self.line_feed.join([bare(p[0]) + b"".join(map(spaced, p[1:])) for p in parts]))
         return out
 
 
