@@ -40,6 +40,16 @@ def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left with right (a row per key, of which left holds `n` rows, `total` in all) by key; no task holds a frequent key.
+
+    Keys with over a thousandth of the rows, fewer than a thousand, are broadcast; the others are joined as usual.
+    """
+    frequent = right.where(F.col(n) * 1000 > total).drop(n)
+    rare = right.where(F.col(n) * 1000 <= total).drop(n)
+    return left.join(F.broadcast(frequent), key).unionByName(left.join(F.broadcast(frequent.select(key)), key, "left_anti").join(rare, key))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenwatch.llm.components import components, forest
-from fenwatch.llm.common import tidied, written
+from fenwatch.llm.common import partitions_for, split_join, tidied, written
 
 SEED = 42
 #: Members of an anchor that one task compares; larger anchors are cut into parts of half as many.
@@ -263,7 +263,8 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
     large = some.mapInArrow(tidied(replicate), schema).groupBy("anchor").count().where(F.col("count") * SAMPLED > most_members // 2)
     large = written(large.select("anchor", F.ceil(F.col("count") * SAMPLED / (most_members // 4)).cast("int").alias("cuts")), "large-anchors")
     n_large = large.count()
-    copies = prints.select(*columns).mapInArrow(tidied(replicate), schema)
+    # each row becomes many, so the rows are dealt out anew, however few bytes they are
+    copies = prints.select(*columns).repartition(partitions_for(spark), "id").mapInArrow(tidied(replicate), schema)
     if n_large:
         # part of a member, and one copy for each part that it is to meet
         joined = copies.join(F.broadcast(large) if n_large <= 100_000 else large, "anchor", "left")
@@ -278,10 +279,16 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
 
 def with_components(docs: DataFrame, key_columns: list[str], edges: DataFrame) -> DataFrame:
     """docs (doc_id, id, ...) with component_id: the least doc_id reachable by edges between ids."""
-    roots = written(components(edges), "roots")
-    rooted = docs.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", *key_columns, "component_id")
+    roots = components(edges).select(F.col("node").alias("id"), "root")
+    ids = docs.groupBy("id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    rooted = written(ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_ids"), F.sum("n_rows").alias("n_docs"))
+    named = written(named, "components")
+    totals = named.agg(F.sum("n_ids"), F.sum("n_docs")).first()
+    if totals[0] is None:
+        return docs.select("doc_id", *key_columns, F.col("doc_id").alias("component_id"))
+    of_id = written(split_join(rooted.select("id", "n_rows", "root"), named.drop("n_docs"), "root", "n_ids", totals[0]).drop("root"), "ids")
+    return split_join(docs, of_id, "id", "n_rows", totals[1]).select("doc_id", *key_columns, "component_id")
 
 
 def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
