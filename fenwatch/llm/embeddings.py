@@ -7,7 +7,9 @@ region, and pairs are visited in the order of the sum of squares until the targe
 cosine lies D = 2 - 2 * threshold away (squared); if its direction is random, the square of its way along two given
 normals is D / dimensions times a chi-square of two degrees, so cells beyond -2 ln(1 - recall) D / dimensions hold it
 with less than the missing probability. A target of 1 visits all cells within D, and then no pair can be missed.
-Vectors that meet are verified by the cosine in double precision.
+The dimensions that count are those in which the vectors vary: the participation ratio of the covariance of the sample,
+or of what is left of it beside the centroids, whichever is less. Vectors that meet are verified by the cosine in double
+precision.
 
 Equal vectors of a label are one node with a count, so copies are never paired. A cell's members and its visitors are
 cut into parts of bounded size, and each part of the one meets each of the other in a task of its own.
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenwatch.llm.common import runs, written
+from fenwatch.llm.common import runs, split_join, written
 from fenwatch.llm.components import components
 
 THRESHOLD, SEED = 0.93, 5
@@ -33,6 +35,9 @@ SAMPLE = 16_384
 PART = 2048
 #: Of neighbours at the threshold cosine, the share that a traversal is to find from one side alone.
 RECALL = 0.98
+#: Lengths of vectors that have codebooks, the most frequent ones, and the different vectors that a length needs to have
+#: them; all vectors of another length are one cell, whose parts all meet.
+MOST_BOOKS, LEAST_VECTORS = 8, 64
 
 
 def codebook(sample: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -82,97 +87,133 @@ def traverse(one: np.ndarray, two: np.ndarray, bound: float) -> tuple[np.ndarray
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, i, j))
 
 
+def dimensions(x: np.ndarray) -> float:
+    """The participation ratio of the rows' covariance: how many independent directions of equal spread they have."""
+    c = np.cov(x, rowvar=False)
+    return float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300)) if c.ndim else 1.0
+
+
+class Grid:
+    """Codebooks of vectors of one length, and the bound of the traversal; without a sample, a single cell."""
+
+    def __init__(self, size: int, threshold: float, recall: float, sample: np.ndarray | None = None, total: int = 0) -> None:
+        self.size, self.half = size, size // 2
+        if sample is None or size < 2:
+            self.books = None
+            self.bound = self.width = 1
+            return
+        k = int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(total / 128))))))
+        self.books = [codebook(sample[:, : self.half], k), codebook(sample[:, self.half :], k)]
+        self.gaps = [gaps_of(c) for c in self.books]
+        self.width = len(self.books[1])
+        far = 2 - 2 * threshold
+        rest = np.hstack([h - c[lower_bounds(h, c, g)[0]] for h, c, g in zip(self.halves(sample), self.books, self.gaps, strict=True)])
+        count = max(1.0, min(dimensions(sample), dimensions(rest)))
+        self.bound = far if recall >= 1 else min(far, -2 * math.log(1 - recall) * far / count)
+
+    def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[:, : self.half], x[:, self.half :]
+
+    def placed(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells of unit vectors, and the lower bounds of both halves by centroid."""
+        if self.books is None:
+            return np.zeros(len(x), np.int64), np.zeros((len(x), 1)), np.zeros((len(x), 1))
+        (p, one), (q, two) = (lower_bounds(h, c, g) for h, c, g in zip(self.halves(x), self.books, self.gaps, strict=True))
+        return p * self.width + q, one, two
+
+
+def units(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    x = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(x.flatten(), dtype=np.float64).reshape(-1, size)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", label: str = "label", part: int = PART) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row, by links between rows of one label with a cosine of the threshold or more.
 
-    Ids are longs, vectors arrays of floats of one dimension (rows of another dimension than the most usual one link
-    with nothing, as do null and zero vectors, vectors with null or non-finite components, and null labels); their
-    component is their own id. Rows with a null id are left out of the components of others, but are counted as links;
-    their own component is the one of what they link to. Repeated rows are vectors of their own. Other columns are
-    ignored; an empty table gives no row. Links found from either side count for both.
+    Ids are longs, vectors arrays of floats; only vectors of one length have a cosine, so those of different lengths
+    never link. Null, empty and zero vectors, vectors with null or non-finite components, and null labels link with
+    nothing; their component is their own id. Rows with a null id are left out of the components of others, but are
+    counted as links; their own component is the one of what they link to. Repeated rows are vectors of their own.
+    Other columns are ignored; an empty table gives no row. Links found from either side count for both.
     """
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("x"), F.col(label).alias("label"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("x"), F.col(label).cast("string").alias("label"))
     # the sum of squares is finite and positive exactly for usable vectors, but for overflow, which no cosine survives either
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     usable = F.col("x").isNotNull() & F.col("label").isNotNull() & F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))
     marked = rows.withColumn("usable", usable)
-    usual = marked.where("usable").groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size = usual["n"] if usual else 0
-    marked = marked.withColumn("usable", F.col("usable") & (F.size("x") == size) if size > 1 else F.lit(False))
     good = marked.where("usable").groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    # one node per label and vector, named by a hash of both
-    node = F.xxhash64(F.col("label").cast("string"), "x")
-    nodes = written(good.select(node.alias("id"), F.col("label").cast("string").alias("label"), "x", "least", "n"), "nodes")
-    total = nodes.count()
-    if not total:
+    # one node per label and vector; rows find theirs by two hashes with different seeds, and nodes differ by their ids
+    hashes = [F.xxhash64(F.lit(seed), "label", "x").alias(f"hash_{seed}") for seed in (1, 2)]
+    nodes = written(good.select(F.monotonically_increasing_id().alias("id"), *hashes, "label", "x", F.size("x").alias("dim"), "least", "n"), "nodes")
+    lengths = {r["dim"]: r["count"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_BOOKS).collect()}
+    total_nodes = nodes.count()
+    if not total_nodes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
-    sample = nodes.select("id", "x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
-    s = np.stack([np.asarray(v.values, dtype=np.float64) for c in sample.column("x").chunks for v in c])
-    s /= np.linalg.norm(s, axis=1)[:, None]
-    half = size // 2
-    k = int(min(1024, max(4, 2 ** round(math.log2(math.sqrt(total / 128)))))) if total > 64 else 2
-    books = [codebook(s[:, :half], k), codebook(s[:, half:], k)]
-    gaps = [gaps_of(c) for c in books]
-    far = 2 - 2 * threshold
-    bound = far if recall >= 1 else min(far, -2 * math.log(1 - recall) * far / size)
-    width = len(books[1])
-
-    def placed(batch: pa.RecordBatch):
-        x = np.stack([np.asarray(v.values, dtype=np.float64) for v in batch.column("x")]) if batch.num_rows else np.zeros((0, size))
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        (p, one), (q, two) = (lower_bounds(h, c, g) for h, c, g in zip((x[:, :half], x[:, half:]), books, gaps, strict=True))
-        return p * width + q, one, two
+    grids: dict[int, Grid] = {}
+    for size, total in lengths.items():
+        if total >= LEAST_VECTORS:
+            sample = nodes.where(F.col("dim") == size).select("hash_1", "hash_2", "x").orderBy("hash_1", "hash_2").limit(SAMPLE).toArrow()
+            grids[size] = Grid(size, threshold, recall, units(sample.column("x"), size), total)
+
+    def grid(size: int) -> Grid:
+        if size not in grids:
+            grids[size] = Grid(size, threshold, recall)
+        return grids[size]
+
+    def by_length(batch: pa.RecordBatch) -> Iterator[tuple[Grid, pa.RecordBatch]]:
+        sizes = batch.column("dim").to_numpy()
+        for size in np.unique(sizes).tolist():
+            yield grid(size), batch.filter(pa.array(sizes == size))
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("cell", pa.array(placed(batch)[0].astype(np.int32)))
+            for g, own in by_length(batch):
+                yield own.append_column("cell", pa.array(g.placed(units(own.column("x"), g.size))[0].astype(np.int32)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(0, batch.num_rows, 1024):
-                own = batch.slice(b, 1024)
-                _, one, two = placed(own)
-                at, i, j = traverse(one, two, bound)
-                yield own.take(pa.array(at)).append_column("visited", pa.array((i * width + j).astype(np.int32)))
+                for g, own in by_length(batch.slice(b, 1024)):
+                    _, one, two = g.placed(units(own.column("x"), g.size))
+                    at, i, j = traverse(one, two, g.bound)
+                    yield own.take(pa.array(at)).append_column("visited", pa.array((i * g.width + j).astype(np.int32)))
 
-    base = f"id long, label string, x {kind}, n long, cell int"
-    indexed = written(nodes.select("id", "label", "x", "n").mapInArrow(home, base), "index")
+    base = f"id long, label string, dim int, x {kind}, n long, cell int"
+    indexed = written(nodes.select("id", "label", "dim", "x", "n").mapInArrow(home, base), "index")
     visits = indexed.mapInArrow(visit, f"{base}, visited int")
     # cells with members, and in how many parts they are cut; as many rows as there are cells in use, and labels
-    cells = written(indexed.groupBy("label", F.col("cell").alias("visited")).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")), "cells")
-    crowd = written(visits.select("label", "visited").groupBy("label", "visited").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("crowds")).join(cells, ["label", "visited"]), "crowds")
+    place = ["label", "dim", "visited"]
+    cells = written(indexed.groupBy("label", "dim", F.col("cell").alias("visited")).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")), "cells")
+    crowd = written(visits.select(*place).groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("crowds")).join(cells, place), "crowds")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    asked = visits.join(crowd, ["label", "visited"]).withColumn("b", own("crowds", 2)).withColumn("a", each("parts")).withColumn("side", F.lit(1))
-    held = indexed.withColumn("visited", F.col("cell")).join(crowd, ["label", "visited"]).withColumn("a", own("parts", 1)).withColumn("b", each("crowds")).withColumn("side", F.lit(0))
-    columns = ["label", "visited", "a", "b", "side", "id", "x", "n", "cell"]
-    keys = ["label", "visited", "a", "b"]
+    asked = visits.join(crowd, place).withColumn("b", own("crowds", 2)).withColumn("a", each("parts")).withColumn("side", F.lit(1))
+    held = indexed.withColumn("visited", F.col("cell")).join(crowd, place).withColumn("a", own("parts", 1)).withColumn("b", each("crowds")).withColumn("side", F.lit(0))
+    columns = [*place, "a", "b", "side", "id", "x", "n", "cell"]
+    keys = [*place, "a", "b"]
     met = held.select(*columns).unionByName(asked.select(*columns)).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def unit(t: pa.Table) -> tuple[np.ndarray, ...]:
-            x = np.asarray(t.column("x").combine_chunks().flatten(), dtype=np.float64).reshape(-1, size)
-            return x / np.linalg.norm(x, axis=1)[:, None], *(t.column(c).to_numpy() for c in ("id", "n", "cell"))
-
         for t in runs(batches, keys):
             side = t.column("side").to_numpy()
             cut = int(np.searchsorted(side, 1))
             if cut == 0 or cut == t.num_rows:
                 continue
-            x, ids, n, _ = unit(t.slice(0, cut))
-            y, ids_y, n_y, cell_y = unit(t.slice(cut))
+            g = grid(t.column("dim")[0].as_py())
+            x, y = units(t.slice(0, cut).column("x"), g.size), units(t.slice(cut).column("x"), g.size)
+            ids, n = (t.column(c).to_numpy()[:cut] for c in ("id", "n"))
+            ids_y, n_y, cell_y = (t.column(c).to_numpy()[cut:] for c in ("id", "n", "cell"))
             good = (x @ y.T >= threshold) & (ids[:, None] != ids_y[None])
             if not good.any():
                 continue
             # a pair that only the visitor finds counts for the member too
-            visited = t.column("visited")[0].as_py()
             mine = np.flatnonzero(good.any(1))
-            _, one = lower_bounds(x[mine, :half], books[0], gaps[0])
-            _, two = lower_bounds(x[mine, half:], books[1], gaps[1])
+            _, one, two = g.placed(x[mine])
             back = np.zeros((len(x), len(y)), dtype=bool)
-            back[mine] = one[:, cell_y // width] + two[:, cell_y % width] <= bound
+            back[mine] = one[:, cell_y // g.width] + two[:, cell_y % g.width] <= g.bound
             lone = good & ~back
             out_id, out_n = [ids_y, ids], [(good * n[:, None]).sum(0), (lone * n_y[None]).sum(1)]
             e_a, e_b = joined(good, ids, ids_y)
@@ -183,12 +224,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
     found = written(met.mapInArrow(verify, "a long, n long, b long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_found"))
-    roots = written(components(found.where("b IS NOT NULL").select("a", "b")), "roots")
-    facts = nodes.select("id", "least", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = facts.groupBy("root").agg(F.min("least").alias("component_id"))
-    facts = facts.join(least, "root").select("id", "component_id", (F.coalesce("n_found", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    keyed = marked.select("vec_id", F.when(F.col("usable"), node).alias("id"))
-    out = keyed.join(facts, "id", "left")
+    roots = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
+    facts = nodes.select("id", "hash_1", "hash_2", "least", "n").join(roots, "id", "left").join(counts, "id", "left")
+    facts = written(facts.withColumn("root", F.coalesce("root", "id")).withColumn("n_links", F.coalesce("n_found", F.lit(0)) + F.col("n") - 1).drop("n_found", "id"), "facts")
+    named = written(facts.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n_nodes")), "components")
+    facts = split_join(facts, named, "root", "n_nodes", total_nodes).select("hash_1", "hash_2", "component_id", "n_links")
+    keyed = marked.select("vec_id", *(F.when(F.col("usable"), h).otherwise(F.xxhash64("vec_id")).alias(f"hash_{k}") for k, h in enumerate(hashes, 1)), "usable")
+    # rows that link with nothing go by their id's hash, so that they don't meet in one task
+    out = keyed.join(facts.withColumn("usable", F.lit(True)), ["hash_1", "hash_2", "usable"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -147,16 +147,19 @@ def test_embeddings_against_brute_force(spark, part):
     for _ in range(80):
         data.append((k, hot.tolist(), 0, 1, "c"))
         k += 1
-    for odd in (None, [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0] * 3, [float("inf")] + [1.0] * 15):
+    for odd in (None, [], [0.0] * 16, [float("nan")] * 16, [None] + [1.0] * 15, [1.0] * 3, [1.0, 1.0, 1.1], [2.0], [3.0], [-1.0], [1.0, 0.0], [float("inf")] + [1.0] * 15):
         data.append((k, odd, 0, 1, "c"))
         k += 1
+    for _ in range(100):
+        data.append((k, rng.normal(size=4).tolist(), 0, 1, "c"))
+        k += 1
     got = {r["vec_id"]: r for r in E.near_vectors(spark.createDataFrame(data, VECTORS), recall=1.0, part=part).collect()}
     assert len(got) == len(data)
     edges = []
-    good = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab, *_ in data if v and lab is not None and None not in v and len(v) == 16 and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, np.float32).astype(float), lab) for i, v, lab, *_ in data if v and lab is not None and None not in v and np.isfinite(v).all() and any(v)]
     for i, v, la in good:
         for j, w, lb in good:
-            if i != j and la == lb and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
+            if i != j and la == lb and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
                 edges.append((i, j))
     want = grouped([d[0] for d in data], edges)
     assert {i: r["component_id"] for i, r in got.items()} == want
@@ -167,6 +170,30 @@ def test_embeddings_against_brute_force(spark, part):
     assert all(r["kept"] == (i == want[i]) for i, r in got.items())
 
 
+def beside(rng, x):
+    """Unit vectors at the threshold's cosine from those of x, in directions in which x varies."""
+    d = x[rng.permutation(len(x))] - x[rng.permutation(len(x))]
+    d -= (d * x).sum(1)[:, None] * x
+    d /= np.maximum(np.linalg.norm(d, axis=1), 1e-12)[:, None]
+    c = rng.uniform(0.93, 0.96, size=(len(x), 1))
+    return c * x + np.sqrt(1 - c * c) * d
+
+
+@pytest.mark.parametrize(("size", "inner"), [(64, 64), (128, 4), (128, 8)])
+def test_recall_of_the_default(spark, size, inner):
+    """At least 0.9 of the links at the threshold and above, also where vectors vary in few directions only."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, inner)) @ np.linalg.qr(rng.normal(size=(size, inner)))[0].T
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = beside(rng, x)[:700]
+    every = np.vstack([x, y]).astype(np.float32).astype(float)
+    every /= np.linalg.norm(every, axis=1)[:, None]
+    want = (every @ every.T >= 0.93).sum() - len(every)
+    df = spark.createDataFrame([(k, v.tolist(), 0, 1, "c") for k, v in enumerate(every)], VECTORS)
+    found = sum(r["n_links"] for r in E.near_vectors(df).collect())
+    assert 0.9 * want <= found <= want
+
+
 def test_no_vector(spark):
     assert E.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
     lone = E.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], 0, 1, "c"), (1, [1.0, 0.0], 0, 1, "c")], VECTORS)).collect()
