@@ -174,36 +174,59 @@ def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def links_across(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """All pairs of rows of a group that differ in `most` bits or fewer and lie on different sides."""
-    left, right = [], []
-    for g in np.flatnonzero(np.diff(starts) > 1).tolist():
-        start, end = int(starts[g]), int(starts[g + 1])
-        for k in range(start, end - 1):
-            found = k + 1 + np.flatnonzero((sides[k + 1 : end] != sides[k]) & (np.bitwise_count(signs[k + 1 : end] ^ signs[k]).sum(1) <= most))
-            if len(found):
-                left.append(np.full(len(found), k))
-                right.append(found)
-    return left, right
-
-
-def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None, side: str | None = None) -> DataFrame:
+def near_tree(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Pairs of rows of groups that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of a least spanning forest."""
+    left, right, bits = [], [], []
+    sizes = np.diff(starts)
+    small = np.flatnonzero((sizes > 1) & (sizes <= 8))
+    for k in range(1, 8):
+        groups = small[sizes[small] > k]
+        if not len(groups):
+            break
+        counts = sizes[groups] - k
+        a = np.repeat(starts[:-1][groups], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        d = np.bitwise_count(signs[a] ^ signs[a + k]).sum(1)
+        good = d <= most
+        left.append(a[good])
+        right.append(a[good] + k)
+        bits.append(d[good])
+    for g in np.flatnonzero(sizes > 8).tolist():
+        base, n = int(starts[g]), int(sizes[g])
+        rest, least, nearest = np.arange(1, n), np.full(n - 1, most + 1), np.zeros(n - 1, np.int64)
+        own = signs[base : base + n]
+        x, found = 0, []
+        while len(rest):
+            d = np.bitwise_count(own[rest] ^ own[x]).sum(1)
+            closer = d < least
+            least[closer], nearest[closer] = d[closer], x
+            k = int(least.argmin())
+            x = int(rest[k])
+            if least[k] <= most:
+                found.append((int(nearest[k]), x, int(least[k])))
+            keep = np.arange(len(rest)) != k
+            rest, least, nearest = rest[keep], least[keep], nearest[keep]
+        if found:
+            pairs = np.array(found)
+            left.append(pairs[:, 0] + base)
+            right.append(pairs[:, 1] + base)
+            bits.append(pairs[:, 2])
+    return left, right, bits
+
+
+def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None) -> DataFrame:
     """Edges (a, b) of ids that connect what is linked.
 
     prints: a row per different fingerprint, with a long id, the 46-bit `words` whose anchors it goes to, and the
     64-bit `signs`; two are linked if their signs differ in most_bits bits or fewer and they meet at an anchor.
-    With bands, a column of further anchors (longs beyond those of words), every edge is a pair that is linked itself.
-    With side, a long column, edges are all linked pairs of different sides.
+    With bands, a column of further anchors (longs beyond those of words), edges are linked pairs (a < b) with the bits
+    in which they differ: a least spanning forest of those of each anchor.
     """
-    columns = list(dict.fromkeys(["id", *words, *signs, *([bands] if bands else []), *([side] if side else [])]))
+    columns = list(dict.fromkeys(["id", *words, *signs, *([bands] if bands else [])]))
     spark = prints.sparkSession
     schema = T.StructType().add("anchor", T.LongType() if bands else T.IntegerType()).add("id", "long")
     for s in signs:
         schema = schema.add(f"sign_{s}", "long")
     carried = ["id", *signs]
-    if side:
-        schema = schema.add("side", "long")
-        carried.append(side)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,19 +265,18 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             starts = np.concatenate([[0], cuts[cuts < end], [end]])
             ids = held.column("id").to_numpy()
             sign = np.stack([held.column(f"sign_{s}").to_numpy() for s in signs], axis=1).view(np.uint64)
-            a, b = links_across(starts, sign, held.column("side").to_numpy(), most_bits) if side else link_groups(starts, sign, most_bits)
-            if a and bands:
-                x, y = ids[np.concatenate(a)], ids[np.concatenate(b)]
-                x, y = np.minimum(x, y), np.maximum(x, y)
-                if side:
-                    x, y = np.unique(np.stack([x, y]), axis=1)
-                else:
+            if bands:
+                a, b, bits = near_tree(starts, sign, most_bits)
+                if a:
+                    x, y, d = ids[np.concatenate(a)], ids[np.concatenate(b)], np.concatenate(bits)
+                    order = np.argsort(d, kind="stable")
+                    x, y, d = x[order], y[order], d[order]
                     some = spanning(x, y)
-                    x, y = x[some], y[some]
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-            elif a:
-                x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)])
+                    if some:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[some], pa.int64()), pa.array(np.maximum(x, y)[some], pa.int64()), pa.array(d[some].astype(np.int32))], names=["a", "b", "bits"])
+            else:
+                a, b = link_groups(starts, sign, most_bits)
+                x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else ([], [])
                 if x:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
             held = held.slice(end)
@@ -274,7 +296,7 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
     else:
         copies = copies.withColumn("part", F.lit(0))
     dealt = copies.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(tidied(compare), "a long, b long")
+    return dealt.mapInArrow(tidied(compare), "a long, b long, bits int" if bands else "a long, b long")
 
 
 def with_components(docs: DataFrame, key_columns: list[str], edges: DataFrame) -> DataFrame:
@@ -314,6 +336,8 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key:
 
 #: Near copies share this part of all their different five-word shingles (Jaccard similarity), which is computed for every link.
 NEAR_WIDTH, NEAR_SHARE = 5, 0.8
+#: Hashes of shingles that are compared: all of a text, or the least so many of a longer one, which estimate the similarity with a deviation of 0.0125 at 0.8.
+LEAST_HASHES = 1024
 #: Candidates' signs, of SIGN_BITS bits, may differ in so many: at a similarity of 0.8 they differ in 19.4 with a deviation of 4.1.
 SIGN_BITS, MOST_SIGN_BITS = 128, 36
 #: Bands of the shingles' minima under random permutations: at a similarity of 0.8 one of them at least is equal with a probability of 0.9998, wherever the edits lie.
@@ -322,107 +346,122 @@ _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's different five-word shingles."""
-    h = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([h(p) for p in set(shingles((text or "").encode().lower(), NEAR_WIDTH))], np.uint64))
+    """Sorted 32-bit hashes of a text's different five-word shingles, the least LEAST_HASHES of them."""
+    h = xxhash.xxh32_intdigest
+    return np.unique(np.array([h(p) for p in set(shingles((text or "").encode().lower(), NEAR_WIDTH))], np.uint32))[:LEAST_HASHES]
+
 
+def similar(x: np.ndarray, y: np.ndarray, share: float) -> bool:
+    """Whether two sets have a Jaccard similarity of `share`; of sets that were cut, the least hashes of their union tell."""
+    both = np.intersect1d(x, y, assume_unique=True)
+    if max(len(x), len(y)) < LEAST_HASHES:
+        every = len(x) + len(y) - len(both)
+        return len(both) > 0 and len(both) >= share * every - 1e-9
+    top = np.union1d(x, y)[:LEAST_HASHES]
+    return bool((both <= top[-1]).sum() >= share * len(top) - 1e-9)
 
-def near_prints(text: str | None) -> tuple[tuple[int, int, int, int, int], list[int]]:
-    """Two 46-bit words, from the SimHash of a text's different words, two 64-bit signs, from that of its different five-word shingles, the digest of the set of these; and bands of the set's minima.
 
-    Words and bands are only for meeting: an edit changes five shingles but one word, so scattered edits leave the words
+def near_prints(text: str | None) -> tuple[tuple[int, int, int, int], list[int]]:
+    """A 46-bit word, from the SimHash of a text's different words, two 64-bit signs, from that of its different five-word shingles, the digest of the set of these; and bands of the set's minima.
+
+    Words and bands are only for meeting: an edit changes five shingles but one word, so scattered edits leave the word
     alike, and edits of one passage leave bands alike. All are zero without words.
     """
     raw = (text or "").encode().lower()
     parts = set(shingles(raw, NEAR_WIDTH))
     if not parts:
-        return (0, 0, 0, 0, 0), []
-    h = xxhash.xxh3_128_digest
+        return (0, 0, 0, 0), []
     known = set(raw.split())
-    word = majority(np.frombuffer(b"".join([h(w, SEED) for w in known]), np.uint8).reshape(-1, 16), len(known)).tobytes()
-    hashes = np.frombuffer(b"".join([h(p) for p in parts]), np.uint8).reshape(-1, 16)
+    word = majority(np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in known]), np.uint8).reshape(-1, 8), len(known)).tobytes()
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in parts]), np.uint8).reshape(-1, 16)
     sign = majority(hashes, len(parts)).tobytes()
     values = np.sort(hashes[:, :8].copy().view(np.uint64)[:, 0])
     least = np.array([(values * m).min() for m in _MIXERS]).reshape(BANDS, BAND_ROWS)
     bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) >> 2 | 1 << 62 for k, row in enumerate(least)]
-    n = 64 - 2 * BLOCK
-    return (int.from_bytes(word[:8], "big") >> n, int.from_bytes(word[8:], "big") >> n, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big"), xxhash.xxh3_64_intdigest(values.tobytes())), bands
-
+    return (int.from_bytes(word, "big") >> 64 - 2 * BLOCK, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big"), xxhash.xxh3_64_intdigest(values.tobytes())), bands
 
-def near_pairs(rows: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
-    """Pairs (a, b) of ids whose texts' five-word shingles have a Jaccard similarity of `share` or more. rows: doc_id and text."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "shingles"])
+def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
+    """Pairs (a, b) of ids whose texts' five-word shingles have a Jaccard similarity of `share` or more. sets: id and shingles."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and both >= share * (len(x) + len(y) - both) - 1e-9)
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), share) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    held = written(rows.join(ids, "doc_id", "left_semi").mapInArrow(tidied(sets), "doc_id long, shingles binary"), "shingles")
-    to = lambda c, v: held.select(F.col("doc_id").alias(c), F.col("shingles").alias(v)).hint("merge")
-    return pairs.join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(decide), "a long, b long").distinct()
+    to = lambda c, v: sets.select(F.col("id").alias(c), F.col("shingles").alias(v)).hint("merge")
+    return pairs.select("a", "b").join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(decide), "a long, b long")
 
 
-def near_links(rows: DataFrame, classes: DataFrame, threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
-    """Links (a, b) that connect what pairs of candidates with `share` of their shingles connect.
+def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
+    """Links (a, b) that connect classes by pairs of candidates with `share` of their shingles.
 
-    Candidates meet at an anchor or a band and have similar signs. First only a forest of them is decided. Where it
-    holds, nothing is left to decide; in the groups of candidates where a pair of it does not, all pairs are decided
-    that lie across what is connected by then.
+    Candidates meet at an anchor or a band, have similar signs, and are on a least spanning forest of an anchor's, so
+    there are no more than copies at anchors, however large a group. First the nearest candidate of each class is
+    decided, twice; the rest only where they lie across what is connected by then. sets gives the shingles of ids.
     """
-    words, signs = ["w0", "w1"], ["s0", "s1"]
-    pairs = written(links(classes, words, signs, threshold, most_bits, bands="bands").where("a <> b").distinct(), "pairs")
-    good = written(near_pairs(rows, pairs, share), "near-pairs")
-    failed = pairs.join(good, ["a", "b"], "left_anti")
-    if failed.isEmpty():
-        return good
-    groups = written(components(pairs), "groups")
-    open_ = failed.join(groups, failed["a"] == groups["node"]).select("root").distinct()
-    sides = components(good).select(F.col("node").alias("id"), F.col("root").alias("side"))
-    inside = groups.join(open_, "root", "left_semi").select(F.col("node").alias("id"))
-    again = written(classes.join(inside, "id", "left_semi").join(sides, "id", "left").withColumn("side", F.coalesce("side", "id")), "undecided")
-    across = written(links(again, words, signs, threshold, most_bits, bands="bands", side="side").where("a <> b").distinct().join(failed, ["a", "b"], "left_anti"), "across")
-    return good.unionByName(near_pairs(rows, across, share))
-
-
-def drop_near_copies(docs: DataFrame, threshold: int = 2, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    found = written(links(classes, ["w0"], ["s0", "s1"], threshold, most_bits, bands="bands").groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates")
+    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
+    held = written(sets(ids), "shingles")
+    good, open_ = None, found
+    for last in (False, False, True):
+        if last:
+            pairs = open_
+        else:
+            ends = open_.select(F.col("a").alias("id"), "a", "b", "bits").unionByName(open_.select(F.col("b").alias("id"), "a", "b", "bits"))
+            pairs = written(ends.groupBy("id").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
+        new = written(near_pairs(held, pairs, share), "near-pairs")
+        good = new if good is None else good.unionByName(new)
+        if last:
+            break
+        side = written(components(good), "sides")
+        of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
+        open_ = open_.join(pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        open_ = written(open_.where(F.coalesce("a_side", "a") != F.coalesce("b_side", "b")).select("a", "b", "bits"), "open")
+        if open_.isEmpty():
+            break
+    return good
+
+
+def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with its columns, with one document of each group of near copies: that of the least id.
 
     Ids are longs. Documents link if their different five-word shingles have a Jaccard similarity of NEAR_SHARE or
-    more and they are candidates: their signs differ in most_bits bits or fewer, and one of their two words meets at an
-    anchor or one of their bands is equal; groups are what links connect. Texts without words are copies of each
-    other. Rows with a null id are all kept; rows that share an id are one document, of which one row is kept. An empty
-    table stays empty.
+    more and they are candidates: their signs differ in most_bits bits or fewer, and their words meet at an anchor or
+    one of their bands is equal; groups are what links connect. Texts without words are copies of each other. A row
+    is a document, so an id's different texts are decided each on its own; of rows that repeat id and text one is kept,
+    as they are copies. Rows with a null id are all kept. An empty table stays empty.
     """
-    names = ["w0", "w1", "s0", "s1", "digest"]
+    names = ["w0", "s0", "s1", "digest"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [near_prints(t) for t in batch.column("text").to_pylist()]
-            prints = np.array([m[0] for m in made], np.uint64).reshape(-1, 5).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(prints[:, k]) for k in range(5)), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", *names, "bands"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    marked = rows.mapInArrow(tidied(mark), "doc_id long, w0 long, w1 long, s0 long, s1 long, digest long, bands array<long>")
-    classes = written(marked.groupBy(*names, "bands").agg(F.min("doc_id").alias("id")), "classes")
-    roots = written(components(near_links(rows, classes, threshold, most_bits)), "roots")
-    least = roots.groupBy("root").agg(F.min("node").alias("kept"))
-    gone = roots.join(least, "root").where("node <> kept").select(F.col("node").alias("id"))
-    kept = written(classes.select("id").join(gone, "id", "left_anti").select(F.col("id").alias("kept_id")).distinct(), "kept")
-    kept = kept.hint("merge")  # the ids grow with the documents, so they are never broadcast
-    out = docs.join(kept, docs[key] == kept["kept_id"], "left_semi")
-    ids = docs.select(F.col(key).alias("doc_id"))
-    if ids.join(kept, ids["doc_id"] == kept["kept_id"], "left_semi").count() > kept.count():
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull()))
+            prints = np.array([m[0] for m in made], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(prints[:, k]) for k in range(4)), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "hash", *names, "bands"])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
+
+    row_hash = F.xxhash64(F.col(text))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_hash.alias("hash"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    marked = rows.mapInArrow(tidied(mark), "doc_id long, hash long, w0 long, s0 long, s1 long, digest long, bands array<long>")
+    least = F.min(F.struct("doc_id", "hash"))
+    grouped = marked.groupBy(*names).agg(least.alias("first"), F.first("bands").alias("bands"))  # equal digests have equal bands
+    classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *names, "bands", "first"), "classes")
+
+    def sets(ids: DataFrame) -> DataFrame:
+        named = classes.join(ids.hint("merge"), "id", "left_semi").select("id", "first.doc_id", "first.hash")
+        texts = rows.join(named.hint("merge"), ["doc_id", "hash"]).select("id", "text")
+        return texts.mapInArrow(tidied(sketch), "id long, shingles binary").dropDuplicates(["id"])
+
+    roots = written(components(near_links(classes, sets, threshold, most_bits)), "roots").withColumnRenamed("node", "id")
+    grouped = classes.select("id", "first").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    kept = written(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash"), "kept")
+    # the ids grow with the documents, so they are never broadcast
+    held = docs.join(kept.select(F.col("doc_id").alias("kept_id"), F.col("hash").alias("kept_hash")).hint("merge"), (docs[key].cast("long") == F.col("kept_id")) & (row_hash == F.col("kept_hash")))
+    return held.dropDuplicates(["kept_id", "kept_hash"]).select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,23 @@ def test_near_copies_go(spark):
     assert S.drop_near_copies(df.limit(0)).count() == 0
 
 
+def test_rows_not_ids_are_documents(spark):
+    """An id's different texts are decided each on its own, repeated rows are one document, and other columns come along."""
+    data = [(1, None), (1, "other words of this one"), (2, ""), (2, "other words of this one"), (3, "more words than the others have"), (3, "more words than the others have"), (None, ""), (None, "")]
+    df = spark.createDataFrame([(k, t, 7, "r", n) for n, (k, t) in enumerate(data)], DOCS)
+    got = sorted((r["doc_id"], r["text"] or "", r["id"]) for r in S.drop_near_copies(df).collect() if r["doc_id"] is not None)
+    assert got == [(1, "", 7), (1, "other words of this one", 7), (3, "more words than the others have", 7)]
+    assert S.drop_near_copies(df).where("doc_id IS NULL").count() == 2
+
+
+def test_long_texts_are_compared_by_a_sketch(spark):
+    rng = np.random.default_rng(8)
+    w = ["".join(c) for c in rng.choice(list("abcdefghij"), (20_000, 6))]
+    near, far = w[:18_500], w[:12_000]
+    df = spark.createDataFrame([(1, " ".join(w), 1, "r", 1), (2, " ".join(near), 1, "r", 1), (3, " ".join(far), 1, "r", 1)], DOCS)
+    assert sorted(r["doc_id"] for r in S.drop_near_copies(df).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("kind", ["scattered", "passage", "appended", "truncated"])
 def test_near_copies_by_kind_of_edit(spark, kind):
     """Copies at a similarity of 0.8 or more go, whatever the edit; documents below it stay. Against brute force over all pairs."""
