@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Dialect:
@@ -59,6 +59,20 @@ class Dialect:
         """1 to n, for n of 1 or more."""
         return f"range(1, CAST({n} AS BIGINT) + 1)"
 
+    def numbers(self, a: str, b: str) -> str:
+        """a to b, for b of a or more."""
+        return f"range(CAST({a} AS BIGINT), CAST({b} AS BIGINT) + 1)"
+
+    def slice(self, a: str, first: str, n: str) -> str:
+        """n elements from position `first`, from 1."""
+        return f"list_slice({a}, {first}, {first} + {n} - 1)"
+
+    def word_runs(self, key: str, most: str) -> str:
+        """All runs of consecutive words of a key that is not empty, of `most` words at most."""
+        words = self.split(key, " ")
+        run = self.join(self.slice(words, "i", "j"), " ")
+        return f"flatten({self.map(self.count_to(self.size(words)), 'i', self.map(self.numbers('1', f'least({most}, {self.size(words)} - i + 1)'), 'j', run))})"
+
     def split(self, x: str, sep: str) -> str:
         return f"string_split({x}, {self.lit(sep)})"
 
@@ -82,6 +96,11 @@ class Dialect:
         one = lambda v: "NULL" if v is None else self.lit(v) if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
         return f"(VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS {names}"
 
+    def lookup(self, x: str, pairs: list[tuple]) -> str:
+        """The second member of the pair whose first is x; null if there is none. x stands in the text once."""
+        one = lambda v: self.lit(v) if isinstance(v, str) else str(v)
+        return f"([{', '.join(one(b) for _, b in pairs)}])[list_position([{', '.join(one(a) for a, _ in pairs)}], {x})]"
+
     def find(self, x: str, what: str) -> str:
         return f"instr({x}, {what})"
 
@@ -98,6 +117,10 @@ class Dialect:
         """Distinct values of a group as a sorted array."""
         return f"list_sort(list_distinct(list({x}) FILTER ({x} IS NOT NULL)))"
 
+    def merged_sets(self, x: str) -> str:
+        """The distinct values of a group's arrays as a sorted array."""
+        return f"list_sort(list_distinct(flatten(list({x}) FILTER ({x} IS NOT NULL))))"
+
 
 class SparkDialect(Dialect):
     spark = True
@@ -141,6 +164,12 @@ class SparkDialect(Dialect):
     def count_to(self, n: str) -> str:
         return f"sequence(CAST(1 AS bigint), CAST({n} AS bigint))"
 
+    def numbers(self, a: str, b: str) -> str:
+        return f"sequence(CAST({a} AS bigint), CAST({b} AS bigint))"
+
+    def slice(self, a: str, first: str, n: str) -> str:
+        return f"slice({a}, CAST({first} AS int), CAST({n} AS int))"
+
     def split(self, x: str, sep: str) -> str:
         return f"split({x}, r'{re.escape(sep)}')"
 
@@ -159,6 +188,10 @@ class SparkDialect(Dialect):
     def listed(self, x: str, sep: str = " ") -> str:
         return f"array_join(array_sort(collect_set({x})), {self.lit(sep)})"
 
+    def lookup(self, x: str, pairs: list[tuple]) -> str:
+        one = lambda v: self.lit(v) if isinstance(v, str) else str(v)
+        return f"map({', '.join(f'{one(a)}, {one(b)}' for a, b in pairs)})[{x}]"
+
     def seconds(self, ts: str) -> str:
         return f"unix_timestamp({ts})"
 
@@ -171,6 +204,9 @@ class SparkDialect(Dialect):
     def sorted_set(self, x: str) -> str:
         return f"array_sort(collect_set({x}))"
 
+    def merged_sets(self, x: str) -> str:
+        return f"array_sort(array_distinct(flatten(collect_list({x}))))"
+
 
 SPARK, DUCK = SparkDialect(), Dialect()
 
@@ -187,7 +223,15 @@ class Operator:
         text = self.build(SPARK).replace("{", "{{").replace("}", "}}")
         for name in self.inputs:
             text = text.replace(f"«{name}»", f"{{{name}}}")
-        return tables[0].sparkSession.sql(text, **dict(zip(self.inputs, tables, strict=True)))
+        spark = tables[0].sparkSession if tables else SparkSession.active()
+        return spark.sql(text, **dict(zip(self.inputs, tables, strict=True)))
+
+    def over(self, dialect: Dialect, tables: list[str]) -> str:
+        """The query's text over tables by name."""
+        text = self.build(dialect)
+        for name, table in zip(self.inputs, tables, strict=True):
+            text = text.replace(f"«{name}»", table)
+        return text
 
     def duck(self, *sources: str) -> str:
         """DuckDB SQL of the operator over sources, each the name of a table or a query."""
@@ -195,7 +239,7 @@ class Operator:
         for name in self.inputs:
             text = text.replace(f"«{name}»", f"in_{name}")
         head = ", ".join(f"in_{name} AS ({s if ' ' in s else f'SELECT * FROM {s}'})" for name, s in zip(self.inputs, sources, strict=True))
-        return f"WITH {head} SELECT * FROM ({text})"
+        return f"WITH {head} SELECT * FROM ({text})" if head else text
 
 
 def operator(*inputs: str) -> Callable[[Callable[[Dialect], str]], Operator]:

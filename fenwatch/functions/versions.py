@@ -86,19 +86,21 @@ s AS (SELECT *, {order_of(d, 'ta', 'tb', 'place')} AS generic, {abb(d, 'wa')} AS
 SELECT id, scheme, a, b, CAST({by_scheme(d, 'scheme', 'generic', 'a', 'b')} AS int) AS result FROM s"""
 
 
-def _after(d: Dialect, phrase: str) -> str:
-    p = d.lit(phrase)
-    return f"CASE WHEN contains(text, {p}) THEN nullif({d.extract(f'substring(text, {d.find('text', p)} + {len(phrase)})', TOKEN)}, '') END"
+def _first(d: Dialect, phrases: list[str], found: str) -> str:
+    """What `found` gives for the first phrase p that occurs in the text and for which it gives something."""
+    made = d.map(d.array(*map(d.lit, phrases)), "p", f"CASE WHEN contains(text, p) THEN {found} END")
+    return d.get(d.keep(made, "x", "x IS NOT NULL"), 0)
 
 
-def _before(d: Dialect, phrase: str) -> str:
-    p = d.lit(phrase)
-    found = d.extract_all(f"substring(text, 1, {d.find('text', p)} - 1)", TOKEN)
-    return f"CASE WHEN contains(text, {p}) THEN {d.get(found, f'{d.size(found)} - 1')} END"
+def _after(d: Dialect, phrases: list[str]) -> str:
+    """The first version after a phrase."""
+    return _first(d, phrases, f"nullif({d.extract(f'substring(text, {d.find('text', 'p')} + length(p))', TOKEN)}, '')")
 
 
-def _first(of, d: Dialect, phrases: list[str]) -> str:
-    return f"coalesce({', '.join(of(d, p) for p in phrases)})"
+def _before(d: Dialect, phrases: list[str]) -> str:
+    """The last version before a phrase."""
+    found = d.extract_all(f"substring(text, 1, {d.find('text', 'p')} - 1)", TOKEN)
+    return _first(d, phrases, d.get(found, f"{d.size(found)} - 1"))
 
 
 @operator("ranges")
@@ -141,8 +143,8 @@ p AS (
   SELECT w.*, i.l AS i_l, i.r AS i_r,
     {op(0)} AS op0, {version(0)} AS v0, {op(1)} AS op1, {version(1)} AS v1,
     {picked("'<', '<=', '=', '=='")} AS up, {picked("'>', '>=', '=', '=='")} AS low,
-    {_first(_after, d, BELOW)} AS below, {_first(_after, d, ABOVE)} AS above, {_first(_after, d, UP_TO)} AS up_to,
-    {_first(_before, d, AND_EARLIER)} AS earlier, {_first(_before, d, AND_LATER)} AS later
+    {_after(d, BELOW)} AS below, {_after(d, ABOVE)} AS above, {_after(d, UP_TO)} AS up_to,
+    {_before(d, AND_EARLIER)} AS earlier, {_before(d, AND_LATER)} AS later
   FROM w LEFT JOIN interval_of i ON w.raw = i.raw),
 k AS (
   SELECT *, CASE
@@ -179,11 +181,19 @@ SELECT raw,
 FROM b"""
 
 
+def describe_range(d: Dialect) -> str:
+    """A range in words."""
+    lower, upper = "CASE WHEN lower_inclusive THEN '[' ELSE '(' END", "CASE WHEN upper_inclusive THEN ']' ELSE ')' END"
+    return f"""CASE kind WHEN 'all' THEN 'all versions' WHEN 'eq' THEN 'exactly ' || lower WHEN 'prefix' THEN 'the ' || prefix || ' release line' WHEN 'lt' THEN 'versions below ' || upper WHEN 'lte' THEN 'versions up to and including ' || upper
+    WHEN 'gt' THEN 'versions above ' || lower WHEN 'gte' THEN 'versions from ' || lower || ' onward' WHEN 'between' THEN 'versions in ' || {lower} || lower || ', ' || upper || {upper} ELSE 'an unparsed range' END"""
+
+
 @operator("checks")
 def evaluate_ranges(d: Dialect) -> str:
-    """checks (id, version, scheme, kind, lower, lower_inclusive, upper, upper_inclusive, prefix) with result: affected, not_affected or indeterminate, and comparator."""
+    """checks (id, version, scheme, kind, lower, lower_inclusive, upper, upper_inclusive, prefix) with result: affected, not_affected or indeterminate, comparator, and why in words."""
     t = lambda c: f"{tokens(d, c)} AS t_{c}"
     words = lambda c: f"{abb(d, f'w_{c}')} AS {c}_abb, {siemens(d, f'w_{c}')} AS {c}_siemens"
+    reading = f"'components ' || {d.join(d.map('t_version', 'x', "CASE WHEN x.k = 0 THEN CAST(x.n AS string) ELSE x.s END"), '.')}"
     return f"""
 WITH t AS (
   SELECT *, {t('version')}, {t('lower')}, {t('upper')}, {t('prefix')} FROM «checks»),
@@ -193,15 +203,28 @@ w AS (
 s AS (
   SELECT *, {order_of(d, 't_version', 't_lower', 'place_lower')} AS g_lower, {order_of(d, 't_version', 't_upper', 'place_upper')} AS g_upper, {words('version')}, {words('lower')}, {words('upper')} FROM w),
 c AS (
-  SELECT *, {by_scheme(d, 'scheme', 'g_lower', 'version', 'lower')} AS c_lower, {by_scheme(d, 'scheme', 'g_upper', 'version', 'upper')} AS c_upper FROM s)
-SELECT id, version, CASE
-    WHEN kind = 'all' THEN 'affected'
-    WHEN trim(coalesce(version, '')) = '' OR kind = 'unknown' THEN 'indeterminate'
-    WHEN kind = 'prefix' THEN CASE WHEN {d.size('t_prefix')} > 0 AND {d.size('t_version')} >= {d.size('t_prefix')} AND place_prefix IS NULL THEN 'affected' ELSE 'not_affected' END
-    WHEN lower IS NOT NULL AND c_lower IS NULL THEN 'indeterminate'
-    WHEN lower IS NOT NULL AND (c_lower < 0 OR (c_lower = 0 AND NOT lower_inclusive)) THEN 'not_affected'
-    WHEN upper IS NOT NULL AND c_upper IS NULL THEN 'indeterminate'
-    WHEN upper IS NOT NULL AND (c_upper > 0 OR (c_upper = 0 AND NOT upper_inclusive)) THEN 'not_affected'
-    ELSE 'affected' END AS result,
-  CASE WHEN scheme IN ('abb', 'siemens', 'rockwell') THEN scheme ELSE 'generic' END AS comparator
-FROM c"""
+  SELECT *, {by_scheme(d, 'scheme', 'g_lower', 'version', 'lower')} AS c_lower, {by_scheme(d, 'scheme', 'g_upper', 'version', 'upper')} AS c_upper,
+    CASE WHEN scheme IN ('abb', 'siemens', 'rockwell') THEN scheme ELSE 'generic' END AS comparator FROM s),
+v AS (
+  SELECT *, CASE
+    WHEN kind = 'all' THEN 'all'
+    WHEN trim(coalesce(version, '')) = '' THEN 'no_version'
+    WHEN coalesce(kind, 'unknown') = 'unknown' THEN 'no_range'
+    WHEN kind = 'prefix' THEN CASE WHEN {d.size('t_prefix')} > 0 AND {d.size('t_version')} >= {d.size('t_prefix')} AND place_prefix IS NULL THEN 'in_line' ELSE 'off_line' END
+    WHEN lower IS NOT NULL AND c_lower IS NULL THEN 'lower_unordered'
+    WHEN lower IS NOT NULL AND (c_lower < 0 OR (c_lower = 0 AND NOT lower_inclusive)) THEN 'below'
+    WHEN upper IS NOT NULL AND c_upper IS NULL THEN 'upper_unordered'
+    WHEN upper IS NOT NULL AND (c_upper > 0 OR (c_upper = 0 AND NOT upper_inclusive)) THEN 'above'
+    ELSE 'inside' END AS why FROM c)
+SELECT id, version, CASE WHEN why IN ('all', 'in_line', 'inside') THEN 'affected' WHEN why IN ('off_line', 'below', 'above') THEN 'not_affected' ELSE 'indeterminate' END AS result, comparator,
+  CASE why WHEN 'all' THEN 'the advisory names no version, so every version is affected'
+    WHEN 'no_version' THEN 'the device did not report a firmware version, so the range could not be checked'
+    WHEN 'no_range' THEN 'the advisory range could not be parsed'
+    WHEN 'in_line' THEN version || ' is in the ' || prefix || ' release line'
+    WHEN 'off_line' THEN version || ' is not in the ' || prefix || ' release line'
+    WHEN 'lower_unordered' THEN version || ' could not be ordered against ' || lower || ' using the ' || comparator || ' comparator'
+    WHEN 'upper_unordered' THEN version || ' could not be ordered against ' || upper || ' using the ' || comparator || ' comparator'
+    WHEN 'below' THEN version || ' (' || {reading} || ') is below the affected range starting at ' || lower
+    WHEN 'above' THEN version || ' (' || {reading} || ') is above the affected range ending at ' || upper
+    ELSE version || ' (' || {reading} || ') falls inside ' || {describe_range(d)} END AS explanation
+FROM v"""

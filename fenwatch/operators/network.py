@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from fenwatch.functions import tables as L
 from fenwatch.functions import text as X
-from fenwatch.functions.dialect import Dialect, operator
+from fenwatch.functions.dialect import SPARK, Dialect, operator
 
 # Fields of an observation that fill up in order of arrival.
 FILLED = ["ipv4", "ipv6", "mac", "hostname", "vendor_raw", "product_raw", "firmware", "purdue", "role"]
@@ -49,7 +52,7 @@ WITH best AS (
   SELECT s.asset_id, {d.first_by('p.p_role', d.struct(a='-p.weight', b='p.port'))} AS inferred, {d.first_by('p.port', d.struct(a='-p.weight', b='p.port'))} AS by_port
   FROM «services» s JOIN {ports} ON s.port = p.port WHERE coalesce(s.protocol, '') IN ('', p.p_protocol) GROUP BY s.asset_id),
 r AS (SELECT a.asset_id, coalesce(nullif(a.role, ''), inferred) AS role, nullif(a.purdue, '') AS own, by_port FROM «assets» a LEFT JOIN best ON a.asset_id = best.asset_id)
-SELECT asset_id, role, CASE WHEN by_port IS NULL THEN own ELSE coalesce(own, {L.case('role', L.ROLE_LEVELS)}) END AS purdue, by_port FROM r"""
+SELECT asset_id, role, CASE WHEN by_port IS NULL THEN own ELSE coalesce(own, {L.case('role', L.ROLE_LEVELS)}) END AS purdue, by_port, CASE WHEN by_port IS NOT NULL THEN 'port ' || CAST(by_port AS string) || ' is that of a ' || role END AS why FROM r"""
 
 
 @operator("flows", "assets")
@@ -69,14 +72,18 @@ g AS (
     WHEN greatest(sr, tr) = 30 AND least(sr, tr) <= 10 AND port IN ({ports}) AND {control} THEN 'info'
     WHEN greatest(sr, tr) >= 40 AND least(sr, tr) = 30 THEN 'medium' END AS severity
   FROM j WHERE sr IS NOT NULL AND tr IS NOT NULL)
-SELECT flow_key, src, dst, port, src_level, dst_level, severity FROM g WHERE severity IS NOT NULL"""
+SELECT flow_key, src, dst, port, src_level, dst_level, severity, CASE severity WHEN 'critical' THEN 'a business or outside network talks to basic control' WHEN 'high' THEN 'a business or outside network talks to area supervision' WHEN 'info' THEN 'site operations talk to a controller over a control protocol' ELSE 'a business or outside network talks to site operations' END AS rationale
+FROM g WHERE severity IS NOT NULL"""
 
 
-@operator("assets")
+@operator("assets", "services", "flows", "issues")
 def inventory_stats(d: Dialect) -> str:
-    """assets (asset_id, purdue, role, vendor) counted by level, role and vendor, in long form (dimension, key, n)."""
+    """Counts of an inventory in long form (dimension, key, n): assets (asset_id, purdue, role, identified) by level and role, by protocol of their services, and totals of assets, identified ones, flows and segmentation issues."""
     one = lambda c: f"SELECT '{c}' AS dimension, coalesce(nullif({c}, ''), 'unknown') AS key, count(*) AS n FROM «assets» GROUP BY 2"
-    return " UNION ALL ".join(map(one, ("purdue", "role", "vendor")))
+    return f"""{one('purdue')} UNION ALL {one('role')}
+UNION ALL SELECT 'protocol', protocol, count(DISTINCT asset_id) FROM «services» WHERE coalesce(protocol, '') <> '' GROUP BY 2
+UNION ALL SELECT 'total', 'assets', count(*) FROM «assets» UNION ALL SELECT 'total', 'identified', count_if(identified) FROM «assets»
+UNION ALL SELECT 'total', 'flows', count(*) FROM «flows» UNION ALL SELECT 'total', 'segmentation issues', count(*) FROM «issues»"""
 
 
 @operator("bindings")
@@ -89,20 +96,34 @@ m AS (SELECT mac, {d.first_by('ip', 'kind')} AS ip, min(kind) AS kind FROM k GRO
 SELECT ip, {d.first_by('mac', order)} AS mac FROM m GROUP BY ip"""
 
 
+def answered() -> str:
+    """Whether a connection's responder answered: refused and silent states never, then packets, then bytes, then the state."""
+    return """CASE WHEN state IN ('S0', 'REJ', 'SH') THEN false WHEN resp_pkts IS NOT NULL THEN resp_pkts > 0 WHEN resp_ip_bytes IS NOT NULL THEN resp_ip_bytes > 0
+  ELSE coalesce(state IN ('SF', 'S1', 'S2', 'S3', 'RSTO', 'RSTR', 'RSTOS0', 'RSTRH', 'SHR', 'OTH'), false) END"""
+
+
 @operator("connections")
 def responder_answered(d: Dialect) -> str:
-    """connections (id, state, resp_pkts, resp_ip_bytes) with answered: refused and silent states never, then packets, then bytes, then the state."""
-    return """SELECT id, CASE WHEN state IN ('S0', 'REJ', 'SH') THEN false WHEN resp_pkts IS NOT NULL THEN resp_pkts > 0 WHEN resp_ip_bytes IS NOT NULL THEN resp_ip_bytes > 0
-  ELSE coalesce(state IN ('S1', 'S2', 'S3', 'SF', 'RSTO', 'RSTR', 'SHR', 'RSTRH', 'OTH'), false) END AS answered FROM «connections»"""
+    """connections (id, state, resp_pkts, resp_ip_bytes) with answered."""
+    return f"SELECT id, {answered()} AS answered FROM «connections»"
+
+
+def server_of(transport: str = "transport", src: str = "src_port", dst: str = "dst_port", syn: str = "syn", ack: str = "ack") -> str:
+    """Which side of a packet is the server: flags decide, then a known port against an unknown one, then the lower port; equal ports give the destination."""
+    known = lambda c: f"{c} IN ({', '.join(str(p) for p, *_ in L.PORTS)})"
+    return f"""CASE WHEN {transport} = 'tcp' AND {syn} AND NOT {ack} THEN 'dst' WHEN {transport} = 'tcp' AND {syn} AND {ack} THEN 'src'
+  WHEN {known(dst)} AND NOT {known(src)} THEN 'dst' WHEN {known(src)} AND NOT {known(dst)} THEN 'src' WHEN {src} < {dst} THEN 'src' ELSE 'dst' END"""
+
+
+def is_symmetric(transport: str = "transport", src: str = "src_port", dst: str = "dst_port") -> str:
+    """Whether both ends of a datagram listen: equal known ports over UDP."""
+    return f"coalesce({transport} = 'udp' AND {src} = {dst} AND {src} IN ({', '.join(str(p) for p, *_ in L.PORTS)}), false)"
 
 
 @operator("packets")
 def server_side(d: Dialect) -> str:
-    """packets (id, transport, src_port, dst_port, syn, ack) with the server's side: flags decide, then a known port against an unknown one, then the lower port, equal ports give the destination."""
-    ports = ", ".join(str(p) for p, *_ in L.PORTS)
-    known = lambda c: f"{c} IN ({ports})"
-    return f"""SELECT id, CASE WHEN transport = 'tcp' AND syn AND NOT ack THEN 'dst' WHEN transport = 'tcp' AND syn AND ack THEN 'src'
-  WHEN {known('dst_port')} AND NOT {known('src_port')} THEN 'dst' WHEN {known('src_port')} AND NOT {known('dst_port')} THEN 'src' WHEN src_port < dst_port THEN 'src' ELSE 'dst' END AS server FROM «packets»"""
+    """packets (id, transport, src_port, dst_port, syn, ack) with the server's side, and whether both ends listen."""
+    return f"SELECT id, {server_of()} AS server, {is_symmetric()} AS symmetric FROM «packets»"
 
 
 @operator("observations")
@@ -115,3 +136,35 @@ def new_field_observations(d: Dialect) -> str:
 def asset_ids(d: Dialect) -> str:
     """assets (ipv4, ipv6, mac) with their id and clean MAC."""
     return f"SELECT ipv4, ipv6, mac, {X.asset_id(d, 'ipv4', 'ipv6', 'mac')} AS asset_id, {X.mac_text(d, 'mac')} AS mac_clean FROM «assets»"
+
+
+@operator("macs")
+def usable_macs(d: Dialect) -> str:
+    """macs (mac) with whether each is one device's: not a group's, and not zero."""
+    clean = X.mac_text(d, "mac")
+    return f"SELECT DISTINCT mac, coalesce({d.matches(clean, '^[0-9a-f][02468ace]')} AND {clean} <> '00:00:00:00:00:00', false) AS usable FROM «macs»"
+
+
+def assets_in_order(assets: DataFrame) -> DataFrame:
+    """Assets by IPv4 number, those without one after them, then by their first address and id."""
+    primary = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("ipv4", "ipv6", "mac", "hostname")))
+    return assets.orderBy(F.expr(X.ipv4_key(SPARK, "ipv4")).asc_nulls_last(), primary, "asset_id")
+
+
+def services_in_order(services: DataFrame) -> DataFrame:
+    return services.orderBy("asset_id", "port", "transport")
+
+
+def flows_in_order(flows: DataFrame) -> DataFrame:
+    return flows.orderBy("flow_key")
+
+
+def issues_in_order(issues: DataFrame) -> DataFrame:
+    """Segmentation issues, the worst first."""
+    rank = F.create_map(*(F.lit(x) for s, r in [*L.SEVERITIES, ("info", 0)] for x in (s, r)))[F.col("severity")]
+    return issues.orderBy(rank.desc(), "flow_key")
+
+
+def ordered_distinct(c: Column) -> Column:
+    """An array's different trimmed texts, in the order in which they first occur; empty ones are left out."""
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False))))

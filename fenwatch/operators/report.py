@@ -1,70 +1,240 @@
-"""Findings as documents: a CSV sheet, a VEX document and an HTML page, and the groupings they are made of."""
+"""Findings as documents: a CSV sheet, JSON, a VEX document and an HTML page, and the groupings they are made of.
+
+findings are rows as `fenwatch.plans.match` gives them, with `device`, the label of the asset's identity.
+"""
 
 from __future__ import annotations
 
 import html
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fenwatch.functions.dialect import Dialect, operator
+from fenwatch.functions import text as X
+from fenwatch.functions.dialect import SPARK
 
-# The sheet's columns, and the labels of sharing.
-SHEET = ["finding_id", "tier", "asset_id", "source", "advisory_id", "product_id", "cves", "kev", "epss", "cvss", "severity", "fix_available", "score", "priority", "result", "reason"]
-TLP = ("CLEAR", "GREEN", "AMBER", "RED")
+# The sheet's columns, the labels of sharing, categories of remedies, and addresses that say nothing of an advisory.
+SHEET = [
+    "finding_id", "tier", "tier_meaning", "asset_address", "asset_label", "asset_purdue", "asset_role", "vendor", "product", "firmware", "advisory_id", "advisory_source", "title", "published", "cves", "cvss", "cvss_vector", "severity", "kev", "epss", "priority", "fix_available",
+    "matched_product", "matched_version", "version_check", "remediations", "references",
+]
+TLP = ("RED", "AMBER", "GREEN", "WHITE")
+REMEDIES = ("mitigation", "no_fix_planned", "none_available", "vendor_fix", "workaround")
+BOILERPLATE = ["cwe.mitre.org", "first.org/cvss/calculator", "nvd.nist.gov/vuln-metrics"]
+#: References that a sheet's row or a document's entry holds.
+MOST_REFERENCES = 8
+BOM = "\ufeff"
 
 
-@operator("findings")
-def vex_products(d: Dialect) -> str:
-    """A product id per asset with findings, numbered by name, with how many advisories it has."""
-    return "SELECT 'CSAFPID-' || lpad(CAST(row_number() OVER (ORDER BY asset_id) AS string), 4, '0') AS vex_id, asset_id, advisories FROM (SELECT asset_id, count(DISTINCT advisory_id) AS advisories FROM «findings» GROUP BY asset_id) x"
+def matching_text(findings: DataFrame, needle: str) -> DataFrame:
+    """Findings whose device, advisory, product, tier or CVEs hold a needle, whatever the case."""
+    known = [c for c in ("device", "asset_id", "asset_address", "advisory_id", "title", "product_id", "matched_product", "tier", "cves") if c in findings.columns]
+    return findings.where(F.contains(F.lower(F.concat_ws(" ", *(F.col(c) for c in known))), F.lit(needle.strip().lower())))
 
 
-@operator("findings")
-def vex_threats(d: Dialect) -> str:
-    """Per vulnerability of the findings: whether it is exploited, the greatest likelihood and the best score."""
-    return f"SELECT c AS vuln, bool_or(kev) AS kev, max(epss) AS epss, max(cvss) AS cvss, count(DISTINCT asset_id) AS assets FROM {d.unnest('«findings»', d.split('cves', ' '), 'c')} WHERE c <> '' GROUP BY c"
+def described(findings: DataFrame, canonical: DataFrame, assets: DataFrame | None = None) -> DataFrame:
+    """findings with the device's identity and label, and its address, level and role. canonical: identities by id; assets: asset_id, address, purdue, role."""
+    identity = canonical.select(F.col("id").alias("asset_id"), F.expr(X.identity_label()).alias("device"), F.coalesce("vendor", "vendor_raw").alias("device_vendor"), F.coalesce(F.nullif("product", F.lit("")), F.nullif("product_raw", F.lit("")), "family").alias("device_product"), F.col("firmware").alias("device_firmware"))
+    out = findings.join(identity, "asset_id", "left")
+    if assets is None:
+        none = F.lit(None).cast("string")
+        return out.withColumn("asset_address", none).withColumn("asset_purdue", none).withColumn("asset_role", none)
+    return out.join(assets.select("asset_id", F.col("address").alias("asset_address"), F.col("purdue").alias("asset_purdue"), F.col("role").alias("asset_role")), "asset_id", "left")
 
 
-@operator("findings")
-def matching_text(d: Dialect) -> str:
-    """Findings whose device, advisory, product, tier or CVEs hold a needle, whatever the case."""
-    hay = "lower(concat(asset_id, ' ', advisory_id, ' ', product_id, ' ', tier, ' ', cves))"
-    return f"SELECT finding_id FROM «findings» WHERE contains({hay}, lower(trim(' Confirmed ')))"
+def remedy_text(r: Column) -> Column:
+    """A remediation in one line: category, details and url, those that are there."""
+    return F.concat_ws(": ", *(F.nullif(r[c], F.lit("")) for c in ("category", "details", "url")))
 
 
 def sheet(findings: DataFrame) -> DataFrame:
     """The report's rows as text, in the order of priority: zeros of scores are blank, booleans yes or no, nulls empty."""
-    one = lambda c: F.when(F.col(c), "yes").otherwise("no") if dict(findings.dtypes)[c] == "boolean" else F.coalesce(F.when(F.col(c) == 0, F.lit("")).otherwise(F.col(c).cast("string")), F.lit("")) if dict(findings.dtypes)[c] == "double" else F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return findings.orderBy(F.desc("priority"), "advisory_id", "asset_id", "product_id").select(*(one(c).alias(c) for c in SHEET))
+    number = lambda c, places: F.when(F.col(c) != 0, F.format_string(f"%.{places}f", F.col(c).cast("double")))
+    yes = lambda c: F.when(F.col(c), "yes").otherwise("no")
+    cells = {
+        "tier_meaning": F.expr(X.described(SPARK, "tier", X.TIER_TEXTS, "Unclassified")), "asset_label": F.col("device"), "vendor": F.col("device_vendor"), "product": F.col("device_product"), "firmware": F.col("device_firmware"), "advisory_source": F.col("source"), "published": F.date_format("published", "yyyy-MM-dd"),
+        "cvss": number("cvss", 1), "cvss_vector": F.col("vector"), "kev": yes("kev"), "epss": number("epss", 5), "priority": number("priority", 1), "fix_available": yes("fix_available"), "matched_product": F.coalesce(F.nullif("matched_product", F.lit("")), "matched_vendor", "product_id"), "version_check": F.col("version_check.explanation"),
+        "remediations": F.array_join(F.filter(F.transform("remediations", remedy_text), lambda x: x != ""), " | "), "references": F.array_join(F.slice("references", 1, MOST_REFERENCES), " "),
+    }
+    ordered = findings.orderBy(F.desc("priority"), "advisory_id", "asset_id", "product_id")
+    return ordered.select(*(F.coalesce(cells.get(c, F.col(c) if c in findings.columns else F.lit(None)).cast("string"), F.lit("")).alias(c) for c in SHEET))
 
 
 def write_sheet(findings: DataFrame, path: str) -> None:
-    """The sheet as CSV files with a header, in order, through Spark's committer."""
-    sheet(findings).write.mode("overwrite").option("header", "true").option("quoteAll", "false").csv(path)
+    """The sheet as CSV files in order, through Spark's committer, each with a byte-order mark and a header, which spreadsheets look for."""
+    rows = sheet(findings)
+    rows.select(*(F.col(c).alias((BOM if k == 0 else "") + c) for k, c in enumerate(SHEET))).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def findings_json(findings: DataFrame) -> DataFrame:
+    """Findings in order, a JSON object a row (value)."""
+    return findings.orderBy(F.desc("priority"), "advisory_id", "asset_id", "product_id").select(F.to_json(F.struct("*")).alias("value"))
+
+
+# ---- the VEX document's groups
+
+
+def vex_products(findings: DataFrame, addresses: bool = False) -> DataFrame:
+    """A product per device label (device, vex_id, name): how many assets it has, and with `addresses` where they are. Ids number the labels in order.
+
+    Ranks within ranges of labels are counted apart and added up, so no task holds all labels.
+    """
+    known = "asset_address" in findings.columns
+    one = findings.groupBy("device").agg(F.count_distinct("asset_id").alias("n"), *([F.array_sort(F.collect_set("asset_address")).alias("at")] if known else [F.array().cast("array<string>").alias("at")]))
+    name = F.concat("device", F.when(F.col("n") > 1, F.format_string(" (%d devices)", "n")).otherwise(""), *([F.when(F.size("at") > 0, F.concat(F.lit(" ["), F.array_join("at", ", "), F.lit("]"))).otherwise("")] if addresses else []))
+    return numbered(one.select("device", F.col("n").alias("assets"), name.alias("name")), "device").select("device", "assets", "name", F.format_string("CSAFPID-%04d", "k").alias("vex_id"))
+
 
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with k: the row's place, from 1, in the order of a column of different values."""
+    from pyspark.sql import Window
 
-def vex_document(findings: DataFrame, publisher: str, tlp: str = "AMBER") -> DataFrame:
-    """One row with a VEX document in JSON: products, and per vulnerability the affected ones and those under investigation.
+    from fenwatch.plans.graph import written
 
-    The document is one value and grows with the findings of one report, which a person reads; filter before.
+    ranged = written(df.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
+    before = sizes.select("part", (F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(by))
+    return ranged.withColumn("k", within).join(F.broadcast(before), "part").withColumn("k", F.col("k") + F.col("before")).drop("part", "before")
+
+
+def vex_entries(findings: DataFrame) -> DataFrame:
+    """findings by what they are about: a row per CVE, or one with the advisory where there is none (vuln, is_cve)."""
+    cve = F.explode(F.split(F.coalesce("cves", F.lit("")), " "))
+    return findings.withColumn("cve", cve).withColumn("is_cve", F.col("cve") != "").withColumn("vuln", F.when(F.col("is_cve"), F.col("cve")).otherwise(F.col("advisory_id"))).drop("cve")
+
+
+def vex_groups(findings: DataFrame) -> DataFrame:
+    """Per vulnerability and device: known_affected if a finding is confirmed, else under_investigation (vuln, is_cve, device, status)."""
+    return vex_entries(findings).groupBy("vuln", "is_cve", "device").agg(F.when(F.bool_or(F.col("tier") == "confirmed"), "known_affected").otherwise("under_investigation").alias("status"))
+
+
+def vex_scores(findings: DataFrame) -> DataFrame:
+    """An entry per vulnerability and distinct vector: version, base score, severity and the devices it holds for."""
+    rows = vex_entries(findings).where("coalesce(vector, '') <> '' AND cvss <> 0")
+    first = F.min_by(F.struct("cvss", "severity"), F.struct(-F.col("priority"), "advisory_id", "asset_id", "product_id")).alias("f")
+    out = rows.groupBy("vuln", "vector").agg(first, F.array_sort(F.collect_set("device")).alias("devices"))
+    return out.select("vuln", "vector", F.when(F.col("vector").startswith("CVSS:3.0"), "3.0").otherwise("3.1").alias("version"), F.col("f.cvss").alias("base_score"), F.upper("f.severity").alias("severity"), "devices")
+
+
+def vex_threats(findings: DataFrame) -> DataFrame:
+    """Per vulnerability: whether it is exploited, and the greatest likelihood that it will be, in words (vuln, kev, epss, threats)."""
+    none = F.array().cast("array<string>")
+    out = vex_entries(findings).groupBy("vuln").agg(F.bool_or("kev").alias("kev"), F.max("epss").alias("epss"))
+    known = F.when(F.col("kev"), F.array(F.lit("Listed in the CISA Known Exploited Vulnerabilities catalogue."))).otherwise(none)
+    likely = F.when(F.col("epss") > 0, F.array(F.format_string("EPSS puts the probability of exploitation in the next 30 days at %.1f percent.", F.col("epss") * 100))).otherwise(none)
+    return out.withColumn("threats", F.concat(known, likely))
+
+
+def vex_remediations(findings: DataFrame) -> DataFrame:
+    """Per vulnerability and category (others count as mitigation): details that are not said yet, in the findings' order, and the first url.
+
+    A fix of the vendor takes the place of none_available and no_fix_planned; a vulnerability without any has
+    none_available, with its first reference; vulnerabilities with devices under investigation get a mitigation more.
+    """
+    entries = vex_entries(findings)
+    order = F.struct(-F.col("priority"), "advisory_id", "asset_id", "product_id")
+    told = entries.select("vuln", order.alias("o"), F.posexplode("remediations").alias("p", "r"))
+    category = F.lower(F.trim("r.category"))
+    told = told.select("vuln", F.when(category.isin(*REMEDIES), category).otherwise("mitigation").alias("category"), F.struct("o", "p").alias("o"), F.col("r.details").alias("details"), F.col("r.url").alias("url"))
+    # an equal text is said once, so a list holds no more than the different texts of a vulnerability
+    once = told.groupBy("vuln", "category", "details", "url").agg(F.min("o").alias("o"))
+    listed = once.groupBy("vuln", "category").agg(F.array_sort(F.collect_list(F.struct("o", "details", "url"))).alias("xs"))
+    joined = F.aggregate("xs", F.lit(""), lambda said, x: F.when((x["details"] == "") | F.contains(said, x["details"]), said).otherwise(F.trim(F.concat(said, F.lit(" "), x["details"]))))
+    url = F.get(F.filter(F.transform("xs", lambda x: x["url"]), lambda u: u != ""), F.lit(0))
+    bare = F.concat(F.lit("The advisory records a remedy of this kind without describing it: "), F.col("category"))
+    plain = listed.select("vuln", "category", F.coalesce(F.nullif(joined, F.lit("")), bare).alias("details"), url.alias("url"))
+    fixed = plain.where("category = 'vendor_fix'").select("vuln").distinct()
+    kept = plain.where(~F.col("category").isin("none_available", "no_fix_planned")).unionByName(plain.where(F.col("category").isin("none_available", "no_fix_planned")).join(fixed, "vuln", "left_anti"))
+    first = entries.where(F.size("references") > 0).groupBy("vuln").agg(F.min_by(F.get("references", F.lit(0)), order).alias("url"))
+    missing = entries.select("vuln").distinct().join(kept.select("vuln").distinct(), "vuln", "left_anti").join(first, "vuln", "left")
+    kept = kept.unionByName(missing.select("vuln", F.lit("none_available").alias("category"), F.lit("No fix and no mitigation is on record. Consult the advisory, and rely on segmentation until one is published.").alias("details"), "url"))
+    unsure = vex_groups(findings).where("status = 'under_investigation'").select("vuln").distinct()
+    more = unsure.select("vuln", F.lit("mitigation").alias("category"), F.lit("Exposure is unconfirmed for some products. Establish their firmware version and assess again.").alias("details"), F.lit(None).cast("string").alias("url"))
+    return kept.withColumn("for", F.lit("all")).unionByName(more.withColumn("for", F.lit("under_investigation")))
+
+
+def vex_references(findings: DataFrame, most: int = MOST_REFERENCES) -> DataFrame:
+    """Up to `most` different addresses per vulnerability (vuln, k, url, advisory_id): the advisory's own, then findings' first ones that say something, then those that name the CVE, then all."""
+    from pyspark.sql import Window
+
+    squash = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    rows = vex_entries(findings).select("vuln", "is_cve", "advisory_id", F.struct(-F.col("priority"), "advisory_id", "asset_id", "product_id").alias("o"), F.posexplode("references").alias("p", "url")).where("url <> ''")
+    own = F.contains(F.lower("url"), F.lit("/.well-known/csaf/")) | (squash("advisory_id").isNotNull() & (squash("advisory_id") != "") & F.contains(squash("url"), squash("advisory_id")))
+    dull = F.lit(False)
+    for b in BOILERPLATE:
+        dull = dull | F.contains(F.lower("url"), F.lit(b))
+    step = F.when(own, 0).when((F.col("p") == 0) & ~dull, 1).when(F.col("is_cve") & F.contains(F.upper("url"), F.col("vuln")), 2).otherwise(3)
+    best = rows.groupBy("vuln", "url").agg(F.min(F.struct(step.alias("step"), "o", "p", "advisory_id")).alias("m"))
+    ranked = best.withColumn("k", F.row_number().over(Window.partitionBy("vuln").orderBy("m.step", "m.o", "m.p", "url")))
+    return ranked.where(F.col("k") <= most).select("vuln", "k", "url", F.col("m.advisory_id").alias("advisory_id"))
+
+
+def vex_document(findings: DataFrame, publisher: str, namespace: str, now: datetime, tlp: str = "AMBER", tracking: str | None = None, addresses: bool = False, summary: DataFrame | None = None) -> DataFrame:
+    """One row with a VEX document in JSON: products, and per vulnerability its status, scores, threats, remedies, references and why products are listed.
+
+    The document is one value and grows with the findings of one report, which a person reads; filter before. summary:
+    the run's counters, from which a note on coverage is made.
     """
-    if not publisher or tlp not in TLP:
-        raise ValueError("a publisher, and one of the sharing labels, are needed")
-    products = vex_products(findings).select(F.struct(F.col("vex_id").alias("product_id"), F.col("asset_id").alias("name")).alias("p"), "vex_id", "asset_id")
-    tree = products.agg(F.array_sort(F.collect_list("p")).alias("full_product_names"))
-    exploded = findings.select("asset_id", "advisory_id", "tier", "kev", "epss", F.explode(F.split("cves", " ")).alias("c")).withColumn("vuln", F.when(F.col("c") == "", F.col("advisory_id")).otherwise(F.col("c")))
-    by_product = exploded.groupBy("vuln", "asset_id").agg(F.bool_or(F.col("tier") == "confirmed").alias("affected"), F.bool_or("kev").alias("kev"), F.max("epss").alias("epss")).join(products, "asset_id")
-    ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("vex_id"))))
-    vulns = by_product.groupBy("vuln").agg(ids(F.col("affected")).alias("known_affected"), ids(~F.col("affected")).alias("under_investigation"), F.bool_or("kev").alias("kev"), F.max("epss").alias("epss"))
-    threats = F.concat(F.when(F.col("kev"), F.array(F.lit("known to be exploited"))).otherwise(F.array().cast("array<string>")), F.when(F.col("epss") > 0, F.array(F.format_string("likelihood of exploitation %.1f%%", F.col("epss") * 100))).otherwise(F.array().cast("array<string>")))
-    listed = vulns.select(F.struct(F.col("vuln").alias("id"), F.struct("known_affected", "under_investigation").alias("product_status"), threats.alias("threats")).alias("v")).agg(F.array_sort(F.collect_list("v")).alias("vulnerabilities"))
-    head = F.struct(F.lit("csaf_vex").alias("category"), F.lit("2.0").alias("csaf_version"), F.struct(F.lit(publisher).alias("name")).alias("publisher"), F.struct(F.struct(F.lit(tlp).alias("label")).alias("tlp")).alias("distribution"))
-    return tree.join(listed, F.lit(True)).select(F.to_json(F.struct(head.alias("document"), F.struct("full_product_names").alias("product_tree"), "vulnerabilities")).alias("document"))
-
-
-def html_page(findings: DataFrame, most: int = 1000) -> str:
-    """A page of the first `most` findings by priority, with every value escaped."""
+    tlp = tlp.upper()
+    if not publisher.strip() or not namespace.strip() or tlp not in TLP:
+        raise ValueError(f"a publisher, its namespace, and one of the sharing labels {', '.join(TLP)} are needed")
+    products = vex_products(findings, addresses)
+    ids = products.select("device", "vex_id")
+    tree = products.agg(F.array_sort(F.collect_list(F.struct(F.col("vex_id").alias("product_id"), "name"))).alias("full_product_names"))
+    of = lambda status: F.array_sort(F.collect_set(F.when(F.col("status") == status, F.col("vex_id"))))
+    status = vex_groups(findings).join(ids, "device").groupBy("vuln", "is_cve").agg(of("known_affected").alias("known_affected"), of("under_investigation").alias("under_investigation"))
+    entries = vex_entries(findings)
+    line = F.concat(F.col("tier"), F.lit(": matched the advisory entry "), F.coalesce("matched_product", "product_id"), F.coalesce(F.concat(F.lit(", for "), F.nullif("matched_version", F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit(". Version check: "), F.col("version_check.explanation")), F.lit("")))
+    why = entries.groupBy("vuln").agg(F.array_sort(F.collect_set(line)).alias("why"), F.min_by(F.struct("title", "source"), F.struct(-F.col("priority"), "advisory_id", "asset_id", "product_id")).alias("head"))
+    scores = vex_scores(findings).select("vuln", "vector", "version", "base_score", "severity", F.explode("devices").alias("device")).join(ids, "device").groupBy("vuln", "vector", "version", "base_score", "severity").agg(F.array_sort(F.collect_set("vex_id")).alias("products"))
+    scores = scores.groupBy("vuln").agg(F.array_sort(F.collect_list(F.struct("vector", F.struct(F.struct("version", F.col("vector").alias("vectorString"), F.col("base_score").alias("baseScore"), F.col("severity").alias("baseSeverity")).alias("cvss_v3"), "products").alias("s")))).alias("xs")).select("vuln", F.transform("xs", lambda x: x["s"]).alias("scores"))
+    remedies = vex_remediations(findings).groupBy("vuln").agg(F.array_sort(F.collect_list(F.struct("for", "category", "details", "url"))).alias("remedies"))
+    references = vex_references(findings).groupBy("vuln").agg(F.array_sort(F.collect_list(F.struct("k", F.lit("external").alias("category"), F.col("advisory_id").alias("summary"), "url"))).alias("xs")).select("vuln", F.transform("xs", lambda x: F.struct(x["category"].alias("category"), x["summary"].alias("summary"), x["url"].alias("url"))).alias("references"))
+    every = F.array_sort(F.array_union("known_affected", "under_investigation"))
+    whole = status.join(why, "vuln").join(vex_threats(findings).select("vuln", "threats"), "vuln").join(scores, "vuln", "left").join(remedies, "vuln").join(references, "vuln", "left")
+    entry = F.struct(
+        F.when(F.col("is_cve"), F.col("vuln")).alias("cve"), F.when(~F.col("is_cve"), F.array(F.struct(F.col("head.source").alias("system_name"), F.col("vuln").alias("text")))).alias("ids"), F.col("head.title").alias("title"),
+        F.array(F.struct(F.lit("description").alias("category"), F.lit(None).cast("string").alias("title"), F.coalesce("head.title", F.concat(F.lit("Reported in "), "vuln")).alias("text")), F.struct(F.lit("details").alias("category"), F.lit("Why these products are listed").alias("title"), F.array_join("why", "\n").alias("text"))).alias("notes"),
+        F.struct("known_affected", "under_investigation").alias("product_status"), "scores", F.transform("threats", lambda t: F.struct(F.lit("exploit_status").alias("category"), t.alias("details"), every.alias("product_ids"))).alias("threats"),
+        F.transform("remedies", lambda r: F.struct(r["category"].alias("category"), r["details"].alias("details"), r["url"].alias("url"), F.when(r["for"] == "all", every).otherwise(F.col("under_investigation")).alias("product_ids"))).alias("remediations"), "references",
+    )
+    listed = whole.select(F.col("vuln"), F.to_json(entry).alias("e")).agg(F.array_sort(F.collect_list(F.struct("vuln", "e"))).alias("vs"))
+    stamp = now.strftime("%Y-%m-%dT%H:%M:%SZ")
+    n = findings.agg(F.count_distinct("device").alias("products"))
+    cves = entries.where("is_cve").agg(F.count_distinct("vuln").alias("cves"))
+    counted = n.join(cves, F.lit(True))
+    notes = [F.struct(F.lit("description").alias("category"), F.lit("How this assessment was produced").alias("title"), F.lit("Made from an inventory and public advisories. known_affected: vendor, product and version matched; under_investigation: the version could not be established or compared.").alias("text"))]
+    if not addresses:
+        notes.append(F.struct(F.lit("other").alias("category"), F.lit("Device addresses").alias("title"), F.lit("Addresses are left out; each product says how many devices run it.").alias("text")))
+    if summary is not None:
+        counted = counted.join(summary.select("assets_considered", "assets_unidentified"), F.lit(True))
+        notes.append(F.when(F.col("assets_unidentified") > 0, F.struct(F.lit("other").alias("category"), F.lit("Coverage").alias("title"), F.format_string("%d of %d devices could not be identified and were not assessed; that says nothing of their exposure.", "assets_unidentified", "assets_considered").alias("text"))))
+    head = F.struct(
+        F.lit("csaf_vex").alias("category"), F.lit("2.0").alias("csaf_version"), F.format_string("Exposure of %d products to %d CVEs", "products", "cves").alias("title"), F.lit("en-US").alias("lang"),
+        F.struct(F.lit("user").alias("category"), F.lit(publisher).alias("name"), F.lit(namespace).alias("namespace")).alias("publisher"),
+        F.struct(F.lit(tracking or f"FENWATCH-{now:%Y%m%d-%H%M%S}").alias("id"), F.lit("final").alias("status"), F.lit("1").alias("version"), F.lit(stamp).alias("initial_release_date"), F.lit(stamp).alias("current_release_date"), F.array(F.struct(F.lit("1").alias("number"), F.lit(stamp).alias("date"), F.lit("Initial assessment").alias("summary"))).alias("revision_history")).alias("tracking"),
+        F.struct(F.struct(F.lit(tlp).alias("label")).alias("tlp")).alias("distribution"), F.array_compact(F.array(*notes)).alias("notes"),
+    )
+    one = tree.join(listed, F.lit(True)).join(counted, F.lit(True))  # one row each
+    parts = [F.lit('{"document":'), F.to_json(head), F.lit(',"product_tree":'), F.to_json(F.struct("full_product_names")), F.lit(',"vulnerabilities":['), F.array_join(F.transform("vs", lambda v: v["e"]), ","), F.lit("]}")]
+    return one.select(F.concat(*parts).alias("document"))
+
+
+def html_page(findings: DataFrame, most: int = 1000, summary: DataFrame | None = None) -> str:
+    """A page of the first `most` findings by priority, with every value escaped, a field that filters rows, and a note on what was not assessed."""
     rows = sheet(findings).limit(most).collect()
     cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values) + "</tr>"
-    return f"<!DOCTYPE html><meta charset='utf-8'><title>Findings</title><table>{cells('th', SHEET)}{''.join(cells('td', r) for r in rows)}</table>"
+    note = ""
+    if summary is not None and (s := summary.first()) and s["assets_unidentified"]:
+        note = f"<p>{s['assets_unidentified']} of {s['assets_considered']} devices could not be identified and were not assessed.</p>"
+    script = "<script>const q=document.getElementById('q');q.oninput=()=>{const n=q.value.trim().toLowerCase();document.querySelectorAll('tbody tr').forEach(r=>{r.hidden=!r.textContent.toLowerCase().includes(n)})}</script>"
+    return f"<!DOCTYPE html><meta charset='utf-8'><title>Findings</title>{note}<input id='q' placeholder='filter'><table><thead>{cells('th', SHEET)}</thead><tbody>{''.join(cells('td', r) for r in rows)}</tbody></table>{script}"
+
+
+def console_table(df: DataFrame, columns: list[str], most: int = 20) -> str:
+    """The first rows as aligned text, for a terminal: booleans yes or no, nulls blank."""
+    rows = [[("yes" if v else "no") if isinstance(v, bool) else "" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v) for v in r] for r in df.select(*columns).limit(most).collect()]
+    widths = [max(len(x) for x in column) for column in zip(columns, *rows, strict=True)]
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(r, widths, strict=True)).rstrip() for r in [columns, *rows])

@@ -59,7 +59,7 @@ def ot_vuln(d: Dialect) -> str:
     """A vulnerability for each line item."""
     return f"""SELECT 'feed' AS source, 'ADV-' || CAST(l_orderkey % 211 AS string) AS advisory_id, CASE WHEN l_linenumber % 7 <> 6 THEN 'CVE-2020-' || lpad(CAST(l_orderkey % 5000 AS string), 5, '0') END AS cve,
   CASE WHEN l_linenumber % 3 = 0 THEN {d.array("'P' || CAST(l_partkey AS string)", "'P' || CAST(l_partkey - l_partkey % 5 AS string)")} ELSE {d.keep(d.array("''"), 'x', 'false')} END AS affected,
-  CASE WHEN l_linenumber % 2 = 0 THEN '3.1' ELSE '2.0' END AS cvss_version, round(l_discount * 100, 1) AS base_score, CASE WHEN l_discount >= 0.09 THEN 'critical' WHEN l_discount >= 0.07 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium' ELSE 'low' END AS severity, l_returnflag = 'A' AS has_fix
+  CASE WHEN l_linenumber % 2 = 0 THEN '3.1' ELSE '2.0' END AS cvss_version, round(l_discount * 100, 1) AS base_score, CASE WHEN l_discount >= 0.09 THEN 'critical' WHEN l_discount >= 0.07 THEN 'high' WHEN l_discount >= 0.04 THEN 'medium' ELSE 'low' END AS severity, l_returnflag = 'A' AS has_fix, 'CVSS:3.' || CAST(l_linenumber % 2 AS string) || '/AV:' || l_returnflag || '/S:' || CAST(CAST(round(l_discount * 100) AS bigint) AS string) AS vector
 FROM «lineitem»"""
 
 

@@ -9,18 +9,23 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenwatch.sources.decoders import DECODED, Truncated, decode
+from fenwatch.functions import tables as L
+from fenwatch.operators.network import is_symmetric, server_of
+from fenwatch.sources.decoders import BY_PORT, DECODED, DECODED_TYPES, as_row, decode
 
-PACKETS = "file string, packet long, ts timestamp, link int, length int, src_mac string, dst_mac string, src string, dst string, transport string, src_port int, dst_port int, syn boolean, ack boolean, payload binary"
+PACKETS = (
+    "file string, packet long, ts timestamp, link int, length int, src_mac string, dst_mac string, src string, dst string, transport string, src_port int, dst_port int, syn boolean, ack boolean, payload binary,"
+    " lldp_name string, lldp_description string, lldp_port string, lldp_forwards boolean, warning string"
+)
 #: Bytes that a service's reassembly holds, and that one attempt decodes.
 HELD, TRIED = 1 << 16, 1 << 14
 
 
 def packets(stream) -> Iterator[tuple[float, int, int, bytes]]:
-    """(time, link, original length, bytes) of each packet; a truncated file gives what it has."""
+    """(time, link, original length, bytes) of each packet; a truncated file gives what it has, and then ends with EOFError."""
     head = stream.read(4)
     if head == b"\x0a\x0d\x0d\x0a":
         yield from _blocks(stream, head)
@@ -33,8 +38,10 @@ def packets(stream) -> Iterator[tuple[float, int, int, bytes]]:
     while len(h := stream.read(16)) == 16:
         seconds, part, kept, length = struct.unpack(f"{order}IIII", h)
         if len(data := stream.read(kept)) < kept:
-            return
+            raise EOFError
         yield seconds + part * fine, link, length, data
+    if h:
+        raise EOFError
 
 
 def _blocks(stream, kind: bytes) -> Iterator[tuple[float, int, int, bytes]]:
@@ -48,11 +55,11 @@ def _blocks(stream, kind: bytes) -> Iterator[tuple[float, int, int, bytes]]:
             stream.read(size - 12)
         else:
             if len(raw) < 4:
-                return
+                raise EOFError
             size = struct.unpack(f"{order}I", raw)[0]
             body = stream.read(size - 8)
             if len(body) < size - 8:
-                return
+                raise EOFError
             name = struct.unpack(f"{order}I", kind)[0]
             if name == 1:
                 links.append(struct.unpack_from(f"{order}H", body)[0])
@@ -71,6 +78,23 @@ def _blocks(stream, kind: bytes) -> Iterator[tuple[float, int, int, bytes]]:
         kind = stream.read(4)
 
 
+def neighbour(data: bytes) -> dict:
+    """Name, description, port and whether it forwards (bridge or router, enabled), of a device that announces itself over LLDP."""
+    out, at = {}, 0
+    texts = {4: "lldp_port", 5: "lldp_name", 6: "lldp_description"}
+    while at + 2 <= len(data):
+        head = struct.unpack_from(">H", data, at)[0]
+        kind, size = head >> 9, head & 0x1FF
+        value, at = data[at + 2 : at + 2 + size], at + 2 + size
+        if kind == 0:
+            break
+        if kind in texts:
+            out[texts[kind]] = " ".join(value.decode("utf-8", "replace").split())
+        elif kind == 7 and len(value) >= 4:
+            out["lldp_forwards"] = bool(value[3] & 0x14)
+    return out
+
+
 def layers(link: int, data: bytes) -> dict:
     """Addresses, ports, flags and payload of an Ethernet frame (or a bare IP packet); what is missing stays out."""
     out: dict = {}
@@ -84,6 +108,8 @@ def layers(link: int, data: bytes) -> dict:
             kind, at = struct.unpack_from(">H", data, at + 2)[0], at + 4
     elif data and data[0] >> 4 == 6:
         kind = 0x86DD
+    if kind == 0x88CC:
+        return out | {"transport": "lldp"} | neighbour(data[at:])
     if kind == 0x0806 and len(data) >= at + 28:
         return out | {"transport": "arp", "src_mac": data[at + 8 : at + 14].hex(":"), "src": socket.inet_ntoa(data[at + 14 : at + 18]), "dst": socket.inet_ntoa(data[at + 24 : at + 28])}
     if kind == 0x0800 and len(data) >= at + 20:
@@ -107,13 +133,18 @@ def layers(link: int, data: bytes) -> dict:
 
 
 def read_captures(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
-    """All packets of the captures under a path with their layers; most: packets of a file to read, 0 for all. Streams each file, so its size does not matter."""
+    """All packets of the captures under a path with their layers; most: packets of a file to read, 0 for all. Streams each file, so its size does not matter.
+
+    A file that is no capture, is truncated, or has more packets than `most`, adds a row with only file, packet (how
+    many were read) and warning.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     n = max(1, files.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PACKETS.split(", ")]
-        kinds = [pa.string(), pa.int64(), pa.timestamp("us", "UTC"), pa.int32(), pa.int32(), *[pa.string()] * 5, pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+        names = [c.split()[0] for c in PACKETS.split(",")]
+        text, whole = pa.string(), pa.int32()
+        kinds = [text, pa.int64(), pa.timestamp("us", "UTC"), whole, whole, *[text] * 5, whole, whole, pa.bool_(), pa.bool_(), pa.binary(), text, text, text, pa.bool_(), text]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for batch in batches:
             for file in batch.column("path").to_pylist():
@@ -122,53 +153,140 @@ def read_captures(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
                     sniff = raw.read(2)
                 with store.open_input_stream(at, compression=None) as raw:
                     stream = gzip.GzipFile(fileobj=raw) if sniff == b"\x1f\x8b" else raw
-                    rows, size = [], 0
-                    for k, (ts, link, length, data) in enumerate(packets(stream)):
-                        if most and k >= most:
-                            break
-                        rows.append({"file": file, "packet": k, "ts": round(ts * 1e6), "link": link, "length": length} | layers(link, data))
-                        size += len(data)
-                        if size > 1 << 22:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows, size = [], 0
+                    rows, size, k = [], 0, 0
+                    try:
+                        for ts, link, length, data in packets(stream):
+                            if most and k >= most:
+                                rows.append({"file": file, "packet": k, "warning": f"stopped after {k} packets"})
+                                break
+                            rows.append({"file": file, "packet": k, "ts": round(ts * 1e6), "link": link, "length": length} | layers(link, data))
+                            k, size = k + 1, size + len(data)
+                            if size > 1 << 22:
+                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                                rows, size = [], 0
+                    except EOFError:
+                        rows.append({"file": file, "packet": k, "warning": "the capture ends early"})
+                    except (ValueError, struct.error, IndexError, OSError):
+                        rows.append({"file": file, "packet": k, "warning": "not a readable capture"})
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.repartition(n).mapInArrow(run, PACKETS)
 
 
+def usable_ip(c: Column) -> Column:
+    """Whether an address can name one device: neither unspecified, nor a group's, nor the broadcast."""
+    part = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    four = c.rlike(f"^{part}([.]{part}){{3}}$") & ~c.isin("0.0.0.0", "255.255.255.255") & ~F.split_part(c, F.lit("."), F.lit(1)).try_cast("int").between(224, 239)
+    six = c.rlike("^[0-9a-fA-F]*:[0-9a-fA-F:.]+$") & (c != "::") & ~F.lower(c).startswith("ff")
+    return F.coalesce(four | six, F.lit(False))
+
+
+def usable_mac(c: Column) -> Column:
+    """Whether a hardware address is one device's: not a group's, and not zero."""
+    return F.coalesce(c.rlike("(?i)^[0-9a-f][02468ace](:[0-9a-f]{2}){5}$") & (c != "00:00:00:00:00:00"), F.lit(False))
+
+
+def protocol_of(port: Column) -> Column:
+    """A known port's protocol."""
+    return F.create_map(*(F.lit(v) for p, _, name, _ in L.PORTS for v in (p, name)))[port]
+
+
+def sided(found: DataFrame) -> DataFrame:
+    """Packets over TCP and UDP with client, server, port, from_server and symmetric."""
+    rows = found.where("transport IN ('tcp', 'udp')").withColumn("to", F.expr(f"({server_of()}) = 'dst'")).withColumn("symmetric", F.expr(is_symmetric()))
+    pick = lambda a, b: F.when(F.col("to"), F.col(a)).otherwise(F.col(b))
+    return rows.select("file", "packet", "ts", "length", "transport", "payload", "syn", "ack", "src", "src_port", pick("src", "dst").alias("client"), pick("dst", "src").alias("server"), pick("dst_port", "src_port").alias("port"), (~F.col("to")).alias("from_server"), "symmetric")
+
+
 def packet_flows(found: DataFrame) -> DataFrame:
-    """Packets as flow rows (src_addr, dst_addr, port, transport, packets, bytes, seen), the server's side chosen by flags, then by the lower port."""
-    rows = found.where("transport IN ('tcp', 'udp')")
-    to = F.when(F.col("syn") & ~F.col("ack"), True).when(F.col("syn") & F.col("ack"), False).otherwise(F.col("src_port") >= F.col("dst_port"))
-    flow = rows.select(F.when(to, F.col("src")).otherwise(F.col("dst")).alias("src_addr"), F.when(to, F.col("dst")).otherwise(F.col("src")).alias("dst_addr"), F.when(to, F.col("dst_port")).otherwise(F.col("src_port")).alias("port"), "transport", F.col("length").cast("long").alias("bytes"), F.col("ts").alias("seen"))
-    return flow.groupBy("src_addr", "dst_addr", "port", "transport").agg(F.count(F.lit(1)).alias("packets"), F.sum("bytes").alias("bytes"), F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
+    """Packets as flows (src_addr, dst_addr, port, transport, protocol, packets, bytes, first_seen, last_seen) from clients to servers, both with usable addresses."""
+    rows = sided(found).where(usable_ip(F.col("client")) & usable_ip(F.col("server")))
+    flows = rows.groupBy(F.col("client").alias("src_addr"), F.col("server").alias("dst_addr"), "port", "transport").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("length").cast("long")).alias("bytes"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return flows.withColumn("protocol", protocol_of(F.col("port")))
+
+
+def responses(found: DataFrame) -> DataFrame:
+    """Payloads that listeners sent (file, server, port, transport, packet, ts, payload); where both ends listen, the sender counts."""
+    rows = sided(found).where("length(payload) > 0 AND (from_server OR symmetric)")
+    who = F.when(F.col("symmetric"), F.col("src")).otherwise(F.col("server"))
+    port = F.when(F.col("symmetric"), F.col("src_port")).otherwise(F.col("port"))
+    return rows.select("file", who.alias("server"), port.alias("port"), "transport", "packet", "ts", "payload").where(usable_ip(F.col("server")))
+
+
+def http_banners(found: DataFrame) -> DataFrame:
+    """Servers' names of plain HTTP responses (server, port, transport, banner, seen), from the header of the first 4096 bytes."""
+    head = F.substring_index(F.decode(F.substring("payload", 1, 4096), "ISO-8859-1"), "\r\n\r\n", 1)
+    name = F.trim(F.regexp_replace(F.regexp_extract(head, r"(?i)\r\n[ \t]*server[ \t]*:([^\r\n]*)", 1), r"\s+", " "))
+    return responses(found).where(F.substring("payload", 1, 7) == F.lit("HTTP/1.").cast("binary")).select("server", "port", "transport", name.alias("banner"), F.col("ts").alias("seen")).where("banner <> ''")
+
+
+def open_ports(found: DataFrame, decoded: DataFrame | None = None) -> DataFrame:
+    """Services (addr, port, transport, protocol, banner, first_seen, last_seen) of listeners that answered: a handshake's answer, a payload, a datagram, or a decoded response."""
+    rows = sided(found)
+    answered = rows.where("from_server AND (length(payload) > 0 OR transport = 'udp' OR (syn AND ack))").select(F.col("server").alias("addr"), "port", "transport", F.col("ts").alias("seen"))
+    both = rows.where("symmetric AND length(payload) > 0").select(F.col("src").alias("addr"), F.col("src_port").alias("port"), "transport", F.col("ts").alias("seen"))
+    plain = answered.unionByName(both).where(usable_ip(F.col("addr"))).withColumn("protocol", F.lit(None).cast("string")).withColumn("banner", F.lit(None).cast("string"))
+    told = http_banners(found).select(F.col("server").alias("addr"), "port", "transport", "seen", F.lit("http").alias("protocol"), "banner")
+    if decoded is not None:
+        told = told.unionByName(decoded.where("protocol IS NOT NULL").select(F.col("server").alias("addr"), "port", "transport", F.col("ts").alias("seen"), "protocol", F.lit(None).cast("string").alias("banner")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seen"))).alias(c)
+    merged = plain.unionByName(told).groupBy("addr", "port", "transport").agg(first("protocol"), first("banner"), F.min("seen").alias("first_seen"), F.max(F.when(F.col("protocol").isNotNull(), F.col("seen"))).alias("told"))
+    return merged.select("addr", "port", "transport", F.coalesce("protocol", protocol_of(F.col("port"))).alias("protocol"), "banner", "first_seen", F.greatest("first_seen", "told").alias("last_seen"))
+
+
+def bindings(found: DataFrame) -> DataFrame:
+    """Which hardware address is whose (file, ip, mac), by capture: announced ones first, then those seen in frames; an address with several partners of a kind is a router's and is left out."""
+    rows = found.where("src_mac IS NOT NULL AND src IS NOT NULL").select("file", F.when(F.col("transport") == "arp", 0).otherwise(1).alias("kind"), F.col("src_mac").alias("mac"), F.col("src").alias("ip")).where(usable_mac(F.col("mac")))
+    own = rows.groupBy("file", "kind", "mac").agg(F.min("ip").alias("ip"), F.max("ip").alias("last")).where((F.col("ip") == F.col("last")) & usable_ip(F.col("ip")))
+    one = own.groupBy("file", "mac").agg(F.min_by("ip", "kind").alias("ip"), F.min("kind").alias("kind"))
+    return one.groupBy("file", "ip").agg(F.min_by("mac", F.struct("kind", "mac")).alias("mac"))
+
+
+def announcements(found: DataFrame) -> DataFrame:
+    """Devices that announced their address over ARP (file, ip, mac, seen), where the binding agrees."""
+    said = found.where("transport = 'arp'").groupBy("file", F.col("src").alias("ip"), F.col("src_mac").alias("mac")).agg(F.min("ts").alias("seen"))
+    return said.join(bindings(found), ["file", "ip", "mac"])
+
+
+def neighbours(found: DataFrame) -> DataFrame:
+    """Devices that announced themselves over LLDP (file, mac, ip, name, description, port, role, seen)."""
+    said = found.where("transport = 'lldp'").where(usable_mac(F.col("src_mac")))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("packet"))).alias(c)
+    one = said.groupBy("file", F.col("src_mac").alias("mac")).agg(last("lldp_name"), last("lldp_description"), last("lldp_port"), F.bool_or("lldp_forwards").alias("forwards"), F.min("ts").alias("seen"))
+    named = bindings(found).groupBy("file", "mac").agg(F.min("ip").alias("ip"))
+    return one.join(named, ["file", "mac"], "left").select("file", "mac", "ip", F.col("lldp_name").alias("name"), F.col("lldp_description").alias("description"), F.col("lldp_port").alias("port"), F.when(F.col("forwards"), "network-device").alias("role"), "seen")
 
 
 def reassemble(found: DataFrame) -> DataFrame:
-    """Decoded responses per service (file, src, src_port, transport): payloads are joined in packet order while a decoder calls them truncated and they stay within HELD bytes. Streams a partition sorted by service, holding one service's bytes."""
-    keys = ["file", "src", "src_port", "transport"]
-    rows = found.where("length(payload) > 0").select(*keys, "packet", "payload").repartition(*keys).sortWithinPartitions(*keys, "packet")
+    """Decoded responses per service (file, server, port, transport): payloads are joined in packet order while a decoder calls them truncated and they stay within HELD bytes. by_content: the port is not the protocol's.
+
+    An observation is kept if it brings a field's name that the service had not shown, or its first identity. Streams a
+    partition sorted by service, holding one service's bytes and field names.
+    """
+    keys = ["file", "server", "port", "transport"]
+    rows = responses(found).repartition(*keys).sortWithinPartitions(*keys, "packet")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, b""
-        text = pa.map_(pa.string(), pa.string())
-        schema = pa.schema([("file", pa.string()), ("src", pa.string()), ("src_port", pa.int32()), ("transport", pa.string()), ("packet", pa.int64()), ("verdict", pa.string()), ("protocol", pa.string()), ("error", pa.string()), ("role", pa.string()), ("fields", text), ("identity", text)])
+        now, held, known = None, b"", set()
+        schema = pa.schema([("file", pa.string()), ("server", pa.string()), ("port", pa.int32()), ("transport", pa.string()), ("packet", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("by_content", pa.bool_()), *DECODED_TYPES])
         for batch in batches:
             out = []
-            for *key, packet, payload in zip(*(batch.column(c).to_pylist() for c in [*keys, "packet", "payload"]), strict=True):
+            for *key, packet, ts, payload in zip(*(batch.column(c).to_pylist() for c in [*keys, "packet", "ts", "payload"]), strict=True):
                 if key != now:
-                    now, held = key, b""
-                held += payload
-                verdict, o = decode(held[:TRIED], key[2])
+                    now, held, known = key, b"", set()
+                held = (held + payload)[:TRIED]
+                verdict, seen = decode(held, key[2], further=True)
                 if verdict == "truncated" and len(held) < HELD:
                     continue
                 held = b""
-                if o is not None:
-                    out.append(dict(zip(keys, key, strict=True)) | {"packet": packet, "verdict": verdict, "protocol": o.protocol, "error": o.error or None, "role": o.role or None, "fields": list(o.fields.items()), "identity": list(o.identity.items())})
+                if seen is None:
+                    continue
+                told = {*seen.fields, *([None] if seen.identity else [])}
+                if told <= known and known:
+                    continue
+                known |= told
+                out.append(dict(zip(keys, key, strict=True)) | {"packet": packet, "ts": ts, "by_content": key[2] not in BY_PORT} | as_row(verdict, seen))
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return rows.mapInArrow(run, f"file string, src string, src_port int, transport string, packet long, {DECODED}")
-
-
-__all__ = ["Truncated", "layers", "packet_flows", "packets", "read_captures", "reassemble"]
+    return rows.mapInArrow(run, f"file string, server string, port int, transport string, packet long, ts timestamp, by_content boolean, {DECODED}")

@@ -1,24 +1,54 @@
-"""Readers of Zeek logs and Nmap reports, with Spark's own text, JSON and XML readers."""
+"""Readers of Zeek logs and Nmap reports, and what they tell of devices, services and flows."""
 
 from __future__ import annotations
 
+import gzip
+import io
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names of identity fields in analyzers' logs, by canonical field, in the order in which they are tried.
+from fenwatch.functions.dialect import SPARK
+from fenwatch.functions.text import mac_text
+from fenwatch.operators.network import answered
+from fenwatch.sources.captures import protocol_of, usable_ip, usable_mac
+from fenwatch.sources.observations import FLOW, SERVICE, blank, observed, shaped, with_address
+
+# Names of analyzers' logs, alone or before an underscore.
+CONTROL_LOGS = ["modbus", "bacnet", "enip", "cip", "s7comm", "dnp3", "opcua", "profinet", "ethercat", "iec104", "genisys", "synchrophasor", "hart", "omron", "fins", "ge_srtp", "bsap", "tds", "ecat"]
+# Fields of analyzers' logs by what they tell, in the order in which they are tried.
 IDENTITY_FIELDS = {
-    "vendor_raw": ["vendor", "vendor_name"],
-    "product_raw": ["product_name", "product", "device_name"],
-    "model": ["model", "model_name"],
-    "catalog_number": ["order_number", "product_code", "catalog_number"],
-    "firmware_raw": ["firmware", "firmware_version", "revision", "version"],
-    "serial": ["serial_number", "serial"],
+    "vendor": ["vendor", "vendor_name"],
+    "vendor_id": ["vendor_id"],
+    "product": ["product_name", "model_name", "device_model", "module_type", "cpu_type"],
+    "firmware": ["firmware_revision", "firmware_version", "application_software_version", "revision"],
+    "serial": ["serial_number"],
+    "catalog_number": ["module", "order_code"],
+    "hardware": ["basic_hardware", "hardware_revision"],
+    "device_type": ["device_type"],
+    "system_name": ["object_name"],
+    "plant": ["plant_identification"],
+}
+# What the facts above, and those of scan scripts, fill in an identity.
+FILLS = {"vendor": "vendor_raw", "product": "product_raw", "firmware": "firmware_raw", "serial": "serial", "catalog_number": "catalog_number", "hardware": "hardware_rev"}
+# Keys of scan scripts and what they tell.
+SCRIPTS = {
+    "s7-info": [("Module", "catalog_number"), ("Module Type", "product"), ("Version", "firmware"), ("Serial Number", "serial"), ("Basic Hardware", "basic_hardware"), ("System Name", "system_name"), ("Plant Identification", "plant_identification")],
+    "enip-info": [("Vendor", "vendor"), ("Product Name", "product"), ("Revision", "firmware"), ("Serial Number", "serial"), ("Device Type", "device_type"), ("Product Code", "product_code")],
+    "modbus-discover": [("Vendor", "vendor")],
+    "bacnet-info": [("Vendor Name", "vendor"), ("Model Name", "product"), ("Firmware", "firmware"), ("Application Software", "firmware"), ("Serial Number", "serial"), ("Object Name", "system_name"), ("Instance Number", "device_instance")],
 }
+RECORDS = "file string, record_no long, kind string, record map<string,string>, warning string"
 
 
-def file_kind(path: Column) -> Column:
+def file_kind(path: str) -> str:
     """A log's kind by its file name: what stands before the first dot."""
-    return F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"^([^.]+)", 1)
+    return path.rsplit("/", 1)[-1].split(".")[0]
 
 
 def epoch(c: Column) -> Column:
@@ -26,60 +56,239 @@ def epoch(c: Column) -> Column:
     return F.coalesce(F.timestamp_micros((c.try_cast("double") * 1_000_000).cast("long")), F.try_to_timestamp(c))
 
 
+def whole(c: Column) -> Column:
+    """A number that may be written with a fraction, without it."""
+    return c.try_cast("double").cast("long")
+
+
+def flag(c: Column) -> Column:
+    return F.when(F.lower(c).isin("t", "true"), True).when(F.lower(c).isin("f", "false"), False)
+
+
+def _text(value: object) -> str:
+    """A JSON scalar as logs spell it."""
+    if isinstance(value, bool):
+        return "T" if value else "F"
+    if isinstance(value, float):
+        return str(int(value)) if value.is_integer() and abs(value) < 1e15 else repr(value)
+    return "" if value is None else str(value)
+
+
+def _flat(value: dict, before: str = "") -> Iterator[tuple[str, str]]:
+    """Nested objects as dotted names; arrays joined by commas."""
+    for k, v in value.items():
+        if isinstance(v, dict):
+            yield from _flat(v, f"{before}{k}.")
+        elif v is not None:
+            yield before + k, ",".join(map(_text, v)) if isinstance(v, list) else _text(v)
+
+
+def log_records(lines: Iterator[str], kind: str) -> Iterator[tuple[int, str, dict[str, str] | None, str | None]]:
+    """(line number, kind, record, warning) of a log, tab-separated or of JSON lines. Directives hold from where they stand; unset fields are absent, empty ones ''."""
+    sep, inner, unset, empty, names = "\t", ",", "-", "(empty)", None
+    for k, line in enumerate(lines, 1):
+        line = line.rstrip("\r\n")
+        if line.startswith("#"):
+            name, _, value = line[1:].partition(" " if line.startswith("#separator") else sep)
+            match name.strip():
+                case "separator":
+                    sep = re.sub(r"^\\x([0-9a-fA-F]{2}).*$", lambda m: chr(int(m[1], 16)), value.strip()) or sep
+                case "set_separator":
+                    inner = value
+                case "unset_field":
+                    unset = value
+                case "empty_field":
+                    empty = value
+                case "path":
+                    kind = value or kind
+                case "fields":
+                    names = value.split(sep)
+        elif line.startswith("{"):
+            try:
+                yield k, kind, dict(_flat(json.loads(line))), None
+            except ValueError:
+                yield k, kind, None, "not a JSON object"
+        elif line:
+            if not names:
+                yield k, kind, None, "data before the names of fields; the rest of the file is left out"
+                return
+            cells = {n: "" if v == empty else v for n, v in zip(names, line.split(sep), strict=False) if v != unset}
+            yield k, kind, {n: v.replace(inner, ",") for n, v in cells.items()} if inner and inner != "," else cells, None
+
+
 def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    """Records (file, kind, ts, record: map) of the logs under a path, tab-separated or JSON lines, plain or gzipped.
+    """Records (file, record_no, kind, ts, record: map, warning) of the logs under a path, plain or gzipped.
 
-    Headers are taken per file and joined back by file name, a row per file; unset fields are absent, empty ones ''.
-    Nested JSON objects become dotted names, arrays are joined by commas. Lines of a file without a field header, and
-    lines that are no object, are left out.
+    Directives hold for the lines after them, so a file is streamed by one task; logs are rotated, and files are many.
+    Lines that cannot be read give a row with a warning and no record. A path without logs is an error.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log*").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    said = lambda name: F.max(F.when(F.col("value").startswith(f"#{name}"), F.regexp_extract("value", rf"^#{name}\s(.*)$", 1)))
-    heads = lines.where("value LIKE '#%'").groupBy("file").agg(said("fields").alias("fields"), said("unset_field").alias("unset"), said("empty_field").alias("empty"), said("path").alias("path"))
-    table = lines.where("value NOT LIKE '#%' AND value NOT LIKE '{%' AND value <> ''").join(heads.where("fields IS NOT NULL"), "file")
-    names, cells = F.split("fields", "\t"), F.split("value", "\t")
-    both = F.map_from_arrays(F.slice(names, 1, F.least(F.size(names), F.size(cells))), F.slice(cells, 1, F.least(F.size(names), F.size(cells))))
-    kept = F.transform_values(F.map_filter(both, lambda k, v: v != F.coalesce(F.col("unset"), F.lit("-"))), lambda k, v: F.when(v == F.coalesce(F.col("empty"), F.lit("(empty)")), F.lit("")).otherwise(v))
-    tabbed = table.select("file", F.coalesce("path", file_kind(F.col("file"))).alias("kind"), kept.alias("record"))
-    strings = "map<string,string>"
-    json = lines.where("value LIKE '{%'").select("file", F.from_json("value", strings).alias("m")).where("m IS NOT NULL")
-    nested = F.transform_keys(F.from_json(F.coalesce(F.col("m")["id"], F.lit("{}")), strings), lambda k, v: F.concat(F.lit("id."), k))
-    plain = F.transform_values(F.map_filter("m", lambda k, v: (k != "id") & v.isNotNull()), lambda k, v: F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), ",")).when(v == "true", "T").when(v == "false", "F").otherwise(v))
-    flat = json.select("file", F.coalesce(F.col("m")["_path"], file_kind(F.col("file"))).alias("kind"), F.map_concat(plain, F.map_filter(nested, lambda k, v: v.isNotNull())).alias("record"))
-    return tabbed.unionByName(flat).select("file", "kind", epoch(F.col("record")["ts"]).alias("ts"), "record")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{log,log.gz}").load(path).select("path")
+    n = files.count()
+    if not n:
+        raise ValueError(f"no logs under {path}")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = pa.string()
+        schema = pa.schema([("file", text), ("record_no", pa.int64()), ("kind", text), ("record", pa.map_(text, text)), ("warning", text)])
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                store, at = pyarrow.fs.FileSystem.from_uri(file)
+                with store.open_input_stream(at, compression=None) as raw:
+                    stream = gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw
+                    rows = []
+                    for k, kind, record, warning in log_records(io.TextIOWrapper(io.BufferedReader(stream), "utf-8", "replace"), file_kind(file)):
+                        rows.append({"file": file, "record_no": k, "kind": kind, "record": None if record is None else list(record.items()), "warning": warning})
+                        if len(rows) == 4096:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-def zeek_flows(records: DataFrame) -> DataFrame:
-    """Connections as flows (src_addr, dst_addr, port, transport, protocol, packets, bytes, seen), with the responder's state for operators that ask whether it answered."""
+    found = files.repartition(n).mapInArrow(run, RECORDS)
+    return found.select("file", "record_no", "kind", epoch(F.col("record")["ts"]).alias("ts"), "record", "warning")
+
+
+def service_name(c: Column) -> Column:
+    """The first service of a list that is named."""
+    return F.get(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: ~x.isin("", "-")), F.lit(0))
+
+
+def _connections(records: DataFrame) -> DataFrame:
     r = F.col("record")
-    whole = lambda *names: sum((F.coalesce(F.greatest(r[n].try_cast("double").cast("long"), F.lit(0)), F.lit(0)) for n in names[1:]), F.coalesce(F.greatest(r[names[0]].try_cast("double").cast("long"), F.lit(0)), F.lit(0)))
-    return records.where("kind = 'conn'").select(
-        r["id.orig_h"].alias("src_addr"), r["id.resp_h"].alias("dst_addr"), r["id.resp_p"].try_cast("int").alias("port"), r["proto"].alias("transport"), F.nullif(r["service"], F.lit("")).alias("protocol"),
-        whole("orig_pkts", "resp_pkts").alias("packets"), whole("orig_ip_bytes", "resp_ip_bytes").alias("bytes"), F.col("ts").alias("seen"), r["conn_state"].alias("state"), r["resp_pkts"].try_cast("long").alias("resp_pkts"), r["resp_ip_bytes"].try_cast("long").alias("resp_ip_bytes"),
+    seconds = r["duration"].try_cast("double")
+    count = lambda *names: sum((F.coalesce(F.greatest(whole(r[n]), F.lit(0)), F.lit(0)) for n in names), F.lit(0).cast("long"))
+    port = whole(r["id.resp_p"]).cast("int")
+    rows = records.where("kind = 'conn'").select(
+        "file", "record_no", F.col("record_no").alias("record_id"), r["id.orig_h"].alias("src_addr"), r["id.resp_h"].alias("dst_addr"), port.alias("port"), F.coalesce(blank(r["proto"]), F.lit("tcp")).alias("transport"), F.coalesce(service_name(r["service"]), protocol_of(port)).alias("protocol"),
+        count("orig_pkts", "resp_pkts").alias("packets"), count("orig_ip_bytes", "resp_ip_bytes").alias("bytes"), F.col("ts").alias("first_seen"), F.when(seconds >= 0, F.timestamp_micros(F.unix_micros("ts") + (seconds * 1_000_000).cast("long"))).otherwise(F.col("ts")).alias("last_seen"),
+        r["conn_state"].alias("state"), whole(r["resp_pkts"]).alias("resp_pkts"), whole(r["resp_ip_bytes"]).alias("resp_ip_bytes"),
     )
+    return rows.where(usable_ip(F.col("src_addr")) & usable_ip(F.col("dst_addr")) & F.col("port").isNotNull()).withColumn("answered", F.expr(answered()))
+
+
+def zeek_flows(records: DataFrame) -> DataFrame:
+    """Connections between usable addresses as flows."""
+    return shaped(_connections(records).withColumnRenamed("record_no", "record"), FLOW, "zeek")
+
+
+def zeek_services(records: DataFrame) -> DataFrame:
+    """Services of connections whose responder answered, and known services."""
+    r = F.col("record")
+    port = whole(r["port_num"]).cast("int")
+    known = records.where("kind = 'known_services'").select("file", F.col("record_no").alias("record"), r["host"].alias("addr"), port.alias("port"), F.coalesce(blank(r["port_proto"]), F.lit("tcp")).alias("transport"), F.coalesce(service_name(r["service"]), protocol_of(port)).alias("protocol"), F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen")).where(usable_ip(F.col("addr")) & F.col("port").isNotNull())
+    asked = _connections(records).where("answered").withColumn("addr", F.col("dst_addr")).withColumnRenamed("record_no", "record")
+    return shaped(asked, SERVICE, "zeek").unionByName(shaped(known, SERVICE, "zeek"))
+
+
+def is_control_log(kind: Column) -> Column:
+    return kind.rlike(f"^({'|'.join(CONTROL_LOGS)})(_|$)")
 
 
 def zeek_identities(records: DataFrame) -> DataFrame:
-    """Identity fields that analyzers of control protocols logged, by the address that sent them."""
+    """Identity facts that analyzers of control protocols logged (file, record_no, ts, kind, addr, peer, facts: map), by the address that sent them."""
     r = F.col("record")
-    fields = {k: F.coalesce(*(F.nullif(r[n], F.lit("")) for n in names)) for k, names in IDENTITY_FIELDS.items()}
-    sender = F.when(r["is_orig"].isin("T", "true"), r["id.orig_h"]).otherwise(r["id.resp_h"])
-    any_of = F.coalesce(*fields.values()).isNotNull()
-    return records.where(~F.col("kind").isin("conn", "dns", "dhcp", "software", "known_services", "known_hosts")).where(any_of).select(sender.alias("addr"), "kind", "ts", *(c.alias(k) for k, c in fields.items()))
+    told = [F.struct(F.lit(k).alias("key"), F.coalesce(*(F.when(blank(r[n]) != "-", blank(r[n])) for n in names)).alias("value")) for k, names in IDENTITY_FIELDS.items()]
+    facts = F.map_from_entries(F.filter(F.array(*told), lambda x: x["value"].isNotNull()))
+    by_client = F.coalesce(flag(r["is_orig"]), F.lit(False))
+    ends = [r["id.orig_h"], r["id.resp_h"]]
+    rows = records.where(is_control_log(F.col("kind"))).select("file", "record_no", "ts", "kind", F.when(by_client, ends[0]).otherwise(ends[1]).alias("addr"), F.when(by_client, ends[1]).otherwise(ends[0]).alias("peer"), facts.alias("facts"))
+    return rows.where(usable_ip(F.col("addr")))
+
 
+def zeek_observations(records: DataFrame) -> DataFrame:
+    """All that logs tell of devices: ends of connections, known hosts and services, leases, names, software, and identities."""
+    r = F.col("record")
+    rows = records.where("record IS NOT NULL").withColumn("seen", F.col("ts"))
 
+    def of(kind: str) -> DataFrame:
+        return rows.where(F.col("kind") == kind)
+
+    def seen_at(df: DataFrame, addr: Column, **columns: Column) -> DataFrame:
+        return observed(df.withColumn("addr", addr).where(usable_ip(F.col("addr"))), "zeek", **(with_address(F.col("addr")) | columns))
+
+    ends = _connections(records).withColumn("seen", F.col("first_seen"))
+    lease = F.coalesce(blank(r["client_addr"]), blank(r["requested_addr"]))
+    mac = F.expr(mac_text(SPARK, "record['mac']"))
+    query = F.regexp_replace(F.trim(r["query"]), r"\.$", "")
+    answers = of("dns").where(F.upper(r["qtype_name"]).isin("A", "AAAA") & (query != "")).withColumn("answer", F.explode(F.split(r["answers"], ",")))
+    banner = F.coalesce(blank(r["unparsed_version"]), blank(r["name"]))
+    told = zeek_identities(records).withColumn("seen", F.col("ts"))
+    named = told.where(F.size("facts") > 0)
+    fill = {v: F.col("facts")[k] for k, v in FILLS.items()}
+    line = F.format_string("identity read from the %s log at line %d", F.col("kind"), F.col("record_no"))
+    parts = [
+        seen_at(ends, F.col("src_addr")),
+        seen_at(ends, F.col("dst_addr")),
+        seen_at(of("known_hosts"), r["host"]),
+        seen_at(of("known_services").where(whole(r["port_num"]).isNotNull()), r["host"]),
+        observed(of("dhcp").withColumn("addr", lease).where(usable_ip(F.col("addr"))), "zeek", ipv4=F.col("addr"), mac=F.when(usable_mac(mac), mac), hostname=r["host_name"], protocol=F.lit("dhcp"), endpoint=F.col("addr"), fields=F.create_map(F.lit("dhcp_host_name"), F.coalesce(r["host_name"], F.lit("")), F.lit("dhcp_domain"), F.coalesce(r["domain"], F.lit(""))), notes=F.array(F.lit("name and address from the device's own request for a lease"))),
+        seen_at(answers, F.trim("answer"), hostname=query),
+        seen_at(of("software").where(banner.isNotNull()), r["host"], protocol=F.lit("software"), endpoint=r["host"], fields=F.create_map(F.concat(F.lit("zeek_software."), F.coalesce(blank(r["software_type"]), F.lit("unknown"))), banner), notes=F.array(F.lit("a banner, kept beside the identity"))),
+        seen_at(told, F.col("peer")),
+        seen_at(named, F.col("addr"), protocol=F.col("kind"), endpoint=F.col("addr"), fields=F.transform_keys("facts", lambda k, v: F.concat("kind", F.lit("."), k)), notes=F.array(line), **fill),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+_ELEM = "elem:array<struct<_key:string,_VALUE:string>>"
+_TABLE = f"table:array<struct<{_ELEM},table:array<struct<{_ELEM},table:array<struct<{_ELEM}>>>>>>"
+_SCRIPT = f"array<struct<_id:string,_output:string,{_ELEM},{_TABLE}>>"
 NMAP = (
-    "status struct<_state:string>, _starttime long, _endtime long, address array<struct<_addr:string,_addrtype:string,_vendor:string>>, hostnames struct<hostname:array<struct<_name:string>>>,"
-    "ports struct<port:array<struct<_protocol:string,_portid:int,state:struct<_state:string>,service:struct<_name:string,_product:string,_version:string,_extrainfo:string>,script:array<struct<_id:string,_output:string,elem:array<struct<_key:string,_VALUE:string>>>>>>>"
+    "status struct<_state:string>, _starttime long, _endtime long, address array<struct<_addr:string,_addrtype:string,_vendor:string>>, hostnames struct<hostname:array<struct<_name:string>>>, os struct<osmatch:array<struct<_name:string>>>, "
+    f"hostscript struct<script:{_SCRIPT}>, ports struct<port:array<struct<_protocol:string,_portid:int,state:struct<_state:string>,service:struct<_name:string,_product:string,_version:string,_extrainfo:string>,script:{_SCRIPT}>>>"
 )
 
 
+def _facts(script: Column) -> Column:
+    """A script's keys and values, those of tables within it (three deep) included; of a repeated key the last counts."""
+    none = F.array().cast("array<struct<_key:string,_VALUE:string>>")
+    below = lambda tables, deeper: F.flatten(F.transform(F.coalesce(tables, F.array()), deeper))
+    own = lambda t: F.coalesce(t["elem"], none)
+    every = F.concat(own(script), below(script["table"], lambda t: F.concat(own(t), below(t["table"], lambda u: F.concat(own(u), below(u["table"], own))))))
+    return F.transform(F.filter(every, lambda e: F.coalesce(e["_key"] != "", F.lit(False))), lambda e: F.struct(script["_id"].alias("script"), e["_key"].alias("key"), F.trim(e["_VALUE"]).alias("value")))
+
+
 def read_nmap(spark: SparkSession, path: str) -> DataFrame:
-    """Hosts that are up: ipv4, ipv6, mac, hostname, seen and open ports (port, transport, protocol, banner, facts of scripts). Hosts that are down are left out."""
-    hosts = spark.read.format("xml").option("rowTag", "host").schema(NMAP).load(path).where("status._state = 'up'")
-    addr = lambda kind: F.get(F.filter("address", lambda a: a["_addrtype"] == kind), F.lit(0))["_addr"]
-    banner = lambda s: F.concat_ws(" ", s["_product"], s["_version"], s["_extrainfo"])
+    """Hosts that are up: file, record_no, ipv4, ipv6, mac, mac_vendor, hostname, os, seen, facts of scripts, and open ports (port, transport, protocol, banner). Hosts that are down, or have no address, are left out.
+
+    The time is the host's end or start, else the run's start.
+    """
+    hosts = spark.read.format("xml").option("rowTag", "host").schema(NMAP).load(path).select("*", F.col("_metadata.file_path").alias("file"))
+    hosts = hosts.where("coalesce(status._state, 'up') = 'up'")
+    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", r'<nmaprun[^>]*\sstart="([0-9]+)"', 1).alias("start")).where("start <> ''").groupBy("file").agg(F.max(F.col("start").cast("long")).alias("run_start"))
+    addr = lambda kind, what="_addr": F.try_element_at(F.filter("address", lambda a: a["_addrtype"] == kind), F.lit(-1))[what]
+    named = lambda c: F.get(F.filter(F.coalesce(c, F.array()), lambda h: F.coalesce(h["_name"] != "", F.lit(False))), F.lit(0))["_name"]
+    banner = lambda s: F.concat_ws(" ", *(blank(s[c]) for c in ("_product", "_version", "_extrainfo")))
     open_ports = F.filter(F.coalesce(F.col("ports.port"), F.array()), lambda p: p["state"]["_state"] == "open")
-    facts = lambda p: F.flatten(F.transform(F.coalesce(p["script"], F.array()), lambda s: F.transform(F.coalesce(s["elem"], F.array()), lambda e: F.struct(s["_id"].alias("script"), e["_key"].alias("key"), e["_VALUE"].alias("value")))))
-    services = F.transform(open_ports, lambda p: F.struct(p["_portid"].alias("port"), p["_protocol"].alias("transport"), p["service"]["_name"].alias("protocol"), banner(p["service"]).alias("banner"), facts(p).alias("facts")))
-    return hosts.select(addr("ipv4").alias("ipv4"), addr("ipv6").alias("ipv6"), F.lower(addr("mac")).alias("mac"), F.get(F.col("hostnames.hostname"), F.lit(0))["_name"].alias("hostname"), F.timestamp_seconds(F.coalesce("_endtime", "_starttime")).alias("seen"), services.alias("services"))
+    services = F.transform(open_ports, lambda p: F.struct(p["_portid"].alias("port"), F.coalesce(blank(p["_protocol"]), F.lit("tcp")).alias("transport"), F.coalesce(protocol_of(p["_portid"]), p["service"]["_name"]).alias("protocol"), banner(p["service"]).alias("banner")))
+    scripts = F.concat(F.coalesce(F.col("hostscript.script"), F.array().cast(_SCRIPT)), F.flatten(F.transform(open_ports, lambda p: F.coalesce(p["script"], F.array().cast(_SCRIPT)))))
+    times = [F.when(F.col(c) > 0, F.col(c)) for c in ("_endtime", "_starttime", "run_start")]
+    out = hosts.join(heads, "file", "left").select(
+        "file", F.monotonically_increasing_id().alias("record_no"), addr("ipv4").alias("ipv4"), addr("ipv6").alias("ipv6"), addr("mac").alias("raw_mac"), addr("mac", "_vendor").alias("mac_vendor"), named(F.col("hostnames.hostname")).alias("hostname"), named(F.col("os.osmatch")).alias("os"),
+        F.timestamp_seconds(F.coalesce(*times)).alias("seen"), F.flatten(F.transform(scripts, _facts)).alias("facts"), services.alias("services"),
+    )
+    out = out.withColumn("mac", F.coalesce(F.expr(mac_text(SPARK, "raw_mac")), F.lower(F.trim("raw_mac")))).drop("raw_mac")
+    return out.where(F.coalesce("ipv4", "ipv6", "mac", "hostname").isNotNull())
+
+
+def nmap_services(hosts: DataFrame) -> DataFrame:
+    """Open ports of scanned hosts as services."""
+    rows = hosts.select("file", F.col("record_no").alias("record"), F.coalesce("ipv4", "ipv6", "mac", "hostname").alias("addr"), F.explode("services").alias("s"), F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen"))
+    return shaped(rows.select("*", "s.*").drop("s"), SERVICE, "nmap")
+
+
+def nmap_observations(hosts: DataFrame) -> DataFrame:
+    """Scanned hosts with the identity that scripts tell; of several facts for a field the first in the table's order counts. banners: what text sniffing may read."""
+
+    def value(script: str, key: str) -> Column:
+        found = F.try_element_at(F.filter("facts", lambda f: (f["script"] == script) & (f["key"] == key)), F.lit(-1))["value"]
+        return F.when((found != "") & (found != "-"), found)
+
+    keyed = [(script, key, what) for script, pairs in SCRIPTS.items() for key, what in pairs]
+    fill = {column: F.coalesce(*(value(s, k) for s, k, w in keyed if w == what)) for what, column in FILLS.items() if any(w == what for *_, w in keyed)}
+    told = [F.struct(F.lit(f"{s}.{k}").alias("key"), value(s, k).alias("value")) for s, k, _ in keyed]
+    told += [F.struct(F.lit("mac_oui_vendor").alias("key"), F.col("mac_vendor").alias("value")), F.struct(F.lit("nmap_os_match").alias("key"), F.col("os").alias("value"))]
+    fields = F.map_from_entries(F.filter(F.array(*told), lambda x: x["value"].isNotNull()))
+    return observed(hosts, "nmap", ipv4=F.col("ipv4"), ipv6=F.col("ipv6"), mac=F.col("mac"), hostname=F.col("hostname"), endpoint=F.coalesce("ipv4", "ipv6", "mac", "hostname"), fields=fields, notes=F.array(F.lit("read from a scan's report; nothing was sent")), **fill)

@@ -5,6 +5,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from fenwatch.functions import text as X
 from fenwatch.functions.dialect import operator
 from fenwatch.operators import lookups as L
@@ -26,7 +28,7 @@ def test_vendors(spark):
         "Siemens Energy AG": ("siemens-energy", "exact"),
         "Nobody": (None, "none"),
     }
-    got = {r["name"]: (r["vendor"], r["method"]) for r in L.lookup_vendors(spark.createDataFrame([(k,) for k in cases], "name string")).collect()}
+    got = {r["name"]: (r["vendor"], r["method"]) for r in L.lookup_vendors(spark.createDataFrame([(k,) for k in cases], "name string"), L.BUILTIN_VENDORS()).collect()}
     assert got == cases
 
 
@@ -38,7 +40,7 @@ def test_families(spark):
         ("abb", "CPU 1214C"): (None, "none", False),
         (None, "Relion 670 series"): ("Relion 670", "exact", False),
     }
-    got = {(r["vendor"], r["name"]): (r["display"], r["method"], r["via_model"]) for r in L.lookup_families(spark.createDataFrame(list(cases), "vendor string, name string")).collect()}
+    got = {(r["vendor"], r["name"]): (r["display"], r["method"], r["via_model"]) for r in L.lookup_families(spark.createDataFrame(list(cases), "vendor string, name string"), L.BUILTIN_FAMILIES()).collect()}
     assert got == cases
 
 
@@ -81,7 +83,8 @@ def test_identity_comparison(spark):
         node("same code", code="6ES72141AG40"), node("cpe", cpe="cpe:2.3:h:v:6es7_214-1ag40"), node("other code", code="9999", name="CPU 1214C"),
         node("exact", model="CPU-1214C"), node("within", name="CPU 1214C firmware versions"), node("family", family="Family One"), node("finer", family="Family One", model="CPU 1217C"), node("generic", product="controller"), node("short", name="PLC"),
     ]
-    got = {(r["sig_a"], r["sig_p"]): (r["strength"], r["more_specific"]) for r in M.compare_identities(spark.createDataFrame(assets, ASSETS), spark.createDataFrame(nodes, NODES), spark.createDataFrame([], "of_vendor string, name string")).collect()}
+    a, n, names = spark.createDataFrame(assets, ASSETS), spark.createDataFrame(nodes, NODES), spark.createDataFrame([], "of_vendor string, name string")
+    got = {(r["sig_a"], r["sig_p"]): (r["strength"], r["more_specific"]) for r in M.compare_identities(a, n, M.asset_fields(a, names), M.node_fields(n, names)).collect()}
     assert got == {
         ("code", "same code"): (3, False), ("code", "cpe"): (3, False), ("model", "exact"): (2, False), ("model", "within"): (2, False), ("model", "other code"): (2, False),
         ("model", "family"): (1, False), ("model", "finer"): (1, True), ("family", "family"): (1, False), ("family", "finer"): (1, True),
@@ -108,8 +111,65 @@ def test_classification_and_states(spark):
 
 
 def test_targets(spark):
-    got = [r["address"] for r in P.expand_targets(spark.createDataFrame([("10.0.0.0/30",), ("10.0.0.2-10.0.0.4",), ("10.0.0.7",), ("10.0.1.0/31",)], "spec string")).orderBy("n").collect()]
-    assert got == ["10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.4", "10.0.0.7", "10.0.1.0", "10.0.1.1"]
+    specs = lambda *x: spark.createDataFrame([(s,) for s in x], "spec string")
+    got = [r["address"] for r in P.expand_targets(specs("10.0.0.0/30", "10.0.0.2-10.0.0.4", "10.0.0.7", "10.0.1.0/31", " ", "fd00::1", "fd00::/127")).orderBy("n", "address").collect()]
+    assert got == ["fd00::", "fd00::1", "10.0.0.1", "10.0.0.2", "10.0.0.3", "10.0.0.4", "10.0.0.7", "10.0.1.0", "10.0.1.1"]
+    for wrong in ("10.0.0.0/15", "plc.example", "10.0.0.9-10.0.0.1", "10.0.0.300", "10.0.0.0/33", "fd00::/64", "fd00::zz"):
+        with pytest.raises(ValueError):
+            P.expand_targets(specs("10.0.0.1", wrong))
+    with pytest.raises(ValueError):
+        P.expand_targets(specs("10.0.0.0/20", "10.1.0.0/20"))
+    assert P.expand_specs(specs("10.0.0.0/15")).count() == (1 << 17) - 2
+
+
+def test_policies_templates_and_estimates(spark):
+    policies = spark.createDataFrame([("a", {}, "safe"), ("b", {"delay_s": 0.01, "packets_per_s": 9.0, "least_attempts": 0.0}, "odd")], "id string, settings map<string,double>, risk string")
+    assert {(r["id"], r["setting"]) for r in P.policy_faults(policies).collect()} == {("b", "delay_s"), ("b", "packets_per_s"), ("b", "least_attempts"), ("b", "risk")}
+    kind = "id string, summary string, protocol string, port int, transport string, risk string, risk_note string, steps array<struct<purpose:string,request:string>>"
+    templates = spark.createDataFrame([("modbus-id", "s", "modbus", 502, "tcp", "safe", None, [("p", "r")]), ("Odd id", "", "fox", 0, "sctp", "caution", "", [("", "r")]), ("empty", "s", "enip", 1, "tcp", "safe", None, None)], kind)
+    faults = [r["id"] for r in P.template_faults(templates, ["modbus", "enip"]).collect()]
+    assert faults.count("Odd id") == 7 and faults.count("empty") == 1 and faults.count("modbus-id") == 0
+    assert P.select_templates(templates, ["modbus-id"]).count() == 1 and P.select_templates(templates, []).count() == 3
+    with pytest.raises(ValueError):
+        P.select_templates(templates, ["nothing"])
+    plan = spark.createDataFrame([(2, "safe"), (3, "caution"), (4, "other")], "packets int, risk string")
+    assert tuple(P.estimate_plan(plan, 2.0, 0.25, "caution").first()) == (2, 5, 2)
+    assert tuple(P.estimate_plan(plan.limit(0)).first()) == (0, 0, 0)
+
+
+def test_audits(spark, tmp_path):
+    import json
+
+    lines = [{"kind": "run"}] + [{"timestamp": f"2024-01-01T00:00:0{k}Z", "target": "10.0.0.1:502", "template_id": "modbus-id", "protocol": "modbus", "outcome": o, "response": "01 02"} for k, o in enumerate(["answered", "no-answer", "unreachable", "skipped-denied", "answered", "answered"])]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    audit = P.read_audit(spark, str(tmp_path))
+    assert bytes(audit.first()["response"]) == b"\x01\x02"
+    assert tuple(P.audit_totals(audit).first())[1:] == (5, 3, 2, 1)
+    (r,) = P.abort_points(P.audit_outcomes(audit)).collect()
+    assert (r["sent"], r["failed"], r["abort_at"] is not None) == (5, 2, True)
+
+
+def test_table_faults_and_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "v.json").write_text(json.dumps([{"id": "acme", "display": "Acme", "aliases": ["acme corp"]}, {"id": "bolt", "display": "Bolt", "version_scheme": "abb"}]))
+    table = L.read_vendors(spark, str(tmp_path / "v.json"))
+    assert {r["vendor"] for r in L.lookup_vendors(spark.createDataFrame([("ACME Corp.",)], "name string"), table).collect()} == {"acme"}
+    (tmp_path / "w.json").write_text(json.dumps([{"id": "acme", "display": "Acme", "aliases": ["shared"]}, {"id": "bolt", "display": "Bolt", "aliases": ["Shared"]}]))
+    with pytest.raises(ValueError, match="several vendors: shared"):
+        L.read_vendors(spark, str(tmp_path / "w.json"))
+    (tmp_path / "f.json").write_text(json.dumps([{"id": "m", "vendor": "acme", "display": "M One", "models": ["m 100"]}]))
+    families = L.read_families(spark, str(tmp_path / "f.json"))
+    (r,) = L.lookup_families(spark.createDataFrame([("acme", "M 100")], "vendor string, name string"), families).collect()
+    assert (r["display"], r["via_model"]) == ("M One", True)
+
+
+def test_sniffed_texts(spark):
+    texts = {
+        1: ("Siemens, SIMATIC NET, SCALANCE X208, 6GK5 208-0BA10-2AA3, HW: Version 5", "siemens", "6GK5 208-0BA10-2AA3"), 2: ("Rockwell 1756-L81E/B LOGIX", "rockwell-automation", "1756-L81E/B"), 3: ("nothing here", None, None), 4: (None, None, None), 5: ("1756-L81E, in a sentence", None, "1756-L81E"), 6: ("2080-LC20 of no vendor", None, None), 7: ("", None, None),
+    }
+    got = L.sniffed(spark.createDataFrame([(k, v[0]) for k, v in texts.items()], "id int, text string"), L.BUILTIN_VENDORS(), L.BUILTIN_PARSERS())
+    assert {r["id"]: (r["vendor"], r["code"]) for r in got.collect()} == {k: v[1:] for k, v in texts.items()}
 
 
 def test_resolved_assets(spark):
