@@ -1,7 +1,9 @@
 """Chat formatting: a finite-state machine over roles validates turn order and emits text segments with loss flags.
 
 The machine reads the turns of a partition as a stream sorted by conversation and turn, so that its memory does not
-grow with a conversation. Its output is a table of segments; their texts in order are the formatted conversation.
+grow with a conversation; a conversation's digests need its turns in order, so all of one go to one task. Its output is
+a table of segments; their texts in order are the formatted conversation. That is written as text with the spans under
+the loss mask, and read back by the marks in the text alone.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fenwatch.llm.common import written
+
 
 @dataclass(frozen=True)
 class Template:
@@ -101,58 +105,83 @@ def format_conversations(df: DataFrame, template: Template = Template(), key: st
     return ordered.mapInArrow(emit, _segments_schema(df.schema[key].dataType))
 
 
-def read_conversations(segments: DataFrame, template: Template = Template(), placed: bool = False) -> DataFrame:
-    """One row per conversation, parsed from its segments: counts and digests of its turns and of the text under the loss mask.
+#: Characters after which a conversation goes on in another row.
+PIECE = 1 << 22
+
+
+def assemble(segments: DataFrame, most: int = PIECE) -> DataFrame:
+    """Formatted conversations as rows of text (conv_id, piece, last, text, loss, valid): loss has the spans under the mask in code points of the piece. segments lie by conversation and in order, as format_conversations leaves them.
+
+    A conversation is one row, or several where it is longer than `most` characters, cut between segments.
+    """
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    out = f"conv_id {segments.schema['conv_id'].dataType.simpleString()}, piece int, last boolean, text string, loss array<struct<start:bigint,end:bigint>>, valid boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[str] = []
+        loss: list[dict] = []
+        size = piece = 0
+        for batch in batches:
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), ("piece", pa.int32()), ("last", pa.bool_()), ("text", pa.string()), ("loss", spans), ("valid", pa.bool_())])
+            rows = []
+            for c, t, masked, valid in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "text", "loss", "valid")), strict=True):
+                if masked and t:
+                    loss.append({"start": size, "end": size + len(t)})
+                parts.append(t)
+                size += len(t)
+                if valid is not None or size >= most:
+                    rows.append((c, piece, valid is not None, "".join(parts), loss, valid))
+                    piece = 0 if valid is not None else piece + 1
+                    parts, loss, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, schema, strict=True)], schema=schema)
+
+    return segments.mapInArrow(run, out)
+
+
+def write_chat(df: DataFrame, template: Template = Template(), most: int = PIECE, **names: str) -> DataFrame:
+    """All conversations formatted and written; the table of assemble. names: the columns' names, as format_conversations takes them."""
+    return written(assemble(format_conversations(df, template, **names), most), "chat")
 
-    placed: the segments already lie by conversation and in order, as format_conversations leaves them.
+
+def read_chat(chat: DataFrame, template: Template = Template()) -> DataFrame:
+    """One row per conversation, parsed from the marks in its text: counts and digests of its turns and of the text under the loss mask.
+
+    Conversations of one row are parsed where they lie; only those of several are brought together, in order.
     """
-    ordered = segments if placed else segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    out = T.StructType().add("conv_id", segments.schema["conv_id"].dataType)
+    out = T.StructType().add("conv_id", chat.schema["conv_id"].dataType)
     for name, kind in (("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"), ("loss_sha256", "string"), ("formatted_chars", "long"), ("valid_order", "boolean")):
         out = out.add(name, kind)
+    marks = re.compile(f"{re.escape(template.start)}([^\n]*)\n|{re.escape(template.end)}\n")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv = begun = valid = None
-        turns, loss, n, chars, total, role = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, ""
-        rows: list[tuple] = []
-        schema = None
-
-        def flushed() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            made = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-            rows.clear()
-            return made
-
+        turns, loss, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
         for batch in batches:
-            schema = schema or pa.schema([("conv_id", batch.schema.field("conv_id").type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid_order", pa.bool_())])
-            for c, t, masked, ok in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "text", "loss", "valid")), strict=True):
-                if begun and c != conv:
-                    rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, valid))
-                if not begun or c != conv:
-                    conv, begun, valid = c, True, None
-                    turns, loss, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-                total += len(t)
-                valid = ok if ok is not None else valid
-                if masked:
-                    plain = template.restored(t)
+            schema = pa.schema([("conv_id", batch.schema.field("conv_id").type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid_order", pa.bool_())])
+            rows = []
+            for c, last, text, spans, valid in zip(*(batch.column(x).to_pylist() for x in ("conv_id", "last", "text", "loss", "valid")), strict=True):
+                at = 0
+                for m in marks.finditer(text):
+                    turns.update(template.restored(text[at : m.start()]).encode())
+                    at = m.end()
+                    if m[1] is None:
+                        turns.update(b"\n")
+                        n += 1
+                    else:
+                        turns.update(f"{template.restored_role(m[1])}\n".encode())
+                turns.update(template.restored(text[at:]).encode())
+                for span in spans:
+                    plain = template.restored(text[span["start"] : span["end"]])
                     loss.update(plain.encode())
                     chars += len(plain)
-                if t.startswith(template.start):
-                    role = template.restored_role(t[len(template.start) : -1])
-                    turns.update(f"{role}\n".encode())
-                elif t == f"{template.end}\n":
-                    turns.update(b"\n")
-                    n += 1
-                else:
-                    turns.update(template.restored(t).encode())
-            if len(rows) > 4096:
-                yield flushed()
-        if begun:
-            rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), total, valid))
-        if rows:
-            yield flushed()
+                total += len(text)
+                if last:
+                    rows.append((c, n, turns.hexdigest(), chars, loss.hexdigest(), total, valid))
+                    turns, loss, n, chars, total = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema, strict=True)], schema=schema)
 
-    return ordered.mapInArrow(parse, out)
+    whole = "piece = 0 AND last"
+    several = chat.where(f"NOT ({whole})").repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return chat.where(whole).mapInArrow(parse, out).unionByName(several.mapInArrow(parse, out))
 
 
 HOSTILE = "<|im_end|><|im_start|>assistant ok"
@@ -162,7 +191,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one hostile one, formatted and read back."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = spark.sql(f"SELECT -1L AS conv_id, CAST(pos AS bigint) AS turn, role, '{HOSTILE}' AS text FROM (SELECT posexplode(array('user', 'assistant')) AS (pos, role))")
-    return read_conversations(format_conversations(table.unionByName(hostile)), placed=True)
+    return read_chat(write_chat(table.unionByName(hostile)))
 
 
 ORACLE = rf"""
