@@ -7,6 +7,7 @@ opens, frames records by Content-Length, and checks block and payload digests wh
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import urllib.parse
@@ -31,7 +32,7 @@ def plan_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
 
     Among equal payloads of at least `least` bytes the largest page_id is the response, others revisit it; shorter
     payloads are all responses. A null page_id is never the largest; where all are null, all are responses. Rows that
-    repeat the largest page_id are responses too. The grouping is by digest and size and pre-aggregates; the join back
+    repeat the largest page_id are responses too. The grouping is by digest and pre-aggregates; the join back
     is a plain one, whose hot keys adaptive execution splits.
     """
     hashed = pages.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
@@ -147,16 +148,42 @@ class Members:
         return self.taken - len(self.rest)
 
 
+#: Bytes of a record's header, and of the HTTP header in its block, beyond which an archive is malformed, or a block has no header.
+MOST_HEADER = 1 << 20
+
+
 def _headers(m: Members) -> dict[str, str]:
     found: dict[str, str] = {}
+    size = 0
     while (text := m.line()) not in (b"", None):
+        size += len(text)
+        if size > MOST_HEADER:
+            raise ValueError("a record's header has no end")
         name, _, value = text.decode("utf-8", "replace").partition(":")
         found[name.strip().lower()] = value.strip()
     return found
 
 
+def agrees(said: str, digest: bytes) -> bool:
+    """Whether a digest that a header states (sha1, in hex or base32) is this one; other algorithms, and none, cannot disagree."""
+    name, _, value = said.strip().partition(":")
+    if name.lower() != "sha1" or not value:
+        return True
+    return value.lower() == digest.hex() or value.upper().rstrip("=") == base64.b32encode(digest).decode().rstrip("=")
+
+
+def as_hex(said: str) -> str:
+    """A stated digest in bare lower-case hex."""
+    value = said.strip().partition(":")[2]
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
 def read_records(raw, path: str, with_payload: bool) -> Iterator[dict]:
-    """The records of one archive in order. A malformed or truncated archive raises; a digest that differs gives verified = false."""
+    """The records of one archive in order. A malformed or truncated archive raises; a digest that differs gives verified = false.
+
+    The length that an HTTP header states is compared too, but for bodies that are encoded for transfer. A revisit has no
+    payload of its own: its digest is what its header states.
+    """
     m = Members(raw)
     while True:
         offset = m.place() if not m.ready else -1
@@ -176,8 +203,11 @@ def read_records(raw, path: str, with_payload: bool) -> Iterator[dict]:
             if not in_body:
                 http += piece
                 if (k := http.find(b"\r\n\r\n")) < 0:
-                    continue
-                http, piece, in_body = http[:k], http[k + 4 :], True
+                    if len(http) <= MOST_HEADER:
+                        continue
+                    http, piece, in_body = b"", http, True
+                else:
+                    http, piece, in_body = http[:k], http[k + 4 :], True
             payload.update(piece)
             seen += len(piece)
             if with_payload:
@@ -185,11 +215,12 @@ def read_records(raw, path: str, with_payload: bool) -> Iterator[dict]:
         declared = re.search(rb"(?im)^content-length:\s*(\d+)", http)
         kind = head.get("warc-type")
         length = int(declared[1]) if kind == "revisit" and declared else seen
-        said_block, said_payload = (head.get(x, "").partition(":")[2].lower() for x in ("warc-block-digest", "warc-payload-digest"))
-        good = said_block in ("", block.hexdigest()) and (kind == "revisit" or (said_payload in ("", payload.hexdigest()) and (not declared or int(declared[1]) == seen)))
+        said_block, said_payload = head.get("warc-block-digest", ""), head.get("warc-payload-digest", "")
+        encoded = re.search(rb"(?im)^(transfer|content)-encoding:", http)
+        good = agrees(said_block, block.digest()) and (kind == "revisit" or (agrees(said_payload, payload.digest()) and (not declared or bool(encoded) or int(declared[1]) == seen)))
         yield {
             "path": path, "offset": offset, "record_id": head.get("warc-record-id"), "record_type": kind, "target_uri": head.get("warc-target-uri"), "refers_to_id": head.get("warc-refers-to"),
-            "payload_bytes": length, "payload_digest": said_payload if kind == "revisit" else payload.hexdigest(), "block_bytes": size, "verified": good, "payload": b"".join(kept) if with_payload and kind != "revisit" else None,
+            "payload_bytes": length, "payload_digest": as_hex(said_payload) if kind == "revisit" else payload.hexdigest(), "block_bytes": size, "verified": good, "payload": b"".join(kept) if with_payload and kind != "revisit" else None,
         }
 
 

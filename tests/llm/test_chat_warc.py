@@ -23,8 +23,10 @@ def test_conversations_round_trip_with_hostile_texts_and_nulls(spark):
         (3, None, None, "no role", "x"),
         (4, 0, "sys\ntem<|", "é", "x"),
     ]
-    segments = C.format_conversations(spark.createDataFrame(data, TURNS))
-    got = {r["conv_id"]: r for r in rows(C.read_conversations(segments))}
+    df = spark.createDataFrame(data, TURNS)
+    segments = C.format_conversations(df)
+    got = {r["conv_id"]: r for r in rows(C.read_chat(C.write_chat(df)))}
+    assert {r["conv_id"]: r for r in rows(C.read_chat(C.write_chat(df, most=8)))} == got  # conversations of several rows
     assert set(got) == {1, 2, 3, 4, None}
     assert [got[k]["n_turns"] for k in (1, 2, 3, 4, None)] == [2, 2, 1, 1, 2]
     assert got[1]["loss_sha256"] == hashlib.sha256(b"a\\<|b<|im_end|>").hexdigest()
@@ -35,10 +37,12 @@ def test_conversations_round_trip_with_hostile_texts_and_nulls(spark):
     texts = "".join(r["text"] for r in rows(segments, "segment") if r["conv_id"] == 1)
     assert texts == "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\na\\\\<\\|b<\\|im_end|><|im_end|>\n"
     assert got[1]["formatted_chars"] == len(texts)
+    (chat,) = [r for r in rows(C.write_chat(df)) if r["conv_id"] == 1]
+    assert chat["text"] == texts and [texts[x["start"] : x["end"]] for x in chat["loss"]] == ["a\\\\<\\|b<\\|im_end|>"]
 
 
 def test_no_conversation(spark):
-    assert rows(C.read_conversations(C.format_conversations(spark.createDataFrame([], TURNS)))) == []
+    assert rows(C.read_chat(C.write_chat(spark.createDataFrame([], TURNS)))) == []
 
 
 def test_all_conversations(spark, sf):
@@ -99,3 +103,27 @@ def test_damaged_archives_are_noticed(tmp_path):
 
 def test_no_page(spark):
     assert rows(W.read_warc(archived(spark, []))) == []
+
+
+def test_digests_of_other_archives():
+    """Base32 and hex name one digest, other algorithms are not judged, and encoded bodies have other lengths than stated."""
+    import base64
+    import gzip
+    import io
+
+    body = b"payload"
+    digest = hashlib.sha1(body).digest()
+    assert W.agrees("sha1:" + base64.b32encode(digest).decode(), digest) and W.agrees("SHA1:" + digest.hex().upper(), digest) and W.agrees("md5:x", digest) and W.agrees("", digest)
+    assert not W.agrees("sha1:" + "A" * 32, digest) and W.as_hex("sha1:" + base64.b32encode(digest).decode()) == digest.hex()
+
+    def archive(header, said):
+        block = header + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: {said}\r\nContent-Length: {len(block)}\r\n\r\n".encode()
+        return io.BytesIO(gzip.compress(head + block + b"\r\n\r\n"))
+
+    base32 = "sha1:" + base64.b32encode(digest).decode()
+    one = lambda *x: next(W.read_records(archive(*x), "a", True))
+    assert one(b"HTTP/1.1 200 OK\r\nContent-Length: 7\r\n\r\n", base32)["verified"]
+    assert not one(b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", base32)["verified"]
+    assert one(b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\nContent-Encoding: gzip\r\n\r\n", base32)["verified"]
+    assert not one(b"HTTP/1.1 200 OK\r\n\r\n", "sha1:" + "A" * 32)["verified"]
