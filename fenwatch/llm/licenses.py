@@ -67,6 +67,22 @@ KNOWN = [
     ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("GPL-2.0-only", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-only"),
+    ("AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
 ]
 
 
@@ -77,11 +93,11 @@ def canonical_line(c: Column) -> Column:
 
 
 def spelled(c: Column) -> Column:
-    """Canonical words with one spelling for equivalent ones."""
-    padded = F.concat(F.lit(" "), c, F.lit(" "))
+    """Canonical words with one spelling for equivalent ones. Words stand between two spaces, so that neighbours are told apart."""
+    padded = F.concat(F.lit(" "), F.replace(c, F.lit(" "), F.lit("  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        padded = F.replace(padded, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(padded)
+        padded = F.replace(padded, F.lit(f" {a.replace(' ', '  ')} "), F.lit(f" {b.replace(' ', '  ')} "))
+    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
 
 
 def canonical_lines(c: Column) -> Column:
@@ -130,10 +146,10 @@ def _oracle() -> str:
     lines = lambda c: f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {line}), lambda x: x <> '')"
 
     def one(c: str) -> str:
-        c = f"' ' || {c} || ' '"
+        c = f"' ' || replace({c}, ' ', '  ') || ' '"
         for a, b in SPELLINGS:
-            c = f"replace({c}, ' {a} ', ' {b} ')"
-        return f"trim({c})"
+            c = f"replace({c}, ' {a.replace(' ', '  ')} ', ' {b.replace(' ', '  ')} ')"
+        return f"trim(replace({c}, '  ', ' '))"
 
     values = ", ".join(f"({q(a)}, {q(b)})" for a, b in KNOWN)
     whole = one("array_to_string(lines, ' ')")

@@ -47,6 +47,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert {r["key"] for r in got} == {f"key{k}" for k in range(0, 9_000, 7)}
 
 
+def test_neighbouring_spellings(spark):
+    """Equivalent words become one, also side by side and across a pair's inner space."""
+    from pyspark.sql import functions as F
+
+    texts = ["licence licence licence", "license license license", "sub licence sub license", "copyright owner copyright owners per cent"]
+    got = [r["s"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", L.spelled(F.col("t")).alias("s")).orderBy("k").collect()]
+    assert got == ["license license license", "license license license", "sublicense sublicense", "copyright holder copyright holders percent"]
+
+
 def test_licenses(spark):
     mit = L._MIT.replace("copyright", "Copyright").replace(" ", "\n", 5)
     docs = [
