@@ -128,7 +128,7 @@ def build_findings(d: Dialect) -> str:
     vulnerabilities give findings without CVEs. Those of an advisory with the same products are rolled up first.
     """
     tier_rank = d.lookup("tier", L.TIERS)
-    by = d.struct(a="substring(cvss_version, 1, 1)", b="base_score", c="cve")
+    by = d.struct(a="substring(cvss_version, 1, 1)", b="base_score", c="cve", e="vector")
     best = d.struct(rank=by, base="base_score", vector="vector", severity="severity")
     own = ["asset_id", "source", "advisory_id", "product_id", "strength", "more_specific", "reason", "result", "n_also", "tier", "matched"]
     applies = f"({d.size('v.affected')} = 0 OR {d.overlap('v.affected', 'g.matched')})"

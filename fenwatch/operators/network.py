@@ -147,7 +147,7 @@ def usable_macs(d: Dialect) -> str:
 
 def assets_in_order(assets: DataFrame) -> DataFrame:
     """Assets by IPv4 number, those without one after them, then by their first address and id."""
-    primary = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("ipv4", "ipv6", "mac", "hostname")))
+    primary = F.coalesce(*(F.nullif(c, F.lit("")) for c in ("ipv4", "ipv6", "mac", "hostname") if c in assets.columns))
     return assets.orderBy(F.expr(X.ipv4_key(SPARK, "ipv4")).asc_nulls_last(), primary, "asset_id")
 
 

@@ -15,6 +15,7 @@ from fenwatch.operators.resolution import resolve_assets
 from fenwatch.plans.graph import written
 from fenwatch.sources import captures as C
 from fenwatch.sources import logs
+from fenwatch.sources.decoders import BY_PORT, decode_payloads
 from fenwatch.sources.observations import ADDRESSES, FLOW, IDENTITY, SERVICE, observed, shaped, with_address
 
 
@@ -144,6 +145,19 @@ def ingest(spark: SparkSession, captures: str | None = None, scans: str | None =
     return merge_inventory(every, union(services, SERVICE), union(flows, FLOW), union(warnings, "file string, record long, warning string"))
 
 
+def probed(audit: DataFrame) -> Inventory:
+    """An inventory of the responses in runs' audits (as planning.read_audit gives them), each decoded by its protocol; a refusal still tells that the device speaks it."""
+    spark = audit.sparkSession
+    port = F.create_map(*(F.lit(x) for p, name in BY_PORT.items() for x in (name, p)))
+    asked = written(audit.where("response IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), F.regexp_extract("target", r"^\[?(.*?)\]?:([0-9]+)$", 1).alias("addr"), F.regexp_extract("target", r":([0-9]+)$", 1).try_cast("int").alias("at_port"), F.coalesce("transport", F.lit("tcp")).alias("transport"), "template_id", port[F.col("protocol")].alias("port"), F.col("response").alias("payload"), F.col("timestamp").alias("seen"), F.col("run").alias("file")))
+    told = asked.join(decode_payloads(asked), "id").withColumn("record_no", F.col("id"))
+    refused = F.when(F.col("error").isNotNull(), F.array(F.concat(F.lit("refused: "), "error"))).otherwise(F.array().cast("array<string>"))
+    notes = F.concat(F.coalesce("notes", F.array().cast("array<string>")), refused, F.when(F.col("protocol").isNull(), F.array(F.lit("the reply could not be read"))).otherwise(F.array().cast("array<string>")))
+    seen = observed(told, "probe", **with_address(F.col("addr")), **{c: F.col("identity")[c] for c in IDENTITY}, role=F.col("role"), protocol=F.col("protocol"), endpoint=F.concat_ws(":", "addr", "at_port"), fields=F.col("fields"), notes=notes, response=F.col("payload"))
+    services = shaped(told.where("protocol IS NOT NULL").drop("port").select("file", F.col("id").alias("record"), "addr", F.col("at_port").alias("port"), "transport", "protocol", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen")), SERVICE, "probe")
+    return merge_inventory(seen, services, spark.createDataFrame([], FLOW), spark.createDataFrame([], "file string, record long, warning string"))
+
+
 def identities_of(inventory: Inventory) -> DataFrame:
     """An inventory's assets as the identities that the match takes."""
     none = F.lit(None).cast("string")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Sources in the order in which their word counts.
-AUTHORITY = {"pcap": 0, "nmap": 1, "zeek": 2}
+AUTHORITY = {"pcap": 0, "nmap": 1, "zeek": 2, "probe": 3}
 ADDRESSES = ["ipv4", "ipv6", "mac", "hostname"]
 IDENTITY = ["vendor_raw", "product_raw", "family", "model", "catalog_number", "firmware_raw", "hardware_rev", "serial"]
 TEXTS = [*ADDRESSES, *IDENTITY, "role", "protocol", "endpoint"]

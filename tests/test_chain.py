@@ -147,6 +147,17 @@ def test_faults_and_replacement(spark):
     assert {r["advisory_id"] for r in C.replace_source(corpus, advisories.where("place = 5")).collect()} == {"C", "kept"}
 
 
+def test_probed_inventory(spark, tmp_path):
+    from fenwatch.operators.planning import read_audit
+
+    lines = [{"timestamp": "2024-01-01T00:00:00Z", "target": "10.0.0.1:5020", "protocol": "modbus", "outcome": "answered", "response": modbus_reply().hex(" ")}, {"timestamp": "2024-01-01T00:00:01Z", "target": "10.0.0.2:502", "protocol": "modbus", "outcome": "answered", "response": "00 07 00 00 00 03 01 ab 01"}, {"timestamp": "2024-01-01T00:00:02Z", "target": "10.0.0.3:502", "protocol": "modbus", "outcome": "no-answer"}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    inv = I.probed(read_audit(spark, str(tmp_path)))
+    assert {r["ipv4"]: r["catalog_number"] for r in inv.assets.collect()} == {"10.0.0.1": "AC-100", "10.0.0.2": None}
+    assert {r["port"] for r in inv.services.collect()} == {5020, 502}
+    assert any("refused: illegal function" in r["notes"] for r in inv.evidence.collect())
+
+
 def test_frames_of_odd_sizes_are_survived():
     from fenwatch.sources.captures import layers
 

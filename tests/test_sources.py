@@ -257,14 +257,49 @@ def test_feeds(spark, tmp_path):
     products = {r["product_id"]: r for r in F.csaf_products(advisories).collect()}
     assert products["P1"]["version_raw"] == "4.5" and products["P1"]["warning"] and products["P2"]["vendor_raw"] == "Siemens"
     (v,) = F.csaf_vulnerabilities(advisories).collect()
-    assert (v["cve"], v["affected"], v["cvss_version"], v["base_score"], v["has_fix"]) == ("CVE-2020-1234", ["P1"], "3.1", 9.8, True)
+    assert (v["cve"], v["affected"], v["cvss_version"], v["base_score"], v["has_fix"], v["severity"], v["remediations"][0]["details"]) == ("CVE-2020-1234", ["P1"], "3.1", 9.8, True, "critical", "update")
+    (tmp_path / "csaf" / "c.json").write_text("{}")
+    (tmp_path / "csaf" / "d.json").write_text((tmp_path / "csaf" / "a.json").read_text())
+    assert sorted((r["file"][-6:], r["why"]) for r in F.csaf_rejects(F.landed(spark, str(tmp_path / "csaf"))).collect()) == [("b.json", "a web page"), ("c.json", "no tracking id"), ("d.json", "listed before")]
     (tmp_path / "kev").mkdir()
     (tmp_path / "kev" / "k.json").write_text(json.dumps({"vulnerabilities": [{"cveID": " cve-2021-44228", "dateAdded": "2021-12-10", "knownRansomwareCampaignUse": "KNOWN"}, {"cveID": "junk"}]}))
     (k,) = F.read_kev(F.read_documents(spark, str(tmp_path / "kev"))).collect()
     assert k["cve"] == "CVE-2021-44228" and k["ransomware"] and str(k["added"]) == "2021-12-10"
     with gzip.open(tmp_path / "epss.csv.gz", "wt") as f:
         f.write("#model_version:v1,score_date:2024-01-01\ncve,epss,percentile\nCVE-2021-44228,0.97,0.99\nCVE-2020-1234,bad,0.1\njunk,1,1\n")
+    assert str(F.read_epss(spark, str(tmp_path / "epss.csv.gz")).first()["model_date"]) == "2024-01-01"
     assert {r["cve"]: r["score"] for r in F.read_epss(spark, str(tmp_path / "epss.csv.gz")).collect()} == {"CVE-2021-44228": 0.97, "CVE-2020-1234": 0.0}
     (tmp_path / "sheet.csv").write_text('icsad_ID,Products Affected\nA1,"PLC < 2.0 | HMI >= 1 | Name"\n')
     cells = sorted((r["place"], r["name"], r["version"]) for r in F.read_sheet(spark, str(tmp_path / "sheet.csv"), "ICSAD-ID", "products_affected").collect())
     assert cells == [(0, "PLC", "< 2.0"), (1, "HMI", ">= 1"), (2, "Name", "")]
+
+
+def test_advisory_sheet(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(
+        'ICS-CERT Number,ICS-CERT Advisory Title,Vendor,Product,Products Affected,CVE Number,Cumulative CVSS,CVSS Severity,CWE Number,Original Release Date\n'
+        'ICSA-24-001,"A  title",Acme,M1,"M1 < 2.0 | >= 3 | M2","CVE-2024-0001, CVE-2024-0002;junk",9.8,,CWE-79,3/1/2024\nICSA-24-001,Later,Acme,M3,,CVE-2024-0001,1.0,,,\nICSA-24-002,B,Acme,,,CVE-2024-0003,0,,,2024-02-03\n,none,Acme,x,,,,,,\n'
+    )
+    got = {k: v.collect() for k, v in F.read_advisory_sheet(spark, str(tmp_path / "s.csv")).items()}
+    assert {(r["advisory_id"], r["title"], str(r["published"])) for r in got["advisories"]} == {("ICSA-24-001", "A title", "2024-03-01"), ("ICSA-24-002", "B", "2024-02-03")}
+    assert {(r["product_id"], r["name"], r["version_raw"]) for r in got["products"]} == {("ICSA-24-001-1", "Acme M1", "< 2.0"), ("ICSA-24-001-2", "Acme M2", ""), ("ICSA-24-001-3", "Acme M3", "")}
+    by = {r["cve"]: r for r in got["vulnerabilities"]}
+    assert (by["CVE-2024-0001"]["base_score"], by["CVE-2024-0001"]["severity"], by["CVE-2024-0001"]["cwe_id"]) == (9.8, "critical", "CWE-79") and len(by["CVE-2024-0002"]["affected"]) == 3 and by["CVE-2024-0003"]["base_score"] is None
+    assert len(got["warnings"]) == 2
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        F.read_advisory_sheet(spark, str(tmp_path / "t.csv"))
+
+
+def test_lookups_and_feeds(spark, tmp_path):
+    metric = lambda kind, score: [{"type": kind, "cvssData": {"version": "3.1", "vectorString": "CVSS:3.1/x", "baseScore": score}}]
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.json").write_text(json.dumps({"vulnerabilities": [{"cve": {"id": "CVE-2024-0001", "descriptions": [{"lang": "es", "value": "x"}, {"lang": "en", "value": "an  error"}], "weaknesses": [{"description": [{"lang": "en", "value": "NVD-none"}, {"lang": "en", "value": "CWE-20"}]}], "metrics": {"cvssMetricV31": metric("Primary", 7.5), "cvssMetricV30": metric("Secondary", 9.9)}}}]}))
+    (tmp_path / "n" / "b.json").write_text(json.dumps({"vulnerabilities": []}))
+    nvd = F.read_nvd(F.read_documents(spark, str(tmp_path / "n")))
+    (r,) = nvd.collect()
+    assert (r["cve"], r["description"], r["cwe_id"], r["base_score"], r["severity"], len(r["scores"])) == ("CVE-2024-0001", "an error", "CWE-20", 7.5, "high", 1)
+    vulns = spark.createDataFrame([("CVE-2024-0001", None, None, None, None, None), ("CVE-2024-0001", "3.1", 5.0, "v", "medium", "CWE-1"), ("CVE-1", None, None, None, None, None)], "cve string, cvss_version string, base_score double, vector string, severity string, cwe_id string")
+    assert sorted((r["cve"], r["base_score"] or 0, r["cwe_id"] or "", r["filled"]) for r in F.fill_from_nvd(vulns, nvd).collect()) == [("CVE-1", 0, "", False), ("CVE-2024-0001", 5.0, "CWE-1", False), ("CVE-2024-0001", 7.5, "CWE-20", True)]
+    feed = {"feed": {"entry": [{"updated": "2024-05-01T00:00:00Z", "link": [{"rel": "hash", "href": "a.sha"}, {"rel": "self", "href": "https://x/a.json"}]}, {"updated": "2020-01-01T00:00:00Z", "link": [{"rel": "self", "href": "https://x/b.JSON"}]}, {"link": [{"rel": "self", "href": "https://x/c.json"}]}]}}
+    feeds = spark.createDataFrame([(json.dumps(feed),)], "value string")
+    assert {r["url"] for r in F.feed_documents(feeds, "2023-01-01").collect()} == {"https://x/a.json", "https://x/c.json"}
