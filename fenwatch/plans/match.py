@@ -69,7 +69,7 @@ FROM «a» p LEFT JOIN «b» c ON p.id = c.id LEFT JOIN «c» r ON coalesce(p.ve
 )
 
 # the match
-SIGNED_ASSETS = select(lambda d: f"SELECT id AS asset_id, vendor, vendor_raw, model, product, product_raw, family, catalog_number, firmware, {M.signature(d, M.SIGNED_ASSET)} AS sig_a FROM «a» WHERE coalesce(vendor, '') <> ''", CANONICAL)
+SIGNED_ASSETS = select(lambda d: f"SELECT id AS asset_id, vendor, vendor_raw, model, product, product_raw, family, catalog_number, firmware, {M.signature(d, M.SIGNED_ASSET)} AS sig_a, {M.signature(d, [*M.SIGNED_ASSET, 'firmware'])} AS group_id FROM «a» WHERE coalesce(vendor, '') <> ''", CANONICAL)
 SIGNED_NODES = select(lambda d: f"SELECT *, {M.signature(d, M.SIGNED_NODE)} AS sig_p FROM «a» WHERE coalesce(vendor, '') <> ''", NODES)
 ASSET_SIGNATURES = select(f"SELECT DISTINCT sig_a, {', '.join(M.SIGNED_ASSET)} FROM «a»", SIGNED_ASSETS, kept=True)
 NODE_SIGNATURES = select(f"SELECT DISTINCT sig_p, {', '.join(M.SIGNED_NODE)} FROM «a»", SIGNED_NODES, kept=True)
@@ -104,7 +104,17 @@ VERDICTS = Node(V.evaluate_ranges, CHECKS, kept=True)
 CANDIDATES = select("SELECT p.*, v.result, v.comparator, v.explanation FROM «a» p JOIN «b» v ON p.check_id = v.id", PAIRS, VERDICTS, kept=True)
 GRADED = Node(M.grade_candidates, CANDIDATES)
 ENRICHED = Node(M.enriched_vulnerabilities, VULNERABILITIES, KEV, EPSS)
-FINDINGS = Node(M.build_findings, GRADED, ENRICHED)
+# devices of one identity and version have the same findings, so these are made once a group (which stands for the asset),
+# from what no version rules out, and then handed to the group's devices
+GROUPED = select(
+    lambda d: f"""SELECT a.group_id AS asset_id, n.source, n.advisory_id, n.product_id, s.strength, s.more_specific, s.reason, v.result
+FROM (SELECT DISTINCT group_id, sig_a, vendor, firmware FROM «a») a JOIN «b» s ON a.sig_a = s.sig_a JOIN (SELECT DISTINCT sig_p, version_raw FROM «c») r ON s.sig_p = r.sig_p
+JOIN «d» v ON {d.struct(a='a.firmware', b='a.vendor', c='r.version_raw')} = v.id JOIN «c» n ON r.sig_p = n.sig_p AND r.version_raw IS NOT DISTINCT FROM n.version_raw WHERE v.result <> 'not_affected'""",
+    SIGNED_ASSETS, STRENGTHS, SIGNED_NODES, VERDICTS,
+)
+FINDING_GROUPS = Node(M.build_findings, Node(M.grade_candidates, GROUPED), ENRICHED)
+_OF_GROUP = ["source", "advisory_id", "product_id", "strength", "more_specific", "reason", "result", "n_also", "tier", "cves", "n_cves", "kev", "epss", "cvss", "vector", "severity", "fix_available", "matched", "score", "priority"]
+FINDINGS = select(f"SELECT a.asset_id || ':' || g.advisory_id || ':' || g.product_id AS finding_id, a.asset_id, {', '.join(f'g.{c}' for c in _OF_GROUP)} FROM «a» g JOIN (SELECT asset_id, group_id FROM «b») a ON g.asset_id = a.group_id", FINDING_GROUPS, SIGNED_ASSETS)
 SUMMARY = Node(M.summarize_findings, FINDINGS, ROUTES, CANDIDATES)
 
 
