@@ -118,32 +118,43 @@ def severity_rank(d: Dialect, x: str) -> str:
     return f"coalesce({d.lookup(f"coalesce({x}, '')", L.SEVERITIES)}, 0)"
 
 
-@operator("graded", "vulns")
+@operator("vulns")
+def roll_up_vulnerabilities(d: Dialect) -> str:
+    """vulns (source, advisory_id, cve, affected, cvss_version, base_score, vector, severity, has_fix, kev, epss) of an advisory with the same products, as one: CVEs, best score, KEV, EPSS, fix and worst severity. The best score has the highest major version, then the highest base."""
+    by = d.struct(a="substring(cvss_version, 1, 1)", b="base_score", c="cve", e="vector")
+    best = d.struct(rank=by, base="base_score", vector="vector", severity="severity")
+    return f"""
+SELECT source, advisory_id, affected, {d.sorted_set('cve')} AS cves, bool_or(kev) AS kev, max(epss) AS epss, {d.last_by(best, by)} FILTER (WHERE base_score IS NOT NULL) AS best, bool_or(has_fix) AS has_fix, {d.last_by('severity', severity_rank(d, 'severity'))} FILTER (WHERE severity IS NOT NULL) AS worst
+FROM «vulns» GROUP BY source, advisory_id, affected"""
+
+
+@operator("graded", "rolled")
 def build_findings(d: Dialect) -> str:
     """graded with the vulnerabilities that apply rolled up: CVEs, best CVSS, KEV, EPSS, fix, score and priority.
 
-    vulns (source, advisory_id, cve, affected, cvss_version, base_score, vector, severity, has_fix, kev, epss): one
-    applies if it names no product or one that matched. The best score has the highest major version, then the highest
-    base; without a score the severity is the advisory's worst. A repeated CVE counts once; advisories without
-    vulnerabilities give findings without CVEs. Those of an advisory with the same products are rolled up first.
+    rolled: what roll_up_vulnerabilities gives. One applies if it names no product, or one that matched, which meet by
+    equality. Without a score the severity is the advisory's worst. A repeated CVE counts once; advisories without
+    vulnerabilities give findings without CVEs.
     """
     tier_rank = d.lookup("tier", L.TIERS)
-    by = d.struct(a="substring(cvss_version, 1, 1)", b="base_score", c="cve", e="vector")
-    best = d.struct(rank=by, base="base_score", vector="vector", severity="severity")
     own = ["asset_id", "source", "advisory_id", "product_id", "strength", "more_specific", "reason", "result", "n_also", "tier", "matched"]
-    applies = f"({d.size('v.affected')} = 0 OR {d.overlap('v.affected', 'g.matched')})"
+    key = ["asset_id", "source", "advisory_id"]
     base = "CASE strength WHEN 3 THEN CAST(0.6 AS double) WHEN 2 THEN CAST(0.5 AS double) ELSE CAST(0.4 AS double) END - CASE WHEN more_specific THEN CAST(0.2 AS double) ELSE 0 END + CASE WHEN result = 'affected' THEN CAST(0.35 AS double) ELSE 0 END"
+    of = "v.cves, v.kev, v.epss, v.best, v.has_fix"
     return f"""
-WITH v AS (
-  SELECT source, advisory_id, affected, {d.sorted_set('cve')} AS cves, bool_or(kev) AS kev, max(epss) AS epss, {d.last_by(best, by)} FILTER (WHERE base_score IS NOT NULL) AS best, bool_or(has_fix) AS has_fix, {d.last_by('severity', severity_rank(d, 'severity'))} FILTER (WHERE severity IS NOT NULL) AS worst
-  FROM «vulns» GROUP BY source, advisory_id, affected),
+WITH w AS (SELECT source, advisory_id, {d.last_by('worst', severity_rank(d, 'worst'))} FILTER (WHERE worst IS NOT NULL) AS worst FROM «rolled» GROUP BY source, advisory_id),
+m AS (SELECT asset_id, source, advisory_id, p FROM {d.unnest('«graded»', 'matched', 'p')}),
+x AS (SELECT source, advisory_id, p, cves, kev, epss, best, has_fix FROM {d.unnest(f"(SELECT * FROM «rolled» WHERE {d.size('affected')} > 0) y", 'affected', 'p')}),
+met AS (
+  SELECT g.asset_id, g.source, g.advisory_id, {of} FROM «graded» g JOIN «rolled» v ON g.source = v.source AND g.advisory_id = v.advisory_id WHERE {d.size('v.affected')} = 0
+  UNION ALL SELECT m.asset_id, m.source, m.advisory_id, {of} FROM m JOIN x v ON m.source = v.source AND m.advisory_id = v.advisory_id AND m.p = v.p),
 r AS (
-  SELECT {', '.join(f'g.{c}' for c in own)}, {d.merged_sets(f'CASE WHEN {applies} THEN v.cves END')} AS cve_set, coalesce(bool_or(v.kev AND {applies}), false) AS kev, coalesce(max(CASE WHEN {applies} THEN v.epss END), 0) AS epss,
-    {d.last_by('v.best', 'v.best.rank')} FILTER (WHERE v.best IS NOT NULL AND {applies}) AS best, coalesce(bool_or(v.has_fix AND {applies}), false) AS fix_available, {d.last_by('v.worst', severity_rank(d, 'v.worst'))} FILTER (WHERE v.worst IS NOT NULL) AS worst
-  FROM «graded» g LEFT JOIN v ON g.source = v.source AND g.advisory_id = v.advisory_id GROUP BY {', '.join(f'g.{c}' for c in own)}),
+  SELECT {', '.join(key)}, {d.merged_sets('cves')} AS cve_set, coalesce(bool_or(kev), false) AS kev, coalesce(max(epss), 0) AS epss, {d.last_by('best', 'best.rank')} FILTER (WHERE best IS NOT NULL) AS best, coalesce(bool_or(has_fix), false) AS fix_available
+  FROM met GROUP BY {', '.join(key)}),
 s AS (
-  SELECT asset_id || ':' || advisory_id || ':' || product_id AS finding_id, {', '.join(own)}, coalesce({d.join('cve_set', ' ')}, '') AS cves, coalesce({d.size('cve_set')}, 0) AS n_cves, kev, epss, coalesce(r.best.base, 0) AS cvss, r.best.vector AS vector, coalesce(r.best.severity, worst) AS severity, fix_available,
-    least(CAST(1 AS double), {base} + CASE WHEN kev THEN CAST(0.05 AS double) ELSE 0 END) AS score FROM r)
+  SELECT g.asset_id || ':' || g.advisory_id || ':' || g.product_id AS finding_id, {', '.join(f'g.{c}' for c in own)}, coalesce({d.join('r.cve_set', ' ')}, '') AS cves, coalesce(CASE WHEN r.asset_id IS NOT NULL THEN {d.size('r.cve_set')} END, 0) AS n_cves, coalesce(r.kev, false) AS kev, coalesce(r.epss, 0) AS epss,
+    coalesce(r.best.base, 0) AS cvss, r.best.vector AS vector, coalesce(r.best.severity, w.worst) AS severity, coalesce(r.fix_available, false) AS fix_available, least(CAST(1 AS double), {base} + CASE WHEN coalesce(r.kev, false) THEN CAST(0.05 AS double) ELSE 0 END) AS score
+  FROM «graded» g LEFT JOIN r ON {' AND '.join(f'g.{c} = r.{c}' for c in key)} LEFT JOIN w ON g.source = w.source AND g.advisory_id = w.advisory_id)
 SELECT *, round(score * 10 + CASE WHEN kev THEN 1000 ELSE 0 END + epss * 100 + cvss + {tier_rank} * 50, 6) AS priority FROM s"""
 
 

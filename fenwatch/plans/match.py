@@ -112,7 +112,8 @@ FROM (SELECT DISTINCT group_id, sig_a, vendor, firmware FROM «a») a JOIN «b»
 JOIN «d» v ON {d.struct(a='a.firmware', b='a.vendor', c='r.version_raw')} = v.id JOIN «c» n ON r.sig_p = n.sig_p AND r.version_raw IS NOT DISTINCT FROM n.version_raw WHERE v.result <> 'not_affected'""",
     SIGNED_ASSETS, STRENGTHS, SIGNED_NODES, VERDICTS,
 )
-FINDING_GROUPS = Node(M.build_findings, Node(M.grade_candidates, GROUPED), ENRICHED)
+ROLLED = Node(M.roll_up_vulnerabilities, ENRICHED, kept=True)
+FINDING_GROUPS = Node(M.build_findings, Node(M.grade_candidates, GROUPED, kept=True), ROLLED)
 _OF_GROUP = ["source", "advisory_id", "product_id", "strength", "more_specific", "reason", "result", "n_also", "tier", "cves", "n_cves", "kev", "epss", "cvss", "vector", "severity", "fix_available", "matched", "score", "priority"]
 FINDINGS = select(f"SELECT a.asset_id || ':' || g.advisory_id || ':' || g.product_id AS finding_id, a.asset_id, {', '.join(f'g.{c}' for c in _OF_GROUP)} FROM «a» g JOIN (SELECT asset_id, group_id FROM «b») a ON g.asset_id = a.group_id", FINDING_GROUPS, SIGNED_ASSETS)
 SUMMARY = Node(M.summarize_findings, FINDINGS, ROUTES, CANDIDATES)
