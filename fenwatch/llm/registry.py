@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fenwatch.llm import chat_format, decontaminate, embeddings, licenses, mixing, quality, simhash, token_files, url_filter, warc
+from fenwatch.llm import chat_format, decontaminate, embeddings, licenses, mixing, neighbours, phrases, quality, simhash, token_files, url_filter, warc, whitening
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_mixing": mixing.op8_mixing,
         "op9_licenses": licenses.op9_licenses,
         "op10_chat_format": chat_format.op10_chat_format,
+        "op11_neighbours": neighbours.op11_neighbours,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_phrases": phrases.op13_phrases,
     }
 
 
 def oracle_sql():
-    return {"op1_warc": warc.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_embeddings": embeddings.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_url_filter": url_filter.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op6_embeddings": embeddings.ORACLE, "op9_licenses": licenses.ORACLE, "op10_chat_format": chat_format.ORACLE, "op13_phrases": phrases.ORACLE}
