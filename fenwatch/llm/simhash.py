@@ -156,27 +156,9 @@ def link_groups(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[
     return left, right
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of edges, of the given ones, that form a forest with the same components."""
-    up: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := up.setdefault(x, x)) != x:
-            up[x] = x = up[p]
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        p, q = find(x), find(y)
-        if p != q:
-            up[max(p, q)] = min(p, q)
-            out.append(k)
-    return out
-
-
-def near_tree(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Pairs of rows of groups that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of a least spanning forest."""
-    left, right, bits = [], [], []
+def near_members(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of groups, of different sides, that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of each row with its `nearest`. Last the rows that have more such partners than that."""
+    left, right, bits, short = [], [], [], []
     sizes = np.diff(starts)
     small = np.flatnonzero((sizes > 1) & (sizes <= 8))
     for k in range(1, 8):
@@ -186,47 +168,52 @@ def near_tree(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[np
         counts = sizes[groups] - k
         a = np.repeat(starts[:-1][groups], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         d = np.bitwise_count(signs[a] ^ signs[a + k]).sum(1)
-        good = d <= most
+        good = (d <= most) & (sides[a] != sides[a + k])
         left.append(a[good])
         right.append(a[good] + k)
         bits.append(d[good])
     for g in np.flatnonzero(sizes > 8).tolist():
-        base, n = int(starts[g]), int(sizes[g])
-        rest, least, nearest = np.arange(1, n), np.full(n - 1, most + 1), np.zeros(n - 1, np.int64)
-        own = signs[base : base + n]
-        x, found = 0, []
-        while len(rest):
-            d = np.bitwise_count(own[rest] ^ own[x]).sum(1)
-            closer = d < least
-            least[closer], nearest[closer] = d[closer], x
-            k = int(least.argmin())
-            x = int(rest[k])
-            if least[k] <= most:
-                found.append((int(nearest[k]), x, int(least[k])))
-            keep = np.arange(len(rest)) != k
-            rest, least, nearest = rest[keep], least[keep], nearest[keep]
-        if found:
-            pairs = np.array(found)
-            left.append(pairs[:, 0] + base)
-            right.append(pairs[:, 1] + base)
-            bits.append(pairs[:, 2])
-    return left, right, bits
-
-
-def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None) -> DataFrame:
+        base, end = int(starts[g]), int(starts[g + 1])
+        own, side = signs[base:end], sides[base:end]
+        if (side == side[0]).all():
+            continue
+        for k in range(0, len(own), 256):
+            d = sum(np.bitwise_count(own[k : k + 256, None, j] ^ own[None, :, j]).astype(np.int16) for j in range(own.shape[1]))
+            open_ = (d <= most) & (side[k : k + 256, None] != side[None])
+            many = open_.sum(1) > nearest
+            if many.any():
+                short.append(base + k + np.flatnonzero(many))
+                # of equally near ones those that follow the row, so that rows choose different ones
+                turn = (np.arange(len(own))[None] - np.arange(k, k + len(d))[:, None]) % len(own)
+                rank = np.where(open_[many], d[many].astype(np.int64) * len(own) + turn[many], np.iinfo(np.int64).max)
+                least = np.partition(rank, nearest - 1, axis=1)[:, nearest - 1]
+                open_[many] = rank <= least[:, None]
+            at, to = np.nonzero(open_)
+            left.append(base + k + np.minimum(at, to - k))
+            right.append(base + k + np.maximum(at, to - k))
+            bits.append(d[at, to])
+    joined = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
+    return joined(left), joined(right), joined(bits), joined(short)
+
+
+def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None, nearest: int = 8) -> DataFrame:
     """Edges (a, b) of ids that connect what is linked.
 
     prints: a row per different fingerprint, with a long id, the 46-bit `words` whose anchors it goes to, and the
     64-bit `signs`; two are linked if their signs differ in most_bits bits or fewer and they meet at an anchor.
-    With bands, a column of further anchors (longs beyond those of words), edges are linked pairs (a < b) with the bits
-    in which they differ: a least spanning forest of those of each anchor.
+    With bands, a column of further anchors (longs beyond those of words), prints have a `side`, and edges are linked pairs
+    (a < b) of different sides with the bits in which they differ: at each anchor those of each member with its
+    `nearest`. A member that has more of them is told by a row without b.
     """
-    columns = list(dict.fromkeys(["id", *words, *signs, *([bands] if bands else [])]))
+    columns = list(dict.fromkeys(["id", *words, *signs, *([bands, "side"] if bands else [])]))
     spark = prints.sparkSession
     schema = T.StructType().add("anchor", T.LongType() if bands else T.IntegerType()).add("id", "long")
     for s in signs:
         schema = schema.add(f"sign_{s}", "long")
     carried = ["id", *signs]
+    if bands:
+        schema = schema.add("side", "long")
+        carried.append("side")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,14 +253,14 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             ids = held.column("id").to_numpy()
             sign = np.stack([held.column(f"sign_{s}").to_numpy() for s in signs], axis=1).view(np.uint64)
             if bands:
-                a, b, bits = near_tree(starts, sign, most_bits)
-                if a:
-                    x, y, d = ids[np.concatenate(a)], ids[np.concatenate(b)], np.concatenate(bits)
-                    order = np.argsort(d, kind="stable")
-                    x, y, d = x[order], y[order], d[order]
-                    some = spanning(x, y)
-                    if some:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[some], pa.int64()), pa.array(np.maximum(x, y)[some], pa.int64()), pa.array(d[some].astype(np.int32))], names=["a", "b", "bits"])
+                a, b, bits, short = near_members(starts, sign, held.column("side").to_numpy(), most_bits, nearest)
+                if len(a):
+                    x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+                    _, once = np.unique(np.stack([x, y]), axis=1, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[once], pa.int64()), pa.array(y[once], pa.int64()), pa.array(bits[once].astype(np.int32))], names=["a", "b", "bits"])
+                if len(short):
+                    alone = np.unique(ids[short])
+                    yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int32())], names=["a", "b", "bits"])
             else:
                 a, b = link_groups(starts, sign, most_bits)
                 x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else ([], [])
@@ -340,6 +327,8 @@ NEAR_WIDTH, NEAR_SHARE = 5, 0.8
 LEAST_HASHES = 1024
 #: Candidates' signs, of SIGN_BITS bits, may differ in so many: at a similarity of 0.8 they differ in 19.4 with a deviation of 4.1.
 SIGN_BITS, MOST_SIGN_BITS = 128, 36
+#: Candidates that a class has at each anchor in the first round; each round takes twice as many as the one before.
+NEAREST = 8
 #: Bands of the shingles' minima under random permutations: at a similarity of 0.8 one of them at least is equal with a probability of 0.9998, wherever the edits lie.
 BANDS, BAND_ROWS = 12, 3
 _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -396,31 +385,47 @@ def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) ->
 def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
     """Links (a, b) that connect classes by pairs of candidates with `share` of their shingles.
 
-    Candidates meet at an anchor or a band, have similar signs, and are on a least spanning forest of an anchor's, so
-    there are no more than copies at anchors, however large a group. First the nearest candidate of each class is
-    decided, twice; the rest only where they lie across what is connected by then. sets gives the shingles of ids.
+    Candidates meet at an anchor or a band and have similar signs. A round takes those of each class with its NEAREST at
+    each anchor, so that there are no more than some for each copy, however large a group. Of these the nearest of each
+    class are decided first, twice, and the rest only where they lie across what is connected by then. Classes of one
+    side need no more links, so the next round takes pairs of different sides only, and twice as many; rounds end when
+    no class had more candidates than were taken, so that no pair across what is connected stays undecided.
     """
-    found = written(links(classes, ["w0"], ["s0", "s1"], threshold, most_bits, bands="bands").groupBy("a", "b").agg(F.min("bits").alias("bits")), "candidates")
-    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    held = written(sets(ids), "shingles")
-    good, open_ = None, found
-    for last in (False, False, True):
-        if last:
-            pairs = open_
+    good = done = held = None
+    rest, nearest = classes.withColumn("side", F.col("id")), NEAREST
+    while True:
+        told = written(links(rest, ["w0"], ["s0", "s1"], threshold, most_bits, bands="bands", nearest=nearest), "candidates")
+        found = told.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"))
+        if held is None:
+            ids = told.select(F.col("a").alias("id")).unionByName(told.where("b IS NOT NULL").select(F.col("b").alias("id"))).distinct()
+            held = written(sets(ids), "shingles")
         else:
-            ends = open_.select(F.col("a").alias("id"), "a", "b", "bits").unionByName(open_.select(F.col("b").alias("id"), "a", "b", "bits"))
-            pairs = written(ends.groupBy("id").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
-        new = written(near_pairs(held, pairs, share), "near-pairs")
-        good = new if good is None else good.unionByName(new)
-        if last:
-            break
-        side = written(components(good), "sides")
-        of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
-        open_ = open_.join(pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-        open_ = written(open_.where(F.coalesce("a_side", "a") != F.coalesce("b_side", "b")).select("a", "b", "bits"), "open")
-        if open_.isEmpty():
-            break
-    return good
+            found = found.join(done.hint("merge"), ["a", "b"], "left_anti")
+        open_ = written(found, "open")
+        for last in (False, False, True):
+            if open_.isEmpty():
+                break
+            if last:
+                pairs = open_.select("a", "b")
+            else:
+                ends = open_.select(F.col("a").alias("id"), "a", "b", "bits").unionByName(open_.select(F.col("b").alias("id"), "a", "b", "bits"))
+                pairs = written(ends.groupBy("id").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
+            new = written(near_pairs(held, pairs, share), "near-pairs")
+            good = new if good is None else good.unionByName(new)
+            done = pairs if done is None else done.unionByName(pairs)
+            side = written(components(good), "sides")
+            of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
+            if last:
+                break
+            open_ = open_.join(pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+            open_ = written(open_.where(F.coalesce("a_side", "a") != F.coalesce("b_side", "b")).select("a", "b", "bits"), "open")
+        if good is None:
+            return found.select("a", "b")
+        if told.where("b IS NULL").isEmpty():
+            return good
+        # only classes with candidates can have more of them
+        rest = classes.join(held.select("id").hint("merge"), "id", "left_semi").join(side.select(F.col("node").alias("id"), F.col("root").alias("side")).hint("merge"), "id", "left").withColumn("side", F.coalesce("side", "id"))
+        nearest *= 2
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -147,6 +147,32 @@ def test_near_copies_by_kind_of_edit(spark, kind):
     assert gone == {1000 + k for k in near}
 
 
+@pytest.mark.parametrize("nearest", [2])
+def test_near_copies_among_many_that_are_close(spark, monkeypatch, nearest):
+    """Groups whose documents lie around the threshold: what a third, nearer document is no copy of is still found. Against brute force over all pairs."""
+    monkeypatch.setattr(S, "NEAREST", nearest)
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    texts, group, n = {}, {}, 0
+    for g in range(90):
+        w = [word() for _ in range(300)]
+        for _ in range(3 if g < 60 else int(rng.integers(10, 51))):
+            v = list(w)
+            for j in rng.choice(300, int(rng.integers(2, 6)), replace=False):
+                v[j] = word()
+            texts[n], group[n] = v, g
+            n += 1
+    sets = {k: set(zip(*(t[i:] for i in range(5)), strict=False)) for k, t in texts.items()}
+    edges = [(a, b) for a in texts for b in texts if a < b and group[a] == group[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = grouped(list(texts), edges)
+    df = spark.createDataFrame([(k, " ".join(t), 1, "r", 1) for k, t in texts.items()], DOCS).repartition(4)
+    kept = {r["doc_id"] for r in S.drop_near_copies(df).collect()}
+    clean = {k for k in texts if want[k] == k}
+    assert clean <= kept  # nothing that brute force keeps goes
+    gone = set(texts) - clean
+    assert len(gone - kept) >= 0.98 * len(gone) and len(gone) > 300 and len(clean) > 100
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, x int, cell string"
 
 
