@@ -11,7 +11,7 @@ import json
 from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fenwatch.llm.common import written
@@ -21,6 +21,8 @@ WEIGHTS, SHARE, MOST_COPIES, SEED = (3, 1, 2), 1.5, 2, 17
 MOST_PATTERNS = 100_000
 #: Bits of the hash that one step of the selection settles.
 STEP = 8
+#: Documents whose copies are weighed anew for what is missing at the end: of each pattern, and of all patterns; and words that sums may reach.
+MOST_WEIGHED, MOST_WEIGHED_ALL, MOST_SUM = 200, 400_000, 1_000_000
 
 
 def word_count(text: Column) -> Column:
@@ -121,7 +123,7 @@ def route(patterns: dict[str, int], quotas: dict[str | None, float], most: int =
 
 @dataclass(frozen=True)
 class Cut:
-    """Documents of a pattern get `copies`, and one more where their hash is in one of `runs` or is `extra` (null: none).
+    """Documents of a pattern get `copies`, and one more where their hash is in one of `runs`; but those whose hash is in `changed` get the copies it gives.
 
     runs: (after, upto, most): hashes above `after` (null: all) up to `upto` whose documents have at most `most` words together.
     """
@@ -129,10 +131,11 @@ class Cut:
     pattern: str
     copies: int
     runs: tuple[tuple[int | None, int, int], ...] = ()
-    extra: int | None = None
+    changed: tuple[tuple[int, int], ...] = ()
 
 
 RUNS = "array<struct<after: bigint, upto: bigint, most: bigint>>"
+CHANGED = "array<struct<hash: bigint, copies: int>>"
 
 
 @dataclass
@@ -154,14 +157,44 @@ def chosen(runs: str, total: str = "total") -> Column:
     return F.exists(runs, lambda r: (r["after"].isNull() | (F.col("hash") > r["after"])) & (F.col("hash") <= r["upto"]) & (F.col(total) <= r["most"]))
 
 
-def choose(sized: DataFrame, patterns: dict[str, int], take: dict[str, int]) -> list[Cut]:
+def weighed(sizes: list[int], copies: list[int], missing: int, most: int) -> list[int]:
+    """Copies of some documents, from none to `most`, that bring their words as near to `missing` more as any do; of equally near ones the first found from the last document on.
+
+    The sums that can be reached are the bits of a number, one for each count of documents looked at; as many of the
+    first documents take part as keep the sums below MOST_SUM.
+    """
+    n, total = 0, 0
+    while n < len(sizes) and total + most * sizes[n] <= MOST_SUM:
+        total += most * sizes[n]
+        n += 1
+    reach = [1]
+    for size in sizes[:n]:
+        reach.append(0)
+        for c in range(most + 1):
+            reach[-1] |= reach[-2] << c * size
+    want = missing + sum(c * s for c, s in zip(copies[:n], sizes[:n], strict=True))
+    want = max(0, want)
+    below = reach[-1] & ((1 << want + 1) - 1)
+    above = reach[-1] >> want
+    low = below.bit_length() - 1
+    high = want + (above & -above).bit_length() - 1 if above else None
+    at = low if high is None or want - low <= high - want else high
+    out = list(copies)
+    for k in range(n - 1, -1, -1):
+        order = [copies[k], *(c for c in range(most + 1) if c != copies[k])]
+        out[k] = next(c for c in order if at >= c * sizes[k] and reach[k] >> at - c * sizes[k] & 1)
+        at -= out[k] * sizes[k]
+    return out
+
+
+def choose(sized: DataFrame, patterns: dict[str, int], take: dict[str, int], most: int = MOST_COPIES) -> list[Cut]:
     """Cuts that take each pattern's words from its documents in the order of their hashes, each that still fits.
 
     sized: columns pattern, size, hash, and total, the words of all documents of a hash, which go together. A step sums
     sizes by STEP more bits of the hash, down to the first one that does not fit. That one is passed over, and the
     descent is repeated over the later ones that are no longer than what is missing, until none is left: what is
-    missing then is less than any document that was not taken. The least of those is added if that brings the total
-    nearer.
+    missing then is less than any document that was not taken. For that the copies of the pattern's smallest documents
+    are weighed anew, so that its words come as near as those documents let them.
     """
     spark = sized.sparkSession
     done: dict[str, Search] = {}
@@ -194,13 +227,25 @@ def choose(sized: DataFrame, patterns: dict[str, int], take: dict[str, int]) ->
                 s.most, s.after, s.level, s.last = s.rest, over["low"], 0, None
             else:
                 done[p] = open_.pop(p)
-    extra: dict[str, int] = {}
-    short = [(p, s.rest, s.runs) for p, s in done.items() if s.rest]
+    changed: dict[str, tuple[tuple[int, int], ...]] = {}
+    short = [(p, s.copies, s.runs) for p, s in done.items() if s.rest]
     if short:
-        state = spark.createDataFrame(short, f"pattern string, rest long, runs {RUNS}")
-        near = sized.where("size > 0").join(F.broadcast(state), "pattern").where("total < 2 * rest").where(~chosen("runs"))  # at most MOST_PATTERNS rows
-        extra = {r["pattern"]: r["hash"] for r in near.groupBy("pattern").agg(F.expr("min_by(hash, struct(total, hash)) AS hash")).collect()}
-    return [Cut(p, s.copies, s.runs, extra.get(p)) for p, s in done.items()]
+        state = spark.createDataFrame(short, f"pattern string, copies int, runs {RUNS}")
+        least = min(MOST_WEIGHED, MOST_WEIGHED_ALL // len(short))
+        by_size = Window.partitionBy("pattern").orderBy("total", "hash")
+        near = sized.where("total > 0").join(F.broadcast(state), "pattern")  # at most MOST_PATTERNS rows
+        near = near.select("pattern", "hash", "total", (F.col("copies") + chosen("runs").cast("int")).alias("n_copies"))
+        # rows of a hash have one total, and one rank
+        near = near.withColumn("r", F.dense_rank().over(by_size)).where(F.col("r") <= least).distinct()
+        found: dict[str, list] = {p: [] for p, _, _ in short}
+        for r in near.collect():
+            found[r["pattern"]].append(r)
+        for p, rows in found.items():
+            rows.sort(key=lambda r: r["r"])
+            before = [r["n_copies"] for r in rows]
+            after = weighed([r["total"] for r in rows], before, done[p].rest, most)
+            changed[p] = tuple((r["hash"], c) for r, b, c in zip(rows, before, after, strict=True) if b != c)
+    return [Cut(p, s.copies, s.runs, changed.get(p, ())) for p, s in done.items()]
 
 
 @dataclass
@@ -240,7 +285,7 @@ def plan_mix(docs: DataFrame, sources: Column, key: str = "doc_id", text: str =
     wanted = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share * sum(patterns.values()), most)
     shared = written(sized.groupBy("pattern", "hash").agg(F.sum("size").alias("total"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     shared = None if shared.isEmpty() else shared
-    return Plan(sizes, wanted, choose(with_totals(sized, shared), patterns, route(patterns, wanted, most)), shared), sized
+    return Plan(sizes, wanted, choose(with_totals(sized, shared), patterns, route(patterns, wanted, most), most), shared), sized
 
 
 def with_totals(sized: DataFrame, shared: DataFrame | None) -> DataFrame:
@@ -251,14 +296,16 @@ def with_totals(sized: DataFrame, shared: DataFrame | None) -> DataFrame:
 
 
 def cut_table(spark: SparkSession, plan: Plan) -> DataFrame:
-    return spark.createDataFrame([(c.pattern, c.copies, c.runs, c.extra) for c in plan.cuts], f"pattern string, copies int, runs {RUNS}, extra long")
+    return spark.createDataFrame([(c.pattern, c.copies, c.runs, c.changed) for c in plan.cuts], f"pattern string, copies int, runs {RUNS}, changed {CHANGED}")
 
 
 def copies_of(sized: DataFrame, plan: Plan) -> DataFrame:
     """sized (columns pattern, size and hash) with n_copies."""
-    table = F.broadcast(cut_table(sized.sparkSession, plan))  # at most MOST_PATTERNS rows
-    more = (F.coalesce(chosen("runs"), F.lit(False)) | F.coalesce(F.col("hash") == F.col("extra"), F.lit(False))).cast("int")
-    return with_totals(sized, plan.shared).join(table, "pattern", "left").withColumn("n_copies", F.coalesce(F.col("copies") + more, F.lit(0))).drop("copies", "runs", "extra", "total")
+    table = F.broadcast(cut_table(sized.sparkSession, plan))  # at most MOST_PATTERNS rows, and MOST_WEIGHED_ALL changes
+    more = F.coalesce(chosen("runs"), F.lit(False)).cast("int")
+    other = F.filter("changed", lambda x: x["hash"] == F.col("hash"))
+    copies = F.when(F.size(other) > 0, F.element_at(other, 1)["copies"]).otherwise(F.col("copies") + more)
+    return with_totals(sized, plan.shared).join(table, "pattern", "left").withColumn("n_copies", F.coalesce(copies, F.lit(0))).drop("copies", "runs", "changed", "total")
 
 
 def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:

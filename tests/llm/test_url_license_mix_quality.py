@@ -136,12 +136,44 @@ def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
             if n <= rest:
                 rest -= n
                 want.add(h)
-        least = min((n, h) for h, n in d if h not in want)
-        if least[0] < 2 * rest:
-            want.add(least[1])
-            rest -= least[0]
-        assert got[p] == want
-        assert abs(rest) < 600
+        changed = dict(next(c.changed for c in cuts if c.pattern == p))
+        assert got[p] - set(changed) == want - set(changed)
+        # the smallest documents make up for what is missing, to the word
+        assert sum(n * changed.get(h, int(h in want)) for h, n in d) == take[p]
+        assert all(c in (0, 1, 2) for c in changed.values())
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 9, 12])
+def test_weighed_finds_the_best_sum(n):
+    """Against all choices of copies."""
+    from itertools import product
+
+    rng = np.random.default_rng(n)
+    for _ in range(20):
+        sizes = sorted(rng.integers(1, 400, n).tolist())
+        copies = rng.integers(0, 3, n).tolist()
+        missing = int(rng.integers(-300, 600))
+        goal = missing + sum(c * s for c, s in zip(copies, sizes))
+        got = M.weighed(sizes, copies, missing, 2)
+        nearest = min(abs(sum(c * s for c, s in zip(cs, sizes)) - goal) for cs in product(range(3), repeat=n))
+        assert abs(sum(c * s for c, s in zip(got, sizes)) - goal) == nearest and set(got) <= {0, 1, 2}
+
+
+@pytest.mark.parametrize("n", [5, 8])
+def test_mix_of_few_documents_is_the_best_one(spark, n):
+    """Each source's words come as near its target as any copies of its documents do."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(n)
+    data = [(100 * s + k, "w " * int(rng.integers(1, 900)), f"s{s}", "p", "r") for s in range(6) for k in range(n)]
+    plan, sized = M.plan_mix(spark.createDataFrame(data, DOCS), F.array("source"))
+    taken = rows(M.copies_of(sized, plan))
+    for s, goal in plan.targets.items():
+        own = [r for r in taken if json.loads(r["pattern"]) == [s]]
+        best = min(abs(sum(c * r["size"] for c, r in zip(cs, own)) - round(goal)) for cs in product(range(3), repeat=n))
+        assert abs(sum(r["n_copies"] * r["size"] for r in own) - round(goal)) == best
 
 
 def test_mix_keeps_sources_with_control_characters(spark, tmp_path):
