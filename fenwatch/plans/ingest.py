@@ -80,7 +80,8 @@ def merge_inventory(observations: DataFrame, services: DataFrame, flows: DataFra
     rows = written(observations.withColumn("at", F.monotonically_increasing_id()))
     # addresses that only IPv6 or a name tells are assets of their own, by that text
     keyed = rows.withColumn("alone", F.when(F.col("ipv4").isNull() & F.col("mac").isNull(), F.coalesce("ipv6", "hostname")))
-    joined = keyed.where("alone IS NULL").groupBy("ipv4", "mac").agg(F.min(order).alias("place")).withColumn("obs", F.xxhash64(F.coalesce("ipv4", F.lit("")), F.coalesce("mac", F.lit(""))))
+    joined = keyed.where("alone IS NULL").groupBy("ipv4", "mac").agg(F.min(order).alias("place"))
+    joined = written(joined.withColumn("obs", F.monotonically_increasing_id()))
     assets = resolve_assets(joined.select("obs", "place", "ipv4", "mac")).select("ipv4", "mac", F.col("asset").cast("string").alias("group"))
     grouped = keyed.where("alone IS NOT NULL").withColumn("group", F.concat(F.lit("only "), "alone")).unionByName(
         keyed.where("alone IS NULL").join(assets.withColumnRenamed("ipv4", "i").withColumnRenamed("mac", "m"), keyed["ipv4"].eqNullSafe(F.col("i")) & keyed["mac"].eqNullSafe(F.col("m"))).drop("i", "m")

@@ -177,3 +177,10 @@ WITH RECURSIVE o AS ({RESOLVED_INPUT.format('supplier').replace('AS string', 'AS
 l AS (SELECT a.obs AS a, b.obs AS b FROM o a JOIN o b ON a.ipv4 = b.ipv4 OR a.mac = b.mac),
 r AS (SELECT obs AS s, obs AS t FROM o UNION SELECT r.s, l.b FROM r JOIN l ON r.t = l.a)
 SELECT s AS obs, min(t) AS asset FROM r GROUP BY s"""
+
+#: Keys that follow each other share an IPv4 or a hardware address, but at multiples of 10,000.
+CHAINED_INPUT = "SELECT o_orderkey AS obs, o_orderkey AS place, 'i' || CAST(CAST(floor(o_orderkey / 2) AS bigint) AS string) || CASE WHEN o_orderkey % 10000 = 0 THEN 'x' ELSE '' END AS ipv4, CASE WHEN o_orderkey % 10000 <> 0 THEN 'm' || CAST(CAST(floor((o_orderkey + 1) / 2) AS bigint) AS string) END AS mac FROM {o}"
+CHAINED = """
+WITH o AS (SELECT o_orderkey AS obs, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS before FROM orders),
+b AS (SELECT obs, sum(CASE WHEN before = obs - 1 AND obs % 10000 <> 0 AND before % 10000 <> 0 THEN 0 ELSE 1 END) OVER (ORDER BY obs) AS island FROM o)
+SELECT obs, min(obs) OVER (PARTITION BY island) AS asset FROM b"""

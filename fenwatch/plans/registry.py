@@ -20,7 +20,7 @@ from fenwatch.operators import matching as M
 from fenwatch.operators import network as N
 from fenwatch.operators import planning as P
 from fenwatch.operators import report as R
-from fenwatch.operators.resolution import resolve_assets
+from fenwatch.operators.resolution import extend_assets, resolve_assets
 from fenwatch.plans import match as G
 from fenwatch.plans import oracles as O
 from fenwatch.plans import views as W
@@ -196,6 +196,18 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_assets(spark.sql(O.RESOLVED_INPUT.format("{s}"), s=suppliers)).select("obs", "asset")
 
 
+def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same assets, of which two thirds of the observations are resolved and stored before the others come."""
+    every = spark.sql(O.RESOLVED_INPUT.format("{s}"), s=spark.read.parquet(f"{sf_dir}/supplier.parquet"))
+    stored = written(resolve_assets(every.where("obs % 3 <> 1")))
+    return extend_assets(stored, every.where("obs % 3 = 1")).select("obs", "asset")
+
+
+def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations that share an address with the next key by turns, so that chains have thousands of hops."""
+    return resolve_assets(spark.sql(O.CHAINED_INPUT, o=spark.read.parquet(f"{sf_dir}/orders.parquet"))).select("obs", "asset")
+
+
 PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "a27_j20_chain": (_matched, None),
     "a27_reasons": (_evidence, lambda: O.reasons(FINDINGS, CANDIDATES)),
@@ -217,6 +229,8 @@ PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "j13_score_gaps": (_plain(VULN, lambda v: C.score_gaps(v.withColumn("base_score", F.expr("CASE WHEN base_score > 8 THEN base_score END")), 200)), O.SCORE_GAPS),
     "w3_inventory_order": (lambda s, d: written(N.assets_in_order(ASSET.spark(s, d)).limit(25)).select("asset_id", "ipv4"), O.FIRST_ASSETS),
     "a2_resolution": (_resolved, O.RESOLVED),
+    "a2_extended": (_extended, O.RESOLVED),
+    "a2_long_chains": (_chained, O.CHAINED),
     "k2_sheet": (lambda s, d: R.sheet(_sheet_rows(s, d)).select("finding_id", "tier_meaning", "cvss", "epss", "kev", "priority", "fix_available", "cves"), lambda: O.sheet(FINDINGS)),
 }
 

@@ -180,6 +180,24 @@ def test_resolved_assets(spark):
     assert got == {"o1": "o1", "o2": "o1", "o3": "o1", "o4": "o4", "o5": "o5", "o6": "o4", "o7": "o4"}
 
 
+def test_long_chains_are_one_asset_and_stored_ones_grow(spark):
+    from pyspark.sql import functions as F
+
+    from fenwatch.operators.resolution import extend_assets, resolve_assets
+
+    chain = spark.range(10_000).select(F.col("id").alias("obs"), F.xxhash64("id").alias("place"), F.concat(F.lit("i"), F.floor(F.col("id") / 2)).alias("ipv4"), F.concat(F.lit("m"), F.floor((F.col("id") + 1) / 2)).alias("mac")).repartition(7)
+    least = chain.orderBy("place").first()["obs"]
+    assert [r["asset"] for r in resolve_assets(chain).select("asset").distinct().collect()] == [least]
+    schema = "obs string, place long, ipv4 string, mac string"
+    rows = [(f"o{k}", k, f"10.0.0.{k // 3}" if k % 4 else "", f"m{k // 5}" if k % 3 else None) for k in range(60)] + [("first", -1, "10.0.0.2", "m9"), ("apart", 99, None, None)]
+    want = {r["obs"]: r["asset"] for r in resolve_assets(spark.createDataFrame(rows, schema)).collect()}
+    stored = resolve_assets(spark.createDataFrame(rows[:40], schema))
+    got = {r["obs"]: r["asset"] for r in extend_assets(stored, spark.createDataFrame(rows[40:], schema)).collect()}
+    assert got == want and want["o6"] == "first"
+    assert resolve_assets(spark.createDataFrame([], schema)).count() == 0
+    assert extend_assets(stored, spark.createDataFrame([], schema)).count() == 40
+
+
 def test_nothing_else_imports_the_optional_package():
     for path in (ROOT / "fenwatch").rglob("*.py"):
         if "llm" in path.parts:
