@@ -146,15 +146,14 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.concatenate([(x[k : k + 8192] * y[k : k + 8192]).sum(1) for k in range(0, len(x), 8192)]) if len(x) else np.zeros(0)
 
 
-def best(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of y, row of x, inner product) that hold the `most` largest of each row of y, and all that tie with the last."""
+def best(x: np.ndarray, y: np.ndarray, most: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, row of x, inner product) that hold the `most` largest of each row of y that reach its bound, and all that tie with the last."""
     near = y @ x.T
+    least = np.full(len(y), -np.inf) if bound is None else bound
     if len(x) > most:
-        least = np.partition(near, len(x) - most, axis=1)[:, len(x) - most]
-        slack = 1e-12 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
-        rows, columns = np.nonzero(~(near < (least - slack)[:, None]))
-    else:
-        rows, columns = (v.ravel() for v in np.indices(near.shape))
+        least = np.maximum(least, np.partition(near, len(x) - most, axis=1)[:, len(x) - most])
+    slack = 1e-12 * np.linalg.norm(y, axis=1) * np.linalg.norm(x, axis=1).max()
+    rows, columns = np.nonzero(~(near < (least - slack)[:, None]))
     return rows, columns, exact(y[rows], x[columns])
 
 
@@ -167,9 +166,11 @@ def by_keys(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple[int, ...
 def usable_norm(x: Column) -> tuple[Column, Column]:
     """Whether a vector takes part (finite entries, not all of them zero), and its norm."""
     whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    squares = F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     top = F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))
-    norm = top * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v.cast("double") / top) * (v.cast("double") / top)))
-    return F.coalesce(whole & (top > 0), F.lit(False)), norm
+    scaled = top * F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.pow(v.cast("double") / top, 2.0)))
+    norm = F.when((squares > 1e-200) & (squares < 1e300), F.sqrt(squares)).otherwise(scaled)  # squares of extreme entries leave the range of doubles
+    return F.coalesce(whole & F.exists(x, lambda v: v != 0), F.lit(False)), norm
 
 
 def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 20, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, part: int = PART) -> DataFrame:
@@ -202,7 +203,12 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 2
     sample = nodes.select("hash_1", "hash_2", "dim", "band", "x").orderBy("hash_1", "hash_2").limit(SAMPLED_VECTORS).toArrow()
     index = Index(facts, sample, tables)
     calibrate(index, nodes, asked, k, recall)
-    found = written(hits(nodes, asked, index, most, part), "hits")
+    first = {size: math.ceil(n ** (1 / 3)) for size, n in index.probes.items()}
+    found = written(best_hits(meet(nodes, asked, index, most, part, {}, first), most), "first-hits")
+    if any(first[size] < n for size, n in index.probes.items()):
+        reached = found.select("id", F.when(F.size("hits") == most, F.element_at("hits", -1)["score"]).alias("bound"))
+        later = meet(nodes, asked.join(reached, "id", "left"), index, most, part, first, index.probes)
+        found = written(best_hits(later.unionByName(found.select("id", F.inline("hits"))), most), "hits")
     left = F.coalesce(*(F.when(F.col("dim") == size, F.lit(min(most, n))) for size, n in rows_of.items())) if len(rows_of) <= 64 else F.lit(most)
     if not index.single:
         few = written(asked.join(found.select("id", F.size("hits").alias("n_hits")), "id", "left").where(F.coalesce("n_hits", F.lit(0)) < left).drop("n_hits"), "few")
@@ -210,7 +216,7 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], k: int = 2
             whole = Index(facts, sample, 1)
             whole.coarser = MOST_FUNCTIONS
             whole.build()
-            found = found.join(few.select("id"), "id", "left_anti").unionByName(hits(nodes, few, whole, most, part))
+            found = found.join(few.select("id"), "id", "left_anti").unionByName(best_hits(meet(nodes, few, whole, most, part, {}, {}), most))
     named = written(found.join(asked.select("id", "hash_1", "hash_2", "n_rows"), "id").drop("id"), "named")
     out = split_join(asked_rows, named, ["hash_1", "hash_2"], "n_rows", total)
     others = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("vec_id")), 1, k)
@@ -270,9 +276,30 @@ def calibrate(index: Index, nodes: DataFrame, asked: DataFrame, k: int, recall:
         index.build()
 
 
-def hits(nodes: DataFrame, asked: DataFrame, index: Index, most: int, part: int) -> DataFrame:
-    """id of each query that met a candidate, and its `most` best hits (score, vec_id) in order."""
+def best_hits(found: DataFrame, most: int) -> DataFrame:
+    """id of each query that met a candidate, and its `most` best hits (score, vec_id) in order; what was met several times counts once."""
+    ordered = found.withColumn("r", F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= most)
+    lists = ordered.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("r", "vec_id", "score"))).alias("hits"))
+    return lists.select("id", F.transform("hits", lambda h: F.struct(h["score"].alias("score"), h["vec_id"].alias("vec_id"))).alias("hits"))
+
+
+def meet(nodes: DataFrame, asked: DataFrame, index: Index, most: int, part: int, begin: dict[int, int], end: dict[int, int]) -> DataFrame:
+    """id, vec_id and score: for each query (with a `bound` or without) the `most` best candidates of the buckets from the begin-th to the end-th, by length, as far as they reach the bound."""
     kind = nodes.schema["x"].dataType.simpleString()
+    if "bound" not in asked.columns:
+        asked = asked.withColumn("bound", F.lit(None).cast("double"))
+    sizes, known = index.sample.column("dim").to_numpy(), {}
+
+    def bounds(x: np.ndarray, size: int, told: np.ndarray) -> np.ndarray:
+        """What is told, or what the sampled vectors tell."""
+        if size not in known:
+            known[size] = matrix(index.sample.filter(pa.array(sizes == size)).column("x"), size)
+        told = np.where(np.isnan(told), -np.inf, told)
+        v = known[size]
+        if len(v) < most:
+            return told
+        least = np.partition(x @ v.T, len(v) - most, axis=1)[:, len(v) - most]
+        return np.maximum(told, least - 1e-12 * np.linalg.norm(x, axis=1) * np.linalg.norm(v, axis=1).max())
 
     def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,28 +314,30 @@ def hits(nodes: DataFrame, asked: DataFrame, index: Index, most: int, part: int)
                 for b in range(0, own.num_rows, 256):
                     some = own.slice(b, 256)
                     x = matrix(some.column("x"), size)
+                    bound = bounds(x, size, some.column("bound").to_numpy(zero_copy_only=False))
                     for band in index.bands(size):
                         tables = index.by[size, band]
                         for t in range(tables.tables):
-                            buckets = tables.probes(x, t, index.probes[size])
+                            buckets = tables.probes(x, t, end.get(size, MOST_PROBES))[:, begin.get(size, 0) :]
                             for at in range(0, buckets.shape[1], 64):
                                 step = buckets[:, at : at + 64]
-                                out = some.take(pa.array(np.repeat(np.arange(len(x)), step.shape[1])))
+                                at_row = np.repeat(np.arange(len(x)), step.shape[1])
+                                out = some.take(pa.array(at_row))
                                 n = out.num_rows
-                                yield pa.RecordBatch.from_arrays([out.column("id"), out.column("dim"), pa.array(np.full(n, band, np.int32)), out.column("x"), pa.array(np.full(n, t, np.int32)), pa.array(step.ravel())], names=["id", "dim", "band", "x", "tab", "bucket"])
+                                yield pa.RecordBatch.from_arrays([out.column("id"), out.column("dim"), pa.array(np.full(n, band, np.int32)), out.column("x"), pa.array(np.full(n, t, np.int32)), pa.array(step.ravel()), pa.array(bound[at_row])], names=["id", "dim", "band", "x", "tab", "bucket", "bound"])
 
     held = nodes.select("id", "dim", "band", "x", "ids").mapInArrow(tidied(stay), f"id long, dim int, band int, x {kind}, ids array<long>, tab int, bucket long")
-    visits = asked.select("id", "dim", "x").mapInArrow(tidied(visit), f"id long, dim int, band int, x {kind}, tab int, bucket long")
+    visits = asked.select("id", "dim", "x", "bound").mapInArrow(tidied(visit), f"id long, dim int, band int, x {kind}, tab int, bucket long, bound double")
     place = ["dim", "band", "tab", "bucket"]
     cut = lambda name: F.ceil(F.count(F.lit(1)) / part).cast("int").alias(name)
     full = written(held.select(*place).groupBy(*place).agg(cut("parts")), "buckets")
     crowd = written(visits.select(*place).groupBy(*place).agg(cut("crowds")).join(full, place), "crowds")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
-    stays = held.join(crowd, place).withColumn("a", own("parts", 1)).withColumn("b", each("crowds")).withColumn("side", F.lit(0))
+    stays = held.join(crowd, place).withColumn("a", own("parts", 1)).withColumn("b", each("crowds")).withColumn("side", F.lit(0)).withColumn("bound", F.lit(None).cast("double"))
     comes = visits.join(crowd, place).withColumn("b", own("crowds", 2)).withColumn("a", each("parts")).withColumn("side", F.lit(1)).withColumn("ids", F.lit(None).cast("array<long>"))
     keys = [*place, "a", "b"]
-    columns = [*keys, "side", "id", "x", "ids"]
+    columns = [*keys, "side", "id", "x", "ids", "bound"]
     met = stays.select(*columns).unionByName(comes.select(*columns)).repartition(*keys).sortWithinPartitions(*keys, "side", "id")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,9 +350,11 @@ def hits(nodes: DataFrame, asked: DataFrame, index: Index, most: int, part: int)
             ids = t.slice(0, start).column("ids").combine_chunks()
             begins = ids.offsets.to_numpy()
             flat, begins = ids.flatten().to_numpy(), begins - begins[0]
-            asking = t.column("id").to_numpy()[start:]
+            asking, bound = t.column("id").to_numpy()[start:], t.column("bound").to_numpy()[start:]
             for b in range(0, len(y), 512):
-                rows, columns, score = best(x, y[b : b + 512], most)
+                rows, columns, score = best(x, y[b : b + 512], most, bound[b : b + 512])
+                if not len(rows):
+                    continue
                 counts = np.diff(begins)[columns]
                 ends = np.cumsum(counts)
                 place_of = np.repeat(begins[:-1][columns] - ends + counts, counts) + np.arange(ends[-1])
@@ -335,11 +366,7 @@ def hits(nodes: DataFrame, asked: DataFrame, index: Index, most: int, part: int)
                 keep = nth < most
                 yield pa.RecordBatch.from_arrays([pa.array(asking[b + q[keep]]), pa.array(v[keep]), pa.array(s[keep])], names=["id", "vec_id", "score"])
 
-    found = met.mapInArrow(tidied(rank), "id long, vec_id long, score double")
-    # what several tables found has one rank
-    ordered = found.withColumn("r", F.dense_rank().over(Window.partitionBy("id").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= most)
-    lists = ordered.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("r", "vec_id", "score"))).alias("hits"))
-    return lists.select("id", F.transform("hits", lambda h: F.struct(h["score"].alias("score"), h["vec_id"].alias("vec_id"))).alias("hits"))
+    return met.mapInArrow(tidied(rank), "id long, vec_id long, score double")
 
 
 def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
