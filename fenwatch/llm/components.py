@@ -48,8 +48,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """(node, root) of all nodes of the edges (a, b: longs): nodes have one root exactly if they are connected. Loops and repeated edges change nothing; without edges there is no row."""
+def components(edges: DataFrame, most_rounds: int = 200, again: bool = False) -> DataFrame:
+    """(node, root) of all nodes of the edges (a, b: longs): nodes have one root exactly if they are connected. Loops and repeated edges change nothing; without edges there is no row.
+
+    again: the tasks of each round join what their edges connect, not only those of the first, which takes fewer rounds.
+    """
     left = written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
     hooks: list[DataFrame] = []
     for k in range(most_rounds):
@@ -62,7 +65,8 @@ def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
         hooks.append(hook)
         to = lambda c: hook.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
         renamed = left.join(to("a"), "a").select("b", "a_root").join(to("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        left = written(renamed.where("a <> b").distinct(), "edges")
+        rest = renamed.where("a <> b").distinct()
+        left = written(rest.mapInArrow(_contract, "a long, b long") if again else rest, "edges")
     else:
         raise RuntimeError("components did not settle")
     if not hooks:

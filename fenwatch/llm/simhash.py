@@ -383,15 +383,15 @@ def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) ->
 
 
 def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
-    """Links (a, b) that connect classes by pairs of candidates with `share` of their shingles.
+    """(node, root) of the classes that are connected by pairs of candidates with `share` of their shingles.
 
     Candidates meet at an anchor or a band and have similar signs. A round takes those of each class with its NEAREST at
     each anchor, so that there are no more than some for each copy, however large a group. Of these the nearest of each
-    class are decided first, twice, and the rest only where they lie across what is connected by then. Classes of one
+    class is decided first, and the rest only where they lie across what is connected by then. Classes of one
     side need no more links, so the next round takes pairs of different sides only, and twice as many; rounds end when
     no class had more candidates than were taken, so that no pair across what is connected stays undecided.
     """
-    good = done = held = None
+    good = done = held = side = None
     rest, nearest = classes.withColumn("side", F.col("id")), NEAREST
     while True:
         told = written(links(rest, ["w0"], ["s0", "s1"], threshold, most_bits, bands="bands", nearest=nearest), "candidates")
@@ -402,7 +402,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
         else:
             found = found.join(done.hint("merge"), ["a", "b"], "left_anti")
         open_ = written(found, "open")
-        for last in (False, False, True):
+        for last in (False, True):
             if open_.isEmpty():
                 break
             if last:
@@ -413,16 +413,16 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
             new = written(near_pairs(held, pairs, share), "near-pairs")
             good = new if good is None else good.unionByName(new)
             done = pairs if done is None else done.unionByName(pairs)
-            side = written(components(good), "sides")
+            side = written(components(good, again=True), "sides")
             of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
             if last:
-                break
+                continue
             open_ = open_.join(pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
             open_ = written(open_.where(F.coalesce("a_side", "a") != F.coalesce("b_side", "b")).select("a", "b", "bits"), "open")
-        if good is None:
-            return found.select("a", "b")
+        if side is None:
+            return found.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no candidates
         if told.where("b IS NULL").isEmpty():
-            return good
+            return side
         # only classes with candidates can have more of them
         rest = classes.join(held.select("id").hint("merge"), "id", "left_semi").join(side.select(F.col("node").alias("id"), F.col("root").alias("side")).hint("merge"), "id", "left").withColumn("side", F.coalesce("side", "id"))
         nearest *= 2
@@ -461,7 +461,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_
         texts = rows.join(named.hint("merge"), ["doc_id", "hash"]).select("id", "text")
         return texts.mapInArrow(tidied(sketch), "id long, shingles binary").dropDuplicates(["id"])
 
-    roots = written(components(near_links(classes, sets, threshold, most_bits)), "roots").withColumnRenamed("node", "id")
+    roots = near_links(classes, sets, threshold, most_bits).withColumnRenamed("node", "id")
     grouped = classes.select("id", "first").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     kept = written(grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash"), "kept")
     # the ids grow with the documents, so they are never broadcast
