@@ -85,8 +85,8 @@ SELECT best.sig_a, best.sig_p, best.b.strength, finer.value IS NOT NULL, best.b.
 
 
 def signature(d: Dialect, columns: list[str]) -> str:
-    sep = " || '|' || "
-    return d.sha256(sep.join(f"coalesce({c}, '')" for c in columns))
+    """A digest of some columns; each value goes by its length, so that no other values give the same text."""
+    return d.sha256(" || ".join(f"CAST(length(coalesce({c}, '')) AS string) || ':' || coalesce({c}, '')" for c in columns))
 
 
 @operator("candidates")

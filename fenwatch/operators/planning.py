@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fenwatch.functions.dialect import Dialect, operator
+from fenwatch.functions.dialect import Dialect, Operator, operator
 
 
 def _number(d: Dialect, ip: str) -> str:
@@ -210,13 +210,19 @@ def audit_totals(audit: DataFrame) -> DataFrame:
     return audit.groupBy("run").agg(*(F.count_if(c).alias(n) for n, c in (("sent", F.col("outcome").isin(*SENT)), ("answered", F.col("outcome") == "answered"), ("failed", F.col("outcome").isin(*FAILED)), ("skipped", F.col("outcome").startswith("skipped")))))
 
 
-@operator("outcomes")
-def abort_points(d: Dialect) -> str:
-    """outcomes (run, place, failed) by run: how many were sent, failed, and the first place where over a fifth had failed after five or more."""
-    return """
+def abort_rule(attempts: int = 5, share: float = 0.2) -> Operator:
+    """outcomes (run, place, failed) by run: how many were sent, failed, and the first place where over `share` had failed after `attempts` or more."""
+    return Operator(
+        lambda d: f"""
 WITH r AS (
   SELECT run, place, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY place ROWS UNBOUNDED PRECEDING) AS f, row_number() OVER (PARTITION BY run ORDER BY place) AS n FROM «outcomes»)
-SELECT run, count(*) AS sent, CAST(max(f) AS bigint) AS failed, min(CASE WHEN n >= 5 AND CAST(f AS double) / n > 0.2 THEN place END) AS abort_at FROM r GROUP BY run"""
+SELECT run, count(*) AS sent, CAST(max(f) AS bigint) AS failed, min(CASE WHEN n >= {int(attempts)} AND CAST(f AS double) / n > {float(share)!r} THEN place END) AS abort_at FROM r GROUP BY run""",
+        ("outcomes",),
+    )
+
+
+#: By the usual policy.
+abort_points = abort_rule()
 
 
 @operator("exchanges")

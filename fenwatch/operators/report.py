@@ -6,8 +6,11 @@ findings are rows as `fenwatch.plans.match` gives them, with `device`, the label
 from __future__ import annotations
 
 import html
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -222,17 +225,43 @@ def vex_document(findings: DataFrame, publisher: str, namespace: str, now: datet
     return one.select(F.concat(*parts).alias("document"))
 
 
-def html_page(findings: DataFrame, most: int = 1000, summary: DataFrame | None = None) -> str:
-    """A page of the first `most` findings by priority, with every value escaped, a field that filters rows, and a note on what was not assessed."""
-    rows = sheet(findings).limit(most).collect()
-    cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values) + "</tr>"
-    note = ""
-    if summary is not None and (s := summary.first()) and s["assets_unidentified"]:
-        note = f"<p>{s['assets_unidentified']} of {s['assets_considered']} devices could not be identified and were not assessed.</p>"
+def html_pages(findings: DataFrame, per_page: int = 1000) -> DataFrame:
+    """All findings as pages (page, document) of `per_page` rows at most, in the order of the sheet; tasks make them, so no page passes through the driver."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held = TaskContext.get().partitionId(), 0, []
+        for batch in batches:
+            held += zip(*(batch.column(c).to_pylist() for c in SHEET), strict=True)
+            while len(held) >= per_page:
+                yield page(part, n, held[:per_page])
+                held, n = held[per_page:], n + 1
+        if held:
+            yield page(part, n, held)
+
+    def page(part: int, n: int, rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"page": [f"{part:05d}-{n:05d}"], "document": [_page(rows, "")]})
+
+    return sheet(findings).mapInArrow(made, "page string, document string")
+
+
+def _page(rows: Iterable, note: str) -> str:
+    cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>" for v in values) + "</tr>"
     script = "<script>const q=document.getElementById('q');q.oninput=()=>{const n=q.value.trim().toLowerCase();document.querySelectorAll('tbody tr').forEach(r=>{r.hidden=!r.textContent.toLowerCase().includes(n)})}</script>"
     return f"<!DOCTYPE html><meta charset='utf-8'><title>Findings</title>{note}<input id='q' placeholder='filter'><table><thead>{cells('th', SHEET)}</thead><tbody>{''.join(cells('td', r) for r in rows)}</tbody></table>{script}"
 
 
+def html_page(findings: DataFrame, most: int | None = None, summary: DataFrame | None = None) -> str:
+    """One page of all findings, or of the first `most` by priority with a note on how many are left out; every value is escaped, a field filters rows, and a note tells what was not assessed. Many findings belong on html_pages."""
+    table = sheet(findings)
+    rows = (table if most is None else table.limit(most)).collect()
+    note = ""
+    if most is not None and (left := findings.count() - len(rows)):
+        note = f"<p>{left} further findings are not on this page.</p>"
+    if summary is not None and (s := summary.first()) and s["assets_unidentified"]:
+        note += f"<p>{s['assets_unidentified']} of {s['assets_considered']} devices could not be identified and were not assessed.</p>"
+    return _page(rows, note)
+
+
 def console_table(df: DataFrame, columns: list[str], most: int = 20) -> str:
     """The first rows as aligned text, for a terminal: booleans yes or no, nulls blank."""
     rows = [[("yes" if v else "no") if isinstance(v, bool) else "" if v is None else f"{v:.1f}" if isinstance(v, float) else str(v) for v in r] for r in df.select(*columns).limit(most).collect()]

@@ -94,7 +94,13 @@ SELECT source, advisory_id, coalesce(string_agg(DISTINCT cve, ' ' ORDER BY cve),
 FROM e GROUP BY source, advisory_id"""
 BY_CVE = f"SELECT cve, count(DISTINCT advisory_id) AS advisories FROM ({_VULN}) v WHERE cve IN ('CVE-2020-00020', 'CVE-2020-00100', 'CVE-2020-02000') GROUP BY cve"
 SCORE_GAPS = f"SELECT cve FROM ({_VULN}) v WHERE cve IS NOT NULL GROUP BY cve HAVING max(base_score) <= 8 ORDER BY cve LIMIT 200"
-REPLACED = f"SELECT source, advisory_id, place FROM ({_ADVISORY}) a WHERE (source = 'feed' AND place % 3 = 0) OR (source <> 'feed' AND place % 3 <> 0)"
+REPLACED = f"SELECT CASE WHEN place % 3 = 0 THEN 'feed' ELSE source END AS source, advisory_id, place FROM ({_ADVISORY}) a WHERE place % 3 = 0 OR source <> 'feed'"
+#: Two snapshots: all tables, then the sheet's advisories anew and other scores.
+SNAPSHOT = f"""
+SELECT 'advisories' AS part, source, CAST(count(*) AS bigint) AS n, CAST(sum(CASE WHEN source = 'sheet' THEN place + 1 ELSE place END) AS bigint) AS places FROM ({_ADVISORY}) a GROUP BY source
+UNION ALL SELECT 'vulnerabilities', source, count(*), CAST(sum(length(vector)) AS bigint) FROM ({_VULN}) v GROUP BY source
+UNION ALL SELECT 'kev', CAST(ransomware AS varchar), count(*), CAST(sum(length(cve)) AS bigint) FROM ({_KEV}) k GROUP BY ransomware
+UNION ALL SELECT 'epss', NULL, count(*), CAST(sum(CAST(round(score * 10000) AS bigint) + 1) AS bigint) FROM ({_EPSS}) e"""
 MERGED_FLOWS = f"""
 WITH f AS ({_FLOW})
 SELECT concat_ws('|', src, dst, port, transport) AS flow_key, src, dst, port, transport, (SELECT g.protocol FROM f g WHERE g.src = f.src AND g.dst = f.dst AND g.port = f.port AND g.transport = f.transport AND g.protocol IS NOT NULL ORDER BY g.place LIMIT 1) AS protocol, CAST(sum(packets) AS bigint) AS packets, CAST(sum(bytes) AS bigint) AS bytes, min(seen) AS first_seen, max(seen) AS last_seen

@@ -6,6 +6,7 @@ checked by SQL that was written apart, and `PLAIN` holds queries of plain DataFr
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,12 @@ from fenwatch.operators import matching as M
 from fenwatch.operators import network as N
 from fenwatch.operators import planning as P
 from fenwatch.operators import report as R
+from fenwatch.operators import snapshots
 from fenwatch.operators.resolution import extend_assets, resolve_assets
 from fenwatch.plans import match as G
 from fenwatch.plans import oracles as O
 from fenwatch.plans import views as W
-from fenwatch.plans.graph import Node, Query, bound, select, written
+from fenwatch.plans.graph import Node, Query, bound, select, shared_folder, written
 
 
 def scalar(function: Callable[[Dialect, str], str], column: str, table: str) -> Node:
@@ -208,6 +210,22 @@ def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve_assets(spark.sql(O.CHAINED_INPUT, o=spark.read.parquet(f"{sf_dir}/orders.parquet"))).select("obs", "asset")
 
 
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus that is committed twice and loaded with its digests checked; the second time one source and one table change."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    advisories, vulns, kev, epss = (n.spark(spark, sf_dir) for n in (ADVISORY, VULN, KEV, EPSS))
+    first = snapshots.save_snapshot(spark, {"advisories": advisories, "vulnerabilities": vulns, "kev": kev, "epss": epss}, path)
+    sheet = advisories.where("source = 'sheet'").withColumn("place", F.col("place") + 1)
+    last = snapshots.save_snapshot(spark, {"advisories": sheet, "epss": epss.withColumn("score", F.col("score") + 0.0001)}, path, after=first)
+    got = snapshots.load_snapshot(spark, path, last)
+    told = lambda name, source, value: got[name].groupBy(F.lit(name).alias("part"), source.cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).cast("long").alias("places"))
+    parts = [told("advisories", F.col("source"), F.col("place")), told("vulnerabilities", F.col("source"), F.length("vector")), told("kev", F.col("ransomware"), F.length("cve")), told("epss", F.lit(None), F.round(F.col("score") * 10000).cast("long"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "a27_j20_chain": (_matched, None),
     "a27_reasons": (_evidence, lambda: O.reasons(FINDINGS, CANDIDATES)),
@@ -217,7 +235,7 @@ PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "f2_since": (_plain(ADVISORY, lambda a: C.since(a, "1998-01-01").select("source", "advisory_id", "published")), lambda: f"SELECT source, advisory_id, published FROM ({ADVISORY.duck()}) WHERE coalesce(published >= TIMESTAMP '1998-01-01', true)"),
     "f13_text_filter": (_plain(FINDINGS, lambda f: R.matching_text(f, " CVE-2020-0001 ").select("finding_id")), lambda: f"SELECT finding_id FROM ({FINDINGS.duck()}) WHERE lower(asset_id || ' ' || advisory_id || ' ' || product_id || ' ' || tier || ' ' || cves) LIKE '%cve-2020-0001%'"),
     "j19_by_cve": (_plain(VULN, lambda v: C.by_cve(v, [" cve-2020-00020", "CVE-2020-00100", "CVE-2020-02000"]).groupBy("cve").agg(F.count_distinct("advisory_id").alias("advisories"))), O.BY_CVE),
-    "a19_replace_source": (_plain(ADVISORY, lambda a: C.replace_source(a.where("place % 3 <> 0").select("source", "advisory_id", "place"), a.where("place % 3 = 0 AND source = 'feed'").select("source", "advisory_id", "place"))), O.REPLACED),
+    "a19_replace_source": (_plain(ADVISORY, lambda a: C.replace_source(a.where("place % 3 <> 0").select("source", "advisory_id", "place"), a.where("place % 3 = 0").select(F.lit("feed").alias("source"), "advisory_id", "place"))), O.REPLACED),
     "a20_vex_products": (lambda s, d: R.vex_products(_reported(s, d)), lambda: O.vex_products(LABELLED)),
     "a21_vex_groups": (lambda s, d: R.vex_groups(_reported(s, d)), lambda: O.vex_groups(LABELLED)),
     "a22_vex_scores": (lambda s, d: _text(R.vex_scores(_reported(s, d)), "devices"), lambda: O.vex_scores(LABELLED)),
@@ -231,6 +249,7 @@ PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "a2_resolution": (_resolved, O.RESOLVED),
     "a2_extended": (_extended, O.RESOLVED),
     "a2_long_chains": (_chained, O.CHAINED),
+    "s19_k7_snapshot": (_snapshot, O.SNAPSHOT),
     "k2_sheet": (lambda s, d: R.sheet(_sheet_rows(s, d)).select("finding_id", "tier_meaning", "cvss", "epss", "kev", "priority", "fix_available", "cves"), lambda: O.sheet(FINDINGS)),
 }
 

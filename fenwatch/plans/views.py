@@ -65,7 +65,8 @@ FROM «lineitem»"""
 
 @operator("events")
 def ot_kev(d: Dialect) -> str:
-    return "SELECT DISTINCT 'CVE-2020-' || lpad(CAST(event_id % 700 AS string), 5, '0') AS cve FROM «events» WHERE event_type = 'purchase' OR event_id % 9 = 0"
+    """A CVE of each event; purchases tell of ransomware."""
+    return "SELECT 'CVE-2020-' || lpad(CAST(event_id % 700 AS string), 5, '0') AS cve, bool_or(event_type = 'purchase') AS ransomware FROM «events» GROUP BY 1"
 
 
 @operator("events")

@@ -146,6 +146,7 @@ def test_audits(spark, tmp_path):
     assert bytes(audit.first()["response"]) == b"\x01\x02"
     assert tuple(P.audit_totals(audit).first())[1:] == (5, 3, 2, 1)
     (r,) = P.abort_points(P.audit_outcomes(audit)).collect()
+    assert P.abort_rule(attempts=2, share=0.99)(P.audit_outcomes(audit)).first()["abort_at"] is None
     assert (r["sent"], r["failed"], r["abort_at"] is not None) == (5, 2, True)
 
 

@@ -69,6 +69,9 @@ def test_html_and_console(findings, spark):
     summary = spark.createDataFrame([(5, 2)], "assets_considered long, assets_unidentified long")
     page = R.html_page(findings, summary=summary)
     assert "&lt;b&gt;" in page and "<b>" not in page and page.count("<tr>") == 4 and "2 of 5 devices" in page
+    assert R.html_page(findings, most=1).count("<tr>") == 2 and "2 further findings" in R.html_page(findings, most=1) and "further" not in page
+    pages = sorted((r["page"], r["document"]) for r in R.html_pages(findings, per_page=2).collect())
+    assert sum(d.count("<tr>") - 1 for _, d in pages) == 3 and all(d.startswith("<!DOCTYPE html>") for _, d in pages)
     assert R.console_table(findings.orderBy("finding_id"), ["finding_id", "kev", "cvss"], 2) == "finding_id  kev  cvss\nf1          yes  9.8\nf2          no   0.0"
     assert R.matching_text(findings, " cve-2 ").count() == 1
 
