@@ -25,6 +25,7 @@ from fenwatch.operators import snapshots
 from fenwatch.operators.resolution import extend_assets, resolve_assets
 from fenwatch.plans import match as G
 from fenwatch.plans import oracles as O
+from fenwatch.plans import rendered
 from fenwatch.plans import views as W
 from fenwatch.plans.graph import Node, Query, bound, select, shared_folder, written
 
@@ -250,6 +251,9 @@ PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "a2_extended": (_extended, O.RESOLVED),
     "a2_long_chains": (_chained, O.CHAINED),
     "s19_k7_snapshot": (_snapshot, O.SNAPSHOT),
+    "p1_p7_responses": (rendered.decoded_responses, rendered.RESPONSES_TOLD),
+    "p7_a26_stream": (rendered.streamed_responses, rendered.RESPONSES_TOLD),
+    "a5_ended_flows_stream": (rendered.streamed_flows, rendered.ENDED_FLOWS),
     "k2_sheet": (lambda s, d: R.sheet(_sheet_rows(s, d)).select("finding_id", "tier_meaning", "cvss", "epss", "kev", "priority", "fix_available", "cves"), lambda: O.sheet(FINDINGS)),
 }
 

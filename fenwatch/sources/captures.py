@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fenwatch.functions import tables as L
 from fenwatch.operators.network import is_symmetric, server_of
-from fenwatch.sources.decoders import BY_PORT, DECODED, DECODED_TYPES, as_row, decode
+from fenwatch.sources.decoders import BY_PORT, DECODED, DECODED_TYPES, Observation, as_row, decode
 
 PACKETS = (
     "file string, packet long, ts timestamp, link int, length int, src_mac string, dst_mac string, src string, dst string, transport string, src_port int, dst_port int, syn boolean, ack boolean, payload binary,"
@@ -258,14 +258,34 @@ def neighbours(found: DataFrame) -> DataFrame:
     return one.join(named, ["file", "mac"], "left").select("file", "mac", "ip", F.col("lldp_name").alias("name"), F.col("lldp_description").alias("description"), F.col("lldp_port").alias("port"), F.when(F.col("forwards"), "network-device").alias("role"), "seen")
 
 
+#: Stands for an identity among the names of fields that a service has shown.
+IDENTIFIED = ""
+
+
+def taken(held: bytes, payload: bytes, port: int) -> tuple[bytes, str, Observation | None]:
+    """What a service holds once a payload has come, the verdict on it, and an observation if it gives one."""
+    held = (held + payload)[:TRIED]
+    verdict, seen = decode(held, port, further=True)
+    return (held, verdict, None) if verdict == "truncated" and len(held) < HELD else (b"", verdict, seen)
+
+
+def names_of(seen: Observation) -> set[str]:
+    return {*seen.fields, *([IDENTIFIED] if seen.identity else [])}
+
+
 def reassemble(found: DataFrame) -> DataFrame:
+    """What services in captured packets told, as reassemble_responses gives it."""
+    return reassemble_responses(responses(found))
+
+
+def reassemble_responses(rows: DataFrame) -> DataFrame:
     """Decoded responses per service (file, server, port, transport): payloads are joined in packet order while a decoder calls them truncated and they stay within HELD bytes. by_content: the port is not the protocol's.
 
     An observation is kept if it brings a field's name that the service had not shown, or its first identity. Streams a
     partition sorted by service, holding one service's bytes and field names.
     """
     keys = ["file", "server", "port", "transport"]
-    rows = responses(found).repartition(*keys).sortWithinPartitions(*keys, "packet")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "packet")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, known = None, b"", set()
@@ -275,14 +295,10 @@ def reassemble(found: DataFrame) -> DataFrame:
             for *key, packet, ts, payload in zip(*(batch.column(c).to_pylist() for c in [*keys, "packet", "ts", "payload"]), strict=True):
                 if key != now:
                     now, held, known = key, b"", set()
-                held = (held + payload)[:TRIED]
-                verdict, seen = decode(held, key[2], further=True)
-                if verdict == "truncated" and len(held) < HELD:
-                    continue
-                held = b""
+                held, verdict, seen = taken(held, payload, key[2])
                 if seen is None:
                     continue
-                told = {*seen.fields, *([None] if seen.identity else [])}
+                told = names_of(seen)
                 if told <= known and known:
                     continue
                 known |= told
