@@ -29,6 +29,9 @@ SPELLINGS = [
 ]
 #: Lines that name a holder or reserve rights, in small letters.
 COPYRIGHT = r"^[ \t*#/>-]*(copyright[ ,:]*(\(c\)|©|[0-9]|by )|\(c\)|©|all rights reserved)"
+#: A short line of the word and a holder or a placeholder is one too, unless what follows makes it a clause.
+HOLDER, MOST_HOLDER = r"^[ \t*#/>-]*copyright[ ,:]+[^ ,:]", 120
+CLAUSE = r"^[ \t*#/>-]*copyright[ ,:]+(act|and|are|as|claims?|disclaimer|for|holders?|in|infringement|interests?|is|laws?|licen[sc]es?|material|notices?|of|on|or|owners?|permission|protected|protection|statements?|status|terms|to|works?)([^a-z]|$)"
 #: What separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The catalogue is broadcast, so it is checked to have no more entries.
@@ -89,7 +92,8 @@ KNOWN = [
 def canonical_line(c: Column) -> Column:
     """One line's words: small letters, digits and characters beyond ASCII between single spaces; empty for a copyright line."""
     folded = F.translate(c, ASCII_UPPER, ASCII_UPPER.lower())
-    return F.when(folded.rlike(COPYRIGHT), F.lit("")).otherwise(F.trim(F.regexp_replace(folded, SEPARATORS, " ")))
+    holder = folded.rlike(HOLDER) & (F.length(c) <= MOST_HOLDER) & ~folded.rlike(CLAUSE)
+    return F.when(folded.rlike(COPYRIGHT) | holder, F.lit("")).otherwise(F.trim(F.regexp_replace(folded, SEPARATORS, " ")))
 
 
 def spelled(c: Column) -> Column:
@@ -142,7 +146,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     folded = f"translate(x, '{ASCII_UPPER}', '{ASCII_UPPER.lower()}')"
-    line = f"CASE WHEN regexp_matches({folded}, {q(COPYRIGHT)}) THEN '' ELSE trim(regexp_replace({folded}, {q(SEPARATORS)}, ' ', 'g')) END"
+    line = f"CASE WHEN regexp_matches({folded}, {q(COPYRIGHT)}) OR (regexp_matches({folded}, {q(HOLDER)}) AND length(x) <= {MOST_HOLDER} AND NOT regexp_matches({folded}, {q(CLAUSE)})) THEN '' ELSE trim(regexp_replace({folded}, {q(SEPARATORS)}, ' ', 'g')) END"
     lines = lambda c: f"list_filter(list_transform(string_split({c}, chr(10)), lambda x: {line}), lambda x: x <> '')"
 
     def one(c: str) -> str:

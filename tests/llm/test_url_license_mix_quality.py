@@ -203,3 +203,14 @@ def test_quality_edges(spark):
     at, x = np.array([0, 2, 5]), np.array([1.0, 0.5, 2.0])
     pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(3) for j in range(i))
     assert m.raw(at, x, np.array([0, 3]))[0][0] == pytest.approx(0.5 + m.linear[at] @ x + pairs)
+
+
+def test_copyright_lines_of_published_templates(spark):
+    """Lines of holders and placeholders go, clauses about copyright stay."""
+    lines = ["Copyright <YEAR> <COPYRIGHT HOLDER>", "Copyright Jane Doe 2020", "Copyright (c) [year] [fullname]", "Copyright {yyyy} {name of copyright owner}", "COPYRIGHT: The Example Project Authors", " * Copyright 2001-2020 A. Holder", "Copyright © 2020 A. Holder", "", "Copyright ACME, Inc. All rights reserved."]
+    kept = ["copyright holders grant you this", "Copyright notice: keep this.", "Copyright and licence terms", "copyright law forbids it", "Copyright"]
+    texts = [f"{x}\n\n{L._MIT}" for x in lines] + [f"{x}\n\n{L._MIT}" for x in kept]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in L.scan_licenses(df, L.known_digests(spark)).collect()}
+    assert [got[k] for k in range(len(lines))] == ["MIT"] * len(lines)
+    assert [got[k] for k in range(len(lines), len(texts))] == [None] * len(kept)
