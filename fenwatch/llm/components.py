@@ -48,15 +48,31 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def components(edges: DataFrame, most_rounds: int = 200, again: bool = False) -> DataFrame:
+#: Edges that a task connects by itself, in some 20 MB.
+PART_EDGES = 1 << 16
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all nodes of a partition's edges."""
+    for batch in _contract(batches):
+        node, root = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        roots = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots])), pa.array(np.concatenate([root, roots]))], names=["node", "root"])
+
+
+def components(edges: DataFrame, most_rounds: int = 200, again: bool = False, part_edges: int = 0) -> DataFrame:
     """(node, root) of all nodes of the edges (a, b: longs): nodes have one root exactly if they are connected. Loops and repeated edges change nothing; without edges there is no row.
 
     again: the tasks of each round join what their edges connect, not only those of the first, which takes fewer rounds.
+    part_edges: once so many edges or fewer are left, one task connects them, so that rounds end early; 0 for never.
     """
     left = written(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
     hooks: list[DataFrame] = []
     for k in range(most_rounds):
-        if left.isEmpty():
+        if not (n := left.count()):
+            break
+        if n <= part_edges:
+            hooks.append(written(left.coalesce(1).mapInArrow(_rooted, "node long, root long"), "hooks"))
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)), F.col(c))  # noqa: B023, E731

@@ -23,15 +23,16 @@ def grouped(nodes, edges, least=True):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part_edges", [0, 100, 1 << 16])
+def test_components(spark, part_edges):
     rng = np.random.default_rng(0)
     edges = [(k, k + 1) for k in range(100, 180)] + [(500, k) for k in range(501, 900)] + rng.integers(1000, 1400, (250, 2)).tolist() + [(5, 5), (100, 101)]
-    got = {r["node"]: r["root"] for r in C.components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "a long, b long").repartition(7)).collect()}
+    got = {r["node"]: r["root"] for r in C.components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "a long, b long").repartition(7), part_edges=part_edges).collect()}
     proper = [e for e in edges if e[0] != e[1]]
     want = grouped({x for e in proper for x in e}, proper)
     for same in (got, want):
         assert len({(got[k], want[k]) for k in same}) == len(set(want.values())) == len(set(got.values()))
-    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert C.components(spark.createDataFrame([], "a long, b long"), part_edges=part_edges).count() == 0
 
 
 def test_every_anchor_within_reach():
