@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fenwatch.llm.components import components, forest
+from fenwatch.llm.components import PART_EDGES, components, forest
 from fenwatch.llm.common import partitions_for, split_join, tidied, written
 
 SEED = 42
 #: Members of an anchor that one task compares; larger anchors are cut into parts of half as many.
 MOST_MEMBERS = 16_384
+#: Pairs that a task holds before it hands them on.
+MOST_PAIRS = 1 << 20
 #: Of so many fingerprints one is replicated beforehand, to see which anchors are large.
 SAMPLED = 64
 
@@ -156,8 +158,9 @@ def link_groups(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[
     return left, right
 
 
-def near_members(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of groups, of different sides, that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of each row with its `nearest`. Last the rows that have more such partners than that."""
+def near_members(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int, nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of groups, of different sides, that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of each row with its `nearest`. Last the rows that have more such partners than that. All in parts of little over MOST_PAIRS pairs."""
+    joined = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
     left, right, bits, short = [], [], [], []
     sizes = np.diff(starts)
     small = np.flatnonzero((sizes > 1) & (sizes <= 8))
@@ -192,8 +195,10 @@ def near_members(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most:
             left.append(base + k + np.minimum(at, to - k))
             right.append(base + k + np.maximum(at, to - k))
             bits.append(d[at, to])
-    joined = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return joined(left), joined(right), joined(bits), joined(short)
+            if sum(map(len, left)) > MOST_PAIRS:
+                yield joined(left), joined(right), joined(bits), joined(short)
+                left, right, bits, short = [], [], [], []
+    yield joined(left), joined(right), joined(bits), joined(short)
 
 
 def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None, nearest: int = 8) -> DataFrame:
@@ -253,14 +258,14 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             ids = held.column("id").to_numpy()
             sign = np.stack([held.column(f"sign_{s}").to_numpy() for s in signs], axis=1).view(np.uint64)
             if bands:
-                a, b, bits, short = near_members(starts, sign, held.column("side").to_numpy(), most_bits, nearest)
-                if len(a):
-                    x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-                    _, once = np.unique(np.stack([x, y]), axis=1, return_index=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x[once], pa.int64()), pa.array(y[once], pa.int64()), pa.array(bits[once].astype(np.int32))], names=["a", "b", "bits"])
-                if len(short):
-                    alone = np.unique(ids[short])
-                    yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int32())], names=["a", "b", "bits"])
+                for a, b, bits, short in near_members(starts, sign, held.column("side").to_numpy(), most_bits, nearest):
+                    if len(a):
+                        x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+                        _, once = np.unique(np.stack([x, y]), axis=1, return_index=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(x[once], pa.int64()), pa.array(y[once], pa.int64()), pa.array(bits[once].astype(np.int32))], names=["a", "b", "bits"])
+                    if len(short):
+                        alone = np.unique(ids[short])
+                        yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int32())], names=["a", "b", "bits"])
             else:
                 a, b = link_groups(starts, sign, most_bits)
                 x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else ([], [])
@@ -325,13 +330,13 @@ def simhash_components(docs: DataFrame, width: int = 3, threshold: int = 2, key:
 NEAR_WIDTH, NEAR_SHARE = 5, 0.8
 #: Hashes of shingles that are compared: all of a text, or the least so many of a longer one, which estimate the similarity with a deviation of 0.0125 at 0.8.
 LEAST_HASHES = 1024
-#: Candidates' signs, of SIGN_BITS bits, may differ in so many: at a similarity of 0.8 they differ in 19.4 with a deviation of 4.1.
-SIGN_BITS, MOST_SIGN_BITS = 128, 36
-#: Candidates that a class has at each anchor in the first round; each round takes twice as many as the one before.
-NEAREST = 8
+#: Candidates' signs, a bit of each of SIGN_BITS minima, may differ in so many: at a similarity of 0.8 they differ in 25.6 with a deviation of 4.8, at 0.6 in 51.2.
+SIGN_BITS, MOST_SIGN_BITS = 256, 46
+#: Candidates that a class has at each anchor in the first round; each round takes GROWTH times as many as the one before.
+NEAREST, GROWTH = 8, 16
 #: Bands of the shingles' minima under random permutations: at a similarity of 0.8 one of them at least is equal with a probability of 0.9998, wherever the edits lie.
 BANDS, BAND_ROWS = 12, 3
-_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, SIGN_BITS + BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -350,8 +355,16 @@ def similar(x: np.ndarray, y: np.ndarray, share: float) -> bool:
     return bool((both <= top[-1]).sum() >= share * len(top) - 1e-9)
 
 
-def near_prints(text: str | None) -> tuple[tuple[int, int, int, int], list[int]]:
-    """A 46-bit word, from the SimHash of a text's different words, two 64-bit signs, from that of its different five-word shingles, the digest of the set of these; and bands of the set's minima.
+def minima(values: np.ndarray) -> np.ndarray:
+    """The least of a set's values under each of the random permutations, for so many values at a time."""
+    least = np.full(len(_MIXERS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(values), 1024):
+        np.minimum(least, (_MIXERS[:, None] * values[None, k : k + 1024]).min(1), out=least)
+    return least
+
+
+def near_prints(text: str | None) -> tuple[list[int], list[int]]:
+    """A 46-bit word, from the SimHash of a text's different words, four 64-bit signs, a bit of each of 256 minima of its different five-word shingles, and the digest of the set of these; and bands of other minima.
 
     Words and bands are only for meeting: an edit changes five shingles but one word, so scattered edits leave the word
     alike, and edits of one passage leave bands alike. All are zero without words.
@@ -359,15 +372,14 @@ def near_prints(text: str | None) -> tuple[tuple[int, int, int, int], list[int]]
     raw = (text or "").encode().lower()
     parts = set(shingles(raw, NEAR_WIDTH))
     if not parts:
-        return (0, 0, 0, 0), []
+        return [0] * 6, []
     known = set(raw.split())
     word = majority(np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in known]), np.uint8).reshape(-1, 8), len(known)).tobytes()
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in parts]), np.uint8).reshape(-1, 16)
-    sign = majority(hashes, len(parts)).tobytes()
-    values = np.sort(hashes[:, :8].copy().view(np.uint64)[:, 0])
-    least = np.array([(values * m).min() for m in _MIXERS]).reshape(BANDS, BAND_ROWS)
-    bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) >> 2 | 1 << 62 for k, row in enumerate(least)]
-    return (int.from_bytes(word, "big") >> 64 - 2 * BLOCK, int.from_bytes(sign[:8], "big"), int.from_bytes(sign[8:], "big"), xxhash.xxh3_64_intdigest(values.tobytes())), bands
+    values = np.sort(np.array([xxhash.xxh3_64_intdigest(p) for p in parts], np.uint64))
+    least = minima(values)
+    signs = np.packbits((least[:SIGN_BITS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.uint64)
+    bands = [xxhash.xxh3_64_intdigest(row.tobytes(), k) >> 2 | 1 << 62 for k, row in enumerate(least[SIGN_BITS:].reshape(BANDS, BAND_ROWS))]
+    return [int.from_bytes(word, "big") >> 64 - 2 * BLOCK, *signs.tolist(), xxhash.xxh3_64_intdigest(values.tobytes())], bands
 
 
 def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
@@ -382,19 +394,22 @@ def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) ->
     return pairs.select("a", "b").join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(decide), "a long, b long")
 
 
+SIGNS = ["s0", "s1", "s2", "s3"]
+
+
 def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
     """(node, root) of the classes that are connected by pairs of candidates with `share` of their shingles.
 
     Candidates meet at an anchor or a band and have similar signs. A round takes those of each class with its NEAREST at
-    each anchor, so that there are no more than some for each copy, however large a group. Of these the nearest of each
-    class is decided first, and the rest only where they lie across what is connected by then. Classes of one
+    each anchor, so that there are no more than some for each copy, however large a group. In the first round the nearest
+    of each class is decided first, and the rest only where they lie across what is connected by then. Classes of one
     side need no more links, so the next round takes pairs of different sides only, and twice as many; rounds end when
     no class had more candidates than were taken, so that no pair across what is connected stays undecided.
     """
     good = done = held = side = None
     rest, nearest = classes.withColumn("side", F.col("id")), NEAREST
     while True:
-        told = written(links(rest, ["w0"], ["s0", "s1"], threshold, most_bits, bands="bands", nearest=nearest), "candidates")
+        told = written(links(rest, ["w0"], SIGNS, threshold, most_bits, bands="bands", nearest=nearest), "candidates")
         found = told.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"))
         if held is None:
             ids = told.select(F.col("a").alias("id")).unionByName(told.where("b IS NOT NULL").select(F.col("b").alias("id"))).distinct()
@@ -402,7 +417,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
         else:
             found = found.join(done.hint("merge"), ["a", "b"], "left_anti")
         open_ = written(found, "open")
-        for last in (False, True):
+        for last in (False, True) if nearest == NEAREST else (True,):
             if open_.isEmpty():
                 break
             if last:
@@ -413,7 +428,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
             new = written(near_pairs(held, pairs, share), "near-pairs")
             good = new if good is None else good.unionByName(new)
             done = pairs if done is None else done.unionByName(pairs)
-            side = written(components(good, again=True), "sides")
+            side = written(components(good, again=True, part_edges=PART_EDGES), "sides")
             of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
             if last:
                 continue
@@ -425,7 +440,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
             return side
         # only classes with candidates can have more of them
         rest = classes.join(held.select("id").hint("merge"), "id", "left_semi").join(side.select(F.col("node").alias("id"), F.col("root").alias("side")).hint("merge"), "id", "left").withColumn("side", F.coalesce("side", "id"))
-        nearest *= 2
+        nearest *= GROWTH
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -437,13 +452,13 @@ def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_
     is a document, so an id's different texts are decided each on its own; of rows that repeat id and text one is kept,
     as they are copies. Rows with a null id are all kept. An empty table stays empty.
     """
-    names = ["w0", "s0", "s1", "digest"]
+    names = ["w0", *SIGNS, "digest"]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [near_prints(t) for t in batch.column("text").to_pylist()]
-            prints = np.array([m[0] for m in made], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(prints[:, k]) for k in range(4)), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "hash", *names, "bands"])
+            prints = np.array([m[0] for m in made], np.uint64).reshape(-1, len(names)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), *(pa.array(prints[:, k]) for k in range(len(names))), pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["doc_id", "hash", *names, "bands"])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,7 +466,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_
 
     row_hash = F.xxhash64(F.col(text))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_hash.alias("hash"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    marked = rows.mapInArrow(tidied(mark), "doc_id long, hash long, w0 long, s0 long, s1 long, digest long, bands array<long>")
+    marked = rows.mapInArrow(tidied(mark), f"doc_id long, hash long, {' long, '.join(names)} long, bands array<long>")
     least = F.min(F.struct("doc_id", "hash"))
     grouped = marked.groupBy(*names).agg(least.alias("first"), F.first("bands").alias("bands"))  # equal digests have equal bands
     classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *names, "bands", "first"), "classes")
