@@ -403,7 +403,7 @@ def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], thres
     Candidates meet at an anchor or a band and have similar signs. A round takes those of each class with its NEAREST at
     each anchor, so that there are no more than some for each copy, however large a group. In the first round the nearest
     of each class is decided first, and the rest only where they lie across what is connected by then. Classes of one
-    side need no more links, so the next round takes pairs of different sides only, and twice as many; rounds end when
+    side need no more links, so the next round takes pairs of different sides only, and GROWTH times as many; rounds end when
     no class had more candidates than were taken, so that no pair across what is connected stays undecided.
     """
     good = done = held = side = None
