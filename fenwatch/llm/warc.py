@@ -126,8 +126,11 @@ class Members:
                 return True
 
     def line(self) -> bytes | None:
-        """The next line without its end; None at the end of the stream."""
-        while (k := self.ready.find(b"\n")) < 0:
+        """The next line without its end; None at the end of the stream. A line of over MOST_HEADER bytes is malformed, and no more than that and a piece is held."""
+        seen = 0
+        while (k := self.ready.find(b"\n", seen)) < 0:
+            if (seen := len(self.ready)) > MOST_HEADER:
+                raise ValueError("a line has no end")
             if not self._more():
                 if self.ready:
                     raise EOFError("the archive ends inside a line")

@@ -127,3 +127,18 @@ def test_digests_of_other_archives():
     assert not one(b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n", base32)["verified"]
     assert one(b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\nContent-Encoding: gzip\r\n\r\n", base32)["verified"]
     assert not one(b"HTTP/1.1 200 OK\r\n\r\n", "sha1:" + "A" * 32)["verified"]
+
+
+@pytest.mark.parametrize("start", [b"", b"WARC/1.1\r\nX: "])
+def test_a_line_without_end_is_not_held(start):
+    class Endless:
+        read_bytes = 0
+
+        def read(self, n):
+            self.read_bytes += n
+            return (start if self.read_bytes == n else b"") + b"x" * (n - len(start))
+
+    raw = Endless()
+    with pytest.raises(ValueError, match="no end"):
+        list(W.read_records(raw, "a", False))
+    assert raw.read_bytes <= W.MOST_HEADER + 3 * W.CHUNK
