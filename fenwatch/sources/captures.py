@@ -1,20 +1,23 @@
-"""Packet captures: classic pcap and pcapng, plain or gzipped, read in sequence on the executors, a file to a task."""
+"""Packet captures: classic pcap, of which each range is read by any task, and pcapng or gzipped ones, read in sequence."""
 
 from __future__ import annotations
 
 import gzip
+import io
 import socket
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
 
 from fenwatch.functions import tables as L
 from fenwatch.operators.network import is_symmetric, server_of
 from fenwatch.sources.decoders import BY_PORT, DECODED, DECODED_TYPES, Observation, as_row, decode
+from fenwatch.sources.ranges import RANGE, RangeReader, file_ranges, indexed, opened
 
 PACKETS = (
     "file string, packet long, ts timestamp, link int, length int, src_mac string, dst_mac string, src string, dst string, transport string, src_port int, dst_port int, syn boolean, ack boolean, payload binary,"
@@ -24,24 +27,36 @@ PACKETS = (
 HELD, TRIED = 1 << 16, 1 << 14
 
 
+# First bytes of captures, with the order of their numbers and the length of a tick.
+MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1e-6), b"\xa1\xb2\xc3\xd4": (">", 1e-6), b"\x4d\x3c\xb2\xa1": ("<", 1e-9), b"\xa1\xb2\x3c\x4d": (">", 1e-9)}
+#: Bytes of a capture's head, and of a packet's.
+HEAD, PACKET_HEAD = 24, 16
+
+
 def packets(stream) -> Iterator[tuple[float, int, int, bytes]]:
     """(time, link, original length, bytes) of each packet; a truncated file gives what it has, and then ends with EOFError."""
     head = stream.read(4)
     if head == b"\x0a\x0d\x0d\x0a":
         yield from _blocks(stream, head)
         return
-    if head not in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4", b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d"):
+    if head not in MAGIC:
         raise ValueError("not a packet capture")
-    order = "<" if head[0] in (0xD4, 0x4D) else ">"
-    fine = 1e-9 if b"\x3c" in head and b"\x4d" in head else 1e-6
+    order, tick = MAGIC[head]
     link = struct.unpack(f"{order}I", stream.read(20)[16:20])[0]
-    while len(h := stream.read(16)) == 16:
+    yield from _records(stream, order, tick, link)
+
+
+def _records(stream, order: str, tick: float, link: int, room: int | None = None) -> Iterator[tuple[float, int, int, bytes]]:
+    """Packets from where a stream stands, those that start within `room` bytes."""
+    at = 0
+    while (room is None or at < room) and (h := stream.read(PACKET_HEAD)):
+        if len(h) < PACKET_HEAD:
+            raise EOFError
         seconds, part, kept, length = struct.unpack(f"{order}IIII", h)
         if len(data := stream.read(kept)) < kept:
             raise EOFError
-        yield seconds + part * fine, link, length, data
-    if h:
-        raise EOFError
+        yield seconds + part * tick, link, length, data
+        at += PACKET_HEAD + kept
 
 
 def _blocks(stream, kind: bytes) -> Iterator[tuple[float, int, int, bytes]]:
@@ -132,46 +147,178 @@ def layers(link: int, data: bytes) -> dict:
     return out
 
 
-def read_captures(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
-    """All packets of the captures under a path with their layers; most: packets of a file to read, 0 for all. Streams each file, so its size does not matter.
+def walked(stream, order: str, tick: float, at: int, stop: int, length: int) -> tuple[int, int, float | None, float | None]:
+    """How many whole packets start from at to before stop, where the next one starts, and the least and greatest time; only heads are looked at."""
+    n, low, high = 0, None, None
+    stream.seek(at)
+    while at < stop:
+        h = stream.read(PACKET_HEAD)
+        if len(h) < PACKET_HEAD:
+            return n, length, low, high
+        second, part, kept, _ = struct.unpack(f"{order}IIII", h)
+        at += PACKET_HEAD + kept
+        if at > length:
+            return n, length, low, high
+        ts = second + part * tick
+        n, low, high = n + 1, ts if low is None else min(low, ts), ts if high is None else max(high, ts)
+        stream.seek(kept, 1)
+    return n, at, low, high
+
+
+#: Bytes within which a packet's head is looked for, heads in a row that make one believed, and days that a capture may span.
+WINDOW, BELIEVED, SPAN = 1 << 20, 4, 400
+
+
+def _found_head(data: bytes, order: str, start: int, stop: int, length: int, near: int) -> int | None:
+    """Where packets seem to start again in the bytes from `start` on. A guess: what comes before has the last word."""
+    for first in range(min(len(data), stop - start)):
+        at = first
+        for _ in range(BELIEVED):
+            if start + at == length or at + PACKET_HEAD > len(data):
+                break
+            second, _, kept, whole = struct.unpack_from(f"{order}IIII", data, at)
+            if not 0 < kept <= min(whole, 1 << 18) or abs(second - near) > SPAN * 86_400 or start + at + PACKET_HEAD + kept > length:
+                at = -1
+                break
+            at += PACKET_HEAD + kept
+        if at > first:
+            return start + first
+    return None
+
+
+INDEX = "file string, start long, stop long, first long, byte_order string, tick double, link long, low double, high double"
+
+
+SKETCH = "file string, length long, start long, stop long, byte_order string, tick double, link long, guess long, n long, after long, low double, high double"
+
+
+def _sketched(row: dict) -> dict:
+    """What a range holds, if it starts where it seems to (guess, n, after, low, high), with the capture's head; no link: not a plain classic capture."""
+    file, start, stop, length = (row[c] for c in ("file", "start", "stop", "length"))
+    with opened(file) as raw:
+        head = raw.read(HEAD + PACKET_HEAD)
+        if head[:4] not in MAGIC or len(head) < HEAD + PACKET_HEAD:
+            return row
+        order, tick = MAGIC[head[:4]]
+        link, near = struct.unpack_from(f"{order}II", head, 20)
+        raw.seek(start)
+        guess = HEAD if start == 0 else _found_head(raw.read(WINDOW), order, start, stop, length, near)
+        out = row | {"byte_order": order, "tick": tick, "link": link, "guess": guess}
+        return out if guess is None else out | dict(zip(("n", "after", "low", "high"), walked(io.BufferedReader(raw, 1 << 20), order, tick, guess, stop, length), strict=True))
+
+
+def _settled(ranges: list[dict]) -> list[dict]:
+    """A file's ranges with where each really starts and the number of its first packet: where a guess is not where the range before ends, the range is walked anew from there."""
+    if ranges[0]["link"] is None:
+        return [{"file": ranges[0]["file"], "first": 0}]  # in sequence
+    out, at, first = [], HEAD, 0
+    for r in ranges:
+        if at >= r["stop"]:
+            continue
+        if r["guess"] != at:
+            with opened(r["file"]) as raw:
+                found = walked(io.BufferedReader(raw, 1 << 20), r["byte_order"], r["tick"], at, r["stop"], r["length"])
+            r |= dict(zip(("n", "after", "low", "high"), found, strict=True))
+        out.append(r | {"start": at, "first": first})
+        at, first = r["after"], first + r["n"]
+    return out
 
-    A file that is no capture, is truncated, or has more packets than `most`, adds a row with only file, packet (how
-    many were read) and warning.
+
+def index_captures(spark: SparkSession, path: str, size: int = RANGE) -> str:
+    """The folder with an index of the captures under a path, for the format "pcap".
+
+    Each range of a plain classic capture is walked by a task of its own from where packets seem to start in it. A guess
+    that the ranges before do not confirm is walked anew by the task that numbers the file's packets, so the index is
+    exact whatever payloads look like. Other files are one range each.
+    """
+    return indexed(file_ranges(spark, path, size), _sketched, SKETCH, _settled, INDEX)
+
+
+class CaptureReader(RangeReader):
+    """Ranges of captures."""
+
+    shape = pa.schema(
+        [("file", pa.string()), ("packet", pa.int64()), ("ts", pa.timestamp("us", "UTC")), ("link", pa.int32()), ("length", pa.int32()), *((c, pa.string()) for c in ("src_mac", "dst_mac", "src", "dst", "transport"))]
+        + [("src_port", pa.int32()), ("dst_port", pa.int32()), ("syn", pa.bool_()), ("ack", pa.bool_()), ("payload", pa.binary())]
+        + [(c, pa.string()) for c in ("lldp_name", "lldp_description", "lldp_port")]
+        + [("lldp_forwards", pa.bool_()), ("warning", pa.string())]
+    )
+
+    def __init__(self, schema: StructType, options: dict[str, str]) -> None:
+        super().__init__(schema, options)
+        self.most = int(options.get("most", 0))
+        self.since, self.until = (float(options[c]) if c in options else None for c in ("since", "until"))
+
+    def may_hold(self, row: dict) -> bool:
+        if not super().may_hold(row) or (self.most and row.get("first", 0) > self.most):
+            return False
+        low, high = row.get("low"), row.get("high")
+        if row["stop"] is None or (self.since is None and self.until is None):
+            return True
+        return low is not None and (self.since is None or self.since <= high) and (self.until is None or low < self.until)
+
+    def timely(self, ts: float) -> bool:
+        return (self.since is None or ts >= self.since) and (self.until is None or ts < self.until)
+
+    def rows(self, row: dict) -> Iterator[list[dict]]:
+        file, k = row["file"], row.get("first") or 0
+        rows, size = [], 0
+        with opened(file) as raw:
+            if row["stop"] is None:
+                sniff = raw.read(2)
+                raw.seek(0)
+                found = packets(gzip.GzipFile(fileobj=raw) if sniff == b"\x1f\x8b" else raw)
+            else:
+                raw.seek(row["start"])
+                found = _records(io.BufferedReader(raw, 1 << 20), row["byte_order"], row["tick"], row["link"], row["stop"] - row["start"])
+            try:
+                for ts, link, length, data in found:
+                    if self.most and k >= self.most:
+                        rows.append({"file": file, "packet": k, "warning": f"stopped after {k} packets"})
+                        break
+                    if self.timely(ts):
+                        rows.append({"file": file, "packet": k, "ts": round(ts * 1e6), "link": link, "length": length} | layers(link, data))
+                        size += len(data)
+                    k += 1
+                    if size > 1 << 22:
+                        yield rows
+                        rows, size = [], 0
+            except EOFError:
+                rows.append({"file": file, "packet": k, "warning": "the capture ends early"})
+            except (ValueError, struct.error, IndexError, OSError):
+                rows.append({"file": file, "packet": k, "warning": "not a readable capture"})
+            if self.since is not None or self.until is not None:
+                rows = [r for r in rows if "ts" in r]
+            if rows:
+                yield rows
+
+
+class Captures(DataSource):
+    """spark.read.format("pcap"), once registered: packets with their layers.
+
+    Options: index (a folder of index_captures), most (packets of a file, 0 for all), range (bytes to a task), file (only
+    that one), since and until (seconds since the epoch: packets from since to before until, and no warnings).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    n = max(1, files.count())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PACKETS.split(",")]
-        text, whole = pa.string(), pa.int32()
-        kinds = [text, pa.int64(), pa.timestamp("us", "UTC"), whole, whole, *[text] * 5, whole, whole, pa.bool_(), pa.bool_(), pa.binary(), text, text, text, pa.bool_(), text]
-        schema = pa.schema(list(zip(names, kinds, strict=True)))
-        for batch in batches:
-            for file in batch.column("path").to_pylist():
-                store, at = pyarrow.fs.FileSystem.from_uri(file)
-                with store.open_input_stream(at, compression=None) as raw:
-                    sniff = raw.read(2)
-                with store.open_input_stream(at, compression=None) as raw:
-                    stream = gzip.GzipFile(fileobj=raw) if sniff == b"\x1f\x8b" else raw
-                    rows, size, k = [], 0, 0
-                    try:
-                        for ts, link, length, data in packets(stream):
-                            if most and k >= most:
-                                rows.append({"file": file, "packet": k, "warning": f"stopped after {k} packets"})
-                                break
-                            rows.append({"file": file, "packet": k, "ts": round(ts * 1e6), "link": link, "length": length} | layers(link, data))
-                            k, size = k + 1, size + len(data)
-                            if size > 1 << 22:
-                                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                                rows, size = [], 0
-                    except EOFError:
-                        rows.append({"file": file, "packet": k, "warning": "the capture ends early"})
-                    except (ValueError, struct.error, IndexError, OSError):
-                        rows.append({"file": file, "packet": k, "warning": "not a readable capture"})
-                    if rows:
-                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    return files.repartition(n).mapInArrow(run, PACKETS)
+    @classmethod
+    def name(cls) -> str:
+        return "pcap"
+
+    def schema(self) -> str:
+        return PACKETS
+
+    def reader(self, schema: StructType) -> CaptureReader:
+        return CaptureReader(schema, self.options)
+
+
+def read_captures(spark: SparkSession, path: str, most: int = 0, size: int = RANGE, **options: float | str) -> DataFrame:
+    """All packets of the captures under a path with their layers; most: packets of a file to read, 0 for all; size: bytes of a capture to a task; others are the format's options.
+
+    A file that is no capture, is truncated, or has more packets than `most`, adds a row with only file, packet (how
+    many were read) and warning; an empty file adds none.
+    """
+    spark.dataSource.register(Captures)
+    return spark.read.format("pcap").options(index=index_captures(spark, path, size), most=most, range=size, **options).load(path)
 
 
 def usable_ip(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import gzip
 import io
 import json
@@ -9,14 +10,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
 
 from fenwatch.functions.dialect import SPARK
 from fenwatch.functions.text import mac_text
 from fenwatch.operators.network import answered
 from fenwatch.sources.captures import protocol_of, usable_ip, usable_mac
+from fenwatch.sources.ranges import RANGE, RangeReader, file_ranges, indexed, opened
 from fenwatch.sources.observations import FLOW, SERVICE, blank, observed, shaped, with_address
 
 # Names of analyzers' logs, alone or before an underscore.
@@ -83,67 +86,173 @@ def _flat(value: dict, before: str = "") -> Iterator[tuple[str, str]]:
             yield before + k, ",".join(map(_text, v)) if isinstance(v, list) else _text(v)
 
 
-def log_records(lines: Iterator[str], kind: str) -> Iterator[tuple[int, str, dict[str, str] | None, str | None]]:
+@dataclasses.dataclass
+class Directives:
+    """How a log's lines are read from some line on."""
+
+    kind: str
+    sep: str = "\t"
+    inner: str = ","
+    unset: str = "-"
+    empty: str = "(empty)"
+    names: list[str] | None = None
+
+    def take(self, line: str) -> None:
+        name, _, value = line[1:].partition(" " if line.startswith("#separator") else self.sep)
+        match name.strip():
+            case "separator":
+                self.sep = re.sub(r"^\\x([0-9a-fA-F]{2}).*$", lambda m: chr(int(m[1], 16)), value.strip()) or self.sep
+            case "set_separator":
+                self.inner = value
+            case "unset_field":
+                self.unset = value
+            case "empty_field":
+                self.empty = value
+            case "path":
+                self.kind = value or self.kind
+            case "fields":
+                self.names = value.split(self.sep)
+
+
+def log_records(lines: Iterator[str], now: Directives, first: int = 1) -> Iterator[tuple[int, str, dict[str, str] | None, str | None]]:
     """(line number, kind, record, warning) of a log, tab-separated or of JSON lines. Directives hold from where they stand; unset fields are absent, empty ones ''."""
-    sep, inner, unset, empty, names = "\t", ",", "-", "(empty)", None
-    for k, line in enumerate(lines, 1):
-        line = line.rstrip("\r\n")
+    for k, line in enumerate(lines, first):
         if line.startswith("#"):
-            name, _, value = line[1:].partition(" " if line.startswith("#separator") else sep)
-            match name.strip():
-                case "separator":
-                    sep = re.sub(r"^\\x([0-9a-fA-F]{2}).*$", lambda m: chr(int(m[1], 16)), value.strip()) or sep
-                case "set_separator":
-                    inner = value
-                case "unset_field":
-                    unset = value
-                case "empty_field":
-                    empty = value
-                case "path":
-                    kind = value or kind
-                case "fields":
-                    names = value.split(sep)
+            now.take(line)
         elif line.startswith("{"):
             try:
-                yield k, kind, dict(_flat(json.loads(line))), None
+                yield k, now.kind, dict(_flat(json.loads(line))), None
             except ValueError:
-                yield k, kind, None, "not a JSON object"
+                yield k, now.kind, None, "not a JSON object"
         elif line:
-            if not names:
-                yield k, kind, None, "data before the names of fields; the rest of the file is left out"
+            if not now.names:
+                yield k, now.kind, None, "data before the names of fields; the rest of the file is left out"
                 return
-            cells = {n: "" if v == empty else v for n, v in zip(names, line.split(sep), strict=False) if v != unset}
-            yield k, kind, {n: v.replace(inner, ",") for n, v in cells.items()} if inner and inner != "," else cells, None
+            cells = {n: "" if v == now.empty else v for n, v in zip(now.names, line.split(now.sep), strict=False) if v != now.unset}
+            yield k, now.kind, {n: v.replace(now.inner, ",") for n, v in cells.items()} if now.inner and now.inner != "," else cells, None
+
+
+def _lines(stream, at: int, stop: int | None) -> Iterator[bytes]:
+    """Lines, without their ends, that start from at to before stop; stop None: to the end of a stream that stands at its first one."""
+    if at:
+        stream.seek(at - 1)
+        at += len(stream.readline()) - 1
+    while (stop is None or at < stop) and (line := stream.readline()):
+        at += len(line)
+        yield line.rstrip(b"\r\n")
+
+
+HELD = {"separator", "set_separator", "unset_field", "empty_field", "path", "fields"}
+SKETCH = "file string, start long, stop long, lines long, headless boolean, plain boolean, told array<struct<name:string,line:string,sep:string>>, paths array<struct<name:string,line:string,sep:string>>"
+INDEX = "file string, start long, stop long, first long, directives string, kinds array<string>"
+
+
+def _sketched(row: dict) -> dict:
+    """How many lines a range has, the last directive of each name with the separator by which it was read (null: that of ranges before), its #path lines, and whether data comes before names of fields (headless) or before a path (plain)."""
+    if row["file"].endswith(".gz"):
+        return row
+    told: dict[str, dict] = {}
+    n, headless, plain, sep, paths = 0, False, False, None, []
+    with opened(row["file"]) as raw:
+        for line in _lines(io.BufferedReader(raw, 1 << 20), row["start"], row["stop"]):
+            n += 1
+            if line.startswith(b"#"):
+                text = line.decode("utf-8", "replace")
+                name = (re.match("#([a-z_]+)", text) or [""] * 2)[1]
+                if name not in HELD:
+                    continue
+                if name == "separator":
+                    now = Directives("")
+                    now.take(text)
+                    sep = now.sep
+                told[name] = {"name": name, "line": text, "sep": sep}
+                if name == "path" and told[name] not in paths:
+                    paths.append(told[name])
+            elif line:
+                plain = plain or "path" not in told
+                headless = headless or ("fields" not in told and not line.startswith(b"{"))
+    return row | {"lines": n, "headless": headless, "plain": plain, "told": list(told.values()), "paths": paths}
+
+
+def _settled(ranges: list[dict]) -> list[dict]:
+    """A file's ranges with the number of the first line and the directives that hold there. Once data came before names, what follows is left out."""
+    file, out, first = ranges[0]["file"], [], 1
+    if file.endswith(".gz"):
+        return [{"file": file, "first": 1}]
+    now = Directives(file_kind(file))
+    for r in ranges:
+        before, kinds = dataclasses.replace(now), {now.kind} if r["plain"] else set()
+
+        def take(told: dict, now: Directives, before: Directives = before) -> str:
+            now.sep = before.sep if told["sep"] is None else told["sep"]
+            now.take(told["line"])
+            return now.kind
+
+        kinds |= {take(told, dataclasses.replace(before)) for told in r["paths"]}
+        for told in sorted(r["told"], key=lambda t: t["name"] == "separator"):
+            take(told, now)
+        out.append({"file": file, "start": r["start"], "stop": r["stop"], "first": first, "directives": json.dumps(dataclasses.asdict(before)), "kinds": sorted(kinds)})
+        first += r["lines"]
+        if r["headless"] and not before.names:
+            break
+    return out
+
+
+def index_zeek(spark: SparkSession, path: str, size: int = RANGE) -> str:
+    """The folder with an index of the logs under a path, for the format "zeek": each range of a plain log with the directives that hold at its start. Gzipped logs are one range each. A path without logs is an error."""
+    ranges = file_ranges(spark, path, size, "*.{log,log.gz}")
+    if ranges.isEmpty():
+        raise ValueError(f"no logs under {path}")
+    return indexed(ranges, _sketched, SKETCH, _settled, INDEX)
+
+
+class LogReader(RangeReader):
+    """Ranges of logs."""
+
+    shape = pa.schema([("file", pa.string()), ("record_no", pa.int64()), ("kind", pa.string()), ("record", pa.map_(pa.string(), pa.string())), ("warning", pa.string())])
+    endings = (".log", ".log.gz")
+
+    def may_hold(self, row: dict) -> bool:
+        return super().may_hold(row) and (row["stop"] is None or "kind" not in self.options or self.options["kind"] in row["kinds"])
+
+    def rows(self, row: dict) -> Iterator[list[dict]]:
+        file, rows = row["file"], []
+        now = Directives(**json.loads(row["directives"])) if row.get("directives") else Directives(file_kind(file))
+        with opened(file) as raw:
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw, 1 << 20)
+            lines = (line.decode("utf-8", "replace") for line in _lines(stream, row["start"] or 0, row["stop"]))
+            for k, kind, record, warning in log_records(lines, now, row.get("first") or 1):
+                if self.options.get("kind") not in (None, kind):
+                    continue
+                rows.append({"file": file, "record_no": k, "kind": kind, "record": None if record is None else list(record.items()), "warning": warning})
+                if len(rows) == 4096:
+                    yield rows
+                    rows = []
+        if rows:
+            yield rows
+
+
+class Logs(DataSource):
+    """spark.read.format("zeek"), once registered: records of logs. Options: index (a folder of index_zeek), range (bytes to a task), file and kind (only those)."""
 
+    @classmethod
+    def name(cls) -> str:
+        return "zeek"
 
-def read_zeek(spark: SparkSession, path: str) -> DataFrame:
-    """Records (file, record_no, kind, ts, record: map, warning) of the logs under a path, plain or gzipped.
+    def schema(self) -> str:
+        return RECORDS
+
+    def reader(self, schema: StructType) -> LogReader:
+        return LogReader(schema, self.options)
+
+
+def read_zeek(spark: SparkSession, path: str, size: int = RANGE, **options: str) -> DataFrame:
+    """Records (file, record_no, kind, ts, record: map, warning) of the logs under a path, plain or gzipped; size: bytes of a log to a task; others are the format's options.
 
-    Directives hold for the lines after them, so a file is streamed by one task; logs are rotated, and files are many.
     Lines that cannot be read give a row with a warning and no record. A path without logs is an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{log,log.gz}").load(path).select("path")
-    n = files.count()
-    if not n:
-        raise ValueError(f"no logs under {path}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = pa.string()
-        schema = pa.schema([("file", text), ("record_no", pa.int64()), ("kind", text), ("record", pa.map_(text, text)), ("warning", text)])
-        for batch in batches:
-            for file in batch.column("path").to_pylist():
-                store, at = pyarrow.fs.FileSystem.from_uri(file)
-                with store.open_input_stream(at, compression=None) as raw:
-                    stream = gzip.GzipFile(fileobj=raw) if file.endswith(".gz") else raw
-                    rows = []
-                    for k, kind, record, warning in log_records(io.TextIOWrapper(io.BufferedReader(stream), "utf-8", "replace"), file_kind(file)):
-                        rows.append({"file": file, "record_no": k, "kind": kind, "record": None if record is None else list(record.items()), "warning": warning})
-                        if len(rows) == 4096:
-                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                            rows = []
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    found = files.repartition(n).mapInArrow(run, RECORDS)
+    spark.dataSource.register(Logs)
+    found = spark.read.format("zeek").options(index=index_zeek(spark, path, size), range=size, **options).load(path)
     return found.select("file", "record_no", "kind", epoch(F.col("record")["ts"]).alias("ts"), "record", "warning")
 
 
