@@ -252,6 +252,9 @@ PLAIN: dict[str, tuple[Query, str | Callable[[], str] | None]] = {
     "a2_long_chains": (_chained, O.CHAINED),
     "s19_k7_snapshot": (_snapshot, O.SNAPSHOT),
     "p1_p7_responses": (rendered.decoded_responses, rendered.RESPONSES_TOLD),
+    "s2_a5_captures": (rendered.capture_flows, rendered.CAPTURED_FLOWS),
+    "s3_s4_packets": (rendered.capture_packets, rendered.CAPTURED_PACKETS),
+    "s5_s9_zeek_logs": (rendered.logged_records, rendered.LOGGED_RECORDS),
     "p7_a26_stream": (rendered.streamed_responses, rendered.RESPONSES_TOLD),
     "a5_ended_flows_stream": (rendered.streamed_flows, rendered.ENDED_FLOWS),
     "k2_sheet": (lambda s, d: R.sheet(_sheet_rows(s, d)).select("finding_id", "tier_meaning", "cvss", "epss", "kev", "priority", "fix_available", "cves"), lambda: O.sheet(FINDINGS)),

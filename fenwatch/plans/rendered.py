@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fenwatch.plans.graph import shared_folder
-from fenwatch.sources.captures import reassemble_responses
+from fenwatch.sources import logs
+from fenwatch.sources.captures import packet_flows, read_captures, reassemble_responses
 from fenwatch.streaming.flows import idle_flows
 from fenwatch.streaming.services import RESPONSES, reassembled, state_store
 
@@ -75,6 +81,95 @@ def streamed_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, [line_packets(spark, sf_dir)], PACKETS, lambda s: idle_flows(s, "5 days", "20 days"), restart=False)
 
 
+def rendered_files(lines: DataFrame, head: bytes, ending: str) -> str:
+    """The folder with a file for each partition of lines (data: binary): the head, then all data. A task that runs anew writes its file anew."""
+    top = f"{shared_folder(lines.sparkSession)}/rendered-{uuid.uuid4().hex}"
+    store, at = pyarrow.fs.FileSystem.from_uri(top)
+    store.create_dir(at)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = pyarrow.fs.FileSystem.from_uri(top)
+        n = 0
+        with store.open_output_stream(f"{at}/part-{TaskContext.get().partitionId()}{ending}") as out:
+            out.write(head)
+            for batch in batches:
+                for data in batch.column("data").to_pylist():
+                    n += out.write(data)
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    lines.select("data").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return top
+
+
+#: Bytes of a rendered file to a task, so that files are cut at the smallest scale, too.
+CUT = 1 << 18
+# The head of a capture of Ethernet frames, most significant byte first.
+CAPTURE_HEAD = bytes.fromhex("a1b2c3d4" "00020004" "00000000" "00000000" "0000ffff" "00000001")
+
+
+def _number(c: Column, size: int) -> Column:
+    """A number in some bytes, the most significant first, as hexadecimal digits."""
+    return F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+
+
+def captured_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datagram for each line item as a record of a capture (data): from a host of its supplier to one of its part, in the second of its order's key."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = F.concat_ws("|", "l_linestatus", F.col("l_linenumber").cast("string"))
+    size = F.octet_length(text)
+    host = lambda net, c: F.concat(F.lit(net), _number(F.col(c) % 65_536, 2))
+    datagram = F.concat(_number(40_000 + F.col("l_linenumber"), 2), _number(500 + F.col("l_partkey") % 3, 2), _number(size + 8, 2), F.lit("0000"), F.hex(text))
+    packet = F.concat(F.lit("4500"), _number(size + 28, 2), F.lit("0001000040110000"), host("0A01", "l_suppkey"), host("0A02", "l_partkey"), datagram)
+    frame = F.concat(F.lit("020000000002020000000001" "0800"), packet)
+    record = F.concat(_number(F.lit(1_000_000_000) + F.col("l_orderkey"), 4), _number(F.col("l_linenumber"), 4), _number(size + 42, 4), _number(size + 42, 4), frame)
+    return rows.select(F.unhex(record).alias("data"))
+
+
+def capture_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows of rendered captures, read by ranges."""
+    return packet_flows(read_captures(spark, rendered_files(captured_lines(spark, sf_dir), CAPTURE_HEAD, ".pcap"), size=CUT))
+
+
+def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of the packets of rendered captures within a span of time, counted by what they say."""
+    found = read_captures(spark, rendered_files(captured_lines(spark, sf_dir), CAPTURE_HEAD, ".pcap"), size=CUT, since=1_000_000_100, until=1_000_010_000)
+    return found.groupBy(F.decode("payload", "UTF-8").alias("said"), "src_port", "dst_port", "transport", "link", "src_mac").agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("length").cast("long")).alias("bytes"), F.min("ts").alias("first_seen"))
+
+
+# How a log of connections begins.
+LOG_HEAD = "#separator \\x09\n#set_separator\t,\n#empty_field\t(empty)\n#unset_field\t-\n#path\tconn\n#fields\tts\tuid\tid.orig_h\tid.orig_p\tid.resp_h\tid.resp_p\tproto\tservice\tconn_state\torig_pkts\torig_ip_bytes\tresp_pkts\tresp_ip_bytes\n"
+
+
+def logged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connection for each order as a line of a log (data); some bring the log's head again."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    host = lambda net, c: F.concat(F.lit(net), (F.floor(F.col(c) / 250) % 250).cast("string"), F.lit("."), (F.col(c) % 250).cast("string"))
+    count = F.col("o_custkey") % 7 + 1
+    line = F.concat_ws("\t", (F.lit(1_000_000_000) + F.col("o_orderkey")).cast("string"), F.concat(F.lit("C"), "o_orderkey"), host("10.1.", "o_custkey"), F.lit("5000"), host("10.2.", "o_orderkey"), (500 + F.col("o_orderkey") % 3).cast("string"), F.lit("tcp"), F.lit("-"), F.when(F.col("o_orderstatus") == "F", "S0").otherwise("SF"), count.cast("string"), (count * 100).cast("string"), F.when(F.col("o_orderstatus") == "F", "-").otherwise("2"), F.lit("-"))
+    return rows.select(F.concat(F.when(F.col("o_orderkey") % 100 == 0, LOG_HEAD).otherwise(""), line, F.lit("\n")).cast("binary").alias("data"))
+
+
+def logged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the rendered logs, read by ranges."""
+    found = logs.read_zeek(spark, rendered_files(logged_lines(spark, sf_dir), LOG_HEAD.encode(), ".log"), size=CUT)
+    field = lambda c: F.col("record")[c]
+    return found.select(field("uid").alias("uid"), "ts", field("id.orig_h").alias("orig"), field("id.resp_h").alias("resp"), logs.whole(field("id.resp_p")).alias("port"), field("conn_state").alias("state"), logs.whole(field("orig_pkts")).alias("sent"), logs.whole(field("resp_pkts")).alias("answered"), "warning")
+
+
+CAPTURED_FLOWS = """
+WITH p AS (SELECT *, length(l_linestatus || '|' || CAST(l_linenumber AS varchar)) + 42 AS size, make_timestamp((1000000000 + l_orderkey) * 1000000 + l_linenumber) AS ts,
+  '10.1.' || CAST(l_suppkey % 65536 // 256 AS varchar) || '.' || CAST(l_suppkey % 256 AS varchar) AS src, '10.2.' || CAST(l_partkey % 65536 // 256 AS varchar) || '.' || CAST(l_partkey % 256 AS varchar) AS dst FROM lineitem)
+SELECT src AS src_addr, dst AS dst_addr, CAST(500 + l_partkey % 3 AS int) AS port, 'udp' AS transport, count(*) AS packets, CAST(sum(size) AS bigint) AS bytes, min(ts) AS first_seen, max(ts) AS last_seen, CASE WHEN l_partkey % 3 = 2 THEN 'modbus' END AS protocol
+FROM p GROUP BY src, dst, l_partkey % 3"""
+CAPTURED_PACKETS = """
+WITH p AS (SELECT *, l_linestatus || '|' || CAST(l_linenumber AS varchar) AS said, make_timestamp((1000000000 + l_orderkey) * 1000000 + l_linenumber) AS ts FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 10000)
+SELECT said, CAST(40000 + l_linenumber AS int) AS src_port, CAST(500 + l_partkey % 3 AS int) AS dst_port, 'udp' AS transport, CAST(1 AS int) AS link, '02:00:00:00:00:01' AS src_mac, count(*) AS packets, CAST(sum(length(said) + 42) AS bigint) AS bytes, min(ts) AS first_seen
+FROM p GROUP BY said, l_linenumber, l_partkey % 3"""
+LOGGED_RECORDS = """
+SELECT 'C' || CAST(o_orderkey AS varchar) AS uid, make_timestamp((1000000000 + o_orderkey) * 1000000) AS ts, '10.1.' || CAST(o_custkey // 250 % 250 AS varchar) || '.' || CAST(o_custkey % 250 AS varchar) AS orig,
+  '10.2.' || CAST(o_orderkey // 250 % 250 AS varchar) || '.' || CAST(o_orderkey % 250 AS varchar) AS resp, CAST(500 + o_orderkey % 3 AS bigint) AS port, CASE WHEN o_orderstatus = 'F' THEN 'S0' ELSE 'SF' END AS state,
+  CAST(o_custkey % 7 + 1 AS bigint) AS sent, CASE WHEN o_orderstatus <> 'F' THEN CAST(2 AS bigint) END AS answered, CAST(NULL AS varchar) AS warning
+FROM orders"""
 RESPONSES_TOLD = """
 SELECT '10.0.' || CAST(s_suppkey // 250 AS varchar) || '.' || CAST(s_suppkey % 250 AS varchar) AS server, CAST(packet AS bigint) AS packet, 'decoded' AS verdict, 'modbus' AS protocol, s_name AS vendor_name,
   CASE WHEN packet = 2 THEN CAST(s_suppkey AS varchar) END AS product_code, CASE WHEN packet = 4 THEN 'Nation ' || CAST(s_nationkey AS varchar) END AS product_name, s_name AS vendor
