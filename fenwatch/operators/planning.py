@@ -104,6 +104,28 @@ def plan_probes(d: Dialect) -> str:
     return "SELECT DISTINCT t.asset_id, p.template, p.protocol, p.port, p.packets FROM «targets» t JOIN «services» s ON t.asset_id = s.asset_id JOIN «templates» p ON s.port = p.port AND s.transport = p.transport"
 
 
+@operator("rules")
+def deny_rule_faults(d: Dialect) -> str:
+    """Why deny rules (place: their order, id, reason, vendor, family, product) are refused (place, id, fault: the first of a rule).
+
+    A rule has an id that no rule before it has and a reason, or what it skips could not be looked up; and it names a
+    vendor, family or product, or it would deny everything. Nulls are empty.
+    """
+    return """
+WITH r AS (SELECT place, coalesce(id, '') AS id, trim(coalesce(reason, '')) AS reason, coalesce(vendor, '') || coalesce(family, '') || coalesce(product, '') AS named FROM «rules»),
+f AS (SELECT id, min(place) AS first FROM r WHERE trim(id) <> '' GROUP BY id)
+SELECT r.place, r.id, CASE WHEN trim(r.id) = '' THEN 'no id' WHEN r.place > f.first THEN 'an earlier rule has the id' WHEN reason = '' THEN 'no reason' ELSE 'names no vendor, family or product' END AS fault
+FROM r LEFT JOIN f ON r.id = f.id WHERE trim(r.id) = '' OR r.place > f.first OR reason = '' OR named = ''"""
+
+
+def checked_rules(rules: DataFrame) -> DataFrame:
+    """Deny rules as they are; a rule that is refused is an error."""
+    faults = deny_rule_faults(rules).orderBy("place").limit(20).collect()
+    if faults:
+        raise ValueError("; ".join(f"rule {r['place']} ({r['id']}): {r['fault']}" for r in faults))
+    return rules
+
+
 @operator("plan", "identities", "rules")
 def deny_probes(d: Dialect) -> str:
     """plan rows (asset_id, template, protocol, packets) with the first deny rule (place, vendor, family, product, template, protocol) that fits.

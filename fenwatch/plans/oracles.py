@@ -190,3 +190,9 @@ CHAINED = """
 WITH o AS (SELECT o_orderkey AS obs, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS before FROM orders),
 b AS (SELECT obs, sum(CASE WHEN before = obs - 1 AND obs % 10000 <> 0 AND before % 10000 <> 0 THEN 0 ELSE 1 END) OVER (ORDER BY obs) AS island FROM o)
 SELECT obs, min(obs) OVER (PARTITION BY island) AS asset FROM b"""
+
+RULE_FAULTS = """
+WITH p AS (SELECT p_partkey, p_size % 10 AS k, CASE WHEN p_size % 10 = 9 THEN ' ' ELSE p_name || ' ' || CAST(p_partkey // 30 AS varchar) END AS id FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) AS n FROM p)
+SELECT p_partkey AS place, id, CASE WHEN k = 9 THEN 'no id' WHEN n > 1 THEN 'an earlier rule has the id' WHEN k = 8 THEN 'no reason' ELSE 'names no vendor, family or product' END AS fault
+FROM n WHERE n > 1 OR k IN (6, 7, 8, 9)"""

@@ -61,6 +61,8 @@ SERVICES = Node(N.merge_services, SERVICE)
 ISSUES = Node(N.segmentation_issues, MERGED_FLOWS, ASSET)
 TEMPLATES = select(lambda d: f"SELECT * FROM {d.values('t(template, protocol, port, transport, packets)', [('modbus-id', 'modbus', 502, 'tcp', 2), ('s7-szl', 's7comm', 102, 'tcp', 4), ('enip-list', 'enip', 44818, 'tcp', 1), ('bacnet-i-am', 'bacnet', 47808, 'udp', 1)])}", "region")
 PLAN = Node(P.plan_probes, ASSET, TEMPLATES, SERVICES)
+#: A rule for each part, of which many share an id or lack what a rule needs.
+RULE_SHEET = select("SELECT p_partkey AS place, CASE WHEN p_size % 10 = 9 THEN ' ' ELSE p_name || ' ' || CAST(floor(p_partkey / 30) AS string) END AS id, CASE WHEN p_size % 10 = 8 THEN NULL ELSE p_type END AS reason, CASE WHEN p_size % 10 < 3 THEN p_brand END AS vendor, CASE WHEN p_size % 10 = 3 THEN p_type ELSE '' END AS family, CASE WHEN p_size % 10 IN (4, 5, 8) THEN p_name END AS product FROM «a»", "part")
 RULES = select(lambda d: f"SELECT * FROM {d.values('t(place, vendor, family, product, template, protocol)', [(1, 'siemens', 's7-1200', '', '', 's7comm'), (2, 'siemens', '', '', 'modbus-id', ''), (3, 'Rockwell-Automation', '', '', '', ''), (4, '', '', 'relion', '', '')])}", "region")
 LABELLED = select(lambda d: f"SELECT f.*, {X.identity_label('i.vendor', 'i.vendor_raw', 'i.product', 'i.product_raw', 'i.family', 'i.firmware')} AS device, 'https://example.org/' || f.advisory_id AS url FROM «a» f JOIN «b» i ON f.asset_id = i.id", FINDINGS, CANONICAL, kept=True)
 
@@ -113,6 +115,7 @@ NODES_BY_NAME: dict[str, Node] = {
     "j15_f6_segmentation": ISSUES,
     "j16_bindings": Node(N.bind_addresses, select("SELECT 'm' || CAST(l_suppkey AS string) AS mac, '10.0.0.' || CAST(l_suppkey % 60 + CASE WHEN l_partkey % 400 = 0 THEN 1 ELSE 0 END AS string) AS ip, CASE WHEN l_linenumber = 1 THEN 0 ELSE 1 END AS kind FROM «a»", "lineitem")),
     "j17_b2_plan": PLAN,
+    "j18_rule_faults": Node(P.deny_rule_faults, RULE_SHEET),
     "j18_deny": Node(P.deny_probes, PLAN, select("SELECT id AS asset_id, vendor, family, product, product_raw FROM «a»", CANONICAL), RULES),
     # aggregations (A)
     "a1_merge_assets": Node(N.merge_assets, OBSERVATION),
@@ -269,6 +272,7 @@ ORACLES: dict[str, Callable[[], str]] = {
     "j15_f6_segmentation": lambda: O.SEGMENTATION,
     "a1_merge_assets": lambda: O.MERGED_ASSETS,
     "a17_classify": lambda: O.CLASSIFIED,
+    "j18_rule_faults": lambda: O.RULE_FAULTS,
     "a7_a8_grade": lambda: O.graded(CANDIDATES),
     "a13_f7_summary": lambda: O.summary(FINDINGS, CANDIDATES, CANONICAL),
 }

@@ -137,6 +137,15 @@ def test_policies_templates_and_estimates(spark):
     assert tuple(P.estimate_plan(plan.limit(0)).first()) == (0, 0, 0)
 
 
+def test_deny_rules_are_checked(spark):
+    rows = [(1, "a", "why", "v", None, ""), (2, "a", "why", "v", "", ""), (3, " ", "why", "v", "", ""), (4, None, "why", "v", "", ""), (5, "b", "  ", "v", "", ""), (6, "c", None, "", "f", ""), (7, "d", "why", "", None, ""), (8, "e", "why", "", "", "p")]
+    rules = spark.createDataFrame(rows, "place int, id string, reason string, vendor string, family string, product string")
+    assert {r["place"]: r["fault"] for r in P.deny_rule_faults(rules).collect()} == {2: "an earlier rule has the id", 3: "no id", 4: "no id", 5: "no reason", 6: "no reason", 7: "names no vendor, family or product"}
+    assert P.deny_rule_faults(rules.limit(0)).count() == 0 and P.checked_rules(rules.where("place IN (1, 8)")).count() == 2
+    with pytest.raises(ValueError, match="rule 5"):
+        P.checked_rules(rules.where("place = 5"))
+
+
 def test_audits(spark, tmp_path):
     import json
 
