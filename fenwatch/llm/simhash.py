@@ -24,13 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fenwatch.llm.components import PART_EDGES, components, forest
-from fenwatch.llm.common import partitions_for, split_join, tidied, written
+from fenwatch.llm.common import partitions_for, runs, split_join, tidied, written
 
 SEED = 42
 #: Members of an anchor that one task compares; larger anchors are cut into parts of half as many.
 MOST_MEMBERS = 16_384
-#: Pairs that a task holds before it hands them on.
-MOST_PAIRS = 1 << 20
 #: Of so many fingerprints one is replicated beforehand, to see which anchors are large.
 SAMPLED = 64
 
@@ -158,67 +156,30 @@ def link_groups(starts: np.ndarray, signs: np.ndarray, most: int) -> tuple[list[
     return left, right
 
 
-def near_members(starts: np.ndarray, signs: np.ndarray, sides: np.ndarray, most: int, nearest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of rows of groups, of different sides, that differ in `most` bits or fewer, with their differences: of small groups all of them, of larger ones those of each row with its `nearest`. Last the rows that have more such partners than that. All in parts of little over MOST_PAIRS pairs."""
-    joined = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    left, right, bits, short = [], [], [], []
-    sizes = np.diff(starts)
-    small = np.flatnonzero((sizes > 1) & (sizes <= 8))
-    for k in range(1, 8):
-        groups = small[sizes[small] > k]
-        if not len(groups):
-            break
-        counts = sizes[groups] - k
-        a = np.repeat(starts[:-1][groups], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        d = np.bitwise_count(signs[a] ^ signs[a + k]).sum(1)
-        good = (d <= most) & (sides[a] != sides[a + k])
-        left.append(a[good])
-        right.append(a[good] + k)
-        bits.append(d[good])
-    for g in np.flatnonzero(sizes > 8).tolist():
-        base, end = int(starts[g]), int(starts[g + 1])
-        own, side = signs[base:end], sides[base:end]
-        if (side == side[0]).all():
-            continue
-        for k in range(0, len(own), 256):
-            d = sum(np.bitwise_count(own[k : k + 256, None, j] ^ own[None, :, j]).astype(np.int16) for j in range(own.shape[1]))
-            open_ = (d <= most) & (side[k : k + 256, None] != side[None])
-            many = open_.sum(1) > nearest
-            if many.any():
-                short.append(base + k + np.flatnonzero(many))
-                # of equally near ones those that follow the row, so that rows choose different ones
-                turn = (np.arange(len(own))[None] - np.arange(k, k + len(d))[:, None]) % len(own)
-                rank = np.where(open_[many], d[many].astype(np.int64) * len(own) + turn[many], np.iinfo(np.int64).max)
-                least = np.partition(rank, nearest - 1, axis=1)[:, nearest - 1]
-                open_[many] = rank <= least[:, None]
-            at, to = np.nonzero(open_)
-            left.append(base + k + np.minimum(at, to - k))
-            right.append(base + k + np.maximum(at, to - k))
-            bits.append(d[at, to])
-            if sum(map(len, left)) > MOST_PAIRS:
-                yield joined(left), joined(right), joined(bits), joined(short)
-                left, right, bits, short = [], [], [], []
-    yield joined(left), joined(right), joined(bits), joined(short)
-
-
-def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None, nearest: int = 8) -> DataFrame:
+def in_parts(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """rows (id, key, ...) with the part of their id and the pair of parts that meet; those of a key in large (key, cuts) once for each part that theirs is to meet."""
+    if not (n_large := large.count()):
+        return rows.withColumn("own", F.lit(0)).withColumn("part", F.lit(0))
+    joined = rows.join(F.broadcast(large) if n_large <= 100_000 else large, key, "left")
+    own = F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts")).cast("int"), F.lit(0))
+    met = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.least(own, j) * F.col("cuts") + F.greatest(own, j)))
+    return joined.withColumn("own", own).withColumn("part", F.explode(met)).drop("cuts")
+
+
+def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int, most_bits: int, most_members: int = MOST_MEMBERS, bands: str | None = None) -> DataFrame:
     """Edges (a, b) of ids that connect what is linked.
 
     prints: a row per different fingerprint, with a long id, the 46-bit `words` whose anchors it goes to, and the
-    64-bit `signs`; two are linked if their signs differ in most_bits bits or fewer and they meet at an anchor.
-    With bands, a column of further anchors (longs beyond those of words), prints have a `side`, and edges are linked pairs
-    (a < b) of different sides with the bits in which they differ: at each anchor those of each member with its
-    `nearest`. A member that has more of them is told by a row without b.
+    64-bit `signs`; two are linked if their signs differ in most_bits bits or fewer and they meet at an anchor. `bands`
+    names a column of further anchors (longs beyond those of words). Each anchor gives a forest, so that edges are no
+    more than the copies that went to anchors, however many are linked.
     """
-    columns = list(dict.fromkeys(["id", *words, *signs, *([bands, "side"] if bands else [])]))
+    columns = list(dict.fromkeys(["id", *words, *signs, *([bands] if bands else [])]))
     spark = prints.sparkSession
     schema = T.StructType().add("anchor", T.LongType() if bands else T.IntegerType()).add("id", "long")
     for s in signs:
         schema = schema.add(f"sign_{s}", "long")
     carried = ["id", *signs]
-    if bands:
-        schema = schema.add("side", "long")
-        carried.append("side")
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,38 +218,19 @@ def links(prints: DataFrame, words: list[str], signs: list[str], threshold: int,
             starts = np.concatenate([[0], cuts[cuts < end], [end]])
             ids = held.column("id").to_numpy()
             sign = np.stack([held.column(f"sign_{s}").to_numpy() for s in signs], axis=1).view(np.uint64)
-            if bands:
-                for a, b, bits, short in near_members(starts, sign, held.column("side").to_numpy(), most_bits, nearest):
-                    if len(a):
-                        x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-                        _, once = np.unique(np.stack([x, y]), axis=1, return_index=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(x[once], pa.int64()), pa.array(y[once], pa.int64()), pa.array(bits[once].astype(np.int32))], names=["a", "b", "bits"])
-                    if len(short):
-                        alone = np.unique(ids[short])
-                        yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64()), pa.nulls(len(alone), pa.int32())], names=["a", "b", "bits"])
-            else:
-                a, b = link_groups(starts, sign, most_bits)
-                x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else ([], [])
-                if x:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            a, b = link_groups(starts, sign, most_bits)
+            x, y = forest(ids[np.concatenate(a)], ids[np.concatenate(b)]) if a else ([], [])
+            if x:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
             held = held.slice(end)
 
     some = prints.select(*columns).where(F.pmod(F.xxhash64("id", F.lit(SAMPLED)), F.lit(SAMPLED)) == 0)
     large = some.mapInArrow(tidied(replicate), schema).groupBy("anchor").count().where(F.col("count") * SAMPLED > most_members // 2)
     large = written(large.select("anchor", F.ceil(F.col("count") * SAMPLED / (most_members // 4)).cast("int").alias("cuts")), "large-anchors")
-    n_large = large.count()
     # each row becomes many, so the rows are dealt out anew, however few bytes they are
     copies = prints.select(*columns).repartition(partitions_for(spark), "id").mapInArrow(tidied(replicate), schema)
-    if n_large:
-        # part of a member, and one copy for each part that it is to meet
-        joined = copies.join(F.broadcast(large) if n_large <= 100_000 else large, "anchor", "left")
-        own = F.pmod(F.xxhash64("id", F.lit(1)), F.col("cuts")).cast("int")
-        met = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.least(own, j) * F.col("cuts") + F.greatest(own, j)))
-        copies = joined.withColumn("part", F.explode(met)).drop("cuts")
-    else:
-        copies = copies.withColumn("part", F.lit(0))
-    dealt = copies.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
-    return dealt.mapInArrow(tidied(compare), "a long, b long, bits int" if bands else "a long, b long")
+    dealt = in_parts(copies, large, "anchor").drop("own").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(tidied(compare), "a long, b long")
 
 
 def with_components(docs: DataFrame, key_columns: list[str], edges: DataFrame) -> DataFrame:
@@ -332,8 +274,14 @@ NEAR_WIDTH, NEAR_SHARE = 5, 0.8
 LEAST_HASHES = 1024
 #: Candidates' signs, a bit of each of SIGN_BITS minima, may differ in so many: at a similarity of 0.8 they differ in 25.6 with a deviation of 4.8, at 0.6 in 51.2.
 SIGN_BITS, MOST_SIGN_BITS = 256, 46
-#: Candidates that a class has at each anchor in the first round; each round takes GROWTH times as many as the one before.
-NEAREST, GROWTH = 8, 16
+#: Documents of a group of candidates that are one part; a task compares a part with itself or with another one.
+PART_SETS = 1024
+#: Counts of shared hashes are made by a matrix product for hashes that one in so many sets holds, and by their pairs of sets for others.
+DENSE = 8
+#: Columns of that product at a time, and pairs of the others.
+DENSE_COLUMNS, RARE_PAIRS = 1024, 1 << 20
+#: Nothing reads this any more: all candidates are decided at once. A test of small rounds still sets it.
+NEAREST = 8
 #: Bands of the shingles' minima under random permutations: at a similarity of 0.8 one of them at least is equal with a probability of 0.9998, wherever the edits lie.
 BANDS, BAND_ROWS = 12, 3
 _MIXERS = np.random.default_rng(SEED).integers(0, 1 << 63, SIGN_BITS + BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -382,72 +330,120 @@ def near_prints(text: str | None) -> tuple[list[int], list[int]]:
     return [int.from_bytes(word, "big") >> 64 - 2 * BLOCK, *signs.tolist(), xxhash.xxh3_64_intdigest(values.tobytes())], bands
 
 
-def near_pairs(sets: DataFrame, pairs: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
-    """Pairs (a, b) of ids whose texts' five-word shingles have a Jaccard similarity of `share` or more. sets: id and shingles."""
+def by_value(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets (numbers) that hold each value, value by value; where a value's begin; and how many they are."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values = values[order]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return row[order], starts, np.diff(starts, append=len(values))
+
+
+def shared_counts(n: int, row: np.ndarray, starts: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How many values each two of n sets have in common, from what by_value tells."""
+    counts = np.zeros((n, n), np.float32)
+    least = max(2, n // DENSE)
+    often = np.flatnonzero(times >= least)
+    for k in range(0, len(often), DENSE_COLUMNS):
+        of = often[k : k + DENSE_COLUMNS]
+        column = np.repeat(np.arange(len(of)), times[of])
+        at = np.repeat(starts[of] - np.cumsum(times[of]) + times[of], times[of]) + np.arange(len(column))
+        holds = np.zeros((n, len(of)), np.float32)
+        holds[row[at], column] = 1
+        counts += holds @ holds.T
+    flat = counts.reshape(-1)
+    for t in range(2, least):
+        of = starts[times == t]
+        for k in range(0, len(of), max(1, RARE_PAIRS // t**2)):
+            members = row[of[k : k + max(1, RARE_PAIRS // t**2), None] + np.arange(t)]
+            np.add.at(flat, (members[:, :, None] * n + members[:, None, :]).reshape(-1), np.float32(1))
+    return counts
+
+
+def set_links(sets: list[np.ndarray], own: np.ndarray, share: float) -> tuple[list[int], list[int]]:
+    """Links between sets (numbers): they connect what pairs with a Jaccard similarity of `share` connect. Where the sets are of several parts (own), pairs of one part are left to the task that has it alone."""
+    rows = np.flatnonzero([len(x) > 0 for x in sets])
+    left, right = [], []
+    if len(rows) < 2:
+        return left, right
+    row, starts, times = by_value([sets[k] for k in rows])
+    sizes = np.array([len(sets[k]) for k in rows])
+    # a set that shares less than this with all others together links with none
+    enough = np.bincount(row, np.repeat(times > 1, times), len(rows)) >= share * sizes - 1e-9
+    if not enough.all():
+        rows, sizes = rows[enough], sizes[enough]
+        if len(rows) < 2:
+            return left, right
+        row, starts, times = by_value([sets[k] for k in rows])
+    counts = shared_counts(len(rows), row, starts, times)
+    part = own[rows] if (own != own[0]).any() else np.arange(len(rows))
+    rest = np.ones(len(rows), bool)
+    for first in range(len(rows)):
+        if not rest[first]:
+            continue
+        rest[first] = False
+        queue = [first]
+        while queue:
+            x = queue.pop()
+            other = np.flatnonzero(rest & (part != part[x]))
+            most = np.maximum(sizes[other], sizes[x])
+            # of sets that were cut the least hashes of the union tell, which hold share * LEAST_HASHES common ones at least
+            every = np.where(most < LEAST_HASHES, sizes[other] + sizes[x] - counts[x, other], LEAST_HASHES)
+            good = (counts[x, other] > 0) & (counts[x, other] >= share * every - 1e-9)
+            other, cut = other[good], (most >= LEAST_HASHES)[good]
+            if cut.any():
+                other = other[[not c or similar(sets[rows[x]], sets[rows[y]], share) for y, c in zip(other, cut, strict=True)]]
+            rest[other] = False
+            queue += other.tolist()
+            left += [int(rows[x])] * len(other)
+            right += rows[other].tolist()
+    return left, right
+
+
+def near_pairs(groups: DataFrame, share: float = NEAR_SHARE, part_sets: int | None = None) -> DataFrame:
+    """Pairs (a, b) of ids that connect what is connected, within a group, by five-word shingles with a Jaccard similarity of `share` or more. groups: id, group and shingles.
+
+    Each two parts of a group meet in a task, which finds its sets' similarities by counts of what they share and gives a
+    forest: neither rows nor pairs are made for what is compared and not linked.
+    """
+    part_sets = part_sets or PART_SETS
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), share) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        a, b = [], []
+        for table in runs(batches, ["group", "part"]):
+            if table.num_rows > 1:
+                ids = table.column("id").to_numpy()
+                x, y = set_links([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("shingles")], table.column("own").to_numpy(), share)
+                a += ids[x].tolist()
+                b += ids[y].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    to = lambda c, v: sets.select(F.col("id").alias(c), F.col("shingles").alias(v)).hint("merge")
-    return pairs.select("a", "b").join(to("a", "x"), "a").join(to("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidied(decide), "a long, b long")
+    sizes = groups.groupBy("group").count().where(F.col("count") > part_sets)
+    large = written(sizes.select("group", F.ceil(F.col("count") / part_sets).cast("int").alias("cuts")), "large-groups")
+    dealt = in_parts(groups, large, "group").repartition(partitions_for(groups.sparkSession), "group", "part").sortWithinPartitions("group", "part")
+    return dealt.mapInArrow(tidied(decide), "a long, b long")
 
 
 SIGNS = ["s0", "s1", "s2", "s3"]
 
 
 def near_links(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], threshold: int, most_bits: int, share: float = NEAR_SHARE) -> DataFrame:
-    """(node, root) of the classes that are connected by pairs of candidates with `share` of their shingles.
+    """(node, root) of the classes that are connected by pairs with `share` of their shingles within a group of candidates.
 
-    Candidates meet at an anchor or a band and have similar signs. A round takes those of each class with its NEAREST at
-    each anchor, so that there are no more than some for each copy, however large a group. In the first round the nearest
-    of each class is decided first, and the rest only where they lie across what is connected by then. Classes of one
-    side need no more links, so the next round takes pairs of different sides only, and GROWTH times as many; rounds end when
-    no class had more candidates than were taken, so that no pair across what is connected stays undecided.
+    Candidates meet at an anchor or a band and have similar signs; a group is what they connect. All of a group's pairs are
+    decided, in tasks that have its shingles, so that nothing is made for a pair that is none, however large a group.
     """
-    good = done = held = side = None
-    rest, nearest = classes.withColumn("side", F.col("id")), NEAREST
-    while True:
-        told = written(links(rest, ["w0"], SIGNS, threshold, most_bits, bands="bands", nearest=nearest), "candidates")
-        found = told.where("b IS NOT NULL").groupBy("a", "b").agg(F.min("bits").alias("bits"))
-        if held is None:
-            ids = told.select(F.col("a").alias("id")).unionByName(told.where("b IS NOT NULL").select(F.col("b").alias("id"))).distinct()
-            held = written(sets(ids), "shingles")
-        else:
-            found = found.join(done.hint("merge"), ["a", "b"], "left_anti")
-        open_ = written(found, "open")
-        for last in (False, True) if nearest == NEAREST else (True,):
-            if open_.isEmpty():
-                break
-            if last:
-                pairs = open_.select("a", "b")
-            else:
-                ends = open_.select(F.col("a").alias("id"), "a", "b", "bits").unionByName(open_.select(F.col("b").alias("id"), "a", "b", "bits"))
-                pairs = written(ends.groupBy("id").agg(F.min(F.struct("bits", F.xxhash64("a", "b"), "a", "b")).alias("m")).select("m.a", "m.b").distinct(), "pairs")
-            new = written(near_pairs(held, pairs, share), "near-pairs")
-            good = new if good is None else good.unionByName(new)
-            done = pairs if done is None else done.unionByName(pairs)
-            side = written(components(good, again=True, part_edges=PART_EDGES), "sides")
-            of = lambda c: side.select(F.col("node").alias(c), F.col("root").alias(f"{c}_side"))  # noqa: B023, E731
-            if last:
-                continue
-            open_ = open_.join(pairs, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            open_ = written(open_.where(F.coalesce("a_side", "a") != F.coalesce("b_side", "b")).select("a", "b", "bits"), "open")
-        if side is None:
-            return found.select(F.col("a").alias("node"), F.col("b").alias("root"))  # no candidates
-        if told.where("b IS NULL").isEmpty():
-            return side
-        # only classes with candidates can have more of them
-        rest = classes.join(held.select("id").hint("merge"), "id", "left_semi").join(side.select(F.col("node").alias("id"), F.col("root").alias("side")).hint("merge"), "id", "left").withColumn("side", F.coalesce("side", "id"))
-        nearest *= GROWTH
+    met = components(links(classes, ["w0"], SIGNS, threshold, most_bits, bands="bands"), again=True, part_edges=PART_EDGES)
+    groups = written(sets(met.select(F.col("node").alias("id"), F.col("root").alias("group"))), "shingles")
+    return components(near_pairs(groups, share), again=True, part_edges=PART_EDGES)
 
 
 def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_SIGN_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, with its columns, with one document of each group of near copies: that of the least id.
 
     Ids are longs. Documents link if their different five-word shingles have a Jaccard similarity of NEAR_SHARE or
-    more and they are candidates: their signs differ in most_bits bits or fewer, and their words meet at an anchor or
+    more and candidates connect them: their signs differ in most_bits bits or fewer, and their words meet at an anchor or
     one of their bands is equal; groups are what links connect. Texts without words are copies of each other. A row
     is a document, so an id's different texts are decided each on its own; of rows that repeat id and text one is kept,
     as they are copies. Rows with a null id are all kept. An empty table stays empty.
@@ -462,7 +458,7 @@ def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("group"), pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "group", "shingles"])
 
     row_hash = F.xxhash64(F.col(text))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_hash.alias("hash"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
@@ -472,9 +468,9 @@ def drop_near_copies(docs: DataFrame, threshold: int = 1, most_bits: int = MOST_
     classes = written(grouped.select(F.monotonically_increasing_id().alias("id"), *names, "bands", "first"), "classes")
 
     def sets(ids: DataFrame) -> DataFrame:
-        named = classes.join(ids.hint("merge"), "id", "left_semi").select("id", "first.doc_id", "first.hash")
-        texts = rows.join(named.hint("merge"), ["doc_id", "hash"]).select("id", "text")
-        return texts.mapInArrow(tidied(sketch), "id long, shingles binary").dropDuplicates(["id"])
+        named = classes.join(ids.hint("merge"), "id").select("id", "group", "first.doc_id", "first.hash")
+        texts = rows.join(named.hint("merge"), ["doc_id", "hash"]).select("id", "group", "text")
+        return texts.mapInArrow(tidied(sketch), "id long, group long, shingles binary").dropDuplicates(["id"])
 
     roots = near_links(classes, sets, threshold, most_bits).withColumnRenamed("node", "id")
     grouped = classes.select("id", "first").join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))

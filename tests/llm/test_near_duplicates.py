@@ -174,6 +174,75 @@ def test_near_copies_among_many_that_are_close(spark, monkeypatch, nearest):
     assert len(gone - kept) >= 0.98 * len(gone) and len(gone) > 300 and len(clean) > 100
 
 
+def most_rows_made(spark, first=0):
+    """The most rows that a join, an explode or a Python function has made in an execution from `first` on; and the number of executions."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for i in range(first, runs.size()):
+        at = runs.apply(i).executionId()
+        nodes, metrics = store.planGraph(at).allNodes(), store.executionMetrics(at)
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (node.metrics().apply(j) for j in range(node.metrics().size())) if any(x in node.name() for x in ("Join", "Generate", "Arrow")) else ():
+                if m.name() == "number of output rows" and metrics.get(m.accumulatorId()).isDefined():
+                    most = max(most, int(metrics.get(m.accumulatorId()).get().replace(",", "") or 0))
+    return most, runs.size()
+
+
+def close_texts(rng, n, least, most):
+    """Texts of one group, each with `least` to `most` of its 300 words replaced."""
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 7))
+    w, texts = [word() for _ in range(300)], {}
+    for k in range(n):
+        v = list(w)
+        for j in rng.choice(300, int(rng.integers(least, most + 1)), replace=False):
+            v[j] = word()
+        texts[k] = v
+    return texts
+
+
+def test_rows_of_a_large_group_of_candidates(spark):
+    """Documents of one group that are all candidates of one another, and mostly no copies: rows grow with the documents, not with their pairs."""
+    texts = close_texts(np.random.default_rng(11), 600, 7, 9)
+    df = spark.createDataFrame([(k, " ".join(t), 1, "r", 1) for k, t in texts.items()], DOCS).repartition(4)
+    _, first = most_rows_made(spark)
+    kept = {r["doc_id"] for r in S.drop_near_copies(df).collect()}
+    sets = {k: set(zip(*(t[i:] for i in range(5)), strict=False)) for k, t in texts.items()}
+    want = grouped(list(texts), [(a, b) for a in texts for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    assert kept == {k for k in texts if want[k] == k} and len(kept) > 500
+    made, last = most_rows_made(spark, first)
+    assert last > first and len(texts) <= made <= 40 * len(texts)  # 33 anchors and bands on average at most; pairs are 300 a document
+
+
+@pytest.mark.parametrize("part", [16, 1024])
+def test_parts_of_a_group_against_brute_force(spark, monkeypatch, part):
+    """Groups larger than a part, around the threshold: no link between parts is lost, none is made up."""
+    monkeypatch.setattr(S, "PART_SETS", part)
+    rng = np.random.default_rng(12)
+    texts = {1000 * g + k: t for g, n in enumerate([120, 40, 3]) for k, t in close_texts(rng, n, 2, 7).items()}
+    sets = {k: set(zip(*(t[i:] for i in range(5)), strict=False)) for k, t in texts.items()}
+    want = grouped(list(texts), [(a, b) for a in texts for b in texts if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame([(k, " ".join(t), 1, "r", 1) for k, t in texts.items()], DOCS).repartition(4)
+    assert {r["doc_id"] for r in S.drop_near_copies(df).collect()} == {k for k in texts if want[k] == k}
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+@pytest.mark.parametrize("size", [3, 60, S.LEAST_HASHES])
+def test_set_links_against_pairs(size, parts):
+    """Links of sets by counts of what they share, of whole and of cut ones, within a part and between two."""
+    rng = np.random.default_rng(size)
+    sets = [np.zeros(0, np.uint32)] * 2
+    for _ in range(6):
+        base = rng.integers(0, 1 << 32, int(size * 1.3), np.uint32)
+        for _ in range(int(rng.integers(2, 40))):
+            keep = base[rng.random(len(base)) < rng.uniform(0.8, 1)]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 32, int(rng.integers(0, max(2, size // 20))), np.uint32)]))[: S.LEAST_HASHES])
+    own = rng.integers(0, parts, len(sets))
+    got = list(zip(*S.set_links(sets, own, 0.8), strict=True))
+    pairs = {(a, b) for a in range(len(sets)) for b in range(a) if (parts == 1 or own[a] != own[b]) and S.similar(sets[a], sets[b], 0.8)}
+    assert all((max(p), min(p)) in pairs for p in got) and len(got) < len(sets)
+    assert grouped(range(len(sets)), got) == grouped(range(len(sets)), pairs)
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, x int, cell string"
 
 
