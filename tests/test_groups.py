@@ -106,3 +106,14 @@ def test_sheet_by_lists(listed):
     got = R.sheet(findings.repartition(7), lists).collect()
     assert [r["finding_id"] for r in got] == [r["finding_id"] for r in R.sheet(findings.join(lists, "cve_list")).collect()]
     assert all(r["cves"] == texts[r["finding_id"][-1]] for r in got)
+
+
+def test_chain_tells_remedies_once(spark, many):
+    """Remedies for products, for a vulnerability's products, and for all; and no finding is kept with its texts."""
+    fix = [("vendor_fix", "All.", "", None), ("mitigation", "Only P000.", "", ["P000"])]
+    vulns = spark.createDataFrame([("feed", "A-1", 1, "CVE-1", [], "3.1", 5.0, "v", "low", True, fix, ["https://x.example"]), ("feed", "A-1", 2, "CVE-2", ["P000"], "3.1", 5.0, "v", "low", True, [("mitigation", "Named.", "", None), ("vendor_fix", "Other.", "", ["P999"])], ["https://y.example"])], VULNS)
+    advisories = spark.sql("SELECT 'feed' AS source, 'A-1' AS advisory_id, 1 AS place, 'T' AS title, 'https://a.example' AS url, CAST(NULL AS timestamp) AS published")
+    found, rows = kept_rows(spark, lambda: {r["asset_id"]: r for r in G.match(many[G.IDENTITIES], G.Corpus(advisories, many[G.PRODUCTS], vulns, many[G.KEV], many[G.EPSS])).findings.collect()})
+    assert len(found) == N + 1 and rows < 10 * N
+    told = {a: ([x["details"] for x in found[a]["remediations"]], found[a]["references"], len(found[a]["also_matched"]), found[a]["title"]) for a in ("a0", "b")}
+    assert told == {"a0": (["All."], ["https://a.example", "https://x.example"], N - 2, "T"), "b": (["All.", "Only P000.", "Named."], ["https://a.example", "https://x.example", "https://y.example"], N - 1, "T")}
